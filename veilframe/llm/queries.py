@@ -24,6 +24,15 @@ def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
 
 
+def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .pii import KINDS, find_pii, listed
+
+    base = F.filter("spans", lambda s: s["kind"] != "term")
+    count = lambda kind: F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+    found = find_pii(_table(spark, sf_dir, "documents"))
+    return found.select("doc_id", *map(count, KINDS[:4]), F.sha2(listed(base), 256).alias("base_sha256"), listed(F.col("spans")).alias("spans"), count("term"))
+
+
 def op5_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -61,7 +70,7 @@ def op10_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(_table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
-QUERIES = {f.__name__: f for f in (op1_warc, op3_decontaminate, op5_tokens, op7_quality, op8_top_k, op9_language, op10_mix)}
+QUERIES = {f.__name__: f for f in (op1_warc, op3_decontaminate, op4_pii, op5_tokens, op7_quality, op8_top_k, op9_language, op10_mix)}
 
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _WORDS = rf"regexp_extract_all({_LOWER}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
