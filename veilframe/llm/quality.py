@@ -98,7 +98,7 @@ def _summed(rows: DataFrame, part, size: int, groups: int = 8) -> np.ndarray:
         for batch in batches:
             if batch.num_rows:
                 total += part(batch)
-        yield pa.RecordBatch.from_arrays([pa.array([hash(total.tobytes()) % groups], pa.int64()), pa.array([total.tobytes()], pa.binary())], names=["g", "data"])
+        yield pa.RecordBatch.from_arrays([pa.array([zlib.crc32(total.tobytes()) % groups], pa.int64()), pa.array([total.tobytes()], pa.binary())], names=["g", "data"])
 
     def group(table: pa.Table) -> pa.Table:
         total = sum((np.frombuffer(x, np.float64) for x in table.column("data").to_pylist()), np.zeros(size))

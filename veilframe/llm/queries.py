@@ -47,6 +47,12 @@ def op5_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_tokens(write_tokens(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json")))
 
 
+def op6_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .suffixes import repeated_spans
+
+    return repeated_spans(_table(spark, sf_dir, "documents")).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
 def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .quality import scored
 
@@ -76,7 +82,7 @@ def op10_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(_table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
-QUERIES = {f.__name__: f for f in (op1_warc, op2_jaccard, op3_decontaminate, op4_pii, op5_tokens, op7_quality, op8_top_k, op9_language, op10_mix)}
+QUERIES = {f.__name__: f for f in (op1_warc, op2_jaccard, op3_decontaminate, op4_pii, op5_tokens, op6_suffixes, op7_quality, op8_top_k, op9_language, op10_mix)}
 
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _WORDS = rf"regexp_extract_all({_LOWER}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
