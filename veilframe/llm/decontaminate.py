@@ -175,6 +175,33 @@ def _spans(hit: np.ndarray) -> np.ndarray:
     return edges.reshape(-1, 2)
 
 
+def _read(built: list[SuffixAutomaton], text: str | None) -> tuple[int, np.ndarray, list[str]]:
+    """Number of words, which of them are hit, and the items that occur."""
+    words = words_of(text)
+    hit, items = np.zeros(len(words), bool), []
+    for a in built:
+        items += [a.items[k][0] or "" for k in a.match(words, hit)]
+    return len(words), hit, items
+
+
+def _over(hit: np.ndarray, min_coverage: float) -> bool:
+    n = int(hit.sum())
+    return n > 0 and n * 1_000_000 >= round(min_coverage * 1_000_000) * len(hit)
+
+
+def _without(text: str | None, spans: list) -> str | None:
+    """The text without its parts from the first to the last word of each span."""
+    if not spans:
+        return text
+    data = text.encode("utf-8", "surrogatepass")
+    at = [m.span() for m in WORD_BYTES.finditer(data)]
+    keep, pos = [], 0
+    for a, b in spans:
+        keep.append(data[pos : at[a][0]])
+        pos = at[b - 1][1]
+    return b"".join([*keep, data[pos:]]).decode("utf-8", "surrogatepass")
+
+
 def contamination(documents: DataFrame, benchmark: DataFrame, window: int = WINDOW, min_coverage: float = 0.05, cut: bool = False) -> DataFrame:
     """(doc_id, n_words, n_hit, n_items, items_sha256, contaminated, spans) of documents(doc_id, text, ...).
 
@@ -184,35 +211,49 @@ def contamination(documents: DataFrame, benchmark: DataFrame, window: int = WIND
     a null item_id is hashed as the empty string; items without words match nothing; equal rows
     give equal rows; other columns are ignored; an empty benchmark leaves everything clean.
     """
-    spark = documents.sparkSession
-    shared = spark.sparkContext.broadcast(automata(benchmark, window))
+    shared = documents.sparkSession.sparkContext.broadcast(automata(benchmark, window))
     rows = documents.select(F.col("doc_id"), F.col("text").cast("string").alias("text"))
-    share = int(round(min_coverage * 1_000_000))
-    kind = dict(rows.dtypes)["doc_id"]
-    schema = f"doc_id {kind}, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean, spans array<struct<start:long,end:long>>" + (", text string" if cut else "")
+    schema = f"doc_id {dict(rows.dtypes)['doc_id']}, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean, spans array<struct<start:long,end:long>>" + (", text string" if cut else "")
+    types = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.bool_(), pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])), pa.string()]
+    names = ["n_words", "n_hit", "n_items", "items_sha256", "contaminated", "spans", "text"][: 6 + cut]
 
     def scan(batches):
         for batch in batches:
-            out = []
+            columns: list[list] = [[] for _ in names]
             for text in batch.column(1).to_pylist():
-                words = words_of(text)
-                hit, names = np.zeros(len(words), bool), []
-                for a in shared.value:
-                    names += [a.items[k][0] or "" for k in a.match(words, hit)]
-                n, spans = int(hit.sum()), _spans(hit).tolist()
-                if cut and spans:
-                    data = text.encode("utf-8", "surrogatepass")
-                    at = [m.span() for m in WORD_BYTES.finditer(data)]
-                    keep, pos = [], 0
-                    for a, b in spans:
-                        keep.append(data[pos : at[a][0]])
-                        pos = at[b - 1][1]
-                    text = b"".join([*keep, data[pos:]]).decode("utf-8", "surrogatepass")
-                row = (len(words), n, len(names), hashlib.sha256(",".join(sorted(names)).encode()).hexdigest(), n > 0 and n * 1_000_000 >= share * len(words), [{"start": a, "end": b} for a, b in spans])
-                out.append(row + (text,) * cut)
-            types = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.bool_(), pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])), pa.string()]
-            names = ["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated", "spans", "text"]
-            columns = [pa.array(list(c), t) for c, t in zip(zip(*out), types)] if out else [pa.array([], t) for t in types[: 6 + cut]]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *columns], names=names[: 7 + cut])
+                n, hit, items = _read(shared.value, text)
+                spans = _spans(hit).tolist()
+                row = [n, int(hit.sum()), len(items), hashlib.sha256(",".join(sorted(items)).encode()).hexdigest(), _over(hit, min_coverage), [{"start": a, "end": b} for a, b in spans]]
+                for column, value in zip(columns, row + [_without(text, spans)] * cut):
+                    column.append(value)
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, t) for c, t in zip(columns, types))], names=["doc_id", *names])
 
     return rows.mapInArrow(scan, schema)
+
+
+def decontaminated(documents: DataFrame, benchmark: DataFrame, window: int = WINDOW, min_coverage: float = 0.05) -> DataFrame:
+    """documents(text, ...) without contaminated rows, and without the hit spans of the others; all columns are kept.
+
+    A column n_chars is set anew where a span went. Conditions as in contamination().
+    """
+    shared = documents.sparkSession.sparkContext.broadcast(automata(benchmark, window))
+    names = documents.columns
+    at = names.index("text")
+
+    def clean(batches):
+        for batch in batches:
+            keep, texts, changed = [], [], []
+            for text in batch.column(at).to_pylist():
+                _, hit, _ = _read(shared.value, text)
+                keep.append(not _over(hit, min_coverage))
+                changed.append(bool(keep[-1] and hit.any()))
+                texts.append(_without(text, _spans(hit).tolist()) if changed[-1] else text)
+            columns = [*batch.columns]
+            columns[at] = pa.array(texts, columns[at].type)
+            if "n_chars" in names:
+                k = names.index("n_chars")
+                sizes = [len(t) if c else n for t, c, n in zip(texts, changed, columns[k].to_pylist())]
+                columns[k] = pa.array(sizes, columns[k].type)
+            yield pa.RecordBatch.from_arrays(columns, names=names).filter(pa.array(keep))
+
+    return documents.mapInArrow(clean, documents.schema)

@@ -43,7 +43,7 @@ def targets(sizes: DataFrame, max_epochs: int = MAX_EPOCHS) -> DataFrame:
 
 
 def mix(documents: DataFrame, seed: int = 42, bucket_rows: int = BUCKET_ROWS, max_epochs: int = MAX_EPOCHS) -> DataFrame:
-    """(doc_id, source, size, source_size, target, taken) of documents(doc_id, text, source, ...).
+    """(doc_id, source, size, source_size, target, taken, tie) of documents(doc_id, text, source, ...).
 
     Size: words of the text, 0 if it is null or empty. Rows with equal ids are told apart by
     a hash of their text and may be in either order only if they are the same. Other columns
@@ -56,7 +56,7 @@ def mix(documents: DataFrame, seed: int = 42, bucket_rows: int = BUCKET_ROWS, ma
         F.col("source").cast("string").alias("source"),
         F.regexp_count(text, F.lit(WORD)).cast("long").alias("size"),
         F.conv(F.substring(F.md5(F.concat_ws("|", F.lit(str(seed)), F.col("doc_id").cast("string"))), 1, KEY_BITS // 4), 16, 10).cast("long").alias("key"),
-        F.xxhash64(text).alias("tie"),
+        F.xxhash64(text, F.col("source").cast("string")).alias("tie"),
     )
     sized = keep(sized, "mix-sizes")
     plan = targets(sized, max_epochs).withColumn("buckets", F.ceil(F.col("docs") / bucket_rows).cast("long"))
@@ -75,4 +75,18 @@ def mix(documents: DataFrame, seed: int = 42, bucket_rows: int = BUCKET_ROWS, ma
     local = placed.withColumn("local", F.coalesce(F.sum("size").over(inside), F.lit(0)))
     out = local.join(offsets, ["source_key", "bucket"]).withColumn("before", F.col("offset") + F.col("local"))
     last = F.greatest(F.lit(0).cast("long"), F.least(F.col("size"), rest - F.col("before")))
-    return out.select("doc_id", "source", "size", "source_size", "target", (epochs * F.col("size") + last).cast("long").alias("taken"))
+    return out.select("doc_id", "source", "size", "source_size", "target", (epochs * F.col("size") + last).cast("long").alias("taken"), "tie")
+
+
+def mixed(documents: DataFrame, **how) -> DataFrame:
+    """documents(doc_id, text, source, ...) as the mix takes them: each row once for every epoch that takes words of it.
+
+    The row that a source's cut goes through stays whole. All columns are kept; see mix() for the rest.
+    """
+    plan = mix(documents, **how).where("taken > 0")
+    number = lambda *order: F.row_number().over(Window.partitionBy("doc_id", "tie").orderBy(*order))
+    plan = plan.select(F.col("doc_id").alias("__id"), F.col("tie").alias("__tie"), number(F.desc("taken")).alias("__n"), F.ceil(F.col("taken") / F.col("size")).cast("int").alias("__times"))
+    rows = documents.withColumn("tie", F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit("")), F.col("source").cast("string")))
+    rows = rows.withColumn("__row", number(F.lit(0)))
+    taken = rows.join(plan, rows["doc_id"].eqNullSafe(plan["__id"]) & (rows["tie"] == plan["__tie"]) & (rows["__row"] == plan["__n"]))
+    return taken.withColumn("__time", F.explode(F.sequence(F.lit(1), F.col("__times")))).select(*(documents[c] for c in documents.columns))
