@@ -25,6 +25,8 @@ from .storage import keep, open_file, shared_dir, write_file
 GZIP_MAGIC = b"\x1f\x8b\x08"
 WARC_MAGIC = b"WARC/1.1\r\n"
 SALTS = 32
+#: A longer header is none.
+HEADER_BYTES = 1 << 20
 
 RECORD_SCHEMA = (
     "path string, split long, offset long, successor long, exit long, page_id long, url string, "
@@ -175,6 +177,7 @@ def _candidate(window: _Window, at: int, gz: bool):
             return None
         return window.start + pos, _row(found[0], found[1])
     need = 1 << 16
+    window.more(at + need - len(window.data))
     while True:
         view = window.data[at : at + need]
         if found := _parse(view):
@@ -185,10 +188,12 @@ def _candidate(window: _Window, at: int, gz: bool):
             if not size.isdigit() or len(view) >= end + int(size) + 8:
                 return None
             need = max(need, end + int(size) + 8)
+        elif len(view) > HEADER_BYTES:
+            return None
         else:
             need *= 4
-        if at + need > len(window.data) and not window.more(at + need - len(window.data)) and need > 4 * (len(window.data) - at) + (1 << 18):
-            return None
+        if at + need > len(window.data) and not window.more(at + need - len(window.data)):
+            return None  # the file ends before the record does
 
 
 def jump(successor: np.ndarray, offsets: np.ndarray) -> np.ndarray:
