@@ -22,8 +22,8 @@ def _elements(values: DataFrame, ranks: list[int], n: int, limit: int) -> dict[i
         found = values.agg(F.percentile("v", F.array(*(F.lit(r / (n - 1)) for r in ranks)))).first()[0]
         return dict(zip(ranks, found))
     cuts = values.agg(F.percentile_approx("v", [i / (SPLITS + 1) for i in range(1, SPLITS + 1)], 10000)).first()[0]
-    cuts = sorted({c for c in cuts if c < high})
-    below = values.agg(*(F.count_if(F.col("v") <= c) for c in cuts)).first() if cuts else []
+    cuts = sorted({c for c in cuts if c < high}) or [low]
+    below = values.agg(*(F.count_if(F.col("v") <= c) for c in cuts)).first()
     ends, out = [*below, n], {}
     for part in sorted({bisect_right(list(below), r) for r in ranks}):
         start = ends[part - 1] if part else 0

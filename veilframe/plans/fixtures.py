@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 PEOPLE = ["o_totalprice", "c_acctbal", "o_orderstatus", "o_orderpriority", "c_mktsegment", "c_nationkey"]
 ITEMS = ["l_returnflag", "l_linestatus", "l_linenumber", "l_discount", "l_tax", "l_quantity"]
 #: A fixed mixture for account balances.
-MODES = {"weights": [0.3, 0.5, 0.2], "means": [500.0, 4500.0, 9000.0], "deviations": [600.0, 1500.0, 700.0]}
+MODES = {"weights": [0.3, 0.5, 0.2], "means": [500.0, 4500.0, 9000.0], "deviations": [610.0, 1530.0, 710.0]}
 #: A fixed tree over items: the root and its children.
 TREE = [("l_returnflag", None), ("l_linestatus", "l_returnflag"), ("l_linenumber", "l_linestatus")]
 #: A fixed undirected tree for degree counts.

@@ -31,6 +31,7 @@ class Roles:
 
 
 ADULT = Roles(
+    key="row_key",
     unknown=("workclass", "occupation", "native-country"),
     dropped=("education-num",),
     quantile=(("age", 5), ("fnlwgt", 10), ("hours-per-week", 5)),
@@ -39,7 +40,7 @@ ADULT = Roles(
     numeric=("age", "fnlwgt", "capital-gain", "capital-loss", "hours-per-week"),
     strip=(("income", "."),),
 )
-COVERTYPE = Roles(quantile=tuple((c, 5) for c in COVERTYPE_NUMERIC), numeric=tuple(COVERTYPE_NUMERIC), whole=(*COVERTYPE_BINARY, "Cover_Type"))
+COVERTYPE = Roles(key="row_key", quantile=tuple((c, 5) for c in COVERTYPE_NUMERIC), numeric=tuple(COVERTYPE_NUMERIC), whole=(*COVERTYPE_BINARY, "Cover_Type"))
 PEOPLE = Roles(key="o_orderkey", unknown=("segment",), dropped=("known_segment",), quantile=(("price_text", 5),), zero_inflated=("balance",), rest=(("c_nationkey", 2, 5),), numeric=("price_text", "balance"), strip=(("priority", "."),))
 RECIPES = {"adult": ADULT, "covertype": COVERTYPE, "people": PEOPLE}
 
