@@ -24,16 +24,16 @@ def feature_stages(df: DataFrame, columns: list[str], roles: dict[str, str]) ->
     stages: list = [StringIndexer(inputCol=c, outputCol=f"{c}__i", stringOrderType="alphabetAsc", handleInvalid="keep") for c in category]
     if category:
         stages.append(OneHotEncoder(inputCols=[f"{c}__i" for c in category], outputCols=[f"{c}__v" for c in category], dropLast=True))
-    return [*stages, VectorAssembler(inputCols=[f"{c}__v" if c in category else c for c in columns], outputCol="features", handleInvalid="keep")]
+    return [*stages, VectorAssembler(inputCols=[f"{c}__v" if c in category else c for c in columns], outputCol="__features", handleInvalid="keep")]
 
 
 def classifier(name: str, n: int, inputs: int = 0, classes: int = 2, trees: int = 100, depth: int = 12):
     """A model by name. The regression's penalty is that of a unit cost on the summed loss; forests are depth-limited."""
     if name == MODELS[0]:
-        return LogisticRegression(maxIter=1000, regParam=1.0 / max(1, n), elasticNetParam=0.0, standardization=False, labelCol="y")
+        return LogisticRegression(maxIter=1000, regParam=1.0 / max(1, n), elasticNetParam=0.0, standardization=False, labelCol="__y", featuresCol="__features")
     if name == MODELS[1]:
-        return RandomForestClassifier(numTrees=trees, seed=42, maxDepth=depth, labelCol="y", maxBins=64)
-    return MultilayerPerceptronClassifier(layers=[inputs, 100, classes], maxIter=200, seed=42, labelCol="y", blockSize=512)
+        return RandomForestClassifier(numTrees=trees, seed=42, maxDepth=depth, labelCol="__y", featuresCol="__features", maxBins=64)
+    return MultilayerPerceptronClassifier(layers=[inputs, 100, classes], maxIter=200, seed=42, labelCol="__y", featuresCol="__features", blockSize=512)
 
 
 def accuracy(rows: DataFrame, truth: str, guess: str) -> DataFrame:
@@ -71,14 +71,14 @@ def evaluate(train: DataFrame, test: DataFrame, columns: list[str], target: str,
         if missing := [c for c in [*columns, target] if c not in df.columns]:
             raise ValueError(f"missing columns: {missing}")
     left, right, roles = prepare(train, test, columns, target)
-    label = StringIndexer(inputCol=target, outputCol="y", stringOrderType="alphabetAsc", handleInvalid="keep")
+    label = StringIndexer(inputCol=target, outputCol="__y", stringOrderType="alphabetAsc", handleInvalid="keep")
     fitted = Pipeline(stages=[label, *feature_stages(left, columns, roles)]).fit(left)
     names = fitted.stages[0].labels
-    left, right = fitted.transform(left).select("y", "features").cache(), fitted.transform(right).select(F.col(target).cast("string").alias("truth"), "y", "features")
+    left, right = fitted.transform(left).select("__y", "__features").cache(), fitted.transform(right).select(F.col(target).cast("string").alias("truth"), "__y", "__features")
     n, first = left.count(), left.first()
     rows = []
     for name in models:
-        model = classifier(name, n, first["features"].size, max(2, len(names)), **how).fit(left)
+        model = classifier(name, n, first["__features"].size, max(2, len(names)), **how).fit(left)
         guess = F.get(F.array(*map(F.lit, names)), F.col("prediction").cast("int"))
         guessed = model.transform(right).select("truth", guess.alias("guess"))
         cells = guessed.groupBy("truth", "guess").agg(F.count("*").alias("n")).collect()
@@ -114,16 +114,16 @@ def pmse(real: DataFrame, synthetic: DataFrame, columns: list[str], key: str, fo
     key tells rows of both frames apart; it is no feature.
     """
     left, right, _ = harmonise(real, synthetic, columns)
-    both = left.withColumn("y", F.lit(1.0)).withColumn("__k", F.concat(F.lit("r"), F.col(key).cast("string"))).select("__k", "y", *columns)
-    both = both.unionByName(right.withColumn("y", F.lit(0.0)).withColumn("__k", F.concat(F.lit("s"), F.col(key).cast("string"))).select("__k", "y", *columns))
+    both = left.withColumn("__y", F.lit(1.0)).withColumn("__k", F.concat(F.lit("r"), F.col(key).cast("string"))).select("__k", "__y", *columns)
+    both = both.unionByName(right.withColumn("__y", F.lit(0.0)).withColumn("__k", F.concat(F.lit("s"), F.col(key).cast("string"))).select("__k", "__y", *columns))
     roles = infer_roles(both, columns=columns)
-    both = kfold(both, "__k", folds, seed)
-    ready = Pipeline(stages=feature_stages(both, columns, roles)).fit(both).transform(both).select("y", "fold", "features").cache()
+    both = kfold(both, "__k", folds, seed, "__fold")
+    ready = Pipeline(stages=feature_stages(both, columns, roles)).fit(both).transform(both).select("__y", "__fold", "__features").cache()
     n, scored = ready.count(), None
     for f in range(folds):
-        train = ready.where(F.col("fold") != f)
+        train = ready.where(F.col("__fold") != f)
         model = classifier(MODELS[0], n - n // folds).fit(train)
-        part = model.transform(ready.where(F.col("fold") == f)).select("y", vector_to_array("probability")[1].alias("p"))
+        part = model.transform(ready.where(F.col("__fold") == f)).select("__y", vector_to_array("probability")[1].alias("p"))
         scored = part if scored is None else scored.union(part)
-    out = scored.agg(pmse_from_scores(F.col("p")).alias("pmse"), F.avg("y").alias("share"))
+    out = scored.agg(pmse_from_scores(F.col("p")).alias("pmse"), F.avg("__y").alias("share"))
     return out.select("pmse", ((F.col("share") - 0.5) * (F.col("share") - 0.5)).alias("floor"))
