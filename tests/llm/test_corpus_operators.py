@@ -251,8 +251,8 @@ def brute_repeats(rows, span):
     return Counter(out)
 
 
-@pytest.mark.parametrize("pack_bytes", [suffixes.PACK_BYTES, 3000])
-def test_repeats_equal_brute_force(spark, pack_bytes):
+@pytest.mark.parametrize("pack_bytes, hot", [(suffixes.PACK_BYTES, suffixes.HOT), (3000, suffixes.HOT), (3000, 5), (2000, 1)])
+def test_repeats_equal_brute_force(spark, pack_bytes, hot):
     rng = random.Random(11)
     passage, line = sentence(rng, 60), sentence(rng, 16)
     rows = edge_rows() + [(30, passage * 3), (31, "ab" * 400), (32, "z" * 600), (33, passage[:130])]
@@ -260,7 +260,7 @@ def test_repeats_equal_brute_force(spark, pack_bytes):
         a, b = sorted((rng.randrange(len(passage)), rng.randrange(len(passage))))
         rows.append((100 + k, f"{sentence(rng, rng.randint(0, 30))} {passage[a:b]} {line} {sentence(rng, rng.randint(0, 30))}" + passage[:b] * rng.randint(0, 1)))
     rng.shuffle(rows)
-    got = suffixes.repeated_spans(docs(spark, rows).repartition(5), pack_bytes=pack_bytes).collect()
+    got = suffixes.repeated_spans(docs(spark, rows).repartition(5), pack_bytes=pack_bytes, hot=hot).collect()
     assert Counter((r["doc_id"], r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in got) == brute_repeats(rows, suffixes.SPAN)
     for r in got:
         assert sum(s["end"] - s["start"] for s in r["spans"]) == r["n_removed"] and len(r["kept"]) == r["n_bytes"] - r["n_removed"]

@@ -13,6 +13,9 @@ no comparison crosses a boundary. Three passes over the buckets' content:
    suffixes of all their strings are sorted in the same way and each string's first occurrence stays.
 3. Documents get their repeated string starts back and drop the covered bytes.
 
+A k-gram that occurs more than HOT times would fill its bucket: its strings go to buckets by their own 128-bit hash
+instead, each once per pack, so no bucket gets more of a string than there are packs.
+
 Texts are packed into files in the shared folder by the first pass and fetched from there by the others; only
 anchors, surroundings and starts are shuffled, as blocks of many.
 """
@@ -33,14 +36,16 @@ from .storage import open_file, shared_dir, write_file
 SPAN = 100
 KGRAM = 37
 PACK_BYTES = 4 << 20
+#: Occurrences from which a k-gram's strings are dealt out one by one.
+HOT = 20_000
 #: Documents whose anchors are sampled for splitters.
 SAMPLE_DOCS = 2000
 _LAST = np.iinfo(np.uint64).max
 
 
-def _hash_kgrams(data: np.ndarray, k: int) -> np.ndarray:
+def _hash_kgrams(data: np.ndarray, k: int, m: int = 0x9E3779B97F4A7C15) -> np.ndarray:
     """A mixed hash of the k bytes from each place on (the last k - 1 places have none)."""
-    m, width = 0x9E3779B97F4A7C15, 1
+    width = 1
     part = (data.astype(np.uint64) + np.uint64(1)) * np.uint64(0xD6E8FEB86659FD93)
     total, have = None, 0
     need = k
@@ -186,7 +191,23 @@ def _splitters(documents: DataFrame, n: int, span: int, k: int) -> np.ndarray:
     return np.unique(keys_found[(np.arange(1, n) * len(keys_found)) // n])
 
 
-def repeated_spans(documents: DataFrame, span: int = SPAN, k: int = KGRAM, pack_bytes: int = PACK_BYTES) -> DataFrame:
+def _compressed(head: np.ndarray, body: bytes = b"") -> tuple[bytes, int]:
+    """(block, plain size) of a table of int64 and what belongs to it."""
+    plain = np.array([head.shape[1], len(body)], "<i8").tobytes() + head.astype("<i8").tobytes() + body
+    return pa.Codec("zstd", 1).compress(plain, asbytes=True), len(plain)
+
+
+def _plain(block: bytes, size: int, rows: int) -> tuple[np.ndarray, bytes]:
+    raw = pa.Codec("zstd").decompress(block, size, asbytes=True)
+    n, body = np.frombuffer(raw, "<i8", 2).tolist()
+    return np.frombuffer(raw, "<i8", rows * n, 16).reshape(rows, n), raw[len(raw) - body :]
+
+
+#: What a block between the packs and the buckets holds: surroundings, single strings, or starts already known to repeat.
+AROUND, SINGLE, KNOWN = 0, 1, 2
+
+
+def repeated_spans(documents: DataFrame, span: int = SPAN, k: int = KGRAM, pack_bytes: int = PACK_BYTES, hot: int = HOT) -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept_sha256, spans, kept), one row per row of documents(doc_id, text, ...).
 
     A byte goes if a string of span bytes that covers it also starts earlier: in a document of smaller id, or
@@ -229,8 +250,10 @@ def repeated_spans(documents: DataFrame, span: int = SPAN, k: int = KGRAM, pack_
             _pack(f"{out_dir}/{uid}", doc_ids, texts_)
             offsets = np.concatenate([[0], np.cumsum([len(t) for t in texts_])])
             found = Anchors(np.frombuffer(b"".join(texts_), np.uint8), offsets, span, k)
-            rows = [(b, np.stack([found.key[at], at.astype(np.uint64)]).astype("<u8")[:, np.argsort(found.key[at], kind="stable")]) for b, at in _blocks(bucket_of(found.key), n_buckets)]
-            rows = [(b, x[0].tobytes() + x[1].astype("<u4").tobytes()) for b, x in rows] or [(zlib.crc32(uid.encode()) % n_buckets, b"")]
+            # a k-gram once per pack, with its number there: a frequent one sends no more than the packs are
+            keys, ordinals, counts = np.unique(found.key, return_index=True, return_counts=True)
+            rows = [(b, keys[at].astype("<u8").tobytes() + ordinals[at].astype("<u4").tobytes() + np.minimum(counts[at], 65535).astype("<u2").tobytes()) for b, at in _blocks(bucket_of(keys), n_buckets)]
+            rows = rows or [(zlib.crc32(uid.encode()) % n_buckets, b"")]
             return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([uid] * len(rows)), pa.array([r[1] for r in rows], pa.binary())], names=["bucket", "uid", "data"])
 
         for batch in batches:
@@ -246,45 +269,77 @@ def repeated_spans(documents: DataFrame, span: int = SPAN, k: int = KGRAM, pack_
 
     def shared_kgrams(table: pa.Table) -> pa.Table:
         uids, blobs = table.column("uid").to_pylist(), table.column("data").to_pylist()
-        counts = np.array([len(b) // 12 for b in blobs])
-        keys = np.concatenate([np.frombuffer(b, "<u8", n) for b, n in zip(blobs, counts)])
-        order = np.argsort(keys, kind="stable")
-        same = keys[order][1:] == keys[order][:-1]
-        twice = np.zeros(len(keys), bool)
-        twice[order[1:][same]] = True
-        twice[order[:-1][same]] = True
-        ends = np.cumsum(counts)
-        out = [np.frombuffer(b, "<u4", n, 8 * n)[twice[e - n : e]].tobytes() for b, n, e in zip(blobs, counts, ends)]
+        sizes = np.array([len(b) // 14 for b in blobs])
+        keys = np.concatenate([np.frombuffer(b, "<u8", n) for b, n in zip(blobs, sizes)])
+        counts = np.concatenate([np.frombuffer(b, "<u2", n, 12 * n) for b, n in zip(blobs, sizes)]).astype(np.int64)
+        inverse = np.unique(keys, return_inverse=True)[1]
+        total = np.bincount(inverse, counts)[inverse] if len(keys) else counts
+        ends = np.cumsum(sizes)
+        out = []
+        for b, n, e in zip(blobs, sizes, ends):
+            mine, ordinals = total[e - n : e], np.frombuffer(b, "<u4", n, 8 * n)
+            out.append((ordinals | ((mine > hot).astype("<u4") << np.uint32(31)))[mine > 1].astype("<u4").tobytes())
         return pa.table({"uid": pa.array(uids, pa.string()), "data": pa.array(out, pa.binary())})
 
     def surroundings(table: pa.Table) -> pa.Table:
         uid = table.column("uid")[0].as_py()
-        chosen = np.unique(np.frombuffer(b"".join(table.column("data").to_pylist()), "<u4").astype(np.int64))
+        named = np.frombuffer(b"".join(table.column("data").to_pylist()), "<u4").astype(np.int64)
         ids, offsets, data = _unpack(f"{out_dir}/{uid}")
         rows = []
-        if len(chosen):
+        if len(named):
             found = Anchors(data, offsets, span, k)
-            chosen = chosen[local_first(data, found, chosen)]
-            starts, lengths = found.first[chosen], found.last[chosen] - found.first[chosen] + span
-            doc = np.searchsorted(offsets, starts, side="right") - 1
-            raw = data.tobytes()
-            for b, at in _blocks(bucket_of(found.key[chosen]), n_buckets):
-                head = np.stack([found.key[chosen[at]].view(np.int64), ids[doc[at]], doc[at], starts[at] - offsets[doc[at]], lengths[at], found.place[chosen[at]] - starts[at]]).astype("<i8")
-                body = b"".join(raw[s : s + n] for s, n in zip(starts[at].tolist(), lengths[at].tolist()))
-                rows.append((b, pa.Codec("zstd", 1).compress(np.array([len(at), len(body)], "<i8").tobytes() + head.tobytes() + body, asbytes=True), 16 + head.nbytes + len(body)))
-        rows = rows or [(zlib.crc32(uid.encode()) % n_buckets, b"", 0)]
-        return pa.table({"bucket": pa.array([r[0] for r in rows], pa.int32()), "uid": pa.array([uid] * len(rows)), "data": pa.array([r[1] for r in rows], pa.binary()), "size": pa.array([r[2] for r in rows], pa.int64())})
+            frequent = found.key[named[named >> 31 == 1] & 0x7FFFFFFF]
+            chosen = np.flatnonzero(np.isin(found.key, found.key[named[named >> 31 == 0]]))
+            if len(chosen):
+                chosen = chosen[local_first(data, found, chosen)]
+                starts, lengths = found.first[chosen], found.last[chosen] - found.first[chosen] + span
+                doc = np.searchsorted(offsets, starts, side="right") - 1
+                raw = data.tobytes()
+                for b, at in _blocks(bucket_of(found.key[chosen]), n_buckets):
+                    head = np.stack([found.key[chosen[at]].view(np.int64), ids[doc[at]], doc[at], starts[at] - offsets[doc[at]], lengths[at], found.place[chosen[at]] - starts[at]])
+                    rows.append((b, AROUND, *_compressed(head, b"".join(raw[s : s + n] for s, n in zip(starts[at].tolist(), lengths[at].tolist())))))
+            many = np.flatnonzero(np.isin(found.key, frequent))
+            if len(many):
+                sizes = found.last[many] - found.first[many] + 1
+                starts = np.repeat(found.first[many], sizes) + np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+                one, two = (_hash_kgrams(data, span, m)[starts] for m in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F))
+                order = np.lexsort([starts, two, one])
+                first = np.ones(len(order), bool)
+                first[1:] = (one[order][1:] != one[order][:-1]) | (two[order][1:] != two[order][:-1])
+                doc = np.searchsorted(offsets, starts, side="right") - 1
+                inside = starts - offsets[doc]
+                again, single = order[~first], order[first]
+                if len(again):
+                    rows.append((zlib.crc32(uid.encode()) % n_buckets, KNOWN, *_compressed(np.stack([doc[again], inside[again]]))))
+                for b, at in _blocks((one[single] % np.uint64(n_buckets)).astype(np.int64), n_buckets):
+                    at = single[at]
+                    rows.append((b, SINGLE, *_compressed(np.stack([one[at].view(np.int64), two[at].view(np.int64), ids[doc[at]], doc[at], inside[at]]))))
+        rows = rows or [(zlib.crc32(uid.encode()) % n_buckets, KNOWN, b"", 0)]
+        return pa.table({"bucket": pa.array([r[0] for r in rows], pa.int32()), "uid": pa.array([uid] * len(rows)), "kind": pa.array([r[1] for r in rows], pa.int32()), "data": pa.array([r[2] for r in rows], pa.binary()), "size": pa.array([r[3] for r in rows], pa.int64())})
 
     def compare(table: pa.Table) -> pa.Table:
         uids = table.column("uid").to_pylist()
-        heads, bodies, source = [], [], []
-        for i, (blob, size) in enumerate(zip(table.column("data").to_pylist(), table.column("size").to_pylist())):
-            if size:
-                raw = pa.Codec("zstd").decompress(blob, size, asbytes=True)
-                n, body = np.frombuffer(raw, "<i8", 2).tolist()
-                heads.append(np.frombuffer(raw, "<i8", 6 * n, 16).reshape(6, n))
-                bodies.append(raw[-body:])
-                source.append(np.full(n, i))
+        kinds = table.column("kind").to_pylist()
+        heads, bodies, source, singles, rows = [], [], [], [], []
+        names = np.argsort(np.argsort(np.array(uids)))  # rows of equal ids are ordered by pack and place in it
+        for i, (kind, blob, size) in enumerate(zip(kinds, table.column("data").to_pylist(), table.column("size").to_pylist())):
+            if not size:
+                continue
+            head, body = _plain(blob, size, {AROUND: 6, SINGLE: 5, KNOWN: 2}[kind])
+            mine = np.full((1, head.shape[1]), i)
+            if kind == AROUND:
+                heads.append(head)
+                bodies.append(body)
+                source.append(mine[0])
+            elif kind == SINGLE:
+                singles.append(np.concatenate([head, mine]))
+            else:
+                rows.append(np.concatenate([mine, head, head[1:]]))
+        if singles:
+            one, two, doc_id, doc, first, source_ = np.concatenate(singles, 1)
+            order = np.lexsort([first, doc, names[source_], doc_id, two, one])
+            repeat = order[1:][(one[order][1:] == one[order][:-1]) & (two[order][1:] == two[order][:-1])]
+            rows.append(np.stack([source_[repeat], doc[repeat], first[repeat], first[repeat]]))
         out = [[] for _ in uids]
         if heads:
             key, doc_id, doc, first, length, shift = np.concatenate(heads, 1)
@@ -292,17 +347,15 @@ def repeated_spans(documents: DataFrame, span: int = SPAN, k: int = KGRAM, pack_
             words = word_levels(np.frombuffer(b"".join([*bodies, bytes(7)]), np.uint8))
             starts = np.concatenate([[0], np.cumsum(length)[:-1]])
             del heads, bodies
-            # order of occurrence; rows of equal ids by pack and place in it
-            turn = np.empty(len(key), np.int64)
-            names = np.argsort(np.argsort(np.array(uids)))[source]
-            turn[np.lexsort([first, doc, names, doc_id])] = np.arange(len(key))
+            turn = np.empty(len(key), np.int64)  # order of occurrence
+            turn[np.lexsort([first, doc, names[source], doc_id])] = np.arange(len(key))
             kgrams = np.unique(key, return_inverse=True)[1]
             group = multikey_classes(words, starts, length, kgrams * (span + 1) + shift)
             by_turn = np.lexsort([turn, group])
             head = np.ones(len(key), bool)
             head[1:] = group[by_turn][1:] != group[by_turn][:-1]
             again = by_turn[~head]
-            rows = [np.stack([source[again], doc[again], first[again], first[again] + length[again] - span])]
+            rows.append(np.stack([source[again], doc[again], first[again], first[again] + length[again] - span]))
             firsts = by_turn[head]
             several = np.bincount(kgrams[firsts], minlength=int(kgrams.max()) + 1)[kgrams[firsts]] > 1
             firsts = firsts[several]
@@ -322,6 +375,7 @@ def repeated_spans(documents: DataFrame, span: int = SPAN, k: int = KGRAM, pack_
                 repeat = order[1:][same[order][1:] == same[order][:-1]]
                 rows.append(np.stack([source[owner[repeat]], doc[owner[repeat]], first[owner[repeat]] + step[repeat], first[owner[repeat]] + step[repeat]]))
                 at = stop
+        if rows:
             rows = np.concatenate(rows, 1)
             rows = rows[:, np.lexsort([rows[2], rows[1], rows[0]])]
             # runs of neighbouring starts become one
@@ -360,6 +414,8 @@ def repeated_spans(documents: DataFrame, span: int = SPAN, k: int = KGRAM, pack_
     blob = "uid string, data binary"
     packed = texts.mapInArrow(pack, "bucket int, " + blob)
     chosen = packed.groupBy("bucket").applyInArrow(shared_kgrams, blob)
-    around = chosen.groupBy("uid").applyInArrow(surroundings, f"bucket int, {blob}, size long")
+    # a pack costs the same however few bytes name it, so the packs' tasks are not merged by their shuffled size
+    tasks = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    around = chosen.repartition(tasks, "uid").groupBy("uid").applyInArrow(surroundings, "bucket int, uid string, kind int, data binary, size long")
     starts = around.groupBy("bucket").applyInArrow(compare, blob)
-    return starts.groupBy("uid").applyInArrow(finish, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans array<struct<start:long,end:long>>, kept binary")
+    return starts.repartition(tasks, "uid").groupBy("uid").applyInArrow(finish, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans array<struct<start:long,end:long>>, kept binary")
