@@ -18,6 +18,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .storage import tidy
+
 WINDOW = 13
 #: Items are gathered into automata of so many words at most, used one after the other.
 AUTOMATON_WORDS = 1_000_000
@@ -217,6 +219,7 @@ def contamination(documents: DataFrame, benchmark: DataFrame, window: int = WIND
     types = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.bool_(), pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])), pa.string()]
     names = ["n_words", "n_hit", "n_items", "items_sha256", "contaminated", "spans", "text"][: 6 + cut]
 
+    @tidy
     def scan(batches):
         for batch in batches:
             columns: list[list] = [[] for _ in names]
@@ -240,6 +243,7 @@ def decontaminated(documents: DataFrame, benchmark: DataFrame, window: int = WIN
     names = documents.columns
     at = names.index("text")
 
+    @tidy
     def clean(batches):
         for batch in batches:
             keep, texts, changed = [], [], []

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .decontaminate import TABLE
-from .storage import keep
+from .storage import keep, tidy
 
 SHINGLE = 5
 THRESHOLD = 0.8
@@ -105,6 +105,7 @@ def _words(text: str | None) -> list[bytes]:
 def signatures(documents: DataFrame, length: int, trees: int = TREES, shingle: int = SHINGLE) -> DataFrame:
     """(doc_id, cls, keys) of documents(doc_id, text): cls names the words; no words: cls and keys are null."""
 
+    @tidy
     def scan(batches):
         shingler, forest = Shingler(shingle), Forest(length, trees)
         for batch in batches:
@@ -121,6 +122,7 @@ def signatures(documents: DataFrame, length: int, trees: int = TREES, shingle: i
 def shingle_sets(documents: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     """(cls, shingles) of documents(doc_id, text) with words."""
 
+    @tidy
     def scan(batches):
         shingler = Shingler(shingle)
         for batch in batches:

@@ -15,6 +15,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .storage import tidy
+
 DIMENSIONS = 512
 #: Letters have 127 places: a-z own ones, all others share the rest by code point. 0 is whatever is no letter.
 PLACES = 128
@@ -89,6 +91,7 @@ def fit(documents: DataFrame, learn: Column, dimensions: int = DIMENSIONS) -> di
     """
     rows = documents.where(learn & F.col("text").isNotNull() & F.col("lang").isNotNull()).select(F.col("text").cast("string"), F.col("lang").cast("string"))
 
+    @tidy
     def bundle(batches):
         memory, weights, total = _vectors(dimensions), {}, {}
 
@@ -134,6 +137,7 @@ def classify(documents: DataFrame, prototypes: dict[str, np.ndarray], dimensions
     documents = documents.drop("lang_pred", "score")
     fields = documents.schema
 
+    @tidy
     def predict(batches):
         memory = _vectors(dimensions)
         at = fields.names.index("text")

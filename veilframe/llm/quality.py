@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .storage import keep
+from .storage import keep, tidy
 
 FEATURES = 256
 BINS = 2048
@@ -78,6 +78,7 @@ def with_statistics(documents: DataFrame) -> DataFrame:
     """(doc_id, stats) of documents(doc_id, text, ...)."""
     rows = documents.select("doc_id", F.col("text").cast("string").alias("text"))
 
+    @tidy
     def scan(batches):
         for batch in batches:
             stats = [statistics(t) for t in batch.column(1).to_pylist()]

@@ -9,9 +9,12 @@ halfway leaves nothing that a later reader could take for a result.
 
 from __future__ import annotations
 
+import ctypes
+import functools
 import tempfile
 import uuid
 
+import pyarrow as pa
 from pyarrow import fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 
@@ -66,3 +69,23 @@ def keep(df: DataFrame, label: str) -> DataFrame:
     path = shared_dir(spark, label)
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def tidy(scan):
+    """A scan over record batches that gives unused memory back when its task ends.
+
+    Workers live on and serve later tasks, whose needs would otherwise add to what allocators hold.
+    """
+
+    @functools.wraps(scan)
+    def run(batches):
+        try:
+            yield from scan(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            try:
+                ctypes.CDLL(None).malloc_trim(0)
+            except (AttributeError, OSError):  # other C libraries have no such call
+                pass
+
+    return run
