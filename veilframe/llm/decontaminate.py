@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .storage import tidy
+from .storage import small_batches, tidy
 
 WINDOW = 13
 #: Items are gathered into automata of so many words at most, used one after the other.
@@ -213,6 +213,7 @@ def contamination(documents: DataFrame, benchmark: DataFrame, window: int = WIND
     a null item_id is hashed as the empty string; items without words match nothing; equal rows
     give equal rows; other columns are ignored; an empty benchmark leaves everything clean.
     """
+    small_batches(documents.sparkSession)
     shared = documents.sparkSession.sparkContext.broadcast(automata(benchmark, window))
     rows = documents.select(F.col("doc_id"), F.col("text").cast("string").alias("text"))
     schema = f"doc_id {dict(rows.dtypes)['doc_id']}, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean, spans array<struct<start:long,end:long>>" + (", text string" if cut else "")
@@ -239,6 +240,7 @@ def decontaminated(documents: DataFrame, benchmark: DataFrame, window: int = WIN
 
     A column n_chars is set anew where a span went. Conditions as in contamination().
     """
+    small_batches(documents.sparkSession)
     shared = documents.sparkSession.sparkContext.broadcast(automata(benchmark, window))
     names = documents.columns
     at = names.index("text")

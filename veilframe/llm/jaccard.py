@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .decontaminate import TABLE
-from .storage import keep, tidy
+from .storage import keep, small_batches, tidy
 
 SHINGLE = 5
 THRESHOLD = 0.8
@@ -231,6 +231,7 @@ def jaccard_links(documents: DataFrame, threshold: float = THRESHOLD, shingle: i
     with a null doc_id takes no part: class_id null, no links. Rows repeated with their
     id are copies of each other. Extra columns are ignored.
     """
+    small_batches(documents.sparkSession)
     length = prefix_length(threshold, trees, depth, recall)
     texts = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     signed = keep(signatures(texts, length, trees, shingle), "jaccard-signatures")

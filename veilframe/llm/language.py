@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .storage import tidy
+from .storage import small_batches, tidy
 
 DIMENSIONS = 512
 #: Letters have 127 places: a-z own ones, all others share the rest by code point. 0 is whatever is no letter.
@@ -89,6 +89,7 @@ def fit(documents: DataFrame, learn: Column, dimensions: int = DIMENSIONS) -> di
     Rows with a null text or lang, or without letters, teach nothing. Tasks bundle their rows and
     send a vector for each language; the sums, a row per language, come to the driver.
     """
+    small_batches(documents.sparkSession)
     rows = documents.where(learn & F.col("text").isNotNull() & F.col("lang").isNotNull()).select(F.col("text").cast("string"), F.col("lang").cast("string"))
 
     @tidy

@@ -24,12 +24,12 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .storage import keep, open_file, shared_dir, write_file
+from .storage import keep, open_file, shared_dir, small_batches, tidy, write_file
 
 CHUNK_BITS = 8
 RANK_BLOCK = 512
-FILE_TOKENS = 8_000_000
-CACHE_WORDS = 1_000_000
+FILE_TOKENS = 4_000_000
+CACHE_WORDS = 400_000
 
 
 def encode_levels(ids: np.ndarray) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
@@ -130,6 +130,7 @@ class WordEncoder:
     characters, so the ids of a text are those of its first word and of each further
     word with its space. That needs a byte-level tokenizer without normaliser and every run of white
     space that holds a space to be that single one; other texts go through the library whole.
+    Words are kept in two generations, so that frequent ones outlive a full cache.
     """
 
     def __init__(self, path: str):
@@ -138,7 +139,9 @@ class WordEncoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.first: dict[str, bytes] = {}
         self.rest: dict[str, bytes] = {}
-        self.odd = re.compile(r"\s | \s|^ | $|\A\Z")
+        self.old: dict[str, bytes] = {}
+        self.odd = re.compile(r"\s | \s")
+        self.other = re.compile(r"[^\S \n]")
         size = self.tokenizer.get_vocab_size()
         self.opens = np.array([(self.tokenizer.id_to_token(i) or "").startswith("Ġ") for i in range(size)])
         self.marks = {m: self._whole(m) for m in ".,"}
@@ -146,46 +149,75 @@ class WordEncoder:
     def _whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
+    def _split(self, text: str) -> list[str] | None:
+        """The words of a text whose spaces all stand alone."""
+        parts = text.split(" ")
+        if "" in parts or "\n " in text or " \n" in text or (self.other.search(text) and self.odd.search(text)):
+            return None
+        return parts
+
     def _learn(self, words: set[str]) -> None:
         """Put words into self.rest: encoded together, cut where a token opens with the space."""
         if len(self.rest) + len(words) > CACHE_WORDS:
-            self.rest.clear()
-        stems = {w[:-1] for w in words if w[-1] in self.marks and w[:-1].isalpha()}
-        plain = [*{w for w in words if not (w[-1] in self.marks and w[:-1].isalpha())} | (stems - self.rest.keys())]
+            self.rest, self.old = {}, self.rest
+        rest, old, marks = self.rest, self.old, self.marks
+        known = words & old.keys()
+        rest.update((w, old[w]) for w in known)
+        words = words - known
+        marked = {w for w in words if w[-1] in marks and w[:-1].isalpha()}
+        plain = words - marked
+        for stem in {w[:-1] for w in marked}:
+            if stem not in rest:
+                if stem in old:
+                    rest[stem] = old[stem]
+                else:
+                    plain.add(stem)
+        plain = [*plain]
         for k in range(0, len(plain), 4096):
             part = plain[k : k + 4096]
             ids = np.array(self.tokenizer.encode(" " + " ".join(part), add_special_tokens=False).ids, "<u4")
             cuts = np.flatnonzero(self.opens[ids])
             if len(cuts) != len(part):
-                self.rest.update((w, self._whole(" " + w)) for w in part)
+                rest.update((w, self._whole(" " + w)) for w in part)
                 continue
             data, ends = ids.tobytes(), [*(4 * cuts[1:]).tolist(), 4 * len(ids)]
-            self.rest.update(zip(part, map(data.__getitem__, map(slice, (4 * cuts).tolist(), ends))))
-        for w in words:
-            if w not in self.rest:
-                self.rest[w] = self.rest[w[:-1]] + self.marks[w[-1]]
+            rest.update(zip(part, map(data.__getitem__, map(slice, (4 * cuts).tolist(), ends))))
+        for w in marked:
+            rest[w] = rest[w[:-1]] + marks[w[-1]]
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Little-endian uint32 ids of each text."""
-        split = [None if self.odd.search(t) else t.split(" ") for t in texts]
-        for k in range(0, len(split), 64):  # bounds what a batch of new words adds at once
-            group = split[k : k + 64]
-            new = set().union(*(p[1:] for p in group if p)) - self.rest.keys()
-            if new:
-                self._learn(new)
-                if len(new) < len(self.rest) and not all(p is None or self.rest.keys() >= set(p[1:]) for p in group):
-                    self._learn(set().union(*(p[1:] for p in group if p)) - self.rest.keys())
-            for j, parts in enumerate(group, k):
-                if parts is None:
-                    split[j] = self._whole(texts[j])
-                    continue
-                head = self.first.get(parts[0])
-                if head is None:
-                    if len(self.first) > CACHE_WORDS // 8:
-                        self.first.clear()
-                    head = self.first[parts[0]] = self._whole(parts[0])
-                split[j] = head + b"".join(map(self.rest.__getitem__, parts[1:]))
-        return split
+        out: list[bytes | None] = []
+        waiting, missing = [], set()
+        for j, text in enumerate(texts):
+            parts = self._split(text)
+            if parts is None:
+                out.append(self._whole(text))
+                continue
+            head = self.first.get(parts[0])
+            if head is None:
+                if len(self.first) > CACHE_WORDS // 8:
+                    self.first.clear()
+                head = self.first[parts[0]] = self._whole(parts[0])
+            parts[0] = ""
+            found = [head, *map(self.rest.get, parts[1:])]
+            if None in found:
+                out.append(None)
+                waiting.append((j, parts, found))
+                missing.update(p for p, f in zip(parts, found) if f is None)
+                if len(missing) > CACHE_WORDS // 4:
+                    self._fill(out, waiting, missing)
+                    waiting, missing = [], set()
+            else:
+                out.append(b"".join(found))
+        self._fill(out, waiting, missing)
+        return out
+
+    def _fill(self, out: list, waiting: list, missing: set[str]) -> None:
+        if missing:
+            self._learn(missing)
+        for j, parts, found in waiting:
+            out[j] = b"".join([f if f is not None else self.rest[p] for p, f in zip(parts, found)])
 
 
 _encoders: dict[str, WordEncoder] = {}
@@ -204,12 +236,14 @@ def write_tokens(documents: DataFrame, tokenizer_path: str, out_dir: str | None
     the files in order of (part, seq), a null id first; rows with equal ids follow in order of a
     hash of their text. Other columns are ignored; an empty table has no files.
     """
+    small_batches(documents.sparkSession)
     out_dir = out_dir or shared_dir(documents.sparkSession, "tokens")
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("order"))
     rows = rows.repartitionByRange("doc_id", "order").sortWithinPartitions("doc_id", "order").select("doc_id", "text")
     end = np.array([end_id], "<u4").tobytes()
 
+    @tidy
     def write(batches):
         part, seq = TaskContext.get().partitionId(), 0
         coder, doc_ids, blocks, tokens = encoder(tokenizer_path), [], [], 0
@@ -246,6 +280,7 @@ def read_tokens(files: DataFrame) -> DataFrame:
     files = files.select("path", F.coalesce(F.sum("tokens").over(ahead), F.lit(0)).alias("base"))
     files = files.repartition(max(1, int(files.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
 
+    @tidy
     def read(batches):
         for batch in batches:
             for path, base in zip(*(c.to_pylist() for c in batch.columns)):
