@@ -25,7 +25,8 @@ CARD = r"(?<![0-9])(?<![0-9][\x20-])[0-9](?:[\x20-]?+[0-9]){11,18}+(?![\x20-]?[0
 PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
 IP_VALUE = r"^0*+(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9]|)(?:\.0*+(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9]|)){3}$"
 KINDS = ("email", "ip", "card", "phone", "term")
-TERM = r"[^\x00-\x60\x7B-\x7F]{3,}+"
+LETTER = r"[^\x00-\x60\x7B-\x7F]"
+TERM = LETTER + "{3,}+"
 
 CONTEXT = 80
 MIN_CONTEXTS = 3
@@ -44,6 +45,18 @@ def _pieces(text: Column, pattern: str, guard: Column) -> tuple[Column, Column]:
     return matches, F.when(guard, F.split(text, pattern, -1)).otherwise(none)
 
 
+def _guarded(text: Column) -> list[tuple[str, str, Column]]:
+    """(kind, pattern, a cheap condition that every text with a match fulfils)."""
+    return [("email", EMAIL, F.contains(text, F.lit("@"))), ("ip", IP, text.rlike(IP)), ("card", CARD, text.rlike(CARD)), ("phone", PHONE, F.contains(text, F.lit("+")))]
+
+
+def _suspect(text: Column) -> Column:
+    first, *others = (guard for _, _, guard in _guarded(text))
+    for guard in others:
+        first = first | guard
+    return first
+
+
 def _valid(kind: Column, value: Column) -> Column:
     digits = F.regexp_replace(value, "[^0-9]", "")
     return (
@@ -76,7 +89,7 @@ def base_spans(texts: DataFrame) -> DataFrame:
     """
     text = F.col("text")
     kinds = []
-    for kind, pattern, guard in (("email", EMAIL, F.contains(text, F.lit("@"))), ("ip", IP, text.rlike(IP)), ("card", CARD, text.rlike(CARD)), ("phone", PHONE, F.contains(text, F.lit("+")))):
+    for kind, pattern, guard in _guarded(text):
         matches, gaps = _pieces(text, pattern, guard)
         kinds.append(F.struct(F.lit(kind).alias("kind"), matches.alias("m"), gaps.alias("g")))
     rows = texts.select(*_ROW, F.explode(F.array(*kinds)).alias("k")).where(F.size("k.m") > 0)
@@ -108,23 +121,31 @@ def disclosing_terms(texts: DataFrame, spans: DataFrame, min_contexts: int = MIN
     near = mentions.select(*_ROW, "entity", F.xxhash64("context").alias("c"), F.explode(F.array_distinct(F.regexp_extract_all("context", F.lit(TERM), F.lit(0)))).alias("term"))
     contexts = near.select("entity", "term", "c").distinct().groupBy("entity", "term").agg(F.count("*").alias("contexts")).where(F.col("contexts") >= min_contexts)
     both = near.select("entity", "term", *_ROW).distinct().groupBy("entity", "term").agg(F.count("*").alias("n_both"))
-    pairs = keep(contexts.join(both, ["entity", "term"]), "pii-pairs")
+    n_entity = mentions.select("entity", *_ROW).distinct().groupBy("entity").agg(F.count("*").alias("n_entity"))
+    n = float(max(1, texts.count()))
+    content = F.log(F.lit(n) / F.col("n_entity"))
+
+    def disclosure(n_term: str) -> Column:
+        mutual = F.log(F.col("n_both") * F.lit(n) / (F.col("n_entity") * F.col(n_term)))
+        return F.when(content > 1e-12, mutual / content).otherwise(0.0)
+
+    # the documents with matches are a part of the corpus, so their counts bound a term's documents from below: nothing is
+    # lost by leaving out pairs that miss the threshold even so, those of all but rare words
+    words_of = lambda df: df.select(F.explode(F.array_distinct(F.regexp_extract_all(_lower(F.col("text")), F.lit(TERM), F.lit(0)))).alias("term"))
+    at_least = words_of(texts.where(_suspect(F.col("text")))).groupBy("term").agg(F.count("*").alias("n_low"))
+    pairs = contexts.join(both, ["entity", "term"]).join(n_entity, "entity").join(at_least, "term", "left")
+    pairs = pairs.withColumn("n_low", F.greatest(F.coalesce("n_low", F.lit(0)), F.col("n_both")))
+    pairs = keep(pairs.where(disclosure("n_low") >= min_disclosure).drop("n_low"), "pii-pairs")
     terms = pairs.select("term").distinct()
     n_terms = terms.count()
-    n_entity = mentions.select("entity", *_ROW).distinct().groupBy("entity").agg(F.count("*").alias("n_entity"))
-    words = texts.select(F.explode(F.array_distinct(F.regexp_extract_all(_lower(F.col("text")), F.lit(TERM), F.lit(0)))).alias("term"))
+    if not n_terms:
+        return pairs.select("term", "entity", "contexts", F.lit(0.0).alias("disclosure"))
+    words = words_of(texts)
     if n_terms <= BROADCAST_ROWS:
         n_term = _semi(words, terms, n_terms).groupBy("term").agg(F.count("*").alias("n_term"))
     else:  # counted before the join, so that only sums are shuffled
         n_term = _semi(words.groupBy("term").agg(F.count("*").alias("n_term")), terms, n_terms)
-    total = texts.agg(F.count("*").alias("n"))
-    if not n_terms:
-        return pairs.select("term", "entity", "contexts", F.lit(0.0).alias("disclosure")).where(F.lit(False))
-    n = float(total.first()["n"])
-    counted = pairs.join(n_entity, "entity").join(n_term, "term")
-    content = F.log(F.lit(n) / F.col("n_entity"))
-    mutual = F.log(F.col("n_both") * F.lit(n) / (F.col("n_entity") * F.col("n_term")))
-    counted = counted.withColumn("disclosure", F.when(content > 1e-12, mutual / content).otherwise(0.0))
+    counted = pairs.join(n_term, "term").withColumn("disclosure", disclosure("n_term"))
     return counted.where(F.col("disclosure") >= min_disclosure).select("term", "entity", "contexts", "disclosure")
 
 
@@ -136,13 +157,13 @@ def term_spans(texts: DataFrame, terms: DataFrame) -> DataFrame:
     words = texts.select(*_ROW, F.explode(F.array_distinct(F.regexp_extract_all(_lower(F.col("text")), F.lit(TERM), F.lit(0)))).alias("term"))
     touched = keep(_semi(words, terms, n).groupBy(*_ROW).agg(F.collect_set("term").alias("terms")), "pii-touched")
     lower = _lower(F.col("text"))
-    matches, gaps = _pieces(lower, TERM, F.lit(True))
-    rows = texts.join(touched, (texts["doc_id"].eqNullSafe(touched["doc_id"])) & (texts["h"] == touched["h"])).select(texts["doc_id"], texts["h"], "terms", matches.alias("m"), gaps.alias("g"))
-    pairs = F.transform("m", lambda m, i: F.struct(m.alias("term"), F.length(F.get("g", i)).alias("gap")))
-    rows = rows.select(*_ROW, "terms", F.posexplode(pairs).alias("i", "x"))
-    # words without meaning only add to the gap of the next one; they are summed up, not dropped
-    rows = rows.select(*_ROW, F.lit("term").alias("kind"), "i", "x.gap", F.length("x.term").alias("length"), F.array_contains("terms", F.col("x.term")).alias("sensitive"))
-    return _placed(rows).where("sensitive").select(*_ROW, "kind", "start", "end")
+    rows = texts.join(touched, (texts["doc_id"].eqNullSafe(touched["doc_id"])) & (texts["h"] == touched["h"]))
+    # terms are letters only, so they stand for themselves in a pattern
+    pattern = F.concat(F.lit(f"(?<!{LETTER})(?:"), F.array_join("terms", "|"), F.lit(f")(?!{LETTER})"))
+    rows = rows.select(texts["doc_id"], texts["h"], F.regexp_extract_all(lower, pattern, F.lit(0)).alias("m"), F.split(lower, pattern, -1).alias("g"))
+    pairs = F.transform("m", lambda m, i: F.struct(F.length(m).alias("length"), F.length(F.get("g", i)).alias("gap")))
+    rows = rows.select(*_ROW, F.lit("term").alias("kind"), F.posexplode(pairs).alias("i", "x")).select(*_ROW, "kind", "i", "x.*")
+    return _placed(rows).select(*_ROW, "kind", "start", "end")
 
 
 def find_pii(documents: DataFrame, min_contexts: int = MIN_CONTEXTS, min_disclosure: float = MIN_DISCLOSURE) -> DataFrame:
