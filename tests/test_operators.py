@@ -262,3 +262,35 @@ def test_a_failing_metric_is_recorded(spark):
     with pytest.raises(ValueError):
         evaluation.synthesizer("none", 1.0)
     assert evaluation.nested(stats.aggregate_trials(spark.createDataFrame([], "metric string, submetric string, value double"))) == {}
+
+
+def test_generator_and_mixtures_read_all_rows(spark, monkeypatch):
+    n = 60_000
+    rare = F.xxhash64("id") % 200 == 0
+    df = spark.range(n).select("id", F.when(F.col("id") == n - 1, "once").otherwise("often").alias("c"), F.when(rare, 1000.0).otherwise(0.0).alias("far"), (F.col("id") % 7919 * 0.25).alias("x"))
+    seen, step = [], ctgan.minibatches
+    monkeypatch.setattr(ctgan, "minibatches", lambda blocks, batch: step((seen.append(b.sum(0)) or b for b in blocks), batch))
+    model = ctgan.CTGAN(epsilon=None, epochs=1, batch=10_000, seed=3).fit(df, ["c", "far", "x"], "id", ["c"])
+    assert sum(seen)[:2].tolist() == [n - 1, 1]
+    assert np.allclose(model.sampler.shares[0], mixture.log_frequencies(np.array([n - 1, 1])))
+    values = np.arange(n) % 7919 * 0.25
+    for got, wanted in zip((model.transformer.specs[2].weights, model.transformer.specs[2].means, model.transformer.specs[2].deviations), mixture.fit_mixture(values, 10)):
+        assert np.allclose(got, wanted, rtol=1e-6)
+
+
+def test_compact_rows_expand_to_slots(spark):
+    df = spark.range(300).select("id", F.when(F.col("id") % 3 > 0, (F.col("id") % 3).cast("string")).alias("c"), F.when(F.col("id") % 5 > 0, F.col("id") * 0.5).alias("x"))
+    t = mixture.ColumnTransformer.fit(df, ["c", "x"], ["c"], "id")
+    wanted = np.array([r["x"] for r in df.orderBy("id").select(t.forward(F.col("id"), 3).alias("x")).collect()])
+    assert np.allclose(t.expand(np.array([r["__x"] for r in t.compact(df, "id", 3).orderBy("id").collect()])), wanted)
+
+
+def test_registered_generator_trains_with_the_defaults(spark, monkeypatch):
+    from veilframe.plans import queries
+
+    made = []
+    monkeypatch.setattr(ctgan.CTGAN, "fit", lambda self, *a: made.append(self) or (_ for _ in ()).throw(InterruptedError))
+    with pytest.raises(InterruptedError):
+        queries.QUERIES["ctgan_sample"](spark, "/root/testdata/sf0.001")
+    defaults = ctgan.CTGAN()
+    assert (made[0].epochs, made[0].batch, made[0].train_rows) == (defaults.epochs, defaults.batch, None)

@@ -541,7 +541,7 @@ def privbayes_sample(spark, sf):
 
 @query
 def ctgan_sample(spark, sf):
-    model = ctgan.CTGAN(epsilon=1.0, epochs=2, batch=250, seed=42, train_rows=5000)
+    model = ctgan.CTGAN(epsilon=1.0, seed=42)
     model.fit(fx.people(spark, sf), ["o_totalprice", "o_orderstatus", "c_mktsegment"], "o_orderkey")
     return model.sample(spark, fx.SAMPLE_ROWS, seed=1)
 
