@@ -294,3 +294,31 @@ def test_registered_generator_trains_with_the_defaults(spark, monkeypatch):
         queries.QUERIES["ctgan_sample"](spark, "/root/testdata/sf0.001")
     defaults = ctgan.CTGAN()
     assert (made[0].epochs, made[0].batch, made[0].train_rows) == (defaults.epochs, defaults.batch, None)
+
+
+def test_recipes_are_fitted_on_the_whole_split(spark, monkeypatch):
+    df = spark.range(300).select(
+        F.col("id").alias("o_orderkey"), F.lit("s").alias("segment"), (F.col("id") % 2).cast("string").alias("priority"), (F.col("id") * F.col("id")).cast("string").alias("price_text"),
+        F.when(F.col("id") % 3 > 0, F.col("id") * 1.0).alias("balance"), F.lit("x").alias("known_segment"), F.lit(1).alias("c_nationkey"),
+    )
+    seen = {}
+
+    class Fake:
+        def fit_frame(self, train, *how):
+            seen["train"] = train.collect()
+            return self
+
+        def sample_frame(self, spark, n):
+            return spark.createDataFrame(seen["train"]).drop("o_orderkey")
+
+    monkeypatch.setattr(evaluation, "synthesizer", lambda *a, **k: Fake())
+    monkeypatch.setattr(evaluation, "evaluate_learning", lambda plain, test, *a: seen.update(plain=plain.collect(), test=test.collect()) or [])
+    monkeypatch.setattr(evaluation, "evaluate_statistical", lambda *a: [])
+    monkeypatch.setattr(evaluation, "evaluate_privacy", lambda *a: [("m", "", lambda: 1.0)])
+    evaluation.run(spark, df, "people", "privbayes", "priority", "o_orderkey", [1.0], 1, 40, 20)
+    split = sampling.stratified_split(df, "priority", "o_orderkey", 0.3, 42)
+    whole, rest = split.where("is_test = 0").drop("is_test"), split.where("is_test = 1").drop("is_test")
+    for name, frame, fitted, recipe, n in (("train", whole, None, "privbayes", 40), ("plain", whole, None, "standard", 40), ("test", rest, whole, "standard", 20)):
+        wanted = {r["o_orderkey"]: r for r in recipes.preprocess(frame, "people", recipe, fitted)[0].collect()}
+        assert len(seen[name]) == n and all(r == wanted[r["o_orderkey"]] for r in seen[name])
+    assert [r["o_orderkey"] for r in seen["train"]] == [r["o_orderkey"] for r in seen["plain"]]

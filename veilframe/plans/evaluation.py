@@ -157,16 +157,15 @@ def nested(aggregates: DataFrame) -> dict:
 def run(spark: SparkSession, data: DataFrame, dataset: str, name: str, target: str, key: str, epsilons: list[float], n_trials: int = 3, train_size: int = 1000, test_size: int = 500, out: str | None = None, seed: int = 42, models=mlutil.MODELS, **how) -> DataFrame:
     """METRICS rows over the grid of budgets and trials; with out, also the files of each configuration.
 
-    One split and one sample serve all preparations, so a row means the same record in each.
+    Recipes run on the whole split, the test part's fitted on the training part, and samples are taken afterwards.
+    One split and one seed serve all preparations, so a row means the same record in each.
     """
     split = sampling.stratified_split(data, target, key, 0.3, seed).cache()
-    train_raw = sampling.seeded_sample(split.where("is_test = 0").drop("is_test"), key, train_size, seed)
-    test_raw = sampling.seeded_sample(split.where("is_test = 1").drop("is_test"), key, test_size, seed)
-    train, meta = recipes.preprocess(train_raw, dataset, name)
-    train = train.cache()
-    plain, _ = recipes.preprocess(train_raw, dataset, "standard")
-    test, _ = recipes.preprocess(test_raw, dataset, "standard", train_raw)
-    plain, test = plain.cache(), test.cache()
+    train_all, test_all = split.where("is_test = 0").drop("is_test"), split.where("is_test = 1").drop("is_test")
+    train, meta = recipes.preprocess(train_all, dataset, name)
+    plain, _ = recipes.preprocess(train_all, dataset, "standard")
+    test, _ = recipes.preprocess(test_all, dataset, "standard", train_all)
+    train, plain, test = (sampling.seeded_sample(df, key, n, seed).cache() for df, n in ((train, train_size), (plain, train_size), (test, test_size)))
     columns = [c for c in train.columns if c != key]
     discrete = [c for c in columns if c in meta.discrete_columns]
     rows = []
