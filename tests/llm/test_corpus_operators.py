@@ -200,6 +200,18 @@ def test_terms_that_give_an_entity_away(spark):
     assert clean[5] == texts[5] and len(clean) == len(rows)
 
 
+def test_words_at_the_ends_of_short_texts_count(spark):
+    rng = random.Random(9)
+    rows = [(k, sentence(rng, 40)) for k in range(200)]
+    rows += [(1000 + k, f"Quorvath first@mail.example.org {sentence(rng, 4)}") for k in range(6)]
+    rows += [(1100 + k, f"{sentence(rng, 4)} last@mail.example.org Zelbrinth") for k in range(6)]
+    texts = pii._texts(docs(spark, rows))
+    found = {(r["term"], r["entity"]) for r in pii.disclosing_terms(texts, pii.base_spans(texts)).collect()}
+    assert found >= {("quorvath", "email:first@mail.example.org"), ("zelbrinth", "email:last@mail.example.org")}
+    long = docs(spark, [(1, "cut " + "x" * 30 + " " + "word " * 12 + "a@b.cc")])
+    assert "x" not in pii.base_spans(pii._texts(long)).first()["left"]
+
+
 # token files
 
 

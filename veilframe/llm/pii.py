@@ -82,10 +82,19 @@ def _placed(rows: DataFrame) -> DataFrame:
     return rows.withColumn("end", end.cast("long")).withColumn("start", F.col("end") - F.col("length"))
 
 
+def _before(gap: Column) -> Column:
+    return F.when(F.length(gap) > CONTEXT, F.regexp_replace(F.right(gap, F.lit(CONTEXT)), r"^\S*\s", "")).otherwise(gap)
+
+
+def _after(gap: Column) -> Column:
+    return F.when(F.length(gap) > CONTEXT, F.regexp_replace(F.left(gap, F.lit(CONTEXT)), r"\s\S*$", "")).otherwise(gap)
+
+
 def base_spans(texts: DataFrame) -> DataFrame:
     """(doc_id, h, kind, start, end, value, left, right) of what the patterns find in texts(doc_id, h, text).
 
-    left and right: up to CONTEXT characters beside it, not past another match of the kind.
+    left and right: up to CONTEXT characters beside it, not past another match of the kind; an outer word goes only
+    where a longer gap was cut.
     """
     text = F.col("text")
     kinds = []
@@ -94,7 +103,7 @@ def base_spans(texts: DataFrame) -> DataFrame:
         kinds.append(F.struct(F.lit(kind).alias("kind"), matches.alias("m"), gaps.alias("g")))
     rows = texts.select(*_ROW, F.explode(F.array(*kinds)).alias("k")).where(F.size("k.m") > 0)
     # gaps are one more than matches: the pair after the last match is dropped
-    pairs = F.transform("k.m", lambda m, i: F.struct(m.alias("value"), F.length(F.get("k.g", i)).alias("gap"), F.right(F.get("k.g", i), F.lit(CONTEXT)).alias("left"), F.left(F.get("k.g", i + 1), F.lit(CONTEXT)).alias("right")))
+    pairs = F.transform("k.m", lambda m, i: F.struct(m.alias("value"), F.length(F.get("k.g", i)).alias("gap"), _before(F.get("k.g", i)).alias("left"), _after(F.get("k.g", i + 1)).alias("right")))
     rows = rows.select(*_ROW, F.col("k.kind").alias("kind"), F.posexplode(pairs).alias("i", "x")).select(*_ROW, "kind", "i", "x.*", F.length("x.value").alias("length"))
     placed = _placed(rows)
     return placed.where(_valid(F.col("kind"), F.col("value"))).select(*_ROW, "kind", "start", "end", "value", "left", "right")
@@ -116,7 +125,7 @@ def disclosing_terms(texts: DataFrame, spans: DataFrame, min_contexts: int = MIN
     Documents with the term and documents with the entity are counted over the whole corpus.
     """
     entity = F.concat(F.col("kind"), F.lit(":"), _lower(F.col("value")))
-    side = F.concat(F.regexp_replace(F.regexp_replace("left", r"^\S*\s", ""), EMAIL, " "), F.lit(" "), F.regexp_replace(F.regexp_replace("right", r"\s\S*$", ""), EMAIL, " "))
+    side = F.concat(F.regexp_replace("left", EMAIL, " "), F.lit(" "), F.regexp_replace("right", EMAIL, " "))
     mentions = spans.select(*_ROW, entity.alias("entity"), _lower(side).alias("context"))
     near = mentions.select(*_ROW, "entity", F.xxhash64("context").alias("c"), F.explode(F.array_distinct(F.regexp_extract_all("context", F.lit(TERM), F.lit(0)))).alias("term"))
     contexts = near.select("entity", "term", "c").distinct().groupBy("entity", "term").agg(F.count("*").alias("contexts")).where(F.col("contexts") >= min_contexts)
