@@ -62,9 +62,10 @@ def near_rows():
     return rows + [(200 + k, "copy " * 3 + base[0]) for k in range(8)] + [(300 + k, sentence(rng, 60)) for k in range(30)]
 
 
-@pytest.mark.parametrize("block", [1024, 16])
-def test_links_equal_all_pairs(spark, near_rows, block):
-    got = jaccard.jaccard_links(docs(spark, near_rows), block=block).collect()
+@pytest.mark.parametrize("block_bytes, rows", [(jaccard.BLOCK_BYTES, jaccard.ROWS), (jaccard.BLOCK_BYTES, 7), (9000, 7), (1000, jaccard.ROWS)])
+def test_links_equal_all_pairs(spark, near_rows, block_bytes, rows, monkeypatch):
+    monkeypatch.setattr(jaccard, "ROWS", rows)
+    got = jaccard.jaccard_links(docs(spark, near_rows), block_bytes=block_bytes).collect()
     assert Counter(map(tuple, got)) == brute_links(near_rows)
 
 
@@ -94,6 +95,66 @@ def test_prefix_gets_shorter_for_recall():
     assert lengths == sorted(lengths, reverse=True) and lengths[-1] < 8
 
 
+def test_least_similarity_of_a_size_is_that_of_all_pairs_of_sets():
+    for size in range(1, 40):
+        reached = [(size - a, size + b) for a in range(size) for b in range(20) if a + b and 5 * (size - a) >= 4 * (size + b)]
+        least = min((c / u for c, u in reached), default=None)
+        assert jaccard.least_similarity(size) == least
+    assert jaccard.depths(0.8, 20, 8, 0.999)[:8] == [9, 9, 9, 9, 5, 5, 6, 7]
+
+
+def test_shingles_are_told_apart_word_by_word():
+    rng = random.Random(12)
+    texts = [[rng.choice([b"a", b"b", b"c"]) for _ in range(rng.randint(1, 12))] for _ in range(120)]
+    plain = [{tuple(t[i : i + 5]) for i in range(max(1, len(t) - 4))} for t in texts]
+    numbers = jaccard.shingle_numbers(texts)
+    for s, x in zip(plain, numbers):
+        assert len(s) == len(x)
+        assert [len(s & t) for t in plain] == [len(np.intersect1d(x, y)) for y in numbers]
+
+
+def test_nodes_of_the_tries_hold_all_that_share_a_prefix(spark):
+    rng = np.random.default_rng(2)
+    forest = jaccard.Forest(trees=3, depth=8)
+    labels = rng.integers(0, 2, (90, 3, 8)).astype(">u2")
+    needs = rng.choice([5, 5, 6, 8, 9], 90).tolist()
+    classes = spark.createDataFrame([(i, x.tobytes(), n) for i, (x, n) in enumerate(zip(labels, needs))], "rep long, labels binary, need int").repartition(4)
+    spark.conf.set("spark.sql.shuffle.partitions", "5")
+    members = defaultdict(set)
+    try:
+        for r in jaccard.trie_groups(classes, forest).collect():
+            members[r["node"]].add(r["rep"])
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "2")
+    together = {(i, j) for m in members.values() for i in m for j in m if i < j}
+    common = lambda i, j: max(int((np.cumprod(labels[i, t] == labels[j, t])).sum()) for t in range(3))
+    assert together == {(i, j) for j in range(90) for i in range(j) if common(i, j) >= max(needs[i], needs[j])}
+
+
+def test_planted_near_copies_are_found_in_a_larger_table(spark):
+    rng = random.Random(21)
+    rows, pairs = [], []
+    for k in range(400):
+        words = sentence(rng, rng.randint(60, 200)).split()
+        other = list(words)
+        for _ in range(rng.randint(1, 3)):
+            other[rng.randrange(len(other))] = "changed"
+        rows += [(2 * k, " ".join(words)), (2 * k + 1, " ".join(other))]
+        if 5 * len(shingle_set(rows[-2][1]) & shingle_set(rows[-1][1])) >= 4 * len(shingle_set(rows[-2][1]) | shingle_set(rows[-1][1])):
+            pairs.append(2 * k)
+    found = {r["doc_id"]: r["class_id"] for r in jaccard.jaccard_links(docs(spark, rows)).collect()}
+    assert len(pairs) > 200 and sum(found[i + 1] == i for i in pairs) >= 0.99 * len(pairs)
+    assert sum(i != c for i, c in found.items()) <= len(pairs)
+
+
+def test_deduplication_of_tables_with_names_of_its_own(spark):
+    df = docs(spark, edge_rows()).withColumnsRenamed({"h": "n", "size": "t", "start": "__id", "key": "least", "score": "id"})
+    kept = jaccard.deduplicated(df)
+    assert kept.columns == df.columns
+    heads = {c for _, c, _ in brute_links(edge_rows())}
+    assert Counter(r["doc_id"] for r in kept.collect()) == Counter(heads)
+
+
 # decontamination
 
 

@@ -71,6 +71,16 @@ def keep(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def unused(columns: list[str], *names: str) -> list[str]:
+    """The names, each with as many underscores as keep it apart from the columns (Spark compares without case)."""
+    taken, out = {c.lower() for c in columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        out.append(name)
+    return out
+
+
 #: Rows of texts that Spark hands to a Python worker at once.
 BATCH_ROWS = 1000
 
