@@ -324,8 +324,8 @@ def brute_repeats(rows, span):
     return Counter(out)
 
 
-@pytest.mark.parametrize("pack_bytes, hot", [(suffixes.PACK_BYTES, suffixes.HOT), (3000, suffixes.HOT), (3000, 5), (2000, 1)])
-def test_repeats_equal_brute_force(spark, pack_bytes, hot):
+@pytest.mark.parametrize("pack_bytes, group, bucket_bytes", [(suffixes.PACK_BYTES, suffixes.GROUP, suffixes.BUCKET_BYTES), (3000, suffixes.GROUP, 5000), (3000, 5, 1000), (2000, 1, 300), (1000, 1, suffixes.BUCKET_BYTES)])
+def test_repeats_equal_brute_force(spark, pack_bytes, group, bucket_bytes):
     rng = random.Random(11)
     passage, line = sentence(rng, 60), sentence(rng, 16)
     rows = edge_rows() + [(30, passage * 3), (31, "ab" * 400), (32, "z" * 600), (33, passage[:130])]
@@ -333,21 +333,51 @@ def test_repeats_equal_brute_force(spark, pack_bytes, hot):
         a, b = sorted((rng.randrange(len(passage)), rng.randrange(len(passage))))
         rows.append((100 + k, f"{sentence(rng, rng.randint(0, 30))} {passage[a:b]} {line} {sentence(rng, rng.randint(0, 30))}" + passage[:b] * rng.randint(0, 1)))
     rng.shuffle(rows)
-    got = suffixes.repeated_spans(docs(spark, rows).repartition(5), pack_bytes=pack_bytes, hot=hot).collect()
+    got = suffixes.repeated_spans(docs(spark, rows).repartition(5), pack_bytes=pack_bytes, group=group, bucket_bytes=bucket_bytes).collect()
     assert Counter((r["doc_id"], r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in got) == brute_repeats(rows, suffixes.SPAN)
     for r in got:
         assert sum(s["end"] - s["start"] for s in r["spans"]) == r["n_removed"] and len(r["kept"]) == r["n_bytes"] - r["n_removed"]
 
 
-def test_multikey_classes_are_those_of_the_strings():
+def test_a_very_frequent_phrase_between_different_words(spark):
+    rng = random.Random(15)
+    phrase = "the same forty bytes stand in every line. "
+    rows = [(k, "".join(f"{rng.randrange(10**6):06d}{phrase}" for _ in range(60))) for k in range(400)]
+    rows += [(1000 + k, (phrase * 4)[k : k + 130]) for k in range(20)]
+    assert sum(t.count(phrase) for _, t in rows) > suffixes.GROUP
+    got = suffixes.repeated_spans(docs(spark, rows).repartition(4), pack_bytes=200_000, bucket_bytes=100_000).collect()
+    assert Counter((r["doc_id"], r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in got) == brute_repeats(rows, suffixes.SPAN)
+
+
+def test_one_string_fills_several_buckets(spark):
+    """Copies of one text in packs of their own: the bounds fall between occurrences of one string."""
+    rng = random.Random(16)
+    text = sentence(rng, 30)
+    rows = [(k, text) for k in range(80)] + [(200 + k, sentence(rng, 20)) for k in range(10)]
+    found = []
+    plain = suffixes._split_at
+    try:
+        suffixes._split_at = lambda keys, n: found.append(plain(keys, n)) or found[-1]
+        got = suffixes.repeated_spans(docs(spark, rows).repartition(8), pack_bytes=100, group=1, bucket_bytes=500).collect()
+    finally:
+        suffixes._split_at = plain
+    bounds = [b[: suffixes.SPAN] for b in found[1].tolist()]
+    assert len(bounds) > len(set(bounds))
+    assert Counter((r["doc_id"], r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in got) == brute_repeats(rows, suffixes.SPAN)
+
+
+def test_multikey_sort_orders_and_tells_apart():
     rng = np.random.default_rng(3)
     data = rng.integers(97, 99, 4000).astype(np.uint8)
     starts, lengths = rng.integers(0, 3900, 1500), rng.choice([8, 9, 16, 23, 60], 1500)
-    group = suffixes.multikey_classes(suffixes.word_levels(np.concatenate([data, np.zeros(7, np.uint8)])), starts, lengths)
+    order, classes = suffixes.multikey_sort(suffixes.word_levels(np.concatenate([data, np.zeros(7, np.uint8)])), starts, lengths)
+    strings = [data[s : s + n].tobytes() for s, n in zip(starts.tolist(), lengths.tolist())]
+    ordered = [(lengths[i], strings[i]) for i in order]
+    assert ordered == sorted(ordered) and sorted(order.tolist()) == list(range(1500))
     names = defaultdict(set)
-    for g, s, n in zip(group.tolist(), starts.tolist(), lengths.tolist()):
-        names[g].add(data[s : s + n].tobytes())
-    assert all(len(v) == 1 for v in names.values()) and len(names) == len({data[s : s + n].tobytes() for s, n in zip(starts.tolist(), lengths.tolist())})
+    for c, s in zip(classes.tolist(), strings):
+        names[c].add(s)
+    assert all(len(v) == 1 for v in names.values()) and len(names) == len(set(strings))
 
 
 # language and quality

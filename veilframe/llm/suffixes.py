@@ -1,23 +1,23 @@
 """Removal of byte strings that occur earlier, by a sparse suffix sort.
 
-A string of SPAN bytes is represented by one suffix: of its k-grams (k = KGRAM) the one with the least
-hash, the leftmost of equals. Equal strings have equal such anchors at equal distances, so it is enough to
-bring anchors together, about one suffix in 32. They are range-partitioned by their
-leading bytes, then the k-gram's hash, at splitters sampled from the corpus, so that equal anchors share a bucket and
-no comparison crosses a boundary. Three passes over the buckets' content:
-
-1. Buckets sort the anchors' keys. Those whose k-gram stands alone in the corpus are done: nothing near
-   them repeats.
-2. The others send the bytes around them. Buckets sort those by multikey quicksort on eight-byte words; of
-   equal ones the first remains, the rest repeat it. Where a k-gram has different surroundings, the
-   suffixes of all their strings are sorted in the same way and each string's first occurrence stays.
-3. Documents get their repeated string starts back and drop the covered bytes.
-
-A k-gram that occurs more than HOT times would fill its bucket: its strings go to buckets by their own 128-bit hash
-instead, each once per pack, so no bucket gets more of a string than there are packs.
-
-Texts are packed into files in the shared folder by the first pass and fetched from there by the others; only
-anchors, surroundings and starts are shuffled, as blocks of many.
+A string of SPAN bytes is represented by one suffix: the one that starts at its anchor, of its k-grams (k = KGRAM) the one
+with the least hash, the leftmost of equals. Equal strings have equal anchors at equal distances, so the suffixes at
+anchors, about one in 32, tell what all suffixes would.
+
+1. Texts are packed into files in the shared folder, with their anchors.
+2. Counts of k-gram hashes leave out the suffixes that can repeat nothing: a hash that stands alone is that of a
+   k-gram that does. Nothing else is decided by a hash.
+3. The other suffixes are range-partitioned by their leading bytes, at splitters sampled from the packs, with the bytes
+   around them that their strings cover. A bucket sorts them by multikey quicksort on eight-byte words; of equal surroundings
+   the first remains, the rest repeat it. Where a k-gram has different surroundings, the strings in them are sorted in
+   the same way and each one's first occurrence stays.
+4. A k-gram with more than GROUP occurrences is too much for a bucket. Its strings are suffixes of their own then, filtered by counts
+   and sorted like the others, and the order of occurrence is a part of the range that a bucket holds: a string of any
+   frequency is cut over as many buckets as it needs. What a bucket starts with is compared, byte by byte, with
+   what the buckets before it ended with.
+5. Documents get their repeated string starts back and drop the covered bytes.
+
+Only suffixes with their surroundings and starts are shuffled, as blocks of many.
 """
 
 from __future__ import annotations
@@ -31,16 +31,18 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .storage import open_file, shared_dir, write_file
+from .storage import keep, open_file, shared_dir, tidy, write_file
 
 SPAN = 100
 KGRAM = 37
 PACK_BYTES = 4 << 20
-#: Occurrences from which a k-gram's strings are dealt out one by one.
-HOT = 20_000
-#: Documents whose anchors are sampled for splitters.
-SAMPLE_DOCS = 2000
-_LAST = np.iinfo(np.uint64).max
+#: Occurrences above which a k-gram's strings are sorted one by one.
+GROUP = 20_000
+#: Packs that splitters are sampled from, and keys from each; the balance of buckets only depends on them.
+SAMPLE_PACKS, SAMPLE_KEYS = 64, 2000
+#: Bytes that a bucket of keys or surroundings is meant to hold, and that a task reads of packs.
+BUCKET_BYTES, TASK_BYTES = 16 << 20, 32 << 20
+_NULL = np.iinfo(np.int64).min
 
 
 def _hash_kgrams(data: np.ndarray, k: int, m: int = 0x9E3779B97F4A7C15) -> np.ndarray:
@@ -113,39 +115,96 @@ def word_levels(data: np.ndarray) -> np.ndarray:
     return x
 
 
-def multikey_classes(words: np.ndarray, starts: np.ndarray, lengths: np.ndarray, salt: np.ndarray | None = None) -> np.ndarray:
-    """A number for each string data[start : start + length], equal for equal strings only: multikey quicksort.
+def multikey_sort(words: np.ndarray, starts: np.ndarray, lengths: np.ndarray, salt: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """(order, classes): the strings data[start : start + length] sorted by length, salt and bytes, and each string's class in that order.
 
-    words: word_levels of the data. Strings of different length or salt are different. Each level sorts what is still tied by
-    its next eight bytes and splits the ties; strings alone in their class drop out.
+    Multikey quicksort with characters of eight bytes: each level sorts what is tied so far by the next one and splits the
+    ties; strings that are alone drop out. Equal classes are equal strings. words: word_levels of the data.
     """
     n = len(starts)
-    group = np.zeros(n, np.int64)
-    keys = [lengths] if salt is None else [lengths, salt]
-    rest, depth = np.arange(n), -1
-    fresh = 0
-    while len(rest):
+    order, first = np.arange(n), np.zeros(n, np.int64)  # first: where the ties of a place in the order begin
+    tied, depth = np.arange(n), -1
+    while len(tied):
+        items = order[tied]
         if depth < 0:
-            level = keys
+            level = [lengths] if salt is None else [salt, lengths]
         else:
             # the last word of a string reaches back to end with it, so no byte beyond it counts
-            level = [words[starts[rest] + np.maximum(0, np.minimum(8 * depth, lengths[rest] - 8))]]
-        order = np.lexsort([*level, group[rest]])
-        rest = rest[order]
-        new = np.ones(len(rest), bool)
-        same = group[rest][1:] == group[rest][:-1]
+            level = [words[starts[items] + np.maximum(0, np.minimum(8 * depth, lengths[items] - 8))]]
+        turn = np.lexsort([*level, first[tied]])
+        order[tied] = items = items[turn]
+        new = np.ones(len(tied), bool)
+        new[1:] = first[tied][1:] != first[tied][:-1]
         for column in level:
-            column = column[order]
-            same &= column[1:] == column[:-1]
-        new[1:] = ~same
-        number = np.cumsum(new) - 1 + fresh
-        group[rest] = number
-        fresh = int(number[-1]) + 1
-        counts = np.bincount(number - number[0])
-        tied = counts[number - number[0]] > 1
+            new[1:] |= column[turn][1:] != column[turn][:-1]
+        run = np.cumsum(new) - 1
+        first[tied] = tied[new][run]
         depth += 1
-        rest = rest[tied & (8 * depth < lengths[rest])]
-    return group
+        tied = tied[(np.bincount(run)[run] > 1) & (8 * depth < lengths[items])]
+    classes = np.empty(n, np.int64)
+    classes[order] = np.cumsum(np.concatenate([[0], first[1:] != first[:-1]])) if n else first
+    return order, classes
+
+
+class Pack:
+    """Texts with their anchors: ids, offsets and data; place, first, last, key and new (its surroundings are the first of their kind here)."""
+
+    @staticmethod
+    def write(uri: str, ids: list[int], texts: list[bytes], span: int, k: int) -> int:
+        """Write a pack; the number of its anchors."""
+        body = b"".join(texts)
+        data, offsets = np.frombuffer(body, np.uint8), np.concatenate([[0], np.cumsum([len(t) for t in texts])])
+        found = Anchors(data, offsets, span, k)
+        starts, lengths = found.first, found.last - found.first + span
+        _, classes = multikey_sort(word_levels(_padded(data)), starts, lengths, found.place - starts)
+        new = np.zeros(len(starts), bool)
+        new[np.unique(classes, return_index=True)[1]] = True
+        codec = pa.Codec("zstd", 1)
+        near = [np.diff(found.place, prepend=0).astype("<u4"), (found.place - found.first).astype("<u2"), (found.place - found.last).astype("<u2"), new]
+        text, anchors = codec.compress(body, asbytes=True), codec.compress(b"".join(x.tobytes() for x in near), asbytes=True)
+        head = np.array([len(ids), len(body), len(starts), len(anchors), *ids, *map(len, texts)], "<i8").tobytes()
+        write_file(uri, [head, found.key.astype("<u8").tobytes(), anchors, text])
+        return len(starts)
+
+    def __init__(self, uri: str, texts: bool = True):
+        with open_file(uri) as file:
+            n, size, m, packed = np.frombuffer(file.read(32), "<i8").tolist()
+            self.ids, lengths = np.frombuffer(file.read(8 * n), "<i8"), np.frombuffer(file.read(8 * n), "<i8")
+            self.offsets = np.concatenate([[0], np.cumsum(lengths)])
+            self.key = np.frombuffer(file.read(8 * m), "<u8")
+            if not texts:
+                return
+            near = pa.Codec("zstd").decompress(file.read(packed), 9 * m, asbytes=True) if m else b""
+            self.place = np.cumsum(np.frombuffer(near, "<u4", m).astype(np.int64))
+            self.first = self.place - np.frombuffer(near, "<u2", m, 4 * m)
+            self.last = self.place - np.frombuffer(near, "<u2", m, 6 * m)
+            self.new = np.frombuffer(near, bool, m, 8 * m)
+            self.data = np.frombuffer(pa.Codec("zstd").decompress(file.read(), size, asbytes=True) if size else b"", np.uint8)
+
+    def document(self, at: np.ndarray) -> np.ndarray:
+        return np.searchsorted(self.offsets, at, side="right") - 1
+
+    def strings(self, keys: np.ndarray, span: int) -> tuple[np.ndarray, np.ndarray]:
+        """Starts of the strings whose anchor is among the keys: each string's first here, and those that repeat one of them.
+
+        Anchors whose surroundings came before are left out: their strings are known to repeat.
+        """
+        at = np.flatnonzero(np.isin(self.key, keys) & self.new)
+        starts = _ranges(self.first[at], self.last[at] - self.first[at] + 1)
+        _, classes = multikey_sort(word_levels(_padded(self.data)), starts, np.full(len(starts), span))
+        first = np.zeros(len(starts), bool)
+        first[np.unique(classes, return_index=True)[1]] = True
+        return starts[first], starts[~first]
+
+
+def _padded(data: np.ndarray) -> np.ndarray:
+    return np.concatenate([data, np.zeros(7, np.uint8)])
+
+
+def _ranges(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """start, start + 1, ... of each range, one after the other."""
+    total = int(sizes.sum())
+    return np.repeat(starts, sizes) + np.arange(total) - np.repeat(np.cumsum(sizes) - sizes, sizes)
 
 
 def _blocks(buckets: np.ndarray, n_buckets: int):
@@ -156,41 +215,6 @@ def _blocks(buckets: np.ndarray, n_buckets: int):
         yield b, order[edges[b] : edges[b + 1]]
 
 
-def _pack(uri: str, ids: list[int], texts: list[bytes]) -> None:
-    body = b"".join(texts)
-    head = np.array([len(ids), len(body), *ids, *map(len, texts)], "<i8").tobytes()
-    codec = pa.Codec("zstd", 1)
-    write_file(uri, [head, codec.compress(body, asbytes=True)])
-
-
-def _unpack(uri: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(ids, offsets, bytes) of a pack."""
-    with open_file(uri) as file:
-        data = file.read()
-    n, size = np.frombuffer(data, "<i8", 2).tolist()
-    ids, lengths = np.frombuffer(data, "<i8", n, 16), np.frombuffer(data, "<i8", n, 16 + 8 * n)
-    body = pa.Codec("zstd").decompress(data[16 + 16 * n :], size, asbytes=True) if size else b""
-    return ids, np.concatenate([[0], np.cumsum(lengths)]), np.frombuffer(body, np.uint8)
-
-
-def _splitters(documents: DataFrame, n: int, span: int, k: int) -> np.ndarray:
-    """n - 1 bounds between buckets, from the anchors of a bounded sample of documents; balance only depends on them."""
-    total = documents.count()
-    sample = documents.sample(min(1.0, SAMPLE_DOCS / max(1, total)), seed=6).select("text").limit(2 * SAMPLE_DOCS)
-
-    def keys(batches):
-        for batch in batches:
-            for data in batch.column(0).to_pylist():
-                found = Anchors(np.frombuffer(data, np.uint8), np.array([0, len(data)]), span, k).key[:: max(1, len(data) // 2000)]
-                yield pa.RecordBatch.from_arrays([pa.array([found.tobytes()], pa.binary())], names=["keys"])
-
-    rows = sample.mapInArrow(keys, "keys binary").collect()
-    keys_found = np.sort(np.frombuffer(b"".join(r["keys"] for r in rows), np.uint64))
-    if not len(keys_found):
-        return np.zeros(0, np.uint64)
-    return np.unique(keys_found[(np.arange(1, n) * len(keys_found)) // n])
-
-
 def _compressed(head: np.ndarray, body: bytes = b"") -> tuple[bytes, int]:
     """(block, plain size) of a table of int64 and what belongs to it."""
     plain = np.array([head.shape[1], len(body)], "<i8").tobytes() + head.astype("<i8").tobytes() + body
@@ -203,11 +227,109 @@ def _plain(block: bytes, size: int, rows: int) -> tuple[np.ndarray, bytes]:
     return np.frombuffer(raw, "<i8", rows * n, 16).reshape(rows, n), raw[len(raw) - body :]
 
 
-#: What a block between the packs and the buckets holds: surroundings, single strings, or starts already known to repeat.
-AROUND, SINGLE, KNOWN = 0, 1, 2
+def _bytes_at(data: np.ndarray, starts: np.ndarray, length: int) -> np.ndarray:
+    """The strings of this length as one array of fixed-size bytes."""
+    if not len(starts):
+        return np.zeros(0, f"S{length}")
+    return np.ascontiguousarray(np.lib.stride_tricks.sliding_window_view(data, length)[starts]).view(f"S{length}")[:, 0]
+
+
+def _occurrences(strings: np.ndarray, doc_ids: np.ndarray) -> np.ndarray:
+    """The strings followed by their document's id, so that byte order is the order of strings and of their occurrences."""
+    n, width = len(strings), strings.dtype.itemsize
+    out = np.zeros((n, width + 8), np.uint8)
+    out[:, :width] = strings.view(np.uint8).reshape(n, width)
+    out[:, width:] = (doc_ids.astype(np.int64).view(np.uint64) ^ np.uint64(1 << 63)).astype(">u8").view(np.uint8).reshape(n, 8)
+    return out.reshape(-1).view(f"S{width + 8}") if n else np.zeros(0, f"S{width + 8}")
+
+
+def _split_at(keys: np.ndarray, n: int) -> np.ndarray:
+    """At most n - 1 bounds between n ranges that hold about equally many of the sampled keys."""
+    keys = np.sort(keys)
+    return np.unique(keys[(np.arange(1, n) * len(keys)) // n]) if len(keys) and n > 1 else keys[:0]
 
 
-def repeated_spans(documents: DataFrame, span: int = SPAN, k: int = KGRAM, pack_bytes: int = PACK_BYTES, hot: int = HOT) -> DataFrame:
+def _counted(uid: str, keys: np.ndarray, ordinals: np.ndarray, counts: np.ndarray, n_buckets: int):
+    """Rows (bucket, uid, data) of keys to be counted."""
+    for b, at in _blocks((keys % np.uint64(n_buckets)).astype(np.int64), n_buckets):
+        yield b, uid, keys[at].astype("<u8").tobytes() + ordinals[at].astype("<u4").tobytes() + np.minimum(counts[at], 65535).astype("<u2").tobytes()
+
+
+def _shared(group: int):
+    """Of a bucket's keys those that occur again: their ordinals by pack, with the top bit above group occurrences."""
+
+    def run(table: pa.Table) -> pa.Table:
+        uids, blobs = table.column("uid").to_pylist(), table.column("data").to_pylist()
+        sizes = np.array([len(b) // 14 for b in blobs])
+        keys = np.concatenate([np.frombuffer(b, "<u8", n) for b, n in zip(blobs, sizes)])
+        counts = np.concatenate([np.frombuffer(b, "<u2", n, 12 * n) for b, n in zip(blobs, sizes)]).astype(np.int64)
+        inverse = np.unique(keys, return_inverse=True)[1]
+        total = np.bincount(inverse, counts)[inverse]
+        out, ends = [], np.cumsum(sizes)
+        for uid, blob, n, e in zip(uids, blobs, sizes, ends):
+            mine, ordinals = total[e - n : e], np.frombuffer(blob, "<u4", n, 8 * n)
+            named = (ordinals | ((mine > group).astype("<u4") << np.uint32(31)))[mine > 1]
+            if len(named):
+                out.append((uid, named.astype("<u4").tobytes(), bool((mine > group).any())))
+        return pa.table({"uid": pa.array([r[0] for r in out], pa.string()), "data": pa.array([r[1] for r in out], pa.binary()), "frequent": pa.array([r[2] for r in out], pa.bool_())})
+
+    return run
+
+
+#: What a block between the packs and the buckets holds: surroundings, single strings, or starts already known to repeat.
+AROUND, SINGLE, KNOWN = 0, 1, 2
+#: Kinds of rows about a pack: that it exists, its k-grams that occur again, its single strings that do.
+PACK, KGRAMS, STRINGS = 0, 1, 2
+_FOUND = "uid string, data binary, bucket int, string binary, opens boolean"
+
+
+def _repeats_around(key, doc_id, doc, first, length, shift, source, names, bodies: list[bytes], span: int):
+    """(source, doc, first, last) of the string starts that repeat an earlier one, given all surroundings of the k-grams."""
+    words = word_levels(np.frombuffer(b"".join([*bodies, bytes(7)]), np.uint8))
+    starts = np.concatenate([[0], np.cumsum(length)[:-1]])
+    turn = np.empty(len(key), np.int64)  # order of occurrence
+    turn[np.lexsort([first, doc, names[source], doc_id])] = np.arange(len(key))
+    kgrams = np.unique(key, return_inverse=True)[1]
+    _, classes = multikey_sort(words, starts, length, kgrams * (span + 1) + shift)
+    by_turn = np.lexsort([turn, classes])
+    head = np.ones(len(key), bool)
+    head[1:] = classes[by_turn][1:] != classes[by_turn][:-1]
+    again = by_turn[~head]
+    yield np.stack([source[again], doc[again], first[again], first[again] + length[again] - span])
+    firsts = by_turn[head]
+    several = np.bincount(kgrams[firsts], minlength=int(kgrams.max()) + 1)[kgrams[firsts]] > 1
+    firsts = firsts[several]
+    # every string of the different surroundings of a k-gram; strings of different k-grams are different
+    firsts = firsts[np.argsort(kgrams[firsts], kind="stable")]
+    sizes = length[firsts] - span + 1
+    total, at = np.cumsum(sizes), 0
+    edges = np.flatnonzero(np.diff(kgrams[firsts], append=-1)) + 1  # where k-grams end
+    while at < len(firsts):  # some hundred thousands of strings at a time, whole k-grams
+        done = int(total[at - 1]) if at else 0
+        stop = int(edges[min(len(edges) - 1, np.searchsorted(total[edges - 1], done + 1_000_000, side="right"))])
+        part, count = firsts[at:stop], sizes[at:stop]
+        owner = np.repeat(part, count)
+        step = _ranges(np.zeros(len(part), np.int64), count)
+        _, same = multikey_sort(words, starts[owner] + step, np.full(len(owner), span), kgrams[owner] * (span + 1) + shift[owner] - step)
+        order = np.lexsort([turn[owner], same])
+        repeat = order[1:][same[order][1:] == same[order][:-1]]
+        yield np.stack([source[owner[repeat]], doc[owner[repeat]], first[owner[repeat]] + step[repeat], first[owner[repeat]] + step[repeat]])
+        at = stop
+
+
+def _merged(rows: list[np.ndarray]) -> np.ndarray:
+    """(source, doc, first, last) in order, runs of neighbouring starts as one."""
+    rows = np.concatenate([np.zeros((4, 0), np.int64), *rows], 1).astype(np.int64)
+    rows = rows[:, np.lexsort([rows[2], rows[1], rows[0]])]
+    if not rows.shape[1]:
+        return rows
+    joined = np.zeros(rows.shape[1], bool)
+    joined[1:] = (rows[0, 1:] == rows[0, :-1]) & (rows[1, 1:] == rows[1, :-1]) & (rows[2, 1:] <= rows[3, :-1] + 1)
+    run = np.flatnonzero(~joined)
+    return np.concatenate([rows[:3, run], np.maximum.reduceat(rows[3], run)[None]])
+
+
+def repeated_spans(documents: DataFrame, span: int = SPAN, k: int = KGRAM, pack_bytes: int = PACK_BYTES, group: int = GROUP, bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept_sha256, spans, kept), one row per row of documents(doc_id, text, ...).
 
     A byte goes if a string of span bytes that covers it also starts earlier: in a document of smaller id, or
@@ -215,29 +337,14 @@ def repeated_spans(documents: DataFrame, span: int = SPAN, k: int = KGRAM, pack_
     rows with equal ids are ordered by where they were read, so of a repeated row one is kept. spans: the removed runs [start, end) in bytes; kept: the remaining bytes.
     Extra columns are ignored; an empty table gives an empty one.
     """
-    if not 16 <= k < span:
-        raise ValueError("16 <= k < span is needed")
+    if not 16 <= k < span < 1 << 16:
+        raise ValueError("16 <= k < span < 65536 is needed")
     spark = documents.sparkSession
     out_dir = shared_dir(spark, "packs")
     texts = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary").alias("text"))
-    n_buckets = 4 * max(4, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    splitters = _splitters(texts, n_buckets, span, k)
-    n_buckets = len(splitters) + 1
-    null = np.iinfo(np.int64).min
-
-    def bucket_of(keys):
-        return np.searchsorted(splitters, keys, side="right")
-
-    def local_first(data, found, chosen):
-        """Of the chosen anchors those whose surroundings did not occur before in the pack; for the others, True in the second."""
-        words = word_levels(np.concatenate([data, np.zeros(7, np.uint8)]))
-        starts, lengths = found.first[chosen], found.last[chosen] - found.first[chosen] + span
-        group = multikey_classes(words, starts, lengths, found.place[chosen] - starts)
-        _, head = np.unique(group, return_index=True)
-        new = np.zeros(len(chosen), bool)
-        new[head] = True
-        return new
+    least_tasks = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
+    @tidy
     def pack(batches):
         part, seq = TaskContext.get().partitionId(), 0
         ids, bodies, size = [], [], 0
@@ -247,18 +354,12 @@ def repeated_spans(documents: DataFrame, span: int = SPAN, k: int = KGRAM, pack_
             doc_ids, texts_ = [ids[i] for i in order], [bodies[i] for i in order]
             mark = hashlib.sha1(np.array([*doc_ids, *map(len, texts_)], np.int64).tobytes()).hexdigest()[:12]
             uid = f"{part}-{seq}-{mark}"  # the same for the same rows: a task that runs again rewrites the same pack
-            _pack(f"{out_dir}/{uid}", doc_ids, texts_)
-            offsets = np.concatenate([[0], np.cumsum([len(t) for t in texts_])])
-            found = Anchors(np.frombuffer(b"".join(texts_), np.uint8), offsets, span, k)
-            # a k-gram once per pack, with its number there: a frequent one sends no more than the packs are
-            keys, ordinals, counts = np.unique(found.key, return_index=True, return_counts=True)
-            rows = [(b, keys[at].astype("<u8").tobytes() + ordinals[at].astype("<u4").tobytes() + np.minimum(counts[at], 65535).astype("<u2").tobytes()) for b, at in _blocks(bucket_of(keys), n_buckets)]
-            rows = rows or [(zlib.crc32(uid.encode()) % n_buckets, b"")]
-            return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([uid] * len(rows)), pa.array([r[1] for r in rows], pa.binary())], names=["bucket", "uid", "data"])
+            anchors = Pack.write(f"{out_dir}/{uid}", doc_ids, texts_, span, k)
+            return pa.RecordBatch.from_arrays([pa.array([uid]), pa.array([sum(map(len, texts_))], pa.int64()), pa.array([anchors], pa.int64())], names=["uid", "bytes", "anchors"])
 
         for batch in batches:
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1)):
-                ids.append(null if doc_id is None else doc_id)
+                ids.append(_NULL if doc_id is None else doc_id)
                 bodies.append(text.as_py())
                 size += len(bodies[-1]) + 64
                 if size >= pack_bytes:
@@ -267,155 +368,163 @@ def repeated_spans(documents: DataFrame, span: int = SPAN, k: int = KGRAM, pack_
         if ids:
             yield flush()
 
-    def shared_kgrams(table: pa.Table) -> pa.Table:
-        uids, blobs = table.column("uid").to_pylist(), table.column("data").to_pylist()
-        sizes = np.array([len(b) // 14 for b in blobs])
-        keys = np.concatenate([np.frombuffer(b, "<u8", n) for b, n in zip(blobs, sizes)])
-        counts = np.concatenate([np.frombuffer(b, "<u2", n, 12 * n) for b, n in zip(blobs, sizes)]).astype(np.int64)
-        inverse = np.unique(keys, return_inverse=True)[1]
-        total = np.bincount(inverse, counts)[inverse] if len(keys) else counts
-        ends = np.cumsum(sizes)
-        out = []
-        for b, n, e in zip(blobs, sizes, ends):
-            mine, ordinals = total[e - n : e], np.frombuffer(b, "<u4", n, 8 * n)
-            out.append((ordinals | ((mine > hot).astype("<u4") << np.uint32(31)))[mine > 1].astype("<u4").tobytes())
-        return pa.table({"uid": pa.array(uids, pa.string()), "data": pa.array(out, pa.binary())})
-
-    def surroundings(table: pa.Table) -> pa.Table:
+    # a task that was lost and read its rows in another order leaves packs that no row names
+    packs = keep(texts.mapInArrow(pack, "uid string, bytes long, anchors long"), "suffix-packs")
+    n_packs, n_bytes, n_anchors = packs.agg(F.count("*"), F.coalesce(F.sum("bytes"), F.lit(0)), F.coalesce(F.sum("anchors"), F.lit(0))).first()
+    tasks = max(least_tasks, -(-n_bytes // TASK_BYTES))
+    key_buckets = max(2 * least_tasks, -(-14 * n_anchors // bucket_bytes))
+
+    def batch_of(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), schema)], schema=schema)
+
+    counted = pa.schema([("bucket", pa.int32()), ("uid", pa.string()), ("data", pa.binary())])
+
+    @tidy
+    def kgram_keys(batches):
+        for batch in batches:
+            for uid in batch.column(0).to_pylist():
+                keys, counts = np.unique(Pack(f"{out_dir}/{uid}", texts=False).key, return_counts=True)
+                rows = list(_counted(uid, keys, np.arange(len(keys)), counts, key_buckets))
+                if rows:
+                    yield batch_of(rows, counted)
+
+    def shared(keys: DataFrame, label: str) -> DataFrame:
+        return keep(keys.groupBy("bucket").applyInArrow(_shared(group), "uid string, data binary, frequent boolean"), label)
+
+    kgrams = shared(packs.select("uid").repartition(tasks, "uid").mapInArrow(kgram_keys, "bucket int, uid string, data binary"), "suffix-kgrams")
+
+    def named(table: pa.Table, kind: int) -> np.ndarray:
+        kinds = np.array(table.column("kind").to_pylist())
+        blobs = table.column("data").to_pylist()
+        return np.frombuffer(b"".join(blobs[i] for i in np.flatnonzero(kinds == kind)), "<u4").astype(np.int64)
+
+    def frequent_and_rest(pack: Pack, ordinals: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        keys = np.unique(pack.key)
+        return keys[ordinals[ordinals >> 31 == 1] & 0x7FFFFFFF], keys[ordinals[ordinals >> 31 == 0]]
+
+    def string_keys(table: pa.Table) -> pa.Table:
         uid = table.column("uid")[0].as_py()
-        named = np.frombuffer(b"".join(table.column("data").to_pylist()), "<u4").astype(np.int64)
-        ids, offsets, data = _unpack(f"{out_dir}/{uid}")
+        pack = Pack(f"{out_dir}/{uid}")
+        often, _ = frequent_and_rest(pack, named(table, KGRAMS))
+        starts, _ = pack.strings(often, span)
+        hashes = _hash_kgrams(pack.data, span)[starts] if len(starts) else np.zeros(0, np.uint64)
+        rows = list(_counted(uid, hashes, np.arange(len(starts)), np.ones(len(starts), np.int64), key_buckets))
+        return pa.Table.from_batches([batch_of(rows, counted)]) if rows else counted.empty_table()
+
+    about = packs.select("uid", F.lit(PACK).alias("kind"), F.lit(b"").alias("data"))
+    about = about.unionByName(kgrams.select("uid", F.lit(KGRAMS).alias("kind"), "data"))
+    if kgrams.where("frequent").limit(1).count():
+        touched = kgrams.where("frequent").select("uid", F.lit(KGRAMS).alias("kind"), "data").repartition(tasks, "uid")
+        strings = shared(touched.groupBy("uid").applyInArrow(string_keys, "bucket int, uid string, data binary"), "suffix-strings")
+        about = about.unionByName(strings.select("uid", F.lit(STRINGS).alias("kind"), "data"))
+
+    def chosen(table: pa.Table):
+        """The pack, its anchors whose surroundings are compared, the starts of single strings that are, and of those known to repeat."""
+        pack = Pack(f"{out_dir}/{table.column('uid')[0].as_py()}")
+        often, rest_ = frequent_and_rest(pack, named(table, KGRAMS))
+        anchors = np.flatnonzero(np.isin(pack.key, rest_) & pack.new)
+        starts, again = pack.strings(often, span) if len(often) else (np.zeros(0, np.int64),) * 2
+        return pack, anchors, starts[np.sort(named(table, STRINGS) & 0x7FFFFFFF)], again
+
+    def sampled(table: pa.Table) -> pa.Table:
+        pack, anchors, starts, _ = chosen(table)
+        some, few = (x[:: max(1, len(x) // SAMPLE_KEYS)] for x in (anchors, starts))
+        size = int((pack.last[anchors] - pack.first[anchors] + span + 48).sum())
+        singles = _occurrences(_bytes_at(pack.data, few, span), pack.ids[pack.document(few)])
+        row = (size, (span + 24) * len(starts), _bytes_at(pack.data, pack.place[some], k).tobytes(), singles.tobytes())
+        return pa.table({n: pa.array([x], t) for n, x, t in zip(("around", "single", "kgrams", "strings"), row, (pa.int64(), pa.int64(), pa.binary(), pa.binary()))})
+
+    some = packs.orderBy(F.xxhash64("uid"), "uid").limit(SAMPLE_PACKS).select("uid")
+    sample = about.join(F.broadcast(some), "uid", "left_semi").groupBy("uid").applyInArrow(sampled, "around long, single long, kgrams binary, strings binary").collect()
+    scale = n_packs / max(1, len(sample))
+
+    def bounds(column: str, sizes: str, width: int) -> np.ndarray:
+        n = max(2 * least_tasks, round(scale * sum(r[sizes] for r in sample)) // bucket_bytes + 1)
+        return _split_at(np.frombuffer(b"".join(r[column] for r in sample), f"S{width}"), n)
+
+    around_at, single_at = bounds("kgrams", "around", k), bounds("strings", "single", span + 8)
+    n_around = len(around_at) + 1
+    blocks = pa.schema([("bucket", pa.int32()), ("uid", pa.string()), ("kind", pa.int32()), ("data", pa.binary()), ("size", pa.int64())])
+
+    def suffixes(table: pa.Table) -> pa.Table:
+        uid = table.column("uid")[0].as_py()
+        pack, anchors, starts, again = chosen(table)
         rows = []
-        if len(named):
-            found = Anchors(data, offsets, span, k)
-            frequent = found.key[named[named >> 31 == 1] & 0x7FFFFFFF]
-            chosen = np.flatnonzero(np.isin(found.key, found.key[named[named >> 31 == 0]]))
-            if len(chosen):
-                chosen = chosen[local_first(data, found, chosen)]
-                starts, lengths = found.first[chosen], found.last[chosen] - found.first[chosen] + span
-                doc = np.searchsorted(offsets, starts, side="right") - 1
-                raw = data.tobytes()
-                for b, at in _blocks(bucket_of(found.key[chosen]), n_buckets):
-                    head = np.stack([found.key[chosen[at]].view(np.int64), ids[doc[at]], doc[at], starts[at] - offsets[doc[at]], lengths[at], found.place[chosen[at]] - starts[at]])
-                    rows.append((b, AROUND, *_compressed(head, b"".join(raw[s : s + n] for s, n in zip(starts[at].tolist(), lengths[at].tolist())))))
-            many = np.flatnonzero(np.isin(found.key, frequent))
-            if len(many):
-                sizes = found.last[many] - found.first[many] + 1
-                starts = np.repeat(found.first[many], sizes) + np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-                one, two = (_hash_kgrams(data, span, m)[starts] for m in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F))
-                order = np.lexsort([starts, two, one])
-                first = np.ones(len(order), bool)
-                first[1:] = (one[order][1:] != one[order][:-1]) | (two[order][1:] != two[order][:-1])
-                doc = np.searchsorted(offsets, starts, side="right") - 1
-                inside = starts - offsets[doc]
-                again, single = order[~first], order[first]
-                if len(again):
-                    rows.append((zlib.crc32(uid.encode()) % n_buckets, KNOWN, *_compressed(np.stack([doc[again], inside[again]]))))
-                for b, at in _blocks((one[single] % np.uint64(n_buckets)).astype(np.int64), n_buckets):
-                    at = single[at]
-                    rows.append((b, SINGLE, *_compressed(np.stack([one[at].view(np.int64), two[at].view(np.int64), ids[doc[at]], doc[at], inside[at]]))))
-        rows = rows or [(zlib.crc32(uid.encode()) % n_buckets, KNOWN, b"", 0)]
-        return pa.table({"bucket": pa.array([r[0] for r in rows], pa.int32()), "uid": pa.array([uid] * len(rows)), "kind": pa.array([r[1] for r in rows], pa.int32()), "data": pa.array([r[2] for r in rows], pa.binary()), "size": pa.array([r[3] for r in rows], pa.int64())})
+        if len(anchors):
+            first, lengths = pack.first[anchors], pack.last[anchors] - pack.first[anchors] + span
+            doc, raw = pack.document(first), pack.data.tobytes()
+            buckets = np.searchsorted(around_at, _bytes_at(pack.data, pack.place[anchors], k), side="right")
+            for b, at in _blocks(buckets, n_around):
+                head = np.stack([pack.key[anchors[at]].view(np.int64), pack.ids[doc[at]], doc[at], first[at] - pack.offsets[doc[at]], lengths[at], pack.place[anchors[at]] - first[at]])
+                rows.append((b, uid, AROUND, *_compressed(head, b"".join(raw[s : s + n] for s, n in zip(first[at].tolist(), lengths[at].tolist())))))
+        if len(starts):
+            doc, strings = pack.document(starts), _bytes_at(pack.data, starts, span)
+            buckets = np.searchsorted(single_at, _occurrences(strings, pack.ids[doc]), side="right")
+            for b, at in _blocks(buckets, len(single_at) + 1):
+                at = at[np.argsort(strings[at], kind="stable")]  # like strings beside each other compress well
+                head = np.stack([pack.ids[doc[at]], doc[at], starts[at] - pack.offsets[doc[at]]])
+                rows.append((n_around + b, uid, SINGLE, *_compressed(head, strings[at].tobytes())))
+        if len(again):
+            doc = pack.document(again)
+            rows.append((zlib.crc32(uid.encode()) % n_around, uid, KNOWN, *_compressed(np.stack([doc, again - pack.offsets[doc]]))))
+        return pa.Table.from_batches([batch_of(rows, blocks)]) if rows else blocks.empty_table()
 
     def compare(table: pa.Table) -> pa.Table:
-        uids = table.column("uid").to_pylist()
-        kinds = table.column("kind").to_pylist()
-        heads, bodies, source, singles, rows = [], [], [], [], []
-        names = np.argsort(np.argsort(np.array(uids)))  # rows of equal ids are ordered by pack and place in it
+        uids, kinds, bucket = table.column("uid").to_pylist(), table.column("kind").to_pylist(), table.column("bucket")[0].as_py()
+        names = np.argsort(np.argsort(np.array(uids), kind="stable"), kind="stable")  # rows of equal ids are ordered by pack and place in it
+        parts: dict = {AROUND: [], SINGLE: [], KNOWN: []}
+        bodies: dict = {AROUND: [], SINGLE: [], KNOWN: []}
         for i, (kind, blob, size) in enumerate(zip(kinds, table.column("data").to_pylist(), table.column("size").to_pylist())):
-            if not size:
-                continue
-            head, body = _plain(blob, size, {AROUND: 6, SINGLE: 5, KNOWN: 2}[kind])
-            mine = np.full((1, head.shape[1]), i)
-            if kind == AROUND:
-                heads.append(head)
-                bodies.append(body)
-                source.append(mine[0])
-            elif kind == SINGLE:
-                singles.append(np.concatenate([head, mine]))
-            else:
-                rows.append(np.concatenate([mine, head, head[1:]]))
-        if singles:
-            one, two, doc_id, doc, first, source_ = np.concatenate(singles, 1)
-            order = np.lexsort([first, doc, names[source_], doc_id, two, one])
-            repeat = order[1:][(one[order][1:] == one[order][:-1]) & (two[order][1:] == two[order][:-1])]
-            rows.append(np.stack([source_[repeat], doc[repeat], first[repeat], first[repeat]]))
-        out = [[] for _ in uids]
-        if heads:
-            key, doc_id, doc, first, length, shift = np.concatenate(heads, 1)
-            source = np.concatenate(source)
-            words = word_levels(np.frombuffer(b"".join([*bodies, bytes(7)]), np.uint8))
-            starts = np.concatenate([[0], np.cumsum(length)[:-1]])
-            del heads, bodies
-            turn = np.empty(len(key), np.int64)  # order of occurrence
-            turn[np.lexsort([first, doc, names[source], doc_id])] = np.arange(len(key))
-            kgrams = np.unique(key, return_inverse=True)[1]
-            group = multikey_classes(words, starts, length, kgrams * (span + 1) + shift)
-            by_turn = np.lexsort([turn, group])
-            head = np.ones(len(key), bool)
-            head[1:] = group[by_turn][1:] != group[by_turn][:-1]
-            again = by_turn[~head]
-            rows.append(np.stack([source[again], doc[again], first[again], first[again] + length[again] - span]))
-            firsts = by_turn[head]
-            several = np.bincount(kgrams[firsts], minlength=int(kgrams.max()) + 1)[kgrams[firsts]] > 1
-            firsts = firsts[several]
-            # every string of the different surroundings of a k-gram; strings of different k-grams are different
-            firsts = firsts[np.argsort(kgrams[firsts], kind="stable")]
-            sizes = length[firsts] - span + 1
-            at = 0
-            while at < len(firsts):  # some millions of strings at a time, whole k-grams
-                stop = max(at + 1, int(np.searchsorted(np.cumsum(sizes[at:]), 2_000_000)) + at)
-                while stop < len(firsts) and kgrams[firsts[stop]] == kgrams[firsts[stop - 1]]:
-                    stop += 1
-                part, count = firsts[at:stop], sizes[at:stop]
-                owner = np.repeat(part, count)
-                step = np.arange(len(owner)) - np.repeat(np.cumsum(count) - count, count)
-                same = multikey_classes(words, starts[owner] + step, np.full(len(owner), span), kgrams[owner] * (span + 1) + shift[owner] - step)
-                order = np.lexsort([turn[owner], same])
-                repeat = order[1:][same[order][1:] == same[order][:-1]]
-                rows.append(np.stack([source[owner[repeat]], doc[owner[repeat]], first[owner[repeat]] + step[repeat], first[owner[repeat]] + step[repeat]]))
-                at = stop
-        if rows:
-            rows = np.concatenate(rows, 1)
-            rows = rows[:, np.lexsort([rows[2], rows[1], rows[0]])]
-            # runs of neighbouring starts become one
-            if rows.shape[1]:
-                joined = np.zeros(rows.shape[1], bool)
-                joined[1:] = (rows[0, 1:] == rows[0, :-1]) & (rows[1, 1:] == rows[1, :-1]) & (rows[2, 1:] <= rows[3, :-1] + 1)
-                run = np.flatnonzero(~joined)
-                rows = np.concatenate([rows[:3, run], np.maximum.reduceat(rows[3], run)[None]])
-                edges = np.searchsorted(rows[0], np.arange(len(uids) + 1))
-                out = [rows[1:, a:b].astype("<i8").tobytes() for a, b in zip(edges[:-1], edges[1:])]
-        return pa.table({"uid": pa.array(uids, pa.string()), "data": pa.array([x or b"" for x in out], pa.binary())})
+            head, body = _plain(blob, size, {AROUND: 6, SINGLE: 3, KNOWN: 2}[kind])
+            parts[kind].append(np.concatenate([head, np.full((1, head.shape[1]), i)]))
+            bodies[kind].append(body)
+        rows, edges = [], []
+        if parts[KNOWN]:
+            doc, first, source = np.concatenate(parts[KNOWN], 1)
+            rows.append(np.stack([source, doc, first, first]))
+        if parts[SINGLE]:
+            doc_id, doc, first, source = np.concatenate(parts[SINGLE], 1)
+            body = b"".join(bodies[SINGLE])
+            _, classes = multikey_sort(word_levels(np.frombuffer(body + bytes(7), np.uint8)), span * np.arange(len(first)), np.full(len(first), span))
+            order = np.lexsort([first, doc, names[source], doc_id, classes])
+            repeat = order[1:][classes[order][1:] == classes[order][:-1]]
+            rows.append(np.stack([source[repeat], doc[repeat], first[repeat], first[repeat]]))
+            # what this bucket starts and ends with, for the comparison with the others
+            for at, opens in ((int(order[0]), True), (int(order[-1]), False)):
+                edges.append((uids[source[at]], np.array([doc[at], first[at], first[at]], "<i8").tobytes(), bucket, body[span * at : span * (at + 1)], opens))
+        if parts[AROUND]:
+            key, doc_id, doc, first, length, shift, source = np.concatenate(parts[AROUND], 1)
+            rows += _repeats_around(key, doc_id, doc, first, length, shift, source, names, bodies[AROUND], span)
+        found = _merged(rows)
+        cuts = np.searchsorted(found[0], np.arange(len(uids) + 1))
+        out = [(u, found[1:, a:b].astype("<i8").tobytes(), None, None, None) for u, a, b in zip(uids, cuts[:-1], cuts[1:]) if a < b] + edges
+        return pa.table({n: pa.array([r[i] for r in out], t) for i, (n, t) in enumerate((("uid", pa.string()), ("data", pa.binary()), ("bucket", pa.int32()), ("string", pa.binary()), ("opens", pa.bool_())))})
 
     def finish(table: pa.Table) -> pa.Table:
         uid = table.column("uid")[0].as_py()
-        ids, offsets, data = _unpack(f"{out_dir}/{uid}")
-        blobs = [np.frombuffer(b, "<i8").reshape(3, -1) for b in table.column("data").to_pylist()]
-        doc, first, last = np.concatenate([np.zeros((3, 0), np.int64), *blobs], 1).astype(np.int64)
-        found = Anchors(data, offsets, span, k)
-        every = np.arange(len(found.place))
-        again = every[~local_first(data, found, every)] if len(every) else every
-        first = np.concatenate([offsets[doc] + first, found.first[again]])
-        last = np.concatenate([offsets[doc] + last, found.last[again]]) + span
-        depth = np.bincount(first, minlength=len(data) + 1) - np.bincount(last, minlength=len(data) + 1)
-        gone = np.cumsum(depth)[: len(data)] > 0
+        pack = Pack(f"{out_dir}/{uid}")
+        doc, first, last = np.concatenate([np.zeros((3, 0), np.int64), *(np.frombuffer(b, "<i8").reshape(3, -1) for b in table.column("data").to_pylist())], 1).astype(np.int64)
+        first = np.concatenate([pack.offsets[doc] + first, pack.first[~pack.new]])
+        last = np.concatenate([pack.offsets[doc] + last, pack.last[~pack.new]]) + span
+        depth = np.bincount(first, minlength=len(pack.data) + 1) - np.bincount(last, minlength=len(pack.data) + 1)
+        gone = np.cumsum(depth)[: len(pack.data)] > 0
         columns: list[list] = [[] for _ in range(7)]
-        for i, (a, b) in enumerate(zip(offsets[:-1].tolist(), offsets[1:].tolist())):
+        for doc_id, a, b in zip(pack.ids.tolist(), pack.offsets[:-1].tolist(), pack.offsets[1:].tolist()):
             mine = gone[a:b]
             edges = np.flatnonzero(np.diff(np.concatenate([[False], mine, [False]]).view(np.int8))).reshape(-1, 2)
-            kept = data[a:b][~mine].tobytes()
-            row = (None if ids[i] == null else int(ids[i]), b - a, int(mine.sum()), len(edges), hashlib.sha256(kept).hexdigest(), [{"start": int(x), "end": int(y)} for x, y in edges], kept)
+            kept = pack.data[a:b][~mine].tobytes()
+            row = (None if doc_id == _NULL else doc_id, b - a, int(mine.sum()), len(edges), hashlib.sha256(kept).hexdigest(), [{"start": int(x), "end": int(y)} for x, y in edges], kept)
             for column, value in zip(columns, row):
                 column.append(value)
         types = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])), pa.binary()]
         return pa.table({n: pa.array(c, t) for n, c, t in zip(("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "spans", "kept"), columns, types)})
 
-    blob = "uid string, data binary"
-    packed = texts.mapInArrow(pack, "bucket int, " + blob)
-    chosen = packed.groupBy("bucket").applyInArrow(shared_kgrams, blob)
     # a pack costs the same however few bytes name it, so the packs' tasks are not merged by their shuffled size
-    tasks = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    around = chosen.repartition(tasks, "uid").groupBy("uid").applyInArrow(surroundings, "bucket int, uid string, kind int, data binary, size long")
-    starts = around.groupBy("bucket").applyInArrow(compare, blob)
+    moved = about.repartition(tasks, "uid").groupBy("uid").applyInArrow(suffixes, "bucket int, uid string, kind int, data binary, size long")
+    found = keep(moved.groupBy("bucket").applyInArrow(compare, _FOUND), "suffix-repeats")
+    edges = found.where("string is not null")
+    # a bucket that opens with a string that an earlier one holds as well opens with a repeat of it
+    lowest = edges.groupBy("string").agg(F.min("bucket").alias("lowest"))
+    opened = edges.where("opens").join(lowest, "string").where("bucket > lowest")
+    starts = packs.select("uid", F.lit(b"").alias("data")).unionByName(found.where("string is null").select("uid", "data")).unionByName(opened.select("uid", "data"))
     return starts.repartition(tasks, "uid").groupBy("uid").applyInArrow(finish, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans array<struct<start:long,end:long>>, kept binary")
