@@ -5,6 +5,7 @@ from __future__ import annotations
 import math
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -110,7 +111,55 @@ def test_correlation_of_a_constant_is_filled(spark):
     m = stats.correlation_matrix(df, ["a", "b"])
     assert {(r["a"], r["b"]): r["r"] for r in m.collect()}[("a", "b")] is None
     assert stats.frobenius(stats.correlation_difference(m, m)).first()["norm"] == 0
-    assert [r[0] for r in stats.nan_correlation_columns(m).collect()] == ["b"]
+    assert {r[0] for r in stats.nan_correlation_columns(m).collect()} == {"a", "b"}  # a has none with b
+
+
+def test_correlations_equal_those_of_pandas(spark):
+    rng = np.random.default_rng(4)
+    x = rng.normal(0, 1, 60)
+    columns = {
+        "x": x,
+        "holes": np.where(np.arange(60) % 4 == 0, x, np.nan),
+        "other_holes": np.where(np.arange(60) % 3 == 0, rng.normal(0, 1, 60), np.nan),
+        "tiny": 5 + 1e-7 * np.arange(60),
+        "small": 1e-9 * x,
+        "constant": np.full(60, 0.1),
+        "constant_where_x": np.where(np.arange(60) % 2 == 0, 7.0, np.nan),
+        "never": np.full(60, np.nan),
+        "once": np.where(np.arange(60) == 5, 1.0, np.nan),
+    }
+    frame = pd.DataFrame(columns)
+    rows = [tuple(None if np.isnan(v) and k % 2 else float(v) for v in r) for k, r in enumerate(frame.itertuples(index=False))]
+    df = spark.createDataFrame(rows, ", ".join(f"{c} double" for c in columns)).repartition(3)
+    m = stats.correlation_matrix(df, list(columns))
+    expected = frame.corr()
+    for r in m.collect():
+        want = expected.loc[r["a"], r["b"]]
+        assert (r["r"] is None) == bool(np.isnan(want)), (r, want)
+        assert r["r"] is None or abs(r["r"] - want) < 1e-7, (r, want)
+    missing = expected.columns[expected.isna().any()].tolist()
+    assert sorted(r[0] for r in stats.nan_correlation_columns(m).collect()) == sorted(missing)
+
+
+def test_noise_of_published_tables_is_in_no_plan(spark):
+    df = spark.createDataFrame([("x", "p")] * 30 + [("y", "q")] * 20, "a string, b string")
+    cells = stats.value_counts(df, "a")
+    drawn = bayesnet.entropy_noise("a", cells, F.col("value"), 2.0)
+    plan = drawn._jdf.queryExecution().toString().lower()
+    assert "uuid" not in plan and "rand" not in plan
+    assert [tuple(r) for r in drawn.collect()] == [tuple(r) for r in drawn.collect()]
+    values = [bayesnet.entropy_laplace(2.0) for _ in range(4000)]
+    assert abs(np.mean(np.abs(values)) - 2.0) < 0.3 and abs(np.median(values)) < 0.3 and len(set(values)) == 4000
+    tables = bayesnet.PrivBayes(0.5).fit(df, ["a", "b"]).tables
+    assert tables.count() == 2 + 4 and "uuid" not in tables._jdf.queryExecution().toString().lower()
+
+
+def test_draws_from_very_many_values(spark):
+    rows = spark.range(3000).select(F.col("id").alias("row"))
+    shares = spark.createDataFrame([(f"v{k:05d}", 1.0 if k else 20000.0) for k in range(20000)], "value string, w double")
+    intervals = sampling.cumulative(shares, "value", "w")
+    drawn = sampling.categorical_draw(rows, (F.col("row") + 0.5) / 3000, intervals, "value", "drawn").collect()
+    assert len(drawn) == 3000 and abs(sum(r["drawn"] == "v00000" for r in drawn) - 1500) < 3
 
 
 def test_one_hot_of_an_unknown_value(spark):

@@ -31,6 +31,12 @@ def laplace(u: Column, scale: float) -> Column:
 
 
 def correlation(x: Column, y: Column) -> Column:
-    """Pearson correlation, an aggregate; null if either side is constant."""
-    spread = F.stddev_pop(x) * F.stddev_pop(y)
-    return F.when(spread > 1e-12, F.covar_pop(x, y) / spread)
+    """Pearson correlation of the rows that have both, an aggregate; null if either side is constant in them.
+
+    NaN counts as missing. Deviations of a constant are exactly 0, whatever its size, so no tolerance is needed.
+    """
+    nothing = F.lit(None).cast("double")
+    x, y = (F.nanvl(v.cast("double"), nothing) for v in (x, y))
+    x, y = F.when(y.isNotNull(), x), F.when(x.isNotNull(), y)
+    r = F.try_divide(F.covar_pop(x, y), F.sqrt(F.var_pop(x) * F.var_pop(y)))
+    return F.when(r > 1, 1.0).when(r < -1, -1.0).otherwise(r)

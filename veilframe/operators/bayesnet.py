@@ -8,16 +8,18 @@ perturbs the mutual information as well.
 
 from __future__ import annotations
 
+import math
 from collections import deque
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
-from ..functions.determinism import entropy_uniform, uniform
+from ..functions.determinism import entropy, fresh_salt, uniform
 from ..functions.numeric import laplace
-from .sampling import categorical_draw, cumulative
+from .sampling import categorical_draw, cumulative, grid_cell, on_grid
 from .stats import contingency, mutual_information, value_counts
 
 
@@ -81,12 +83,9 @@ def orient(nodes: list[str], edges: list[tuple[str, str]], weights: dict[tuple[s
 
 def chow_liu(df: DataFrame, columns: list[str], noisy_structure: float | None = None) -> Tree:
     """The tree of largest mutual information; with noisy_structure, after Laplace noise of that scale on each pair."""
-    found = mutual_information(df, columns)
+    weights = {(min(r["a"], r["b"]), max(r["a"], r["b"])): r["mi"] for r in mutual_information(df, columns).collect()}
     if noisy_structure:
-        found = found.withColumn("mi", F.col("mi") + laplace(entropy_uniform(), noisy_structure))
-    rank = {c: i for i, c in enumerate(columns)}
-    weights = {(min(r["a"], r["b"]), max(r["a"], r["b"])): r["mi"] for r in found.collect()}
-    assert all(a in rank for a, _ in weights)
+        weights = {pair: mi + entropy_laplace(noisy_structure) for pair, mi in weights.items()}
     return orient(columns, spanning_tree(columns, weights), weights)
 
 
@@ -96,22 +95,31 @@ def node_budgets(tree: Tree, epsilon: float) -> dict[str, float]:
     return {c: epsilon if n == 1 else epsilon / 2 if i == 0 else epsilon / (2 * (n - 1)) for i, c in enumerate(tree.order)}
 
 
-Noise = Callable[[str, Column], Column]
+Draw = Callable[[str, Column], Column]
+#: Adds the cells' noise: (node, cells, name of the cell, scale) to cells with a column noise.
+Noise = Callable[[str, DataFrame, Column, float], DataFrame]
+
+
+def entropy_laplace(scale: float) -> float:
+    d = entropy() - 0.5
+    return -scale * math.copysign(math.log(max(1 - 2 * abs(d), 1e-300)), d)
 
 
 def seeded_noise(seed: int | str) -> Noise:
     """Uniforms by node and cell: for tests."""
-    return lambda node, cell: uniform(f"{seed}|{node}", cell)
+    return lambda node, cells, cell, scale: cells.withColumn("noise", laplace(uniform(f"{seed}|{node}", cell), scale))
 
 
-def entropy_noise(node: str, cell: Column) -> Column:
-    return entropy_uniform()
+def entropy_noise(node: str, cells: DataFrame, cell: Column, scale: float) -> DataFrame:
+    """Noise drawn once per cell on the driver, where the released tables go anyway: no plan holds what it came from."""
+    rows = [(*r, entropy_laplace(scale)) for r in cells.collect()]
+    return cells.sparkSession.createDataFrame(rows, StructType([*cells.schema.fields, StructField("noise", DoubleType())]))
 
 
 def noisy_marginal(df: DataFrame, node: str, epsilon: float, noise: Noise) -> DataFrame:
     """(parent_value, value, prob) of the root: counts with noise, held to 0 or more, normalised; uniform if nothing is left."""
-    counts = value_counts(df, node)
-    noisy = counts.withColumn("c", F.greatest(F.lit(0.0), F.col("n") + laplace(noise(node, F.col("value")), 1.0 / epsilon)))
+    counts = noise(node, value_counts(df, node), F.col("value"), 1.0 / epsilon)
+    noisy = counts.withColumn("c", F.greatest(F.lit(0.0), F.col("n") + F.col("noise")))
     everything = Window.partitionBy(F.lit(0))
     total = F.sum("c").over(everything)
     return noisy.select(F.lit(None).cast("string").alias("parent_value"), "value", F.when(total > 0, F.col("c") / total).otherwise(F.lit(1.0) / F.count("*").over(everything)).alias("prob"))
@@ -119,9 +127,8 @@ def noisy_marginal(df: DataFrame, node: str, epsilon: float, noise: Noise) -> Da
 
 def noisy_conditional(df: DataFrame, parent: str, node: str, epsilon: float, noise: Noise) -> DataFrame:
     """(parent_value, value, prob) over the full grid of observed values, empty cells with noise as well."""
-    cells = contingency(df, parent, node)
-    cell = F.concat_ws("|", "parent", "child")
-    noisy = cells.withColumn("c", F.greatest(F.lit(0.0), F.col("n") + laplace(noise(node, cell), 1.0 / epsilon)))
+    cells = noise(node, contingency(df, parent, node), F.concat_ws("|", "parent", "child"), 1.0 / epsilon)
+    noisy = cells.withColumn("c", F.greatest(F.lit(0.0), F.col("n") + F.col("noise")))
     row = Window.partitionBy("parent")
     total = F.sum("c").over(row)
     return noisy.select(F.col("parent").alias("parent_value"), F.col("child").alias("value"), F.when(total > 0, F.col("c") / total).otherwise(F.lit(1.0) / F.count("*").over(row)).alias("prob"))
@@ -138,7 +145,7 @@ def conditional_tables(df: DataFrame, tree: Tree, epsilon: float, noise: Noise =
     return out
 
 
-def ancestral_sample(rows: DataFrame, key: str, tree: Tree, tables: DataFrame, draw: Noise) -> DataFrame:
+def ancestral_sample(rows: DataFrame, key: str, tree: Tree, tables: DataFrame, draw: Draw) -> DataFrame:
     """rows(key) with a value per node, parents first. draw gives a node's uniform by row."""
     for node in tree.order:
         mine = tables.where(F.col("node") == node)
@@ -148,7 +155,9 @@ def ancestral_sample(rows: DataFrame, key: str, tree: Tree, tables: DataFrame, d
             rows = categorical_draw(rows, u, mine, "value", node)
         else:
             table = mine.select(F.col("parent_value").alias("__p"), F.col("value").alias(node), F.col("lo").alias("__lo"), F.col("hi").alias("__hi"))
-            rows = rows.withColumn("__u", u).join(table, (F.col(parent) == F.col("__p")) & (F.col("__u") >= F.col("__lo")) & (F.col("__u") < F.col("__hi"))).drop("__u", "__p", "__lo", "__hi")
+            same = (F.col(parent) == F.col("__p")) & (F.col("__cell") == F.col("__at"))
+            drawn = rows.withColumns({"__u": u, "__cell": grid_cell(u)}).join(on_grid(table, "__lo", "__hi", "__at"), same & (F.col("__u") >= F.col("__lo")) & (F.col("__u") < F.col("__hi")))
+            rows = drawn.drop("__u", "__cell", "__at", "__p", "__lo", "__hi")
     return rows
 
 
@@ -177,6 +186,8 @@ class PrivBayes:
     def sample(self, n: int, tree_order: bool = False) -> DataFrame:
         """n rows in the columns' order, or in the order of the walk."""
         rows = self.spark.range(n).withColumnRenamed("id", "__row")
-        draw = (lambda node, key: entropy_uniform()) if self.seed is None else (lambda node, key: uniform(f"{self.seed}|draw|{node}", key))
+        # draws only process the released tables, so they cost no privacy and may stand in a plan
+        salt = fresh_salt() if self.seed is None else self.seed
+        draw = lambda node, key: uniform(f"{salt}|draw|{node}", key)
         out = ancestral_sample(rows, "__row", self.tree, self.tables, draw)
         return out.select(*(self.tree.order if tree_order else self.columns))

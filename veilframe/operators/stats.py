@@ -18,8 +18,8 @@ def value_counts(df: DataFrame, column: str) -> DataFrame:
 
 def value_shares(df: DataFrame, column: str) -> DataFrame:
     """(value, share) of the values that are not null."""
-    everything = Window.partitionBy(F.lit(0))
-    return value_counts(df, column).select("value", (F.col("n") / F.sum("n").over(everything)).alias("share"))
+    total = df.agg(F.count(F.col(column)).alias("total"))
+    return value_counts(df, column).join(total, how="cross").select("value", (F.col("n") / F.col("total")).alias("share"))
 
 
 def marginals(real: DataFrame, synthetic: DataFrame, column: str) -> DataFrame:
@@ -49,7 +49,7 @@ def missing_counts(df: DataFrame, columns: list[str]) -> DataFrame:
 
 
 def correlation_matrix(df: DataFrame, columns: list[str]) -> DataFrame:
-    """(a, b, r) of every ordered pair, r null with a constant column: one aggregation over the upper triangle."""
+    """(a, b, r) of every ordered pair over the rows that have both, r null with a constant: one aggregation over the upper triangle."""
     pairs = [(a, b) for i, a in enumerate(columns) for b in columns[i:]]
     wide = df.agg(*(correlation(F.col(a).cast("double"), F.col(b).cast("double")).alias(f"r{i}") for i, (a, b) in enumerate(pairs)))
     rows = []
@@ -59,8 +59,8 @@ def correlation_matrix(df: DataFrame, columns: list[str]) -> DataFrame:
 
 
 def nan_correlation_columns(matrix: DataFrame) -> DataFrame:
-    """Columns without any correlation, not even to themselves."""
-    return matrix.where((F.col("a") == F.col("b")) & F.col("r").isNull()).select(F.col("a").alias("column_name"))
+    """Columns of which any correlation is missing."""
+    return matrix.where(F.col("r").isNull()).select(F.col("a").alias("column_name")).distinct()
 
 
 def correlation_difference(real: DataFrame, synthetic: DataFrame) -> DataFrame:
@@ -77,8 +77,8 @@ def contingency(df: DataFrame, parent: str, child: str) -> DataFrame:
     """(parent, child, n) over all pairs of observed values, 0 included."""
     kept = df.where(F.col(parent).isNotNull() & F.col(child).isNotNull()).select(F.col(parent).cast("string").alias("parent"), F.col(child).cast("string").alias("child"))
     counts = kept.groupBy("parent", "child").agg(F.count("*").alias("n"))
-    # both domains come from the counts, which are as few as the pairs of values
-    grid = counts.select("parent").distinct().join(F.broadcast(counts.select("child").distinct()), how="cross")
+    # the grid is the result itself; both domains come from the counts, which are as few as the pairs of values
+    grid = counts.select("parent").distinct().join(counts.select("child").distinct(), how="cross")
     return grid.join(counts, ["parent", "child"], "left").select("parent", "child", F.coalesce("n", F.lit(0)).alias("n"))
 
 
@@ -134,9 +134,8 @@ def kde_curve(df: DataFrame, column: str, points: int = 50) -> DataFrame:
 
 def log_frequency(df: DataFrame, column: str) -> DataFrame:
     """(value, weight): ln(n + 1) as a share of its sum."""
-    everything = Window.partitionBy(F.lit(0))
-    w = F.log(F.col("n") + F.lit(1))
-    return value_counts(df, column).select("value", (w / F.sum(w).over(everything)).alias("weight"))
+    counts = value_counts(df, column).select("value", F.log(F.col("n") + F.lit(1)).alias("w"))
+    return counts.join(counts.agg(F.sum("w").alias("total")), how="cross").select("value", (F.col("w") / F.col("total")).alias("weight"))
 
 
 def aggregate_trials(trials: DataFrame) -> DataFrame:
@@ -149,5 +148,5 @@ def tree_degrees(edges: DataFrame) -> DataFrame:
     """(node, degree, is_root) of edges(a, b): the root has the largest degree, the smallest name among equals."""
     ends = edges.select(F.explode(F.array("a", "b")).alias("node"))
     degrees = ends.groupBy("node").agg(F.count("*").alias("degree"))
-    first = Window.partitionBy(F.lit(0)).orderBy(F.desc("degree"), "node")
-    return degrees.select("node", "degree", (F.row_number().over(first) == 1).alias("is_root"))
+    first = degrees.agg(F.min(F.struct((-F.col("degree")).alias("d"), "node")).alias("first"))
+    return degrees.join(first, how="cross").select("node", "degree", (F.col("node") == F.col("first.node")).alias("is_root"))

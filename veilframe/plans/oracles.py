@@ -65,15 +65,15 @@ _NUMBERS = ["o_totalprice", "c_acctbal", "c_nationkey", "o_orderstatus", "c_mkts
 
 def _coded(frame: str) -> str:
     return (
-        "SELECT o_totalprice::DOUBLE AS o_totalprice, c_acctbal::DOUBLE AS c_acctbal, c_nationkey::DOUBLE AS c_nationkey, "
+        "SELECT o_totalprice::DOUBLE AS o_totalprice, CASE WHEN c_acctbal >= 0 THEN c_acctbal::DOUBLE END AS c_acctbal, c_nationkey::DOUBLE AS c_nationkey, "
         "CASE o_orderstatus WHEN 'F' THEN 0e0 WHEN 'O' THEN 1e0 ELSE 2e0 END AS o_orderstatus, "
-        "CASE c_mktsegment WHEN 'AUTOMOBILE' THEN 0e0 WHEN 'BUILDING' THEN 1e0 WHEN 'FURNITURE' THEN 2e0 WHEN 'HOUSEHOLD' THEN 3e0 ELSE 4e0 END AS c_mktsegment, "
+        "CASE c_mktsegment WHEN 'AUTOMOBILE' THEN 0e0 WHEN 'BUILDING' THEN 1e0 WHEN 'FURNITURE' THEN 2e0 WHEN 'HOUSEHOLD' THEN 3e0 END AS c_mktsegment, "
         f"1e0 AS always FROM {frame}"
     )
 
 
 def _matrix(coded: str) -> str:
-    cell = "SELECT '{a}' AS a, '{b}' AS b, CASE WHEN stddev_pop({a}) * stddev_pop({b}) > 1e-12 THEN covar_pop({a}, {b}) / (stddev_pop({a}) * stddev_pop({b})) END AS r FROM {t}"
+    cell = "SELECT '{a}' AS a, '{b}' AS b, CASE WHEN min({a}) < max({a}) AND min({b}) < max({b}) THEN corr({a}, {b}) END AS r FROM {t} WHERE {a} IS NOT NULL AND {b} IS NOT NULL"
     return " UNION ALL ".join(cell.format(a=a, b=b, t=coded) for a in _NUMBERS for b in _NUMBERS)
 
 
@@ -160,7 +160,7 @@ ORACLES: dict[str, str] = {
     "constant_columns": "SELECT unnest(['five', 'never']) AS column_name",
     "missing_counts": sql(" UNION ALL ".join(f"SELECT '{c}' AS column_name, count(*) - count({c}) AS n_missing FROM messy" for c in ("known_segment", "balance", "priority"))),
     "correlation_matrix": sql(f"SELECT a, b, {r6('r')} AS r FROM m1", **_CORRELATION),
-    "nan_correlation_columns": sql("SELECT a AS column_name FROM m1 GROUP BY a HAVING count(r) = 0", **_CORRELATION),
+    "nan_correlation_columns": sql("SELECT a AS column_name FROM m1 GROUP BY a HAVING count(r) < count(*)", **_CORRELATION),
     "correlation_difference": sql(f"SELECT a, b, {r6('difference')} AS difference FROM d", **_DIFFERENCE),
     "correlation_norm": sql(f"SELECT {r6('sqrt(sum(difference * difference))')} AS norm FROM d", **_DIFFERENCE),
     "contingency": "SELECT parent, child, count(l_tax) AS n FROM (SELECT DISTINCT l_returnflag AS parent FROM lineitem) CROSS JOIN (SELECT DISTINCT l_linenumber::VARCHAR AS child FROM lineitem) LEFT JOIN lineitem ON l_returnflag = parent AND l_linenumber::VARCHAR = child GROUP BY 1, 2",

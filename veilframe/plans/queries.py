@@ -313,9 +313,10 @@ def missing_counts(spark, sf):
 
 
 def _coded(df: DataFrame) -> DataFrame:
-    """Categories as codes over a fixed order, so that both frames agree."""
-    rank = {"o_orderstatus": ["F", "O", "P"], "c_mktsegment": ["AUTOMOBILE", "BUILDING", "FURNITURE", "HOUSEHOLD", "MACHINERY"]}
-    return df.select("o_totalprice", "c_acctbal", "c_nationkey", *((F.array_position(F.array(*map(F.lit, v)), F.col(c)) - 1).alias(c) for c, v in rank.items()), F.lit(1.0).alias("always"))
+    """Categories as codes over a fixed order, so that both frames agree; one of them is missing, and negative balances are."""
+    rank = {"o_orderstatus": ["F", "O", "P"], "c_mktsegment": ["AUTOMOBILE", "BUILDING", "FURNITURE", "HOUSEHOLD"]}
+    balance = F.when(F.col("c_acctbal") >= 0, F.col("c_acctbal")).alias("c_acctbal")
+    return df.select("o_totalprice", balance, "c_nationkey", *((F.nullif(F.array_position(F.array(*map(F.lit, v)), F.col(c)), F.lit(0)) - 1).alias(c) for c, v in rank.items()), F.lit(1.0).alias("always"))
 
 
 _NUMBERS = ["o_totalprice", "c_acctbal", "c_nationkey", "o_orderstatus", "c_mktsegment", "always"]
