@@ -9,22 +9,28 @@ finding those runs is vectorised.
 
 from __future__ import annotations
 
+import functools
 import hashlib
 import itertools
+import pickle
 import re
+import uuid
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .storage import small_batches, tidy
+from .storage import open_file, shared_dir, small_batches, tidy, write_file
 
 WINDOW = 13
-#: Items are gathered into automata of so many words at most, used one after the other.
-AUTOMATON_WORDS = 1_000_000
+#: Words of an automaton: about 800 bytes each while it is built, and some tens afterwards.
+AUTOMATON_WORDS = 250_000
+#: Bytes of texts that go through several automata one after the other.
+GATHERED = 32 << 20
 #: Words in UTF-8: digits, letters and all beyond ASCII; A-Z in lower case, the rest are separators.
 TABLE = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
+WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 WORD_BYTES = re.compile(rb"[0-9A-Za-z\x80-\xff]+")
 
 
@@ -39,8 +45,7 @@ class SuffixAutomaton:
         self.window, self.items = window, []
         self.vocabulary: dict[bytes, int] = {}
         self.next: list[dict[int, int]] = [{}]
-        self.link, self.length, self.ends = [-1], [0], [set()]
-        self.shortest, self.short = window, {}
+        self.link, self.length = [-1], [0]
         self.pairs: set[tuple[int, int]] = set()
         self.words = 0
 
@@ -48,7 +53,6 @@ class SuffixAutomaton:
         self.next.append(out)
         self.link.append(link)
         self.length.append(length)
-        self.ends.append(set())
         return len(self.next) - 1
 
     def _extend(self, last: int, c: int) -> int:
@@ -87,30 +91,56 @@ class SuffixAutomaton:
         self.items.append((item_id, ids))
         self.words += len(ids)
 
-    def finish(self) -> "SuffixAutomaton":
-        """Item numbers at the states of the windows, and what the streaming needs."""
+    def finish(self) -> "Matcher":
+        """The automaton as sorted arrays, with item numbers at the states of the windows."""
+        ends: list[tuple[int, int]] = []
+        short: dict[int, list[tuple[int, int]]] = {}
+        shortest = self.window
         for number, (_, ids) in enumerate(self.items):
             need = min(self.window, len(ids))
-            self.shortest = min(self.shortest, need)
+            shortest = min(shortest, need)
             state = length = 0
+            seen = set()
             for c in ids:
                 state, length = self.next[state][c], length + 1
                 while length > need and self.length[self.link[state]] >= need:
                     state = self.link[state]
                 length = min(length, need)
-                if length == need:
+                if length == need and state not in seen:
+                    seen.add(state)
                     if len(ids) < self.window:
-                        self.short.setdefault(state, []).append((need, number))
+                        short.setdefault(state, []).append((need, number))
                     else:
-                        self.ends[state].add(number)
-        #: nearest state on the way of links, itself included, where a short item ends
-        order = sorted(range(len(self.length)), key=self.length.__getitem__)
-        self.output = [-1] * len(self.length)
-        for s in order:
-            self.output[s] = s if s in self.short else self.output[self.link[s]] if s else -1
-        size = len(self.vocabulary)
-        self.pair_keys = np.array(sorted(a * size + b for a, b in self.pairs), np.int64)
-        return self
+                        ends.append((state, number))
+        size = max(1, len(self.vocabulary))
+        keys = np.array([s * size + c for s, out in enumerate(self.next) for c in out], np.int64)
+        to = np.array([t for out in self.next for t in out.values()], np.int32)
+        order = np.argsort(keys)
+        length, link = np.array(self.length, np.int32), np.array(self.link, np.int32)
+        # the nearest state on the way of links, itself included, where a short item ends
+        output = np.full(len(length), -1, np.int32)
+        if short:
+            for s in np.argsort(length, kind="stable").tolist():
+                output[s] = s if s in short else output[link[s]] if s else -1
+        ends.sort()
+        at = np.searchsorted(np.array([s for s, _ in ends], np.int64), np.arange(len(length) + 1)).astype(np.int32)
+        pairs = np.array(sorted(a * size + b for a, b in self.pairs), np.int64)
+        return Matcher(self.window, shortest, [i for i, _ in self.items], self.vocabulary, keys[order], to[order], link, length, at, np.array([n for _, n in ends], np.int32), short, output, pairs)
+
+
+class Matcher:
+    """A finished automaton: some tens of bytes a word instead of the builder's several hundred."""
+
+    def __init__(self, window, shortest, names, vocabulary, keys, to, link, length, ends_at, ends, short, output, pair_keys):
+        self.window, self.shortest, self.names, self.vocabulary = window, shortest, names, vocabulary
+        self.keys, self.to, self.link, self.length = keys, to, link, length
+        self.ends_at, self.ends, self.short, self.output, self.pair_keys = ends_at, ends, short, output, pair_keys
+
+    def _next(self, state: int, c: int) -> int:
+        """The state after c, -1 if there is none."""
+        key = state * max(1, len(self.vocabulary)) + c
+        at = self.keys.searchsorted(key)
+        return int(self.to[at]) if at < len(self.keys) and self.keys[at] == key else -1
 
     def runs(self, ids: np.ndarray) -> np.ndarray:
         """(start, stop) of the runs that may hold a window."""
@@ -132,44 +162,67 @@ class SuffixAutomaton:
         get = self.vocabulary.get
         ids = np.fromiter(map(get, words, itertools.repeat(-1)), np.int64, len(words))
         found: set[int] = set()
-        out, link, size, window = self.next, self.link, self.length, self.window
+        link, size, window = self.link, self.length, self.window
         for start, stop in self.runs(ids).tolist():
             state = length = 0
             for i, c in enumerate(ids[start:stop].tolist(), start + 1):
-                while state and c not in out[state]:
-                    state = link[state]
-                    length = size[state]
-                if c in out[state]:
-                    state, length = out[state][c], length + 1
+                after = self._next(state, c)
+                while state and after < 0:
+                    state = int(link[state])
+                    length = int(size[state])
+                    after = self._next(state, c)
+                if after >= 0:
+                    state, length = after, length + 1
                 if length >= window:
                     at = state
                     while size[link[at]] >= window:
-                        at = link[at]
-                    if self.ends[at]:
+                        at = int(link[at])
+                    a, b = self.ends_at[at : at + 2].tolist()
+                    if a < b:
                         hit[i - window : i] = True
-                        found |= self.ends[at]
-                at = self.output[state]
+                        found.update(self.ends[a:b].tolist())
+                at = int(self.output[state])
                 while at >= 0:
                     for need, number in self.short[at]:
                         if need <= length:
                             hit[i - need : i] = True
                             found.add(number)
-                    at = self.output[link[at]] if at else -1
+                    at = int(self.output[link[at]]) if at else -1
         return found
 
 
-def automata(benchmark: DataFrame, window: int = WINDOW, max_words: int = AUTOMATON_WORDS) -> list[SuffixAutomaton]:
-    """Automata of the items of benchmark(item_id, text, ...), each of max_words words and one item more at most.
+def automata(benchmark: DataFrame, window: int = WINDOW, max_words: int = AUTOMATON_WORDS) -> list[str]:
+    """Files of automata, of about max_words words each, of the items of benchmark(item_id, text, ...).
 
-    The test items are the one thing gathered here; training documents never are.
+    Items are dealt out by hash and the automata built where they land; only the files' names come here. Items with the same id and
+    text are one.
     """
-    built, now = [], SuffixAutomaton(window)
-    for item_id, text in benchmark.select(F.col("item_id").cast("string"), F.col("text").cast("string")).toLocalIterator():
-        now.add(item_id, words_of(text))
-        if now.words >= max_words:
-            built.append(now.finish())
-            now = SuffixAutomaton(window)
-    return [*built, now.finish()] if now.items else built
+    spark = benchmark.sparkSession
+    items = benchmark.select(F.col("item_id").cast("string").alias("item_id"), F.col("text").cast("string").alias("text")).where("text is not null").distinct()
+    words = items.agg(F.coalesce(F.sum(F.regexp_count("text", F.lit(WORD))), F.lit(0))).first()[0]
+    out_dir, groups = shared_dir(spark, "automata"), -(-words // max_words)
+
+    def build(table: pa.Table) -> pa.Table:
+        builder = SuffixAutomaton(window)
+        for item_id, text in sorted(zip(table.column("item_id").to_pylist(), table.column("text").to_pylist()), key=lambda r: (r[0] or "", r[1])):
+            builder.add(item_id, words_of(text))
+        if not builder.items:
+            return pa.table({"path": pa.array([], pa.string())})
+        path = f"{out_dir}/{table.column('g')[0].as_py():06d}-{uuid.uuid4().hex}"
+        write_file(path, [pickle.dumps(builder.finish(), protocol=5)])
+        return pa.table({"path": pa.array([path])})
+
+    if not groups:
+        return []
+    placed = items.withColumn("g", F.pmod(F.xxhash64("item_id", "text"), F.lit(groups)))
+    return sorted(r["path"] for r in placed.groupBy("g").applyInArrow(build, "path string").collect())
+
+
+@functools.lru_cache(maxsize=1)
+def _load(path: str) -> Matcher:
+    """An automaton that automata() wrote; a worker holds one at a time."""
+    with open_file(path) as file:
+        return pickle.loads(file.read())
 
 
 def _spans(hit: np.ndarray) -> np.ndarray:
@@ -177,13 +230,36 @@ def _spans(hit: np.ndarray) -> np.ndarray:
     return edges.reshape(-1, 2)
 
 
-def _read(built: list[SuffixAutomaton], text: str | None) -> tuple[int, np.ndarray, list[str]]:
-    """Number of words, which of them are hit, and the items that occur."""
-    words = words_of(text)
-    hit, items = np.zeros(len(words), bool), []
-    for a in built:
-        items += [a.items[k][0] or "" for k in a.match(words, hit)]
-    return len(words), hit, items
+def _read(paths: list[str], texts: list[str | None]):
+    """For each text the number of words, which of them are hit, and the ids of the items that occur (without null) and their number.
+
+    The texts go through one automaton after the other, so a batch loads each once.
+    """
+    hits: list[np.ndarray] = []
+    found: list[set] = [set() for _ in texts]
+    for turn, path in enumerate(paths or [None]):
+        for k, text in enumerate(texts):
+            words = words_of(text)
+            if not turn:
+                hits.append(np.zeros(len(words), bool))
+            if path is not None:
+                matcher = _load(path)
+                found[k].update(matcher.names[n] for n in matcher.match(words, hits[k]))
+    for hit, names in zip(hits, found):
+        yield len(hit), hit, sorted(n for n in names if n is not None), len(names)
+
+
+def _gathered(batches, paths: list[str]):
+    """Batches as they come if there is one automaton; else as many at a time as make GATHERED bytes, so that loading pays."""
+    held, size = [], 0
+    for batch in batches:
+        held.append(batch)
+        size += batch.nbytes
+        if len(paths) < 2 or size >= GATHERED:
+            yield pa.Table.from_batches(held).combine_chunks().to_batches()[0] if sum(b.num_rows for b in held) else held[0]
+            held, size = [], 0
+    if held:
+        yield pa.Table.from_batches(held).combine_chunks().to_batches()[0] if sum(b.num_rows for b in held) else held[0]
 
 
 def _over(hit: np.ndarray, min_coverage: float) -> bool:
@@ -210,11 +286,11 @@ def contamination(documents: DataFrame, benchmark: DataFrame, window: int = WIND
     spans: maximal runs [start, end) of hit words; contaminated: some are, and at least the share
     min_coverage of all words. With cut, a column text has the document without the text from
     the first to the last word of every span. Null or empty texts have no words and are clean;
-    a null item_id is hashed as the empty string; items without words match nothing; equal rows
-    give equal rows; other columns are ignored; an empty benchmark leaves everything clean.
+    items of one id count once, whatever their texts and rows; a null item_id counts, but is left out of items_sha256; items
+    without words match nothing; equal rows give equal rows; other columns are ignored; an empty benchmark leaves everything clean.
     """
     small_batches(documents.sparkSession)
-    shared = documents.sparkSession.sparkContext.broadcast(automata(benchmark, window))
+    paths = automata(benchmark, window)
     rows = documents.select(F.col("doc_id"), F.col("text").cast("string").alias("text"))
     schema = f"doc_id {dict(rows.dtypes)['doc_id']}, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean, spans array<struct<start:long,end:long>>" + (", text string" if cut else "")
     types = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.bool_(), pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])), pa.string()]
@@ -222,12 +298,12 @@ def contamination(documents: DataFrame, benchmark: DataFrame, window: int = WIND
 
     @tidy
     def scan(batches):
-        for batch in batches:
+        for batch in _gathered(batches, paths):
             columns: list[list] = [[] for _ in names]
-            for text in batch.column(1).to_pylist():
-                n, hit, items = _read(shared.value, text)
+            texts = batch.column(1).to_pylist()
+            for text, (n, hit, items, n_items) in zip(texts, _read(paths, texts)):
                 spans = _spans(hit).tolist()
-                row = [n, int(hit.sum()), len(items), hashlib.sha256(",".join(sorted(items)).encode()).hexdigest(), _over(hit, min_coverage), [{"start": a, "end": b} for a, b in spans]]
+                row = [n, int(hit.sum()), n_items, hashlib.sha256(",".join(items).encode()).hexdigest(), _over(hit, min_coverage), [{"start": a, "end": b} for a, b in spans]]
                 for column, value in zip(columns, row + [_without(text, spans)] * cut):
                     column.append(value)
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, t) for c, t in zip(columns, types))], names=["doc_id", *names])
@@ -241,16 +317,16 @@ def decontaminated(documents: DataFrame, benchmark: DataFrame, window: int = WIN
     A column n_chars is set anew where a span went. Conditions as in contamination().
     """
     small_batches(documents.sparkSession)
-    shared = documents.sparkSession.sparkContext.broadcast(automata(benchmark, window))
+    paths = automata(benchmark, window)
     names = documents.columns
     at = names.index("text")
 
     @tidy
     def clean(batches):
-        for batch in batches:
+        for batch in _gathered(batches, paths):
             keep, texts, changed = [], [], []
-            for text in batch.column(at).to_pylist():
-                _, hit, _ = _read(shared.value, text)
+            before = batch.column(at).to_pylist()
+            for text, (_, hit, _, _) in zip(before, _read(paths, before)):
                 keep.append(not _over(hit, min_coverage))
                 changed.append(bool(keep[-1] and hit.any()))
                 texts.append(_without(text, _spans(hit).tolist()) if changed[-1] else text)
