@@ -13,6 +13,7 @@ first, padded to a byte) and uint32 ranks.
 
 from __future__ import annotations
 
+import json
 import re
 import struct
 import uuid
@@ -123,13 +124,28 @@ class TokenFile:
         self.file.close()
 
 
+def by_words(definition: dict) -> bool:
+    """Whether a tokenizer, given its JSON definition, encodes a text's words one by one.
+
+    That is so for byte-level pair encoding that splits by the usual expression, changes nothing before, adds no space in
+    front, drops and cuts nothing, and has no added token that takes white space in or looks at its neighbours.
+    """
+    split, model = definition.get("pre_tokenizer") or {}, definition.get("model") or {}
+    plain = all(definition.get(x) is None for x in ("normalizer", "truncation", "padding"))
+    level = split.get("type") == "ByteLevel" and split.get("use_regex", True) and not split.get("add_prefix_space", True)
+    pairs = model.get("type") == "BPE" and not any(model.get(x) for x in ("dropout", "continuing_subword_prefix", "end_of_word_suffix"))
+    tokens = definition.get("added_tokens") or []
+    apart = all(not (t.get("lstrip") or t.get("rstrip") or t.get("single_word")) and not re.search(r"\s", t["content"]) for t in tokens)
+    return bool(plain and level and pairs and apart)
+
+
 class WordEncoder:
     """Whole-text encoding by the tokenizers library, with the ids of words kept.
 
     The tokenizer's splitting never joins characters over a space that stands between two non-space
     characters, so the ids of a text are those of its first word and of each further
-    word with its space. That needs a byte-level tokenizer without normaliser and every run of white
-    space that holds a space to be that single one; other texts go through the library whole.
+    word with its space. That holds for the tokenizers that by_words() admits and texts in which every run of white
+    space that holds a space is that single one; other tokenizers and texts go through the library whole.
     Words are kept in two generations, so that frequent ones outlive a full cache.
     """
 
@@ -137,6 +153,7 @@ class WordEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.whole_only = not by_words(json.loads(self.tokenizer.to_str()))
         self.first: dict[str, bytes] = {}
         self.rest: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
@@ -144,7 +161,7 @@ class WordEncoder:
         self.other = re.compile(r"[^\S \n]")
         size = self.tokenizer.get_vocab_size()
         self.opens = np.array([(self.tokenizer.id_to_token(i) or "").startswith("Ġ") for i in range(size)])
-        self.marks = {m: self._whole(m) for m in ".,"}
+        self.marks = {} if self.whole_only else {m: self._whole(m) for m in ".,"}
 
     def _whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
@@ -187,6 +204,8 @@ class WordEncoder:
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Little-endian uint32 ids of each text."""
+        if self.whole_only:
+            return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
         out: list[bytes | None] = []
         waiting, missing = [], set()
         for j, text in enumerate(texts):
