@@ -28,6 +28,7 @@ KINDS = ("email", "ip", "card", "phone", "term")
 LETTER = r"[^\x00-\x60\x7B-\x7F]"
 TERM = LETTER + "{3,}+"
 
+#: Characters beside a mention that count as its company: about a line of text on either side.
 CONTEXT = 80
 MIN_CONTEXTS = 3
 MIN_DISCLOSURE = 0.7
@@ -82,18 +83,18 @@ def _placed(rows: DataFrame) -> DataFrame:
     return rows.withColumn("end", end.cast("long")).withColumn("start", F.col("end") - F.col("length"))
 
 
-def _before(gap: Column) -> Column:
-    return F.when(F.length(gap) > CONTEXT, F.regexp_replace(F.right(gap, F.lit(CONTEXT)), r"^\S*\s", "")).otherwise(gap)
+def _before(gap: Column, context: int) -> Column:
+    return F.when(F.length(gap) > context, F.regexp_replace(F.right(gap, F.lit(context)), r"^\S*\s", "")).otherwise(gap)
 
 
-def _after(gap: Column) -> Column:
-    return F.when(F.length(gap) > CONTEXT, F.regexp_replace(F.left(gap, F.lit(CONTEXT)), r"\s\S*$", "")).otherwise(gap)
+def _after(gap: Column, context: int) -> Column:
+    return F.when(F.length(gap) > context, F.regexp_replace(F.left(gap, F.lit(context)), r"\s\S*$", "")).otherwise(gap)
 
 
-def base_spans(texts: DataFrame) -> DataFrame:
+def base_spans(texts: DataFrame, context: int = CONTEXT) -> DataFrame:
     """(doc_id, h, kind, start, end, value, left, right) of what the patterns find in texts(doc_id, h, text).
 
-    left and right: up to CONTEXT characters beside it, not past another match of the kind; an outer word goes only
+    left and right: up to context characters beside it, not past another match of the kind; an outer word goes only
     where a longer gap was cut.
     """
     text = F.col("text")
@@ -103,7 +104,7 @@ def base_spans(texts: DataFrame) -> DataFrame:
         kinds.append(F.struct(F.lit(kind).alias("kind"), matches.alias("m"), gaps.alias("g")))
     rows = texts.select(*_ROW, F.explode(F.array(*kinds)).alias("k")).where(F.size("k.m") > 0)
     # gaps are one more than matches: the pair after the last match is dropped
-    pairs = F.transform("k.m", lambda m, i: F.struct(m.alias("value"), F.length(F.get("k.g", i)).alias("gap"), _before(F.get("k.g", i)).alias("left"), _after(F.get("k.g", i + 1)).alias("right")))
+    pairs = F.transform("k.m", lambda m, i: F.struct(m.alias("value"), F.length(F.get("k.g", i)).alias("gap"), _before(F.get("k.g", i), context).alias("left"), _after(F.get("k.g", i + 1), context).alias("right")))
     rows = rows.select(*_ROW, F.col("k.kind").alias("kind"), F.posexplode(pairs).alias("i", "x")).select(*_ROW, "kind", "i", "x.*", F.length("x.value").alias("length"))
     placed = _placed(rows)
     return placed.where(_valid(F.col("kind"), F.col("value"))).select(*_ROW, "kind", "start", "end", "value", "left", "right")
@@ -122,15 +123,19 @@ def disclosing_terms(texts: DataFrame, spans: DataFrame, min_contexts: int = MIN
     """(term, entity, contexts, disclosure) of the terms that reveal an entity, from counts over all texts.
 
     A context is the text beside a mention without its cut-off outer words; copies of a context count once.
-    Documents with the term and documents with the entity are counted over the whole corpus.
+    Documents with the term, with the entity and with both are counted over the whole corpus, a repeated row as often as it
+    stands.
     """
     entity = F.concat(F.col("kind"), F.lit(":"), _lower(F.col("value")))
     side = F.concat(F.regexp_replace("left", EMAIL, " "), F.lit(" "), F.regexp_replace("right", EMAIL, " "))
     mentions = spans.select(*_ROW, entity.alias("entity"), _lower(side).alias("context"))
     near = mentions.select(*_ROW, "entity", F.xxhash64("context").alias("c"), F.explode(F.array_distinct(F.regexp_extract_all("context", F.lit(TERM), F.lit(0)))).alias("term"))
     contexts = near.select("entity", "term", "c").distinct().groupBy("entity", "term").agg(F.count("*").alias("contexts")).where(F.col("contexts") >= min_contexts)
-    both = near.select("entity", "term", *_ROW).distinct().groupBy("entity", "term").agg(F.count("*").alias("n_both"))
-    n_entity = mentions.select("entity", *_ROW).distinct().groupBy("entity").agg(F.count("*").alias("n_entity"))
+    # rows that are equal came out once: their number is that of the rows they stand for
+    times = keep(texts.where(_suspect(F.col("text"))).groupBy(F.col("doc_id").alias("id"), F.col("h").alias("hash")).agg(F.count("*").alias("times")), "pii-times")
+    rows_of = lambda df: df.distinct().join(times, F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("h") == F.col("hash")))
+    both = rows_of(near.select("entity", "term", *_ROW)).groupBy("entity", "term").agg(F.sum("times").alias("n_both"))
+    n_entity = rows_of(mentions.select("entity", *_ROW)).groupBy("entity").agg(F.sum("times").alias("n_entity"))
     n = float(max(1, texts.count()))
     content = F.log(F.lit(n) / F.col("n_entity"))
 
@@ -175,14 +180,14 @@ def term_spans(texts: DataFrame, terms: DataFrame) -> DataFrame:
     return _placed(rows).select(*_ROW, "kind", "start", "end")
 
 
-def find_pii(documents: DataFrame, min_contexts: int = MIN_CONTEXTS, min_disclosure: float = MIN_DISCLOSURE) -> DataFrame:
+def find_pii(documents: DataFrame, min_contexts: int = MIN_CONTEXTS, min_disclosure: float = MIN_DISCLOSURE, context: int = CONTEXT) -> DataFrame:
     """(doc_id, h, spans) of documents(doc_id, text, ...): spans as array<struct<start,rank,kind,end>> by start, then kind.
 
     One row per document, repeated rows included. Null texts are empty; an empty text has no spans and its
     row an empty array. Terms that overlap a base span are part of it and not listed.
     """
     texts = _texts(documents)
-    base = keep(base_spans(texts), "pii-base")
+    base = keep(base_spans(texts, context), "pii-base")
     terms = keep(disclosing_terms(texts, base, min_contexts, min_disclosure).select("term").distinct(), "pii-terms")
     rank = F.array_position(F.array(*map(F.lit, KINDS)), F.col("kind")).cast("int")
     spans = base.select(*_ROW, "kind", "start", "end").union(term_spans(texts, terms)).withColumn("rank", rank)
