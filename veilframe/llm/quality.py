@@ -14,6 +14,7 @@ from collections import Counter
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -91,22 +92,37 @@ def _matrix(column: pa.Array) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).reshape(-1, STATISTICS)
 
 
-def _summed(rows: DataFrame, part, size: int, groups: int = 8) -> np.ndarray:
-    """The sum over all batches of part(batch), an array of fixed size: summed in each task, then in a few groups, then here."""
+#: Sums that are added up in one place: of tasks in a group, of groups on the driver.
+FAN_IN = (1024, 16)
+
+
+def _summed(rows: DataFrame, part, size: int) -> np.ndarray:
+    """The sum over all batches of part(batch), an array of fixed size: summed in each task, then in two levels of groups, then here.
+
+    Sums of whole numbers are exact; others are added in the tasks' order, so that the same partitions give the same sum.
+    """
 
     def local(batches):
         total = np.zeros(size)
         for batch in batches:
             if batch.num_rows:
                 total += part(batch)
-        yield pa.RecordBatch.from_arrays([pa.array([zlib.crc32(total.tobytes()) % groups], pa.int64()), pa.array([total.tobytes()], pa.binary())], names=["g", "data"])
+        if total.any():
+            yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId()], pa.int64()), pa.array([total.tobytes()], pa.binary())], names=["g", "data"])
 
     def group(table: pa.Table) -> pa.Table:
-        total = sum((np.frombuffer(x, np.float64) for x in table.column("data").to_pylist()), np.zeros(size))
-        return pa.table({"g": pa.array([0], pa.int64()), "data": pa.array([total.tobytes()], pa.binary())})
+        total = np.zeros(size)
+        for _, i in sorted(zip(table.column("g").to_pylist(), range(table.num_rows))):
+            total += np.frombuffer(table.column("data")[i].as_py(), np.float64)
+        return pa.table({"g": pa.array([min(table.column("g").to_pylist())], pa.int64()), "data": pa.array([total.tobytes()], pa.binary())})
 
-    sums = rows.mapInArrow(local, "g long, data binary").groupBy("g").applyInArrow(group, "g long, data binary").collect()
-    return sum((np.frombuffer(r["data"], np.float64) for r in sums), np.zeros(size))
+    sums = rows.mapInArrow(local, "g long, data binary")
+    for groups in FAN_IN:
+        sums = sums.groupBy((F.col("g") % groups).alias("to")).applyInArrow(group, "g long, data binary")
+    total = np.zeros(size)
+    for r in sorted(sums.collect(), key=lambda r: r["g"]):
+        total += np.frombuffer(r["data"], np.float64)
+    return total
 
 
 def pool_adjacent_violators(sums: np.ndarray, weights: np.ndarray) -> np.ndarray:
@@ -184,7 +200,7 @@ def scored(documents: DataFrame, labels: DataFrame, label: str, learn: Column) -
     """
     stats = keep(with_statistics(documents), "quality-stats")
     known = labels.where(learn).select("doc_id", F.col(label).alias("label"))
-    model = fit(stats.join(known, "doc_id"), "label")
+    model = fit(keep(stats.join(known.where("label is not null"), "doc_id").select("stats", "label"), "quality-train"), "label")
 
     def score(batches):
         for batch in batches:
