@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .storage import keep
+from .storage import keep, unused
 
 WORD = r"[^\x20\x09-\x0D]+"
 BUCKET_ROWS = 4096
@@ -83,10 +83,11 @@ def mixed(documents: DataFrame, **how) -> DataFrame:
 
     The row that a source's cut goes through stays whole. All columns are kept; see mix() for the rest.
     """
+    id_, tie, number, mine, row, times, time = unused(documents.columns, "id", "tie", "number", "mine", "row", "times", "time")
+    nth = lambda *order, by: F.row_number().over(Window.partitionBy(*by).orderBy(*order))
     plan = mix(documents, **how).where("taken > 0")
-    number = lambda *order: F.row_number().over(Window.partitionBy("doc_id", "tie").orderBy(*order))
-    plan = plan.select(F.col("doc_id").alias("__id"), F.col("tie").alias("__tie"), number(F.desc("taken")).alias("__n"), F.ceil(F.col("taken") / F.col("size")).cast("int").alias("__times"))
-    rows = documents.withColumn("tie", F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit("")), F.col("source").cast("string")))
-    rows = rows.withColumn("__row", number(F.lit(0)))
-    taken = rows.join(plan, rows["doc_id"].eqNullSafe(plan["__id"]) & (rows["tie"] == plan["__tie"]) & (rows["__row"] == plan["__n"]))
-    return taken.withColumn("__time", F.explode(F.sequence(F.lit(1), F.col("__times")))).select(*(documents[c] for c in documents.columns))
+    plan = plan.select(F.col("doc_id").alias(id_), F.col("tie").alias(tie), nth(F.desc("taken"), by=("doc_id", "tie")).alias(number), F.ceil(F.col("taken") / F.col("size")).cast("int").alias(times))
+    rows = documents.withColumn(mine, F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit("")), F.col("source").cast("string")))
+    rows = rows.withColumn(row, nth(F.lit(0), by=("doc_id", mine)))
+    taken = rows.join(plan, F.col("doc_id").eqNullSafe(F.col(id_)) & (F.col(mine) == F.col(tie)) & (F.col(row) == F.col(number)))
+    return taken.withColumn(time, F.explode(F.sequence(F.lit(1), F.col(times)))).select(*documents.columns)
