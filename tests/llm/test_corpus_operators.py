@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
+import functools
 import hashlib
+import json
+import math
+import os
 import random
 import re
 import zlib
@@ -10,7 +14,9 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import public_tokenizers
+import pyarrow.parquet as pq
 import pytest
+import regex
 from frames import docs, edge_rows, sentence
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
@@ -168,14 +174,15 @@ def brute_contamination(text, items, window=13):
         for p in range(len(words) - n + 1):
             if tuple(words[p : p + n]) in grams:
                 hit[p : p + n] = True
-                found.add(str(item_id))
-    return len(words), int(hit.sum()), len(found), hashlib.sha256(",".join(sorted(found)).encode()).hexdigest(), bool(hit.any() and 20 * hit.sum() >= len(words))
+                found.add(item_id)
+    return len(words), int(hit.sum()), len(found), hashlib.sha256(",".join(sorted(str(i) for i in found if i is not None)).encode()).hexdigest(), bool(hit.any() and 20 * hit.sum() >= len(words))
 
 
 @pytest.fixture(scope="module")
 def bench_case():
     rng = random.Random(3)
     items = [(k, sentence(rng, rng.choice([1, 2, 5, 12, 13, 14, 40]))) for k in range(30)] + [(90, None), (91, ""), (92, "aa bb aa bb aa bb aa bb aa bb aa bb aa bb aa"), (93, "aa bb")]
+    items += [items[6], items[6], (items[6][0], items[7][1]), (None, items[8][1]), (None, items[8][1]), (None, "kept apart zq")]
     rows = edge_rows()
     for k in range(40):
         item = rng.choice(items)[1] or ""
@@ -204,6 +211,8 @@ def test_decontaminated_documents(spark, bench_case):
     bench = spark.createDataFrame(items, "item_id long, text string")
     kept = decontaminate.decontaminated(docs(spark, rows), bench)
     clean = Counter(i for i, t in rows if not brute_contamination(t, items)[4])
+    empty = decontaminate.decontaminated(docs(spark, rows), bench.limit(0))
+    assert Counter(map(tuple, empty.collect())) == Counter(map(tuple, docs(spark, rows).collect()))
     assert Counter(r["doc_id"] for r in kept.collect()) == clean and kept.columns == docs(spark, []).columns
     assert kept.where(F.length("text") != F.col("n_chars")).count() == 0
 
@@ -273,6 +282,73 @@ def test_words_at_the_ends_of_short_texts_count(spark):
     assert "x" not in pii.base_spans(pii._texts(long)).first()["left"]
 
 
+LETTERS = "[^\\x00-\\x60\\x7B-\\x7F]"
+PATTERNS = {"email": pii.EMAIL, "ip": pii.IP, "card": pii.CARD, "phone": pii.PHONE}
+
+
+def lower(text):
+    return "".join(c.lower() if c.isascii() else c for c in text)
+
+
+def brute_terms(rows, context=80, min_contexts=3, min_disclosure=0.7):
+    """The disclosing terms and every row's spans, row by row."""
+    base, near, spans = defaultdict(set), defaultdict(list), []
+    words_of_row = []
+    for n, (_, text) in enumerate(rows):
+        text = text or ""
+        words_of_row.append(set(regex.findall(LETTERS + "{3,}+", lower(text))))
+        mine = []
+        for rank, (kind, pattern) in enumerate(PATTERNS.items()):
+            found = list(regex.finditer(pattern, text))
+            for k, m in enumerate(found):
+                left = text[found[k - 1].end() if k else 0 : m.start()]
+                right = text[m.end() : found[k + 1].start() if k + 1 < len(found) else len(text)]
+                if f"{kind}:{m.start()}:{m.end()}" not in brute_pii(text).split(","):
+                    continue
+                mine.append((m.start(), rank, kind, m.end()))
+                left = regex.sub(r"^\S*\s", "", left[-context:]) if len(left) > context else left
+                right = regex.sub(r"\s\S*$", "", right[:context]) if len(right) > context else right
+                side = lower(regex.sub(pii.EMAIL, " ", left) + " " + regex.sub(pii.EMAIL, " ", right))
+                entity = f"{kind}:{lower(m[0])}"
+                base[entity].add(n)
+                for term in set(regex.findall(LETTERS + "{3,}+", side)):
+                    near[entity, term].append((n, side))
+        spans.append(mine)
+    terms = set()
+    for (entity, term), seen in near.items():
+        n, n_entity = len(rows), len(base[entity])
+        n_both, n_term = len({i for i, _ in seen}), sum(term in w for w in words_of_row)
+        content = math.log(n / n_entity)
+        disclosure = math.log(n_both * n / (n_entity * n_term)) / content if content > 1e-12 else 0.0
+        if len({c for _, c in seen}) >= min_contexts and disclosure >= min_disclosure:
+            terms.add(term)
+    out = []
+    for (doc_id, text), mine in zip(rows, spans):
+        for m in regex.finditer(LETTERS + "+", lower(text or "")):
+            if m[0] in terms and all(m.end() <= a or m.start() >= b for a, _, _, b in mine if _ != "term"):
+                mine = [*mine, (m.start(), 4, "term", m.end())]
+        out.append((doc_id, ",".join(f"{k}:{a}:{b}" for a, _, k, b in sorted(mine))))
+    return terms, Counter(out)
+
+
+def test_terms_equal_a_count_row_by_row(spark):
+    rng = random.Random(18)
+    people = {f"{sentence(rng, 1)}{k}@mail.example.org": sentence(rng, 2).title() for k in range(12)}
+    rows = edge_rows() + [(100 + k, sentence(rng, 40)) for k in range(150)]
+    for k in range(160):
+        mail, name = rng.choice(list(people.items()))
+        said = [sentence(rng, rng.randint(0, 25)), name if rng.random() < 0.8 else "", f"<{mail}>", sentence(rng, rng.randint(0, 25)), rng.choice(["", "+49 30 1234567", "10.2.0.7", rng.choice(list(people))])]
+        rows.append((400 + k, " ".join(said)))
+    rows += [(700 + k, f"seen {rng.choice(list(people.values()))} again") for k in range(20)]
+    rows += [rows[-40]] * 30 + [rows[-25]] * 2  # repeated rows, one of them often
+    terms, expected = brute_terms(rows)
+    assert len(terms) > 3
+    got = pii.find_pii(docs(spark, rows)).select("doc_id", pii.listed(F.col("spans")).alias("s")).collect()
+    assert Counter(map(tuple, got)) == expected
+    wide = pii.find_pii(docs(spark, rows), context=30, min_disclosure=0.4).select("doc_id", pii.listed(F.col("spans")).alias("s")).collect()
+    assert Counter(map(tuple, wide)) == brute_terms(rows, 30, 3, 0.4)[1]
+
+
 # token files
 
 
@@ -287,6 +363,45 @@ def test_token_round_trip(spark):
     assert [r["doc_id"] or -1 for r in got] == sorted((i or -1 for i, _ in rows))
 
 
+def test_only_tokenizers_that_split_into_words_are_encoded_by_words(spark):
+    good = json.loads(Tokenizer.from_file(TOKENIZER).to_str())
+    assert tokens.by_words(good)
+    token = good["added_tokens"][0]
+    for change in (
+        {"normalizer": {"type": "Lowercase"}},
+        {"pre_tokenizer": {**good["pre_tokenizer"], "add_prefix_space": True}},
+        {"pre_tokenizer": {**good["pre_tokenizer"], "use_regex": False}},
+        {"pre_tokenizer": {"type": "Whitespace"}},
+        {"pre_tokenizer": None},
+        {"model": {**good["model"], "dropout": 0.1}},
+        {"model": {"type": "WordLevel"}},
+        {"truncation": {"max_length": 5}},
+        {"added_tokens": [{**token, "lstrip": True}]},
+        {"added_tokens": [{**token, "content": "two words"}]},
+    ):
+        assert not tokens.by_words(good | change)
+    other = public_tokenizers.path("word_bpe_49k.json")
+    t, rows = Tokenizer.from_file(other), edge_rows() + [(40 + k, sentence(random.Random(k), 30).title()) for k in range(10)]
+    assert tokens.encoder(other).whole_only
+    got = tokens.read_tokens(tokens.write_tokens(docs(spark, rows), other)).collect()
+    ids = [(i, t.encode(x or "", add_special_tokens=False).ids + [0]) for i, x in rows]
+    assert Counter((r["doc_id"], r["ids_crc32"]) for r in got) == Counter((i, zlib.crc32(np.array(v, "<u4").tobytes())) for i, v in ids)
+
+
+@pytest.mark.parametrize("table", ["/root/testdata/sf0.01/documents.parquet"])
+def test_words_give_the_ids_of_whole_texts(table, monkeypatch):
+    """Every text of a table, with caches large and small enough to be emptied often."""
+    if not os.path.exists(table):
+        pytest.skip("no test tables")
+    texts = [t or "" for t in pq.read_table(table, columns=["text"]).column("text").to_pylist()]
+    t = Tokenizer.from_file(TOKENIZER)
+    expected = [np.array(e.ids, "<u4").tobytes() for e in t.encode_batch(texts, add_special_tokens=False)]
+    for words in (tokens.CACHE_WORDS, 3000):
+        monkeypatch.setattr(tokens, "CACHE_WORDS", words)
+        coder = tokens.WordEncoder(TOKENIZER)
+        assert [x for k in range(0, len(texts), 200) for x in coder.encode(texts[k : k + 200])] == expected
+
+
 def test_any_token_is_found_without_its_neighbours(spark):
     rows = [(k, sentence(random.Random(k), 300)) for k in range(20)]
     files = tokens.write_tokens(docs(spark, rows), TOKENIZER).collect()
@@ -397,6 +512,133 @@ def test_languages_of_unseen_documents(spark):
     assert [r[0] for r in none] == ["und"]
 
 
+def brute_languages(rows, learn):
+    """Prototypes and predictions, one letter and one trigram at a time."""
+    vector = functools.cache(lambda c: language.letter_vectors(np.array([c]))[0].astype(np.int64))
+
+    def bundle(text):
+        marks, found = [0], Counter()
+        for c in (text or "").lower():
+            if c.isalpha():
+                marks.append(ord(c))
+            elif marks[-1]:
+                marks.append(0)
+        if marks[-1]:
+            marks.append(0)
+        for a, b, c in zip(marks, marks[1:], marks[2:]):
+            if b:
+                found[a, b, c] += 1
+        return found
+
+    product = functools.cache(lambda a, b, c: np.roll(vector(a), 2) * np.roll(vector(b), 1) * vector(c))
+    sums: dict = {}
+    for i, text, lang, _ in rows:
+        grams = bundle(text)
+        if learn(i) and lang is not None and grams:
+            n = sum(grams.values())
+            sums[lang] = sums.get(lang, 0) + sum(k * language.UNIT // n * product(*g) for g, k in grams.items())
+    names = sorted(sums)
+    unit = lambda v: v / max(np.linalg.norm(v), 1e-12)
+    mean = sum(unit(sums[x].astype(float)) for x in names) / max(1, len(names)) if len(names) > 1 else 0
+    prototypes = {x: unit(unit(sums[x].astype(float)) - mean) for x in names}
+    out = []
+    for i, text, _, _ in rows:
+        grams = bundle(text)
+        if not grams or not names:
+            out.append((i, "und", 0.0))
+            continue
+        v = unit(sum(k * product(*g) for g, k in grams.items()).astype(float))
+        cosines = [float(prototypes[x] @ v) for x in names]
+        best = max(range(len(names)), key=lambda k: (round(cosines[k], 9), -k))
+        out.append((i, names[best], min(1.0, max(0.0, cosines[best]))))
+    return out
+
+
+def test_languages_equal_a_plain_count(spark):
+    rng = random.Random(22)
+    alphabet = {"aa": "abcdeéß", "bb": "abcdeñí", "cc": "абвгд", "dd": "漢字仮名交文", "ee": "àȏáņ"}
+    rows = [(k, " ".join("".join(rng.choice(alphabet[x]) for _ in range(rng.randint(1, 6))) for _ in range(rng.randint(1, 30))) + rng.choice(["", ".", " 12"]), x, "s") for k in range(120) for x in [rng.choice(list(alphabet))]]
+    rows += [(500, None, "aa", "s"), (501, "", "bb", "s"), (502, "12 !!", "aa", "s"), (503, "abc", None, "s"), (504, "ABC abc\x00abc", "bb", "s"), (505, "漢" * 3000, "dd", "s"), (505, "漢" * 3000, "dd", "s")]
+    df = docs(spark, rows).repartition(5)
+    expected = brute_languages(rows, lambda i: i % 3 != 0)
+    for parts in (5, 2):
+        prototypes = language.fit(df.repartition(parts), F.col("doc_id") % 3 != 0)
+        got = language.classify(df, prototypes).select("doc_id", "lang_pred", "score").collect()
+        assert Counter((r[0], r[1], round(r[2], 6)) for r in got) == Counter((i, x, round(s, 6)) for i, x, s in expected)
+    assert len({language.letter_vectors(np.array([c])).tobytes() for c in range(3000)}) == 3000
+
+
+def test_languages_that_tie_go_to_the_first_name(spark):
+    rows = [(k, "same words here", x, "s") for k, x in enumerate(["zz", "mm", "aa", "zz", "mm", "aa"])]
+    df = docs(spark, rows)
+    assert {r["lang_pred"] for r in language.classify(df, language.fit(df, F.lit(True))).collect()} == {"aa"}
+
+
+def test_languages_beside_columns_of_the_same_names(spark):
+    df = docs(spark, [(1, "wacht schiff", "xx", "s"), (2, "perro casa", "yy", "s")]).withColumnsRenamed({"h": "lang_pred", "key": "own_score"})
+    found, lang, score = language.identified(df, language.fit(df, F.lit(True)))
+    assert found.columns == [*df.columns, lang, score] and not {lang, score} & set(df.columns)
+    for r in found.collect():
+        assert (r["lang_pred"], r["score"], r["own_score"]) == ("x", "x", "x") and r[lang] == r["lang"]
+
+
+def brute_statistics(text):
+    """The 24 numbers, by counting characters, words and lines one at a time."""
+    data = (text or "").encode()
+    words, n = data.split(), len(data)
+    if not words:
+        return [0.0] * 24
+    k, share = len(words), lambda f: sum(map(f, data)) / n
+    sizes, counts = [len(w) for w in words], Counter(words)
+    lines = [x for x in data.split(b"\n") if x.strip()]
+    mean, top = sum(sizes) / k, sorted(counts.values(), reverse=True)
+    letter = lambda c: c >= 128 or chr(c).isalpha()
+    rest = lambda c: 33 <= c < 127 and not chr(c).isalnum() and chr(c) not in ".,;:!?'\"-()"
+    return [
+        math.log(n + 1), math.log(k + 1), mean, math.sqrt(sum((x - mean) ** 2 for x in sizes) / k), min(max(sizes), 100),
+        share(letter), share(lambda c: 65 <= c <= 90), share(lambda c: 48 <= c <= 57), share(lambda c: c in b" \t\n\r\x0b\x0c"), share(lambda c: c in b".,;:!?"), share(rest),
+        len(counts) / k, math.log(len(counts)) / math.log(k + 1), top[0] / k, sum(top[:3]) / k, len({(a, b) for a, b in zip(words, words[1:])}) / max(1, k - 1),
+        math.log(len(lines) + 1), len(set(lines)) / len(lines), sum(len(x) for i, x in enumerate(lines) if x in lines[:i]) / n, math.log(n / len(lines) + 1),
+        math.log(k / (sum(c in b".!?" for c in data) + 1) + 1), sum(x <= 3 for x in sizes) / k, len(zlib.compress(data, 1)) / (n + 32), sum(chr(w[0]).isupper() and w[0] < 128 for w in words) / k,
+    ]
+
+
+def test_quality_equals_one_fit_over_all_rows(spark):
+    rng = random.Random(24)
+    rows = edge_rows()[:5] + [(100 + k, ". ".join(sentence(rng, rng.randint(1, 9)).capitalize() for _ in range(rng.randint(1, 9))) + "." + "\nline x" * rng.randint(0, 3)) for k in range(150)]
+    rows += [(300 + k, " | ".join([sentence(rng, 1)] * rng.randint(1, 40)) + " 12!!") for k in range(120)]
+    labels = [(i, int(i is not None and i < 300), "x") for i, _ in rows[5:]] + [(100, 0, "again"), (1, None, "x"), (None, 1, "x"), (99999, 1, "x")]
+    known = [(i, y) for i, y, _ in labels if i is not None and i % 3 != 1 and y is not None]
+    stats = {i: brute_statistics(t) for i, t in rows}
+    x = np.array([stats[i] for i, _ in known if i in stats])
+    y = np.array([float(v) for i, v in known if i in stats])
+    mean, scale = x.mean(0), x.std(0)
+    scale[scale < 1e-9] = 1
+    draw = np.random.default_rng(7)
+    directions, phases = draw.normal(0, 1 / 5.0, (24, quality.FEATURES)), draw.uniform(0, 2 * np.pi, quality.FEATURES)
+    features = lambda v: np.append(np.sqrt(2 / quality.FEATURES) * np.cos(np.clip((v - mean) / scale, -8, 8) @ directions + phases), 1.0)
+    z = np.array([features(v) for v in x])
+    penalty = len(x) * 1e-4 * np.diag([*[1.0] * quality.FEATURES, 1e-9])
+    weights = np.linalg.solve(z.T @ z + penalty, z.T @ y)
+    place = lambda v: int(np.clip((features(v) @ weights + 0.5) / 2 * quality.BINS, 0, quality.BINS - 1))
+    at = np.array([place(v) for v in x])
+    used = sorted(set(at.tolist()))
+    total, hits = [int((at == b).sum()) for b in used], [float(y[at == b].sum()) for b in used]
+    level = [max(min(sum(hits[a : c + 1]) / sum(total[a : c + 1]) for c in range(b, len(used))) for a in range(b + 1)) for b in range(len(used))]
+
+    def score(v):
+        below = [k for k, b in enumerate(used) if b <= place(v)]
+        return level[below[-1]] if below else 0.0
+
+    df = docs(spark, rows).repartition(3)
+    frame = spark.createDataFrame(labels, "doc_id long, quality int, stats string")
+    found = quality.scored(df, frame, "quality", F.coalesce(F.col("doc_id") % 3 != 1, F.lit(False))).collect()
+    differ = [(r["doc_id"], r["score"], score(np.array(stats[r["doc_id"]]))) for r in found if abs(r["score"] - score(np.array(stats[r["doc_id"]]))) > 1e-9]
+    assert len(found) == len(rows) and not differ
+    for i, t in rows:
+        assert np.allclose(quality.statistics(t), stats[i], atol=1e-12)
+
+
 def test_quality_of_unseen_documents(spark):
     rng = random.Random(4)
     good = [(k, ". ".join(sentence(rng, 8).capitalize() for _ in range(rng.randint(2, 8))) + ".") for k in range(300)]
