@@ -16,10 +16,11 @@ TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language is determined; prototypes from three quarters of the labelled rows."""
+    """Documents whose language is determined, with the language found as their lang; prototypes from three quarters of the labelled rows."""
     remainder = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % 4
-    found = language.classify(docs, language.fit(docs, remainder != 2))
-    return found.where(F.col("lang_pred") != language.UNDETERMINED).select(*docs.columns)
+    found, lang, _ = language.identified(docs, language.fit(docs, remainder != 2))
+    known = found.where(F.col(lang) != language.UNDETERMINED)
+    return known.select(*(F.col(lang).alias(c) if c == "lang" else F.col(c) for c in docs.columns))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
