@@ -35,6 +35,8 @@ RECALL = 0.999
 BLOCK_BYTES = 16 << 20
 #: Classes whose pairs are verified at a time inside a task.
 ROWS = 1024
+#: The most bits of the filter by which texts are found again (32 MB).
+FILTER_BITS = 1 << 28
 #: Sets above this size are taken to allow every similarity.
 SMALL = 256
 
@@ -165,16 +167,47 @@ def signatures(documents: DataFrame, forest: Forest, shingle: int = SHINGLE) ->
     return documents.mapInArrow(scan, "doc_id long, cls binary, labels binary, need int, size long")
 
 
-def word_texts(documents: DataFrame) -> DataFrame:
-    """(cls, words) of documents(doc_id, text) with words: the words joined by spaces."""
+def _places(doc_id, bits: int) -> list:
+    return [F.pmod(F.xxhash64(doc_id, F.lit(i)), F.lit(bits)) for i in range(3)]
+
+
+def id_filter(ids: DataFrame, column: str, count: int) -> tuple[int, bytes]:
+    """(bits, bitmap): a Bloom filter of FILTER_BITS bits at most; what passes it wrongly is sorted out by the join after it."""
+    bits = min(FILTER_BITS, 1 << max(15, (16 * count - 1).bit_length()))
+    places = ids.select(F.explode(F.array(*_places(F.col(column), bits))).alias("place"))
+
+    def chunk(table: pa.Table) -> pa.Table:
+        place = table.column("place").to_numpy()
+        bitmap = np.zeros(1 << 15, bool)
+        bitmap[place & 0x7FFF] = True
+        return pa.table({"chunk": pa.array([int(place[0] >> 15)], pa.int64()), "data": pa.array([np.packbits(bitmap).tobytes()], pa.binary())})
+
+    chunks = places.distinct().withColumn("chunk", F.shiftright("place", 15)).groupBy("chunk").applyInArrow(chunk, "chunk long, data binary")
+    bitmap = bytearray(bits // 8)
+    for r in chunks.toLocalIterator():
+        bitmap[4096 * r["chunk"] : 4096 * (r["chunk"] + 1)] = r["data"]
+    return bits, bytes(bitmap)
+
+
+def word_texts(documents: DataFrame, bits: int, bitmap: bytes) -> DataFrame:
+    """(cls, words) of documents(doc_id, text) with words that pass the filter: the words joined by spaces.
+
+    The filter stands here and not as a join, which would shuffle all texts to find the few whose words are needed.
+    """
+    shared = documents.sparkSession.sparkContext.broadcast(bitmap)
 
     @tidy
     def scan(batches):
+        wanted = np.frombuffer(shared.value, np.uint8)
         for batch in batches:
-            rows = [b" ".join(w) for w in map(_words, batch.column(1).to_pylist()) if w]
+            places = [batch.column(i).to_numpy() for i in (1, 2, 3)]
+            chosen = np.logical_and.reduce([(wanted[p >> 3] >> (7 - (p & 7)).astype(np.uint8)) & 1 == 1 for p in places])
+            texts = batch.column(0).filter(pa.array(chosen)).to_pylist()
+            rows = [b" ".join(w) for w in map(_words, texts) if w]
             yield pa.RecordBatch.from_arrays([pa.array([hashlib.md5(r).digest() for r in rows], pa.binary()), pa.array(rows, pa.binary())], names=["cls", "words"])
 
-    return documents.mapInArrow(scan, "cls binary, words binary")
+    rows = documents.where("doc_id is not null").select("text", *(p.alias(f"p{i}") for i, p in enumerate(_places(F.col("doc_id"), bits))))
+    return rows.mapInArrow(scan, "cls binary, words binary")
 
 
 def trie_groups(classes: DataFrame, forest: Forest) -> DataFrame:
@@ -442,7 +475,7 @@ def jaccard_links(documents: DataFrame, threshold: float = THRESHOLD, shingle: i
     crowded = comps.groupBy("comp").agg(F.count("*").alias("n")).where("n > 1").select("comp")
     comps = keep(comps.join(crowded, "comp", "left_semi"), "jaccard-components")
     active = keep(comps.join(classes, "rep").select("rep", "cls", "copies", "labels", "size", "comp"), "jaccard-active")
-    words = word_texts(texts.join(active.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi"))
+    words = word_texts(texts, *id_filter(active, "rep", active.count()))
     checked = _tasks(active, nodes, block_bytes).join(words, "cls").groupBy("task").applyInArrow(_verify(threshold, shingle, forest), "cls binary, links long, root binary")
     checked = keep(checked, "jaccard-checked")
     links = checked.groupBy("cls").agg(F.sum("links").alias("links"))
