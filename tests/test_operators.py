@@ -13,7 +13,7 @@ from veilframe.functions.quantiles import exact_quantiles
 from veilframe.functions.ranking import hashed_row_number
 from veilframe.operators import bayesnet, binning, clean, ctgan, encode, mixture, mlutil, privacy, sampling, stats
 from veilframe.plans import evaluation, recipes
-from veilframe.sources import files
+from veilframe.sources import files, plots
 from veilframe.sources.tables import adult_schema
 
 
@@ -289,6 +289,56 @@ def test_gzip_scan(spark, tmp_path):
     assert files.scan_csv(spark, str(tmp_path / "a.csv.gz"), adult_schema()).count() == 2
 
 
+def test_tables_are_fetched_once(spark, tmp_path):
+    import gzip
+
+    from veilframe.sources.tables import COVERTYPE_COLUMNS
+
+    (tmp_path / "adult.data").write_text(ADULT)
+    (tmp_path / "adult.test").write_text("|1x3 Cross validator\n" + ADULT.replace("K\n", "K.\n"))
+    with gzip.open(tmp_path / "covtype.data.gz", "wt") as f:
+        f.write(",".join(str(i) for i in range(len(COVERTYPE_COLUMNS))) + "\n")
+    urls = [(tmp_path / n).as_uri() for n in ("adult.data", "adult.test", "covtype.data.gz")]
+    assert files.fetch_adult(spark, tmp_path / "local", tuple(urls[:2])).count() == 4
+    assert files.fetch_covertype(spark, tmp_path / "local", urls[2]).first()["Slope"] == 2
+    (tmp_path / "adult.data").unlink()
+    assert files.fetch(urls[0], tmp_path / "local" / "adult.data") == str(tmp_path / "local" / "adult.data")
+    with pytest.raises(OSError):
+        files.fetch(urls[0], tmp_path / "other" / "adult.data")
+    assert not list((tmp_path / "other").iterdir())
+
+
+def test_plots_of_awkward_values(spark, tmp_path):
+    import xml.dom.minidom as xml
+
+    rows = [("a", f"<v{k}> & \u00e9", 0.01, 0.02) for k in range(60)] + [("b", "x", 1.0, 0.0)]
+    plots.marginal_bars(spark.createDataFrame(rows, "column_name string, value string, real_share double, synthetic_share double"), tmp_path / "bars.svg")
+    cells = spark.createDataFrame([("p", "q", 0.5), ("q", "p", None), ("p", "p", 0.0)], "a string, b string, difference double")
+    plots.matrix_cells(cells, "difference", tmp_path / "deep" / "matrix.svg")
+    plots.matrix_cells(cells.limit(0), "difference", tmp_path / "empty.svg")
+    drawn = {p.name: len(xml.parse(str(p)).getElementsByTagName("rect")) for p in tmp_path.rglob("*.svg")}
+    assert drawn == {"bars.svg": 2 * plots.MAX_BARS + 2 + 2, "matrix.svg": 2, "empty.svg": 0}
+
+
+def test_command_line(spark, tmp_path, monkeypatch):
+    import functools
+
+    body = "".join(ADULT.splitlines(keepends=True)[k % 2].replace("39", str(20 + k), 1) for k in range(60))
+    (tmp_path / "train").write_text(body)
+    (tmp_path / "test").write_text("|1x3 Cross validator\n" + body.replace("K\n", "K.\n"))
+    monkeypatch.setattr(evaluation, "run", functools.partial(evaluation.run, models=mlutil.MODELS[:1]))
+    out = tmp_path / "out"
+    evaluation.main(["--synthesizer", "privbayes", "--dataset", "adult", "--epsilon", "1", "--n-trials", "1", "--train-size", "40", "--test-size", "20", "--data", str(tmp_path / "train"), str(tmp_path / "test"), "--out", str(out)])
+    kept = spark.read.parquet(str(out / "metrics"))
+    assert kept.where("status = 'ok'").count() >= 8 and kept.where("metric = 'plots'").count() == 0
+    folder = out / "adult_privbayes_eps_1.0"
+    assert {p.name for p in folder.iterdir()} >= {"marginal_distributions_trial_1.svg", "correlation_difference_trial_1.svg", "marginal_distributions_trial_1"}
+    shares = spark.read.csv(str(folder / "marginal_distributions_trial_1"), header=True)
+    assert shares.select("column_name").distinct().count() == evaluation.MARGINAL_COLUMNS
+    with pytest.raises(SystemExit):
+        evaluation.main(["--synthesizer", "none"])
+
+
 def test_evaluation_end_to_end(spark, tmp_path):
     df = spark.range(240).select(
         F.col("id").alias("o_orderkey"), F.when(F.col("id") % 3 == 0, " a ").otherwise("b").alias("segment"), F.concat((F.col("id") % 2).cast("string"), F.lit(".")).alias("priority"),

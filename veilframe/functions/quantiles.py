@@ -38,19 +38,37 @@ def _elements(values: DataFrame, ranks: list[int], n: int, limit: int) -> dict[i
     return out
 
 
-def exact_quantiles(df: DataFrame, column: str, probabilities: list[float], limit: int = DIRECT) -> list[float | None]:
-    """Quantiles of the column without nulls and NaN; None each if nothing is left.
+def frame_quantiles(df: DataFrame, wanted: dict[str, list[float]], limit: int = DIRECT) -> dict[str, list[float | None]]:
+    """Quantiles of several columns without nulls and NaN; None each for a column with nothing left.
 
-    Above ``limit`` values the ranks are narrowed down by approximate cuts and exact counts until the
-    values around each fit one task. Every pass is an aggregation.
+    One job counts, and one takes the quantiles of as many columns as have limit values together. Columns of more values have
+    their ranks narrowed down by approximate cuts and exact counts until the values around each fit one task. Every
+    pass is an aggregation.
     """
-    values = df.select(F.nanvl(F.col(column).cast("double"), F.lit(None).cast("double")).alias("v")).where("v is not null")
-    n = values.count()
-    if not n:
-        return [None] * len(probabilities)
-    if n <= limit:
-        return list(values.agg(F.percentile("v", F.array(*(F.lit(float(p)) for p in probabilities)))).first()[0])
-    places = [(n - 1) * p for p in probabilities]
-    ranks = sorted({math.floor(h) for h in places} | {math.ceil(h) for h in places})
-    at = _elements(values, ranks, n, limit)
-    return [at[math.floor(h)] + (at[math.ceil(h)] - at[math.floor(h)]) * (h - math.floor(h)) for h in places]
+    if not wanted:
+        return {}
+    values = df.select(*(F.nanvl(F.col(c).cast("double"), F.lit(None).cast("double")).alias(f"v{i}") for i, c in enumerate(wanted)))
+    counts = dict(zip(wanted, values.agg(*(F.count(f"v{i}") for i in range(len(wanted)))).first()))
+    found: dict[str, list[float | None]] = {c: [None] * len(p) for c, p in wanted.items()}
+    places = {c: i for i, c in enumerate(wanted)}
+    groups: list[list[str]] = [[]]
+    for c in sorted((c for c in wanted if 0 < counts[c] <= limit), key=counts.__getitem__):
+        if groups[-1] and sum(counts[x] for x in groups[-1]) + counts[c] > limit:
+            groups.append([])
+        groups[-1].append(c)
+    for group in filter(None, groups):
+        row = values.agg(*(F.percentile(f"v{places[c]}", F.array(*(F.lit(float(p)) for p in wanted[c]))) for c in group)).first()
+        found |= {c: list(r) for c, r in zip(group, row)}
+    for c in wanted:
+        if counts[c] > limit:
+            n, column = counts[c], values.select(F.col(f"v{places[c]}").alias("v")).where("v is not null")
+            at = [(n - 1) * p for p in wanted[c]]
+            ranks = sorted({math.floor(h) for h in at} | {math.ceil(h) for h in at})
+            element = _elements(column, ranks, n, limit)
+            found[c] = [element[math.floor(h)] + (element[math.ceil(h)] - element[math.floor(h)]) * (h - math.floor(h)) for h in at]
+    return found
+
+
+def exact_quantiles(df: DataFrame, column: str, probabilities: list[float], limit: int = DIRECT) -> list[float | None]:
+    """frame_quantiles() of one column."""
+    return frame_quantiles(df, {column: probabilities}, limit)[column]

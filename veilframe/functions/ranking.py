@@ -27,3 +27,25 @@ def hashed_row_number(df: DataFrame, seed: int | str, key: str, output: str, by:
         on = on & F.col(by).eqNullSafe(F.col("__by"))
     numbered = df.withColumn("__r", F.row_number().over(inside)).join(offsets, on)
     return numbered.withColumn(output, (F.col("__r") + F.col("__o")).cast("long")).drop("__d", "__b", "__ob", "__by", "__o", "__r")
+
+
+def in_ranges(df: DataFrame, column: str, part: str) -> DataFrame:
+    """df with a number for each of the ranges that its rows are sorted into; ranges ascend with their numbers."""
+    n = max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    return df.repartitionByRange(n, column).withColumn(part, F.spark_partition_id())
+
+
+def prefix_sum(df: DataFrame, column: str, value: Column, before: str, up_to: str) -> DataFrame:
+    """df with the sums of value over all rows before, and up to, each one in the order of a column without repeats.
+
+    Rows are summed within ranges of the column, and each range is moved on by those before it, so that no task sees more than
+    a range. A row's first sum is exactly the second one of the row before it.
+    """
+    ranged = in_ranges(df.withColumn("__v", value), column, "__p")
+    inside = Window.partitionBy("__p").orderBy(column)
+    first = Window.unboundedPreceding
+    local = ranged.withColumns({"__a": F.coalesce(F.sum("__v").over(inside.rowsBetween(first, -1)), F.lit(0)), "__b": F.sum("__v").over(inside.rowsBetween(first, 0))})
+    ends = local.groupBy(F.col("__p").alias("__q")).agg(F.max_by("__b", column).alias("__s"))
+    offsets = ends.select("__q", F.coalesce(F.sum("__s").over(Window.orderBy("__q").rowsBetween(first, -1)), F.lit(0)).alias("__o"))
+    moved = local.join(offsets, F.col("__p") == F.col("__q"))
+    return moved.withColumns({before: F.col("__a") + F.col("__o"), up_to: F.col("__b") + F.col("__o")}).drop("__v", "__p", "__q", "__o", "__a", "__b")

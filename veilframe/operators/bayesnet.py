@@ -120,9 +120,9 @@ def noisy_marginal(df: DataFrame, node: str, epsilon: float, noise: Noise) -> Da
     """(parent_value, value, prob) of the root: counts with noise, held to 0 or more, normalised; uniform if nothing is left."""
     counts = noise(node, value_counts(df, node), F.col("value"), 1.0 / epsilon)
     noisy = counts.withColumn("c", F.greatest(F.lit(0.0), F.col("n") + F.col("noise")))
-    everything = Window.partitionBy(F.lit(0))
-    total = F.sum("c").over(everything)
-    return noisy.select(F.lit(None).cast("string").alias("parent_value"), "value", F.when(total > 0, F.col("c") / total).otherwise(F.lit(1.0) / F.count("*").over(everything)).alias("prob"))
+    sums = noisy.agg(F.sum("c").alias("total"), F.count("*").alias("cells"))
+    prob = F.when(F.col("total") > 0, F.col("c") / F.col("total")).otherwise(F.lit(1.0) / F.col("cells"))
+    return noisy.join(sums, how="cross").select(F.lit(None).cast("string").alias("parent_value"), "value", prob.alias("prob"))
 
 
 def noisy_conditional(df: DataFrame, parent: str, node: str, epsilon: float, noise: Noise) -> DataFrame:

@@ -49,12 +49,20 @@ class Bins:
         return max(0, bisect_left(self.edges, x) - 1)
 
 
-def fit_bins(df: DataFrame, column: str, q: int) -> Bins:
-    """Edges at the k/q quantiles, duplicates dropped."""
-    found = exact_quantiles(df, column, [k / q for k in range(q + 1)])
+def quantile_edges(q: int) -> list[float]:
+    return [k / q for k in range(q + 1)]
+
+
+def bins_at(found: list[float | None]) -> Bins:
+    """Bins between quantiles, duplicates dropped."""
     return Bins(tuple(sorted({e for e in found if e is not None})))
 
 
+def fit_bins(df: DataFrame, column: str, q: int) -> Bins:
+    """Edges at the k/q quantiles."""
+    return bins_at(exact_quantiles(df, column, quantile_edges(q)))
+
+
 def apply_bins(df: DataFrame, column: str, bins: Bins, output: str | None = None) -> DataFrame:
     return df.withColumn(output or column, bins.label(F.col(column).cast("double")))
 
@@ -65,7 +73,11 @@ def zero_inflated(df: DataFrame, column: str, threshold: float | None, output: s
     return df.withColumn(output or column, F.when(x == 0, "None").when(x <= threshold, "Low").otherwise("High"))
 
 
-def high_threshold(df: DataFrame, column: str, probability: float = 0.9) -> float | None:
+#: The share of values up to which a zero-inflated number is low.
+HIGH = 0.9
+
+
+def high_threshold(df: DataFrame, column: str, probability: float = HIGH) -> float | None:
     return exact_quantiles(df, column, [probability])[0]
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.quantiles import exact_quantiles
+from ..functions.quantiles import frame_quantiles
 
 #: Numbers of distinct values up to which a column counts as discrete, by rule.
 COMPARE_LIMIT, SYNTHESIS_LIMIT = 20, 10
@@ -48,8 +48,8 @@ def strip_literal(df: DataFrame, column: str, literal: str = ".") -> DataFrame:
 
 def impute_median(df: DataFrame, columns: list[str], reference: DataFrame | None = None) -> DataFrame:
     """Nulls become the column's median, in the reference frame if there is one."""
-    medians = {c: exact_quantiles(df if reference is None else reference, c, [0.5])[0] for c in columns}
-    return df.withColumns({c: F.coalesce(F.col(c).cast("double"), F.lit(m).cast("double")) for c, m in medians.items()})
+    medians = frame_quantiles(df if reference is None else reference, {c: [0.5] for c in columns})
+    return df.withColumns({c: F.coalesce(F.col(c).cast("double"), F.lit(m).cast("double")) for c, (m,) in medians.items()})
 
 
 def impute_mean(df: DataFrame, columns: list[str]) -> DataFrame:

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.numeric import clip, gaussian_pdf
+from ..functions.ranking import prefix_sum
 
 #: Categories that an encoding may spread over columns.
 MAX_CATEGORIES = 1000
@@ -17,7 +18,7 @@ def category_codes(frames: list[DataFrame], column: str) -> DataFrame:
     for df in frames:
         mine = df.select(F.col(column).cast("string").alias("value")).where("value is not null").distinct()
         values = mine if values is None else values.union(mine)
-    return values.distinct().select("value", (F.dense_rank().over(Window.orderBy("value")) - 1).cast("int").alias("code"))
+    return prefix_sum(values.distinct(), "value", F.lit(1), "code", "__next").select("value", F.col("code").cast("int").alias("code"))
 
 
 def encode(df: DataFrame, column: str, codes: DataFrame, output: str) -> DataFrame:

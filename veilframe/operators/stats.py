@@ -48,6 +48,14 @@ def missing_counts(df: DataFrame, columns: list[str]) -> DataFrame:
     return tall(df, {c: F.count_if(F.col(c).isNull()) for c in columns}, "column_name", "n_missing")
 
 
+def frame_summary(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
+    """(position, column_name, data_type, n_present, n_missing) of the columns; NaN counts as present."""
+    kinds, columns = dict(df.dtypes), columns or df.columns
+    row = df.agg(F.count("*").alias("n"), *(F.count(F.col(f"`{c}`")).alias(f"a{i}") for i, c in enumerate(columns)))
+    parts = [F.struct(F.lit(i).alias("position"), F.lit(c).alias("column_name"), F.lit(kinds[c]).alias("data_type"), F.col(f"a{i}").alias("n_present"), (F.col("n") - F.col(f"a{i}")).alias("n_missing")) for i, c in enumerate(columns)]
+    return row.select(F.explode(F.array(*parts)).alias("p")).select("p.*")
+
+
 def correlation_matrix(df: DataFrame, columns: list[str]) -> DataFrame:
     """(a, b, r) of every ordered pair over the rows that have both, r null with a constant: one aggregation over the upper triangle."""
     pairs = [(a, b) for i, a in enumerate(columns) for b in columns[i:]]

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from ..operators import bayesnet, ctgan, mlutil, privacy, sampling, stats
 from ..operators.clean import harmonise
 from ..operators.encode import category_codes, encode
-from ..sources import files
+from ..sources import files, plots
 from . import recipes
 
 METRICS = "dataset string, synthesizer string, epsilon double, trial int, metric string, submetric string, value double, status string, error string"
@@ -68,16 +68,22 @@ def check_columns(synthetic: DataFrame, columns: list[str]) -> DataFrame:
     return synthetic.select(*columns)
 
 
+def correlation_gap(real: DataFrame, synthetic: DataFrame, columns: list[str]) -> DataFrame:
+    """(a, b, difference) of the frames' correlations, categories by their codes."""
+    left, right, roles = harmonise(real, synthetic, columns)
+    plain = [left, right]  # codes come from these, so that a column's plan does not hold those of the columns before it
+    for c in columns:
+        if roles[c] == "categorical":
+            codes = category_codes(plain, c)
+            left, right = (encode(x, c, codes, f"{c}__code").drop(c).withColumnRenamed(f"{c}__code", c) for x in (left, right))
+    return stats.correlation_difference(*(stats.correlation_matrix(x, columns) for x in (left, right)))
+
+
 def evaluate_statistical(real: DataFrame, synthetic: DataFrame, columns: list[str], key: str) -> list[tuple[str, str, Callable[[], float]]]:
     """(metric, submetric, how to get it): the norm of the correlations' difference, and the propensity error with its floor."""
 
     def norm() -> float:
-        left, right, roles = harmonise(real, synthetic, columns)
-        for c in columns:
-            if roles[c] == "categorical":
-                codes = category_codes([left, right], c)
-                left, right = (encode(x, c, codes, f"{c}__code").drop(c).withColumnRenamed(f"{c}__code", c) for x in (left, right))
-        return stats.frobenius(stats.correlation_difference(*(stats.correlation_matrix(x, columns) for x in (left, right)))).first()["norm"]
+        return stats.frobenius(correlation_gap(real, synthetic, columns)).first()["norm"]
 
     found: dict = {}
 
@@ -142,6 +148,16 @@ def marginal_data(real: DataFrame, synthetic: DataFrame, columns: list[str]) ->
     return out
 
 
+def _write_plots(real: DataFrame, synthetic: DataFrame, columns: list[str], folder: Path, trial: int) -> float:
+    """The marginals of a trial as a table and as bars, and the matrix of the correlations' differences; the number of files."""
+    shares = marginal_data(real, synthetic, columns).cache()
+    files.write_csv(shares, str(folder / f"marginal_distributions_trial_{trial}"))
+    plots.marginal_bars(shares, folder / f"marginal_distributions_trial_{trial}.svg")
+    plots.matrix_cells(correlation_gap(real, synthetic, columns), "difference", folder / f"correlation_difference_trial_{trial}.svg")
+    shares.unpersist()
+    return 3.0
+
+
 def nested(aggregates: DataFrame) -> dict:
     """{metric: {mean, ...}} or {metric: {submetric: {mean, ...}}} with sorted keys."""
     out: dict = {}
@@ -170,6 +186,7 @@ def run(spark: SparkSession, data: DataFrame, dataset: str, name: str, target: s
     discrete = [c for c in columns if c in meta.discrete_columns]
     rows = []
     for epsilon in epsilons:
+        folder = files.results_dir(out, dataset, name, epsilon) if out else None
         kept: dict[str, list] = {"statistical": [], "privacy": [], "ml": []}
         for trial in range(1, n_trials + 1):
             labels = (dataset, name, float(epsilon), trial)
@@ -189,11 +206,15 @@ def run(spark: SparkSession, data: DataFrame, dataset: str, name: str, target: s
                 found = measure(tasks, labels)
                 kept[part] += found
                 rows += found
+                if out and part == "statistical":
+                    found = measure([("plots", "", lambda: _write_plots(train, synthetic, columns, folder, trial))], labels)
+                    rows += [r for r in found if r[7] != "ok"]
+                    found = kept[part][-len(tasks) :]
                 if out and part != "ml":
-                    files.write_json({f"{r[4]}.{r[5]}".rstrip("."): r[6] for r in found if r[7] == "ok"}, files.results_dir(out, dataset, name, epsilon) / f"{part}_metrics_trial_{trial}.json")
+                    files.write_json({f"{r[4]}.{r[5]}".rstrip("."): r[6] for r in found if r[7] == "ok"}, folder / f"{part}_metrics_trial_{trial}.json")
         if out:
             done = {p: nested(stats.aggregate_trials(spark.createDataFrame([r for r in v if r[7] == "ok"], METRICS))) if any(r[7] == "ok" for r in v) else {} for p, v in kept.items()}
-            files.write_aggregates(files.results_dir(out, dataset, name, epsilon), done["statistical"], done["privacy"], done["ml"])
+            files.write_aggregates(folder, done["statistical"], done["privacy"], done["ml"])
     return spark.createDataFrame(rows, METRICS)
 
 

@@ -20,7 +20,7 @@ _FRAMES = {
 def sql(body: str, **more: str) -> str:
     """body with the frames and further tables as common table expressions."""
     tables = ", ".join(f"{name} AS ({text})" for name, text in (_FRAMES | more).items())
-    return f"WITH {tables} {body}"
+    return f"WITH RECURSIVE {tables} {body}"
 
 
 def r6(x: str) -> str:
@@ -92,8 +92,48 @@ _CELL = "parent || '|' || child"
 _ORDER = "md5('42|' || o_orderkey)"
 _INTERVALS = "SELECT {p} parent, value, coalesce(sum(n) OVER ({w} ORDER BY value ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) / sum(n) OVER ({w}), 0) AS lo, CASE WHEN row_number() OVER ({w} ORDER BY value DESC) = 1 THEN 1e0 ELSE sum(n) OVER ({w} ORDER BY value ROWS UNBOUNDED PRECEDING) / sum(n) OVER ({w}) END AS hi FROM {t}"
 
+# The network: counts of all pairs, the spanning tree (an edge is in it unless heavier ones connect its ends), and its walk.
+
+
+def _network(table: str, columns: list[str]) -> dict[str, str]:
+    pairs = " UNION ALL ".join(f"SELECT '{a}' AS a, '{b}' AS b, {a}::VARCHAR AS x, {b}::VARCHAR AS y FROM {table}" for a in columns for b in columns if a != b)
+    other = lambda of: f"CASE WHEN e.a = {of}.node THEN e.b ELSE e.a END"
+    return {
+        "cells": f"SELECT a, b, x, y, count(*)::DOUBLE AS n FROM ({pairs}) WHERE x IS NOT NULL AND y IS NOT NULL GROUP BY ALL",
+        "sums": "SELECT *, sum(n) OVER (PARTITION BY a, b) AS t, sum(n) OVER (PARTITION BY a, b, x) AS nx, sum(n) OVER (PARTITION BY a, b, y) AS ny FROM cells WHERE a < b",
+        "ranked": "SELECT a, b, mi, row_number() OVER (ORDER BY mi DESC, a, b) AS r FROM (SELECT a, b, sum(n / t * ln(n * t / (nx * ny))) AS mi FROM sums GROUP BY a, b)",
+        "reach": f"SELECT r, a AS node FROM ranked UNION SELECT reach.r, {other('reach')} FROM reach JOIN ranked AS e ON e.r < reach.r AND reach.node IN (e.a, e.b)",
+        "tree": "SELECT * FROM ranked WHERE NOT EXISTS (SELECT 1 FROM reach WHERE reach.r = ranked.r AND reach.node = ranked.b)",
+        "first_node": "SELECT node FROM (SELECT a AS node FROM tree UNION ALL SELECT b FROM tree) GROUP BY node ORDER BY count(*) DESC, node LIMIT 1",
+        "walk": f"SELECT node, NULL::VARCHAR AS parent, 0 AS level FROM first_node UNION ALL SELECT {other('walk')}, walk.node, level + 1 FROM walk JOIN tree AS e ON walk.node IN (e.a, e.b) AND {other('walk')} IS DISTINCT FROM walk.parent",
+    }
+
+
+_BINNED = ["price_bin", "o_orderstatus", "o_orderpriority", "c_mktsegment"]
+_KEYED = "(('0x' || substr(md5({key}), 1, 8))::UBIGINT::DOUBLE / 4294967296e0)"
+_PRIVATE = {
+    "cuts": _cut("people", "o_totalprice", 5),
+    "labels_": _labelled(5),
+    "binned": "SELECT label AS price_bin, o_orderstatus, o_orderpriority, c_mktsegment FROM people JOIN labels_ ON (o_totalprice > lo OR (k = 0 AND o_totalprice = lo)) AND o_totalprice <= hi",
+    **_network("binned", _BINNED),
+    "counts": "SELECT node, NULL::VARCHAR AS parent_value, x AS value, sum(n) AS n, 2e0 AS scale, x AS cell FROM walk JOIN cells ON a = node WHERE parent IS NULL AND b = (SELECT min(b) FROM cells WHERE a = node) GROUP BY node, x "
+    "UNION ALL SELECT g.node, g.x, g.y, coalesce(n, 0), 6e0, g.x || '|' || g.y FROM (SELECT node, parent, p.x, c.x AS y FROM walk, LATERAL (SELECT DISTINCT x FROM cells WHERE a = parent) AS p, LATERAL (SELECT DISTINCT x FROM cells WHERE a = node) AS c WHERE parent IS NOT NULL) AS g "
+    "LEFT JOIN cells ON cells.a = g.parent AND cells.b = g.node AND cells.x = g.x AND cells.y = g.y",
+    "noisy": f"SELECT *, greatest(0e0, n + (-scale * sign(u - 0.5e0)::DOUBLE * ln(greatest(1e0 - 2e0 * abs(u - 0.5e0), 1e-300)))) AS c FROM (SELECT *, {_KEYED.format(key="'42|' || node || '|' || cell")} AS u FROM counts)",
+    "probs": "SELECT node, parent_value, value, CASE WHEN sum(c) OVER w > 0 THEN c / sum(c) OVER w ELSE 1e0 / count(*) OVER w END AS prob FROM noisy WINDOW w AS (PARTITION BY node, parent_value)",
+    "tables_": "SELECT *, coalesce(sum(prob) OVER (w ORDER BY value ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) / sum(prob) OVER w, 0) AS lo, "
+    "CASE WHEN row_number() OVER (w ORDER BY value DESC) = 1 THEN 1e0 ELSE sum(prob) OVER (w ORDER BY value ROWS UNBOUNDED PRECEDING) / sum(prob) OVER w END AS hi FROM probs WINDOW w AS (PARTITION BY node, parent_value)",
+}
+_DRAWN = f"""SELECT id AS row, t.node, t.value FROM range({fx.SAMPLE_ROWS}) AS rows_(id), tables_ AS t JOIN walk ON walk.node = t.node AND walk.parent IS NULL
+    WHERE {_KEYED.format(key="'42|draw|' || t.node || '|' || id")} >= lo AND {_KEYED.format(key="'42|draw|' || t.node || '|' || id")} < hi
+    UNION ALL SELECT d.row, t.node, t.value FROM drawn AS d JOIN walk ON walk.parent = d.node JOIN tables_ AS t ON t.node = walk.node AND t.parent_value = d.value
+    WHERE {_KEYED.format(key="'42|draw|' || t.node || '|' || d.row")} >= lo AND {_KEYED.format(key="'42|draw|' || t.node || '|' || d.row")} < hi"""
+
+_SCANNED = sql("SELECT o_orderkey, nullif(c_mktsegment, 'MACHINERY') AS segment, o_orderpriority AS priority FROM people")
+
 ORACLES: dict[str, str] = {
-    "scan_csv": sql("SELECT o_orderkey, nullif(c_mktsegment, 'MACHINERY') AS segment, o_orderpriority AS priority FROM people"),
+    "scan_csv": _SCANNED,
+    "scan_csv_files": _SCANNED,
     "clean_sentinel": sql("SELECT o_orderkey, CASE WHEN trim(segment) <> '?' THEN segment END AS segment FROM messy"),
     "clean_trim": sql("SELECT o_orderkey, trim(segment) AS segment, trim(priority) AS priority FROM messy"),
     "fill_constant": sql("SELECT o_orderkey, coalesce(known_segment, 'Unknown') AS known_segment FROM messy"),
@@ -203,6 +243,14 @@ ORACLES: dict[str, str] = {
         f"SELECT matches, n, {r6('100.0 * matches / n')} AS percentage FROM (SELECT count(*) AS matches FROM (SELECT o_orderstatus, o_orderpriority, c_mktsegment, c_nationkey FROM mirrored INTERSECT SELECT o_orderstatus, o_orderpriority, c_mktsegment, c_nationkey FROM people)), (SELECT count(*) AS n FROM mirrored)"
     ),
     "laplace_counts": sql(f"SELECT value, {r6('n + ' + laplace(u('noise', 'value'), 2.0))} AS noisy FROM (SELECT c_mktsegment AS value, count(*) AS n FROM people GROUP BY 1)"),
+    "chow_liu_edges": sql(f"SELECT parent, node AS child, {r6('mi')} AS weight, level::BIGINT AS level FROM walk JOIN tree ON a = least(parent, node) AND b = greatest(parent, node)", **_network("lineitem", fx.ITEMS)),
+    "privbayes_fit": sql(f"SELECT node, parent_value, value, {r6('prob')} AS prob, {r6('lo')} AS lo, {r6('hi')} AS hi FROM tables_", **_PRIVATE),
+    "privbayes_sample": sql(f"SELECT {', '.join(f"max(value) FILTER (WHERE node = '{c}') AS {c}" for c in _BINNED)} FROM drawn GROUP BY row HAVING count(*) = {len(_BINNED)}", **_PRIVATE, drawn=_DRAWN),
+    "frame_summary": sql(
+        "SELECT position, column_name, data_type, n_present, (SELECT count(*) FROM messy) - n_present AS n_missing FROM (VALUES "
+        + ", ".join(f"({i}, '{c}', '{t}', (SELECT count({c}) FROM messy))" for i, (c, t) in enumerate([("o_orderkey", "bigint"), ("segment", "string"), ("priority", "string"), ("price_text", "string"), ("balance", "double"), ("known_segment", "string"), ("c_nationkey", "int")]))
+        + ") AS v(position, column_name, data_type, n_present)"
+    ),
     "noisy_marginal": sql(
         f"SELECT value, {r6('c / sum(c) OVER ()')} AS prob FROM (SELECT l_returnflag AS value, greatest(0, count(*) + {laplace(u('42|l_returnflag', 'l_returnflag'), 2.0)}) AS c FROM lineitem GROUP BY 1)"
     ),

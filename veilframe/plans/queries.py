@@ -10,6 +10,7 @@ from ..functions.determinism import uniform
 from ..functions.numeric import clip, gaussian_pdf, laplace
 from ..functions.quantiles import exact_quantiles
 from ..operators import bayesnet, binning, clean, ctgan, encode, mixture, mlutil, privacy, sampling, stats
+from ..sources import files
 from ..sources.files import parse_csv
 from . import fixtures as fx
 from . import recipes
@@ -36,9 +37,23 @@ def rounded(df: DataFrame) -> DataFrame:
 
 @query
 def scan_csv(spark: SparkSession, sf: str) -> DataFrame:
-    lines = fx.people(spark, sf).select(F.concat_ws(",", F.col("o_orderkey").cast("string"), F.concat(F.lit(" "), F.when(F.col("c_mktsegment") == "MACHINERY", "?").otherwise(F.col("c_mktsegment"))), F.concat(F.lit(" "), F.col("o_orderpriority"), F.lit(" "))).alias("line"))
-    schema = T.StructType([T.StructField("o_orderkey", T.LongType()), T.StructField("segment", T.StringType()), T.StructField("priority", T.StringType())])
-    return parse_csv(lines, "line", schema)
+    return parse_csv(_csv_lines(spark, sf), "line", _CSV_SCHEMA)
+
+
+@query
+def scan_csv_files(spark: SparkSession, sf: str) -> DataFrame:
+    """The same lines through files: compressed, with a comment line in front."""
+    path = fx.scratch(spark, "lines")
+    head = spark.createDataFrame([("|1x3 a comment",)], "line string")
+    head.union(_csv_lines(spark, sf)).write.text(path, compression="gzip")
+    return files.scan_csv(spark, path, _CSV_SCHEMA, comment="|")
+
+
+def _csv_lines(spark: SparkSession, sf: str) -> DataFrame:
+    return fx.people(spark, sf).select(F.concat_ws(",", F.col("o_orderkey").cast("string"), F.concat(F.lit(" "), F.when(F.col("c_mktsegment") == "MACHINERY", "?").otherwise(F.col("c_mktsegment"))), F.concat(F.lit(" "), F.col("o_orderpriority"), F.lit(" "))).alias("line"))
+
+
+_CSV_SCHEMA = T.StructType([T.StructField("o_orderkey", T.LongType()), T.StructField("segment", T.StringType()), T.StructField("priority", T.StringType())])
 
 
 @query
@@ -307,6 +322,11 @@ def constant_columns(spark, sf):
     return stats.constant_columns(df, df.columns)
 
 
+@query
+def frame_summary(spark, sf):
+    return rounded(stats.frame_summary(fx.messy(spark, sf)))
+
+
 @query
 def missing_counts(spark, sf):
     return stats.missing_counts(fx.messy(spark, sf), ["known_segment", "balance", "priority"])
@@ -607,7 +627,7 @@ def pmse(spark, sf):
 
 def _learn(spark, sf, models: tuple[str, ...]) -> DataFrame:
     columns = ["o_totalprice", "c_acctbal", "o_orderpriority", "c_mktsegment"]
-    return mlutil.evaluate(fx.mirrored(spark, sf), fx.people(spark, sf), columns, "o_orderstatus", models, trees=20, depth=6)
+    return mlutil.evaluate(fx.mirrored(spark, sf), fx.people(spark, sf), columns, "o_orderstatus", models)
 
 
 @query
@@ -630,5 +650,5 @@ def tstr(spark, sf):
     columns = ["o_totalprice", "c_acctbal", "o_orderpriority", "c_mktsegment"]
     real = sampling.stratified_split(fx.people(spark, sf), "o_orderstatus", "o_orderkey")
     train, test = real.where("is_test = 0"), real.where("is_test = 1")
-    base = mlutil.evaluate(train, test, columns, "o_orderstatus", mlutil.MODELS[:1])
-    return mlutil.retention(base, mlutil.evaluate(fx.mirrored(spark, sf), test, columns, "o_orderstatus", mlutil.MODELS[:1]))
+    base = mlutil.evaluate(train, test, columns, "o_orderstatus")
+    return mlutil.retention(base, mlutil.evaluate(fx.mirrored(spark, sf), test, columns, "o_orderstatus"))

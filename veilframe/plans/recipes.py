@@ -6,6 +6,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
 
+from ..functions.quantiles import frame_quantiles
 from ..operators import binning, clean
 from ..sources.tables import COVERTYPE_BINARY, COVERTYPE_NUMERIC, FrameMeta
 
@@ -59,10 +60,12 @@ def for_network(df: DataFrame, roles: Roles, fitted_on: DataFrame | None = None)
     base = df if fitted_on is None else _clean(fitted_on, roles)
     numbers = [c for c, _ in roles.quantile] + list(roles.zero_inflated)
     df, base = clean.to_numeric(df, numbers), clean.to_numeric(base, numbers)
-    for c, q in roles.quantile:
-        df = binning.apply_bins(df, c, binning.fit_bins(base, c, q))
+    wanted = {c: binning.quantile_edges(q) for c, q in roles.quantile} | {c: [binning.HIGH] for c in roles.zero_inflated}
+    found = frame_quantiles(base, wanted)
+    for c, _ in roles.quantile:
+        df = binning.apply_bins(df, c, binning.bins_at(found[c]))
     for c in roles.zero_inflated:
-        df = binning.zero_inflated(df, c, binning.high_threshold(base, c))
+        df = binning.zero_inflated(df, c, found[c][0])
     for c, k, _ in roles.rest:
         df = binning.group_rest(df, c, binning.frequent_values(base, c, k))
     columns = [c for c in df.columns if c != roles.key]

@@ -3,6 +3,9 @@
 from __future__ import annotations
 
 import json
+import shutil
+import urllib.request
+import uuid
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -21,6 +24,36 @@ def ensure_path(spark: SparkSession, path: str) -> str:
     return path
 
 
+# Where the two public tables are published.
+ADULT_URLS = ("https://archive.ics.uci.edu/ml/machine-learning-databases/adult/adult.data", "https://archive.ics.uci.edu/ml/machine-learning-databases/adult/adult.test")
+COVERTYPE_URL = "https://archive.ics.uci.edu/ml/machine-learning-databases/covtype/covtype.data.gz"
+
+
+def fetch(url: str, path: str | Path, timeout: float = 60) -> str:
+    """The path of a local copy of url: fetched once, and there under its name only when it is complete."""
+    path = Path(path)
+    if not path.exists():
+        path.parent.mkdir(parents=True, exist_ok=True)
+        part = path.with_name(f"{path.name}.{uuid.uuid4().hex}.part")
+        try:
+            with urllib.request.urlopen(url, timeout=timeout) as answer, open(part, "wb") as out:
+                shutil.copyfileobj(answer, out)
+            part.rename(path)
+        finally:
+            part.unlink(missing_ok=True)
+    return str(path)
+
+
+def fetch_adult(spark: SparkSession, folder: str | Path, urls: tuple[str, str] = ADULT_URLS) -> DataFrame:
+    """load_adult() of local copies in a folder that driver and executors share."""
+    return load_adult(spark, *(fetch(u, Path(folder) / u.rpartition("/")[2]) for u in urls))
+
+
+def fetch_covertype(spark: SparkSession, folder: str | Path, url: str = COVERTYPE_URL) -> DataFrame:
+    """load_covertype() of a local copy in a folder that driver and executors share."""
+    return load_covertype(spark, fetch(url, Path(folder) / url.rpartition("/")[2]))
+
+
 def scan_csv(spark: SparkSession, path: str, schema: T.StructType, null_value: str = "?", comment: str | None = None) -> DataFrame:
     """A headerless CSV: blanks trimmed, null_value as null, lines that start with comment left out.
 
