@@ -46,6 +46,15 @@ def test_archives_round_trip(spark, compress, split, least):
         assert seen >= 3  # records inside a payload are candidates, but no chain reaches them
 
 
+def test_large_groups_of_copies_and_very_long_headers(spark):
+    rows = [(k, f"u{k}", "<p>often</p>", "s", "t") for k in range(60)] + [(100 + k, f"u{k}", f"<p>{k // 2}</p>", "s", "t") for k in range(20)]
+    rows += [(200, "long " + "x" * (3 << 20), "after a long url", "s", "t"), (201, "u", FAKE, "s", "t"), (202, "u", "last", "s", "t")]
+    for hot in (100, warc.HOT_BYTES):
+        archives = warc.write_archives(spark.createDataFrame(rows, PAGES).repartition(3), compress=False, file_bytes=2000, hot_bytes=hot)
+        found = warc.read_archives(archives, 1 << 20).collect()
+        assert Counter((r["page_id"], r["payload_bytes"], r["payload_digest"], r["record_type"], r["refers_to"]) for r in found) == brute_pages(rows, 0)
+
+
 def test_no_pages(spark):
     archives = warc.write_archives(spark.createDataFrame([], PAGES))
     assert archives.count() == 0 and warc.read_archives(archives).count() == 0

@@ -24,9 +24,9 @@ from .storage import keep, open_file, shared_dir, write_file
 
 GZIP_MAGIC = b"\x1f\x8b\x08"
 WARC_MAGIC = b"WARC/1.1\r\n"
-SALTS = 32
-#: A longer header is none.
-HEADER_BYTES = 1 << 20
+#: Bytes of equal payloads above which their rows are not brought together: there are no more such payloads than the table has
+#: times this many bytes, so 100 TB have 400,000 at most, of some 40 bytes each when they are broadcast.
+HOT_BYTES = 256 << 20
 
 RECORD_SCHEMA = (
     "path string, split long, offset long, successor long, exit long, page_id long, url string, "
@@ -89,15 +89,15 @@ def _row(fields: dict, payload: bytes) -> tuple:
     return _id(fields.get("WARC-Record-ID")), url, size, digest, kind, _id(fields.get("WARC-Refers-To"))
 
 
-def write_archives(pages: DataFrame, out_dir: str | None = None, min_payload: int = 0, compress: bool = True, file_bytes: int = 16 << 20) -> DataFrame:
+def write_archives(pages: DataFrame, out_dir: str | None = None, min_payload: int = 0, compress: bool = True, file_bytes: int = 16 << 20, hot_bytes: int = HOT_BYTES) -> DataFrame:
     """Write a record per row of pages(page_id, url, html, ...); a row (path, size, records) per archive.
 
     Payload: html in UTF-8, null as empty. Among rows with equal payloads of at least
     ``min_payload`` bytes the smallest page_id is a response, rows with other ids revisit it;
     repeated rows of that id are responses too. A null page_id is always a response and never
     referred to. A null url stays null. Other columns are ignored; no rows, no archives.
-    The digests' first pages are spread over SALTS keys, so no group of copies, however large,
-    meets in one task.
+    Rows meet the first page of their payload by its digest; those of payloads with more than hot_bytes in all stay
+    where they are and have it broadcast, so no group of copies, however large, meets in one task.
     """
     spark = pages.sparkSession
     out_dir = out_dir or shared_dir(spark, "warc")
@@ -106,12 +106,17 @@ def write_archives(pages: DataFrame, out_dir: str | None = None, min_payload: in
     firsts = (
         rows.where(F.col("page_id").isNotNull() & (F.length("payload") >= min_payload))
         .groupBy("sha")
-        .agg(F.min("page_id").alias("first_id"), F.max("page_id").alias("last_id"))
+        .agg(F.min("page_id").alias("first_id"), F.max("page_id").alias("last_id"), F.sum(F.length("payload")).alias("bytes"))
         .where("last_id > first_id")
-        .select("sha", "first_id", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+        .select("sha", "first_id", "bytes")
     )
-    salted = rows.withColumn("salt", F.pmod(F.xxhash64("page_id"), F.lit(SALTS)).cast("int"))
-    joined = salted.join(firsts, ["sha", "salt"], "left").select("page_id", "url", "payload", "sha", F.when((F.length("payload") >= min_payload) & (F.col("first_id") != F.col("page_id")), F.col("first_id")).alias("refers_to"))
+    firsts = keep(firsts, "warc-firsts")
+    hot, cold = (firsts.where(x).select("sha", "first_id") for x in (F.col("bytes") > hot_bytes, F.col("bytes") <= hot_bytes))
+    if hot.limit(1).count():
+        joined = rows.join(F.broadcast(hot), "sha").unionByName(rows.join(F.broadcast(hot), "sha", "left_anti").join(cold, "sha", "left"))
+    else:
+        joined = rows.join(cold, "sha", "left")
+    joined = joined.select("page_id", "url", "payload", "sha", F.when((F.length("payload") >= min_payload) & (F.col("first_id") != F.col("page_id")), F.col("first_id")).alias("refers_to"))
 
     def write(batches):
         blocks, size, n = [], 0, 0
@@ -188,9 +193,7 @@ def _candidate(window: _Window, at: int, gz: bool):
             if not size.isdigit() or len(view) >= end + int(size) + 8:
                 return None
             need = max(need, end + int(size) + 8)
-        elif len(view) > HEADER_BYTES:
-            return None
-        else:
+        else:  # the header's end is near: even magic in a payload is followed by the end of the record around it
             need *= 4
         if at + need > len(window.data) and not window.more(at + need - len(window.data)):
             return None  # the file ends before the record does
