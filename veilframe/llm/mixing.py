@@ -18,6 +18,8 @@ BUCKET_ROWS = 4096
 #: The hash-random key: so many first bits of an MD5 of seed and id.
 KEY_BITS = 60
 MAX_EPOCHS = 3
+#: Rows from which a source is large.
+HOT_ROWS = 1_000_000
 
 
 def targets(sizes: DataFrame, max_epochs: int = MAX_EPOCHS) -> DataFrame:
@@ -42,7 +44,7 @@ def targets(sizes: DataFrame, max_epochs: int = MAX_EPOCHS) -> DataFrame:
     return per.select("source", "source_size", "docs", F.when(F.col("capped"), F.col("cap").cast("double")).otherwise(F.col("final_level") * F.col("weight")).alias("target"))
 
 
-def mix(documents: DataFrame, seed: int = 42, bucket_rows: int = BUCKET_ROWS, max_epochs: int = MAX_EPOCHS) -> DataFrame:
+def mix(documents: DataFrame, seed: int = 42, bucket_rows: int = BUCKET_ROWS, max_epochs: int = MAX_EPOCHS, hot_rows: int = HOT_ROWS) -> DataFrame:
     """(doc_id, source, size, source_size, target, taken, tie) of documents(doc_id, text, source, ...).
 
     Size: words of the text, 0 if it is null or empty. Rows with equal ids are told apart by
@@ -63,8 +65,15 @@ def mix(documents: DataFrame, seed: int = 42, bucket_rows: int = BUCKET_ROWS, ma
     plan = keep(plan.withColumn("source_key", F.struct(F.col("source").isNull().alias("n"), F.coalesce("source", F.lit("")).alias("s"))), "mix-plan")
     place = F.shiftright(F.shiftright(F.col("key"), KEY_BITS - 31) * F.col("buckets"), 31)
     sized = sized.withColumn("source_key", F.struct(F.col("source").isNull().alias("n"), F.coalesce("source", F.lit("")).alias("s")))
-    # the plan has a row per source: it is broadcast only when Spark finds it below the configured threshold
-    placed = sized.join(plan.select("source_key", "source_size", "target", "buckets"), "source_key").withColumn("bucket", place)
+    # rows of large sources stay where they are and have the source's row broadcast: there are no more such sources than
+    # the table has times hot_rows rows; the others meet theirs by a shuffle in which no key has more than that
+    facts = plan.select("source_key", "source_size", "target", "buckets")
+    hot, cold = facts.where(plan["docs"] > hot_rows), facts.where(plan["docs"] <= hot_rows)
+    if hot.limit(1).count():
+        placed = sized.join(F.broadcast(hot), "source_key").unionByName(sized.join(F.broadcast(hot), "source_key", "left_anti").join(cold, "source_key"))
+    else:
+        placed = sized.join(cold, "source_key")
+    placed = placed.withColumn("bucket", place)
     sums = placed.groupBy("source_key", "bucket").agg(F.sum("size").alias("words"))
     ahead = Window.partitionBy("source_key").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     offsets = sums.select("source_key", "bucket", F.coalesce(F.sum("words").over(ahead), F.lit(0)).alias("offset"))
