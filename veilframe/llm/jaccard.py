@@ -499,11 +499,13 @@ def deduplicated(documents: DataFrame, **how) -> DataFrame:
     classes = jaccard_links(documents, **how)
     gone = classes.where(F.col("class_id") != F.col("doc_id")).select(F.col("doc_id").alias(id_)).distinct()
     text, doc_id = F.coalesce(F.col("text").cast("string"), F.lit("")), F.col("doc_id").cast("long")
-    twice = documents.where(F.col("doc_id").isNotNull()).groupBy(doc_id.alias(id_)).agg(F.count("*").alias(n), F.min(text).alias(least)).where(F.col(n) > 1)
-    twice = keep(twice.select(id_, least), "jaccard-twice")
+    # ids alone are shuffled to find those that repeat; texts only for them
+    twice = documents.where(F.col("doc_id").isNotNull()).groupBy(doc_id.alias(id_)).agg(F.count("*").alias(n)).where(F.col(n) > 1)
+    twice = keep(twice.select(id_), "jaccard-twice")
     left = documents.join(keep(gone, "jaccard-gone"), doc_id == F.col(id_), "left_anti")
     if not twice.limit(1).count():
         return left.select(*documents.columns)
+    twice = keep(documents.join(twice, doc_id == F.col(id_)).groupBy(id_).agg(F.min(text).alias(least)), "jaccard-twice")
     single = left.join(twice, doc_id == F.col(id_), "left_anti").select(*documents.columns)
     repeated = left.join(twice, doc_id == F.col(id_)).where(text == F.col(least)).dropDuplicates([id_])
     return single.unionByName(repeated.select(*documents.columns))
