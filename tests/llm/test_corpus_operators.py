@@ -676,12 +676,12 @@ def brute_targets(sizes):
         capped |= {s: 3.0 * sizes[s] for s in over}
 
 
-@pytest.mark.parametrize("bucket_rows", [mixing.BUCKET_ROWS, 3])
-def test_mix_meets_its_targets(spark, bucket_rows):
+@pytest.mark.parametrize("bucket_rows, hot_rows", [(mixing.BUCKET_ROWS, mixing.HOT_ROWS), (3, 60)])
+def test_mix_meets_its_targets(spark, bucket_rows, hot_rows):
     rng = random.Random(6)
     rows = [(k, sentence(rng, rng.randint(0, 60)), None, rng.choice(["a", "a", "a", "a", "b", "c", None])) for k in range(400)]
     rows += [(1000, sentence(rng, 20000), None, "a"), (1001, None, None, "empty"), (1002, "", None, None), (None, "w w", None, "c"), (7, "again", None, "b"), (7, "again", None, "b"), (1003, "x\x0by\x1fz q", None, "c")]
-    out = mixing.mix(docs(spark, rows), bucket_rows=bucket_rows).collect()
+    out = mixing.mix(docs(spark, rows), bucket_rows=bucket_rows, hot_rows=hot_rows).collect()
     size = lambda t: len(re.findall(r"[^\x20\x09-\x0D]+", t or ""))
     sizes: dict = defaultdict(int)
     for _, t, _, s in rows:
@@ -694,7 +694,7 @@ def test_mix_meets_its_targets(spark, bucket_rows):
         assert abs(r["target"] - targets[r["source"]]) < 1e-6
     assert Counter((r["doc_id"], r["size"]) for r in out) == Counter((i, size(t)) for i, t, _, _ in rows)
     assert all(abs(taken[s] - targets[s]) < 1 for s in sizes)
-    again = mixing.mix(docs(spark, rows).repartition(7), bucket_rows=bucket_rows).collect()
+    again = mixing.mix(docs(spark, rows).repartition(7), bucket_rows=bucket_rows, hot_rows=hot_rows).collect()
     assert Counter(map(tuple, out)) == Counter(map(tuple, again))
-    copies = mixing.mixed(docs(spark, rows), bucket_rows=bucket_rows)
+    copies = mixing.mixed(docs(spark, rows), bucket_rows=bucket_rows, hot_rows=hot_rows)
     assert copies.count() == sum(-(-r["taken"] // r["size"]) for r in out if r["taken"]) and copies.columns == docs(spark, []).columns

@@ -98,6 +98,29 @@ ORACLES = {
                CASE WHEN page_id = first_id THEN 'response' ELSE 'revisit' END AS record_type,
                CASE WHEN page_id <> first_id THEN first_id END AS refers_to
         FROM p JOIN f USING (h)""",
+    "op2_jaccard": rf"""
+        WITH RECURSIVE w AS (SELECT doc_id, {_WORDS} AS ws FROM documents),
+        s AS (SELECT DISTINCT doc_id, array_to_string(ws[i : i + 4], ' ') AS g FROM w, unnest(range(1, greatest(2, len(ws) - 3))) AS t(i) WHERE len(ws) > 0),
+        n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+        c AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c FROM s AS a JOIN s AS b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY ALL),
+        l AS (SELECT x, y FROM c JOIN n AS a ON a.doc_id = x JOIN n AS b ON b.doc_id = y WHERE 5 * c >= 4 * (a.n + b.n - c)),
+        r AS (SELECT x, y FROM l UNION SELECT r.x, l.y FROM r JOIN l ON l.x = r.y)
+        SELECT doc_id, least(doc_id, coalesce((SELECT min(y) FROM r WHERE r.x = doc_id), doc_id)) AS class_id, (SELECT count(*) FROM l WHERE l.x = doc_id) AS n_links
+        FROM documents""",
+    "op6_suffixes": """
+        WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+        starts AS (SELECT doc_id, i, md5(substr(h, 2 * i + 1, 200)) AS s FROM d, unnest(range(0, len(h) // 2 - 99)) AS t(i)),
+        again AS (SELECT doc_id, i FROM starts QUALIFY row_number() OVER (PARTITION BY s ORDER BY doc_id, i) > 1),
+        edges AS (SELECT doc_id, i, CASE WHEN i <= lag(i) OVER (PARTITION BY doc_id ORDER BY i) + 100 THEN 0 ELSE 1 END AS opens FROM again),
+        runs AS (SELECT doc_id, i, sum(opens) OVER (PARTITION BY doc_id ORDER BY i) AS run FROM edges),
+        spans AS (SELECT doc_id, min(i) AS a, max(i) + 100 AS b FROM runs GROUP BY doc_id, run),
+        gaps AS (
+            SELECT doc_id, coalesce(lag(b) OVER w, 0) AS a, a AS b FROM spans WINDOW w AS (PARTITION BY doc_id ORDER BY a)
+            UNION ALL SELECT doc_id, coalesce(max(b), 0), max(len(h) // 2) FROM d LEFT JOIN spans USING (doc_id) GROUP BY doc_id
+        ), kept AS (SELECT doc_id, sha256(unhex(string_agg(substr(h, 2 * a + 1, 2 * (b - a)), '' ORDER BY a))) AS kept_sha256 FROM gaps JOIN d USING (doc_id) GROUP BY doc_id),
+        sums AS (SELECT doc_id, sum(b - a)::BIGINT AS n_removed, count(*) AS n_spans FROM spans GROUP BY doc_id)
+        SELECT doc_id, len(h) // 2 AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans, kept_sha256
+        FROM d JOIN kept USING (doc_id) LEFT JOIN sums USING (doc_id)""",
     "op3_decontaminate": rf"""
         WITH w AS (SELECT doc_id, {_WORDS} AS ws FROM documents),
         b AS (SELECT item_id, ws, least(13, len(ws)) AS k FROM (SELECT item_id, {_WORDS} AS ws FROM benchmark) WHERE len(ws) > 0),

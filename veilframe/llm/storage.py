@@ -63,14 +63,31 @@ def open_file(uri: str):
     return fs.open_input_file(path)
 
 
+_kept: list[str] = []
+
+
 def keep(df: DataFrame, label: str) -> DataFrame:
     """df, computed once into the shared folder and read again: short lineage, no recomputation."""
     spark = df.sparkSession
     path = shared_dir(spark, label)
+    _kept.append(path)
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def release() -> int:
+    """Delete what keep() wrote since the last call, once no frame that stems from it is needed; the number of folders.
+
+    Files that operators were asked to write (archives, token files) are results and stay.
+    """
+    paths, _kept[:] = list(_kept), []
+    for path in paths:
+        fs, where = _open(path)
+        if fs.get_file_info(where).type != pafs.FileType.NotFound:
+            fs.delete_dir(where)
+    return len(paths)
+
+
 def unused(columns: list[str], *names: str) -> list[str]:
     """The names, each with as many underscores as keep it apart from the columns (Spark compares without case)."""
     taken, out = {c.lower() for c in columns}, []
