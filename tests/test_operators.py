@@ -24,7 +24,10 @@ def column(spark, values, kind="double"):
 @pytest.mark.parametrize(
     "values, q, labels",
     [
-        ([17, 18, 22, 25, 26, 30, 31, 37, 38, 40, 45, 50, 52, 60, 90], 5, ["(16.0, 24.0]", "(24.0, 31.0]", "(31.0, 39.0]", "(39.0, 50.0]", "(50.0, 90.0]"]),
+        (
+            [17, 18, 22, 25, 26, 30, 31, 37, 38, 40, 45, 50, 52, 60, 90], 5,
+            ["(16.0, 24.0]", "(24.0, 31.0]", "(31.0, 39.0]", "(39.0, 50.0]", "(50.0, 90.0]"]
+        ),
         ([40] * 10 + [10, 20, 30, 50, 60], 5, ["(9.0, 38.0]", "(38.0, 40.0]", "(40.0, 60.0]"]),
         ([5, 5, 5, 5], 5, []),
     ],
@@ -93,7 +96,10 @@ def test_closest_records_agree_with_all_pairs_in_any_number_of_blocks(spark):
     rng = np.random.default_rng(2)
 
     def frame(n, nulls):
-        return spark.createDataFrame([(i, str(rng.integers(0, 4)), None if nulls and i % 7 == 0 else float(rng.integers(0, 50)), 3.0) for i in range(n)], "k long, c string, x double, same double")
+        return spark.createDataFrame(
+            [(i, str(rng.integers(0, 4)), None if nulls and i % 7 == 0 else float(rng.integers(0, 50)), 3.0) for i in range(n)],
+            "k long, c string, x double, same double"
+        )
 
     real, synthetic, columns = frame(60, True), frame(80, True), ["c", "x", "same"]
     roles = {"c": "categorical", "x": "numeric", "same": "numeric"}
@@ -180,7 +186,9 @@ def test_tree_and_budgets():
 def test_private_tables_are_distributions(spark):
     df = spark.createDataFrame([("x", "p")] * 30 + [("y", "q")] * 20 + [("x", "q"), (None, "p")], "a string, b string")
     model = bayesnet.PrivBayes(0.01, seed=3).fit(df, ["a", "b"])
-    totals = model.tables.groupBy("node", "parent_value").agg(F.sum("prob").alias("p"), F.min("lo").alias("lo"), F.max("hi").alias("hi")).collect()
+    totals = model.tables.groupBy("node", "parent_value").agg(
+        F.sum("prob").alias("p"), F.min("lo").alias("lo"), F.max("hi").alias("hi")
+    ).collect()
     assert all(math.isclose(r["p"], 1) and r["lo"] == 0 and r["hi"] == 1 for r in totals)
     out = model.sample(200)
     assert out.columns == ["a", "b"] and out.count() == 200
@@ -233,7 +241,10 @@ def test_mixture_finds_two_modes():
 
 
 def test_generator_round_trip(spark, tmp_path):
-    df = spark.range(400).select("id", (F.col("id") % 2).cast("string").alias("c"), (F.col("id") * 0.5).alias("x"), F.when(F.col("id") < 0, 1.0).alias("empty"))
+    df = spark.range(400).select(
+        "id", (F.col("id") % 2).cast("string").alias("c"), (F.col("id") * 0.5).alias("x"),
+        F.when(F.col("id") < 0, 1.0).alias("empty")
+    )
     model = ctgan.CTGAN(epsilon=5.0, epochs=2, batch=100, seed=3).fit(df, ["c", "x", "empty"], "id", ["c"])
     assert [s.name for s in model.transformer.specs] == ["c", "x"]
     spent = [h["epsilon"] for h in model.history]
@@ -246,7 +257,10 @@ def test_generator_round_trip(spark, tmp_path):
 
 
 def test_learning(spark):
-    df = spark.range(300).select("id", (F.col("id") % 10).cast("double").alias("x"), F.when(F.col("id") % 3 == 0, "u").otherwise("v").alias("c"), F.when(F.col("id") % 10 < 5, "lo").otherwise("hi").alias("y"))
+    df = spark.range(300).select(
+        "id", (F.col("id") % 10).cast("double").alias("x"), F.when(F.col("id") % 3 == 0, "u").otherwise("v").alias("c"),
+        F.when(F.col("id") % 10 < 5, "lo").otherwise("hi").alias("y")
+    )
     found = {r["model"]: r["accuracy"] for r in mlutil.evaluate(df, df, ["x", "c"], "y", mlutil.MODELS[:2], trees=5, depth=4).collect()}
     assert min(found.values()) > 0.9
     with pytest.raises(ValueError):
@@ -312,7 +326,10 @@ def test_plots_of_awkward_values(spark, tmp_path):
     import xml.dom.minidom as xml
 
     rows = [("a", f"<v{k}> & \u00e9", 0.01, 0.02) for k in range(60)] + [("b", "x", 1.0, 0.0)]
-    plots.marginal_bars(spark.createDataFrame(rows, "column_name string, value string, real_share double, synthetic_share double"), tmp_path / "bars.svg")
+    plots.marginal_bars(
+        spark.createDataFrame(rows, "column_name string, value string, real_share double, synthetic_share double"),
+        tmp_path / "bars.svg"
+    )
     cells = spark.createDataFrame([("p", "q", 0.5), ("q", "p", None), ("p", "p", 0.0)], "a string, b string, difference double")
     plots.matrix_cells(cells, "difference", tmp_path / "deep" / "matrix.svg")
     plots.matrix_cells(cells.limit(0), "difference", tmp_path / "empty.svg")
@@ -328,11 +345,16 @@ def test_command_line(spark, tmp_path, monkeypatch):
     (tmp_path / "test").write_text("|1x3 Cross validator\n" + body.replace("K\n", "K.\n"))
     monkeypatch.setattr(evaluation, "run", functools.partial(evaluation.run, models=mlutil.MODELS[:1]))
     out = tmp_path / "out"
-    evaluation.main(["--synthesizer", "privbayes", "--dataset", "adult", "--epsilon", "1", "--n-trials", "1", "--train-size", "40", "--test-size", "20", "--data", str(tmp_path / "train"), str(tmp_path / "test"), "--out", str(out)])
+    evaluation.main([
+        "--synthesizer", "privbayes", "--dataset", "adult", "--epsilon", "1", "--n-trials", "1", "--train-size", "40",
+        "--test-size", "20", "--data", str(tmp_path / "train"), str(tmp_path / "test"), "--out", str(out)
+    ])
     kept = spark.read.parquet(str(out / "metrics"))
     assert kept.where("status = 'ok'").count() >= 8 and kept.where("metric = 'plots'").count() == 0
     folder = out / "adult_privbayes_eps_1.0"
-    assert {p.name for p in folder.iterdir()} >= {"marginal_distributions_trial_1.svg", "correlation_difference_trial_1.svg", "marginal_distributions_trial_1"}
+    assert {p.name for p in folder.iterdir()} >= {
+        "marginal_distributions_trial_1.svg", "correlation_difference_trial_1.svg", "marginal_distributions_trial_1"
+    }
     shares = spark.read.csv(str(folder / "marginal_distributions_trial_1"), header=True)
     assert shares.select("column_name").distinct().count() == evaluation.MARGINAL_COLUMNS
     with pytest.raises(SystemExit):
@@ -344,13 +366,20 @@ def test_evaluation_end_to_end(spark, tmp_path):
         F.col("id").alias("o_orderkey"), F.when(F.col("id") % 3 == 0, " a ").otherwise("b").alias("segment"), F.concat((F.col("id") % 2).cast("string"), F.lit(".")).alias("priority"),
         F.col("id").cast("string").alias("price_text"), F.when(F.col("id") % 5 == 0, 0.0).otherwise(F.col("id") * 1.0).alias("balance"), F.lit("x").alias("known_segment"), (F.col("id") % 4).alias("c_nationkey"),
     )
-    found = evaluation.run(spark, df, "people", "privbayes", "priority", "o_orderkey", [1.0], 1, 120, 60, str(tmp_path), models=mlutil.MODELS[:1])
+    found = evaluation.run(
+        spark, df, "people", "privbayes", "priority", "o_orderkey", [1.0], 1, 120, 60, str(tmp_path), models=mlutil.MODELS[:1]
+    )
     rows = found.collect()
     assert not [r for r in rows if r["status"] != "ok"], rows
     assert {r["trial"] for r in rows} == {1}
     folder = tmp_path / "people_privbayes_eps_1.0"
-    assert {p.name for p in folder.iterdir()} >= {"aggregated_statistical_metrics.json", "aggregated_privacy_metrics.json", "aggregated_ml_metrics.json", "privacy_metrics_trial_1.json"}
-    assert evaluation.parser().parse_args(["--synthesizer", "privbayes", "--dataset", "adult", "--epsilon", "0.5,1", "--data", "a", "b"]).epsilon == [0.5, 1.0]
+    assert {p.name for p in folder.iterdir()} >= {
+        "aggregated_statistical_metrics.json", "aggregated_privacy_metrics.json", "aggregated_ml_metrics.json",
+        "privacy_metrics_trial_1.json"
+    }
+    assert evaluation.parser().parse_args([
+        "--synthesizer", "privbayes", "--dataset", "adult", "--epsilon", "0.5,1", "--data", "a", "b"
+    ]).epsilon == [0.5, 1.0]
 
 
 def test_a_failing_metric_is_recorded(spark):
@@ -366,19 +395,28 @@ def test_a_failing_metric_is_recorded(spark):
 def test_generator_and_mixtures_read_all_rows(spark, monkeypatch):
     n = 60_000
     rare = F.xxhash64("id") % 200 == 0
-    df = spark.range(n).select("id", F.when(F.col("id") == n - 1, "once").otherwise("often").alias("c"), F.when(rare, 1000.0).otherwise(0.0).alias("far"), (F.col("id") % 7919 * 0.25).alias("x"))
+    df = spark.range(n).select(
+        "id", F.when(F.col("id") == n - 1, "once").otherwise("often").alias("c"), F.when(rare, 1000.0).otherwise(0.0).alias("far"),
+        (F.col("id") % 7919 * 0.25).alias("x")
+    )
     seen, step = [], ctgan.minibatches
     monkeypatch.setattr(ctgan, "minibatches", lambda blocks, batch: step((seen.append(b.sum(0)) or b for b in blocks), batch))
     model = ctgan.CTGAN(epsilon=None, epochs=1, batch=10_000, seed=3).fit(df, ["c", "far", "x"], "id", ["c"])
     assert sum(seen)[:2].tolist() == [n - 1, 1]
     assert np.allclose(model.sampler.shares[0], mixture.log_frequencies(np.array([n - 1, 1])))
     values = np.arange(n) % 7919 * 0.25
-    for got, wanted in zip((model.transformer.specs[2].weights, model.transformer.specs[2].means, model.transformer.specs[2].deviations), mixture.fit_mixture(values, 10)):
+    for got, wanted in zip(
+        (model.transformer.specs[2].weights, model.transformer.specs[2].means, model.transformer.specs[2].deviations),
+        mixture.fit_mixture(values, 10)
+    ):
         assert np.allclose(got, wanted, rtol=1e-6)
 
 
 def test_compact_rows_expand_to_slots(spark):
-    df = spark.range(300).select("id", F.when(F.col("id") % 3 > 0, (F.col("id") % 3).cast("string")).alias("c"), F.when(F.col("id") % 5 > 0, F.col("id") * 0.5).alias("x"))
+    df = spark.range(300).select(
+        "id", F.when(F.col("id") % 3 > 0, (F.col("id") % 3).cast("string")).alias("c"),
+        F.when(F.col("id") % 5 > 0, F.col("id") * 0.5).alias("x")
+    )
     t = mixture.ColumnTransformer.fit(df, ["c", "x"], ["c"], "id")
     wanted = np.array([r["x"] for r in df.orderBy("id").select(t.forward(F.col("id"), 3).alias("x")).collect()])
     assert np.allclose(t.expand(np.array([r["__x"] for r in t.compact(df, "id", 3).orderBy("id").collect()])), wanted)
@@ -411,13 +449,17 @@ def test_recipes_are_fitted_on_the_whole_split(spark, monkeypatch):
             return spark.createDataFrame(seen["train"]).drop("o_orderkey")
 
     monkeypatch.setattr(evaluation, "synthesizer", lambda *a, **k: Fake())
-    monkeypatch.setattr(evaluation, "evaluate_learning", lambda plain, test, *a: seen.update(plain=plain.collect(), test=test.collect()) or [])
+    monkeypatch.setattr(
+        evaluation, "evaluate_learning", lambda plain, test, *a: seen.update(plain=plain.collect(), test=test.collect()) or []
+    )
     monkeypatch.setattr(evaluation, "evaluate_statistical", lambda *a: [])
     monkeypatch.setattr(evaluation, "evaluate_privacy", lambda *a: [("m", "", lambda: 1.0)])
     evaluation.run(spark, df, "people", "privbayes", "priority", "o_orderkey", [1.0], 1, 40, 20)
     split = sampling.stratified_split(df, "priority", "o_orderkey", 0.3, 42)
     whole, rest = split.where("is_test = 0").drop("is_test"), split.where("is_test = 1").drop("is_test")
-    for name, frame, fitted, recipe, n in (("train", whole, None, "privbayes", 40), ("plain", whole, None, "standard", 40), ("test", rest, whole, "standard", 20)):
+    for name, frame, fitted, recipe, n in (
+        ("train", whole, None, "privbayes", 40), ("plain", whole, None, "standard", 40), ("test", rest, whole, "standard", 20)
+    ):
         wanted = {r["o_orderkey"]: r for r in recipes.preprocess(frame, "people", recipe, fitted)[0].collect()}
         assert len(seen[name]) == n and all(r == wanted[r["o_orderkey"]] for r in seen[name])
     assert [r["o_orderkey"] for r in seen["train"]] == [r["o_orderkey"] for r in seen["plain"]]

@@ -20,7 +20,10 @@ def hashed_row_number(df: DataFrame, seed: int | str, key: str, output: str, by:
     df = df.withColumn("__d", order_key(seed, F.col(key))).withColumn("__b", F.substring("__d", 1, PREFIX))
     sizes = df.groupBy(*([by] if by else []), "__b").agg(F.count("*").alias("__n"))
     before = Window.partitionBy(*group).orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = sizes.select(*([F.col(by).alias("__by")] if by else []), F.col("__b").alias("__ob"), F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__o"))
+    offsets = sizes.select(
+        *([F.col(by).alias("__by")] if by else []), F.col("__b").alias("__ob"),
+        F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__o")
+    )
     inside = Window.partitionBy(*group, "__b").orderBy("__d", key)
     on: Column = F.col("__b") == F.col("__ob")
     if by:
@@ -44,8 +47,13 @@ def prefix_sum(df: DataFrame, column: str, value: Column, before: str, up_to: st
     ranged = in_ranges(df.withColumn("__v", value), column, "__p")
     inside = Window.partitionBy("__p").orderBy(column)
     first = Window.unboundedPreceding
-    local = ranged.withColumns({"__a": F.coalesce(F.sum("__v").over(inside.rowsBetween(first, -1)), F.lit(0)), "__b": F.sum("__v").over(inside.rowsBetween(first, 0))})
+    local = ranged.withColumns({
+        "__a": F.coalesce(F.sum("__v").over(inside.rowsBetween(first, -1)), F.lit(0)),
+        "__b": F.sum("__v").over(inside.rowsBetween(first, 0))
+    })
     ends = local.groupBy(F.col("__p").alias("__q")).agg(F.max_by("__b", column).alias("__s"))
     offsets = ends.select("__q", F.coalesce(F.sum("__s").over(Window.orderBy("__q").rowsBetween(first, -1)), F.lit(0)).alias("__o"))
     moved = local.join(offsets, F.col("__p") == F.col("__q"))
-    return moved.withColumns({before: F.col("__a") + F.col("__o"), up_to: F.col("__b") + F.col("__o")}).drop("__v", "__p", "__q", "__o", "__a", "__b")
+    return moved.withColumns({
+        before: F.col("__a") + F.col("__o"), up_to: F.col("__b") + F.col("__o")
+    }).drop("__v", "__p", "__q", "__o", "__a", "__b")

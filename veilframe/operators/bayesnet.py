@@ -131,7 +131,10 @@ def noisy_conditional(df: DataFrame, parent: str, node: str, epsilon: float, noi
     noisy = cells.withColumn("c", F.greatest(F.lit(0.0), F.col("n") + F.col("noise")))
     row = Window.partitionBy("parent")
     total = F.sum("c").over(row)
-    return noisy.select(F.col("parent").alias("parent_value"), F.col("child").alias("value"), F.when(total > 0, F.col("c") / total).otherwise(F.lit(1.0) / F.count("*").over(row)).alias("prob"))
+    return noisy.select(
+        F.col("parent").alias("parent_value"), F.col("child").alias("value"),
+        F.when(total > 0, F.col("c") / total).otherwise(F.lit(1.0) / F.count("*").over(row)).alias("prob")
+    )
 
 
 def conditional_tables(df: DataFrame, tree: Tree, epsilon: float, noise: Noise = entropy_noise) -> DataFrame:
@@ -140,7 +143,9 @@ def conditional_tables(df: DataFrame, tree: Tree, epsilon: float, noise: Noise =
     for node in tree.order:
         parent = tree.parent[node]
         table = noisy_marginal(df, node, budgets[node], noise) if parent is None else noisy_conditional(df, parent, node, budgets[node], noise)
-        table = cumulative(table, "value", "prob", "parent_value").select(F.lit(node).alias("node"), "parent_value", "value", "prob", "lo", "hi")
+        table = cumulative(table, "value", "prob", "parent_value").select(
+            F.lit(node).alias("node"), "parent_value", "value", "prob", "lo", "hi"
+        )
         out = table if out is None else out.unionByName(table)
     return out
 
@@ -154,9 +159,13 @@ def ancestral_sample(rows: DataFrame, key: str, tree: Tree, tables: DataFrame, d
         if parent is None:
             rows = categorical_draw(rows, u, mine, "value", node)
         else:
-            table = mine.select(F.col("parent_value").alias("__p"), F.col("value").alias(node), F.col("lo").alias("__lo"), F.col("hi").alias("__hi"))
+            table = mine.select(
+                F.col("parent_value").alias("__p"), F.col("value").alias(node), F.col("lo").alias("__lo"), F.col("hi").alias("__hi")
+            )
             same = (F.col(parent) == F.col("__p")) & (F.col("__cell") == F.col("__at"))
-            drawn = rows.withColumns({"__u": u, "__cell": grid_cell(u)}).join(on_grid(table, "__lo", "__hi", "__at"), same & (F.col("__u") >= F.col("__lo")) & (F.col("__u") < F.col("__hi")))
+            drawn = rows.withColumns({"__u": u, "__cell": grid_cell(u)}).join(
+                on_grid(table, "__lo", "__hi", "__at"), same & (F.col("__u") >= F.col("__lo")) & (F.col("__u") < F.col("__hi"))
+            )
             rows = drawn.drop("__u", "__cell", "__at", "__p", "__lo", "__hi")
     return rows
 

@@ -76,7 +76,9 @@ def draw_slot(shares: Column, u: Column, n: int) -> Column:
     step = F.aggregate(
         shares,
         F.struct(F.lit(0.0).alias("sum"), F.lit(0).alias("passed")),
-        lambda a, x: F.struct((a["sum"] + x).alias("sum"), (a["passed"] + F.when(a["sum"] + x <= u * total, 1).otherwise(0)).alias("passed")),
+        lambda a, x: F.struct(
+            (a["sum"] + x).alias("sum"), (a["passed"] + F.when(a["sum"] + x <= u * total, 1).otherwise(0)).alias("passed")
+        ),
     )
     return F.when(total > 0, F.least(step["passed"], F.lit(n - 1))).otherwise(even)
 

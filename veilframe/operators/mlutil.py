@@ -24,16 +24,24 @@ def feature_stages(df: DataFrame, columns: list[str], roles: dict[str, str]) ->
     stages: list = [StringIndexer(inputCol=c, outputCol=f"{c}__i", stringOrderType="alphabetAsc", handleInvalid="keep") for c in category]
     if category:
         stages.append(OneHotEncoder(inputCols=[f"{c}__i" for c in category], outputCols=[f"{c}__v" for c in category], dropLast=True))
-    return [*stages, VectorAssembler(inputCols=[f"{c}__v" if c in category else c for c in columns], outputCol="__features", handleInvalid="keep")]
+    return [
+        *stages,
+        VectorAssembler(inputCols=[f"{c}__v" if c in category else c for c in columns], outputCol="__features", handleInvalid="keep")
+    ]
 
 
 def classifier(name: str, n: int, inputs: int = 0, classes: int = 2, trees: int = 100, depth: int = 12):
     """A model by name. The regression's penalty is that of a unit cost on the summed loss; forests are depth-limited."""
     if name == MODELS[0]:
-        return LogisticRegression(maxIter=1000, regParam=1.0 / max(1, n), elasticNetParam=0.0, standardization=False, labelCol="__y", featuresCol="__features")
+        return LogisticRegression(
+            maxIter=1000, regParam=1.0 / max(1, n), elasticNetParam=0.0, standardization=False, labelCol="__y",
+            featuresCol="__features"
+        )
     if name == MODELS[1]:
         return RandomForestClassifier(numTrees=trees, seed=42, maxDepth=depth, labelCol="__y", featuresCol="__features", maxBins=64)
-    return MultilayerPerceptronClassifier(layers=[inputs, 100, classes], maxIter=200, seed=42, labelCol="__y", featuresCol="__features", blockSize=512)
+    return MultilayerPerceptronClassifier(
+        layers=[inputs, 100, classes], maxIter=200, seed=42, labelCol="__y", featuresCol="__features", blockSize=512
+    )
 
 
 def accuracy(rows: DataFrame, truth: str, guess: str) -> DataFrame:
@@ -74,7 +82,9 @@ def evaluate(train: DataFrame, test: DataFrame, columns: list[str], target: str,
     label = StringIndexer(inputCol=target, outputCol="__y", stringOrderType="alphabetAsc", handleInvalid="keep")
     fitted = Pipeline(stages=[label, *feature_stages(left, columns, roles)]).fit(left)
     names = fitted.stages[0].labels
-    left, right = fitted.transform(left).select("__y", "__features").cache(), fitted.transform(right).select(F.col(target).cast("string").alias("truth"), "__y", "__features")
+    left, right = fitted.transform(left).select("__y", "__features").cache(), fitted.transform(right).select(
+        F.col(target).cast("string").alias("truth"), "__y", "__features"
+    )
     n, first = left.count(), left.first()
     rows = []
     for name in models:

@@ -52,7 +52,13 @@ def frame_summary(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
     """(position, column_name, data_type, n_present, n_missing) of the columns; NaN counts as present."""
     kinds, columns = dict(df.dtypes), columns or df.columns
     row = df.agg(F.count("*").alias("n"), *(F.count(F.col(f"`{c}`")).alias(f"a{i}") for i, c in enumerate(columns)))
-    parts = [F.struct(F.lit(i).alias("position"), F.lit(c).alias("column_name"), F.lit(kinds[c]).alias("data_type"), F.col(f"a{i}").alias("n_present"), (F.col("n") - F.col(f"a{i}")).alias("n_missing")) for i, c in enumerate(columns)]
+    parts = [
+        F.struct(
+            F.lit(i).alias("position"), F.lit(c).alias("column_name"), F.lit(kinds[c]).alias("data_type"),
+            F.col(f"a{i}").alias("n_present"), (F.col("n") - F.col(f"a{i}")).alias("n_missing")
+        ) for i,
+        c in enumerate(columns)
+    ]
     return row.select(F.explode(F.array(*parts)).alias("p")).select("p.*")
 
 
@@ -83,7 +89,9 @@ def frobenius(differences: DataFrame) -> DataFrame:
 
 def contingency(df: DataFrame, parent: str, child: str) -> DataFrame:
     """(parent, child, n) over all pairs of observed values, 0 included."""
-    kept = df.where(F.col(parent).isNotNull() & F.col(child).isNotNull()).select(F.col(parent).cast("string").alias("parent"), F.col(child).cast("string").alias("child"))
+    kept = df.where(F.col(parent).isNotNull() & F.col(child).isNotNull()).select(
+        F.col(parent).cast("string").alias("parent"), F.col(child).cast("string").alias("child")
+    )
     counts = kept.groupBy("parent", "child").agg(F.count("*").alias("n"))
     # the grid is the result itself; both domains come from the counts, which are as few as the pairs of values
     grid = counts.select("parent").distinct().join(counts.select("child").distinct(), how="cross")
@@ -100,7 +108,10 @@ def mutual_information(df: DataFrame, columns: list[str]) -> DataFrame:
 
     All pairs are counted in one aggregation: rows spread into (pair, value, value), combined before the shuffle.
     """
-    pairs = F.array(*(F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.col(a).cast("string").alias("x"), F.col(b).cast("string").alias("y")) for a, b in combinations(columns, 2)))
+    pairs = F.array(*(
+        F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.col(a).cast("string").alias("x"), F.col(b).cast("string").alias("y")) for a,
+        b in combinations(columns, 2)
+    ))
     # equal rows are counted first: what is spread is as small as the distinct combinations
     counted = df.groupBy(*columns).agg(F.count("*").alias("k"))
     cells = counted.select("k", F.explode(pairs).alias("p")).select("k", "p.*").where("x is not null and y is not null").groupBy("a", "b", "x", "y").agg(F.sum("k").cast("double").alias("n"))
@@ -137,7 +148,9 @@ def kde_curve(df: DataFrame, column: str, points: int = 50) -> DataFrame:
     width = (sd or 1.0) * n**-0.2
     grid = [low + (high - low) * i / (points - 1) for i in range(points)]
     curve = df.where(x.isNotNull()).agg(*(F.avg(gaussian_pdf(F.lit(g), x, width)).alias(f"d{i}") for i, g in enumerate(grid)))
-    return curve.select(F.explode(F.array(*(F.struct(F.lit(g).alias("x"), F.col(f"d{i}").alias("density")) for i, g in enumerate(grid)))).alias("p")).select("p.*")
+    return curve.select(F.explode(F.array(*(
+        F.struct(F.lit(g).alias("x"), F.col(f"d{i}").alias("density")) for i, g in enumerate(grid)
+    ))).alias("p")).select("p.*")
 
 
 def log_frequency(df: DataFrame, column: str) -> DataFrame:
@@ -149,7 +162,9 @@ def log_frequency(df: DataFrame, column: str) -> DataFrame:
 def aggregate_trials(trials: DataFrame) -> DataFrame:
     """(metric, submetric, mean, std, min, max) of trials(metric, submetric, value), population deviation; NaN counts as missing."""
     v = F.nanvl(F.col("value").cast("double"), F.lit(None).cast("double"))
-    return trials.groupBy("metric", "submetric").agg(F.avg(v).alias("mean"), F.stddev_pop(v).alias("std"), F.min(v).alias("min"), F.max(v).alias("max"))
+    return trials.groupBy("metric", "submetric").agg(
+        F.avg(v).alias("mean"), F.stddev_pop(v).alias("std"), F.min(v).alias("min"), F.max(v).alias("max")
+    )
 
 
 def tree_degrees(edges: DataFrame) -> DataFrame:

@@ -92,7 +92,10 @@ def evaluate_statistical(real: DataFrame, synthetic: DataFrame, columns: list[st
             found.update(mlutil.pmse(real, synthetic, columns, key).first().asDict())
         return found[name]
 
-    return [("correlation_difference_norm", "", norm), ("pmse_score", "", lambda: error("pmse")), ("pmse_floor", "", lambda: error("floor"))]
+    return [
+        ("correlation_difference_norm", "", norm), ("pmse_score", "", lambda: error("pmse")),
+        ("pmse_floor", "", lambda: error("floor"))
+    ]
 
 
 def evaluate_privacy(real: DataFrame, synthetic: DataFrame, columns: list[str], key: str) -> list[tuple[str, str, Callable[[], float]]]:
@@ -109,10 +112,15 @@ def evaluate_privacy(real: DataFrame, synthetic: DataFrame, columns: list[str],
             found.update(privacy.dcr_summary(privacy.closest_records(real, synthetic, columns, key, key)).first().asDict())
         return found[name]
 
-    return [("exact_matches", "", lambda: match("matches")), ("exact_matches_percentage", "", lambda: match("percentage")), *(("dcr_stats", m, lambda m=m: distance(m)) for m in ("mean", "min", "max"))]
+    return [
+        ("exact_matches", "", lambda: match("matches")), ("exact_matches_percentage", "", lambda: match("percentage")),
+        *(("dcr_stats", m, lambda m=m: distance(m)) for m in ("mean", "min", "max"))
+    ]
 
 
-def evaluate_learning(train: DataFrame, test: DataFrame, synthetic: DataFrame, columns: list[str], target: str, models=mlutil.MODELS) -> list[tuple[str, str, Callable[[], float]]]:
+def evaluate_learning(
+    train: DataFrame, test: DataFrame, synthetic: DataFrame, columns: list[str], target: str, models=mlutil.MODELS
+) -> list[tuple[str, str, Callable[[], float]]]:
     """Accuracies on real test rows of models trained on real and on synthetic rows, and what is retained."""
     found: dict = {}
 
@@ -121,7 +129,10 @@ def evaluate_learning(train: DataFrame, test: DataFrame, synthetic: DataFrame, c
             base = mlutil.evaluate(train, test, columns, target, models)
             tstr = mlutil.evaluate(synthetic, test, columns, target, models)
             for r in mlutil.retention(base, tstr).collect():
-                found.update({("baseline", r["model"]): r["baseline"], ("tstr", r["model"]): r["tstr"], ("retention", r["model"]): r["retention"]})
+                found.update({
+                    ("baseline", r["model"]): r["baseline"], ("tstr", r["model"]): r["tstr"],
+                    ("retention", r["model"]): r["retention"]
+                })
         return found[kind, model]
 
     return [(kind, m, lambda kind=kind, m=m: get(kind, m)) for kind in ("baseline", "tstr", "retention") for m in models]
@@ -170,7 +181,10 @@ def nested(aggregates: DataFrame) -> dict:
     return out
 
 
-def run(spark: SparkSession, data: DataFrame, dataset: str, name: str, target: str, key: str, epsilons: list[float], n_trials: int = 3, train_size: int = 1000, test_size: int = 500, out: str | None = None, seed: int = 42, models=mlutil.MODELS, **how) -> DataFrame:
+def run(
+    spark: SparkSession, data: DataFrame, dataset: str, name: str, target: str, key: str, epsilons: list[float], n_trials: int = 3,
+    train_size: int = 1000, test_size: int = 500, out: str | None = None, seed: int = 42, models=mlutil.MODELS, **how
+) -> DataFrame:
     """METRICS rows over the grid of budgets and trials; with out, also the files of each configuration.
 
     Recipes run on the whole split, the test part's fitted on the training part, and samples are taken afterwards.
@@ -181,7 +195,9 @@ def run(spark: SparkSession, data: DataFrame, dataset: str, name: str, target: s
     train, meta = recipes.preprocess(train_all, dataset, name)
     plain, _ = recipes.preprocess(train_all, dataset, "standard")
     test, _ = recipes.preprocess(test_all, dataset, "standard", train_all)
-    train, plain, test = (sampling.seeded_sample(df, key, n, seed).cache() for df, n in ((train, train_size), (plain, train_size), (test, test_size)))
+    train, plain, test = (
+        sampling.seeded_sample(df, key, n, seed).cache() for df, n in ((train, train_size), (plain, train_size), (test, test_size))
+    )
     columns = [c for c in train.columns if c != key]
     discrete = [c for c in columns if c in meta.discrete_columns]
     rows = []
@@ -211,9 +227,15 @@ def run(spark: SparkSession, data: DataFrame, dataset: str, name: str, target: s
                     rows += [r for r in found if r[7] != "ok"]
                     found = kept[part][-len(tasks) :]
                 if out and part != "ml":
-                    files.write_json({f"{r[4]}.{r[5]}".rstrip("."): r[6] for r in found if r[7] == "ok"}, folder / f"{part}_metrics_trial_{trial}.json")
+                    files.write_json(
+                        {f"{r[4]}.{r[5]}".rstrip("."): r[6] for r in found if r[7] == "ok"},
+                        folder / f"{part}_metrics_trial_{trial}.json"
+                    )
         if out:
-            done = {p: nested(stats.aggregate_trials(spark.createDataFrame([r for r in v if r[7] == "ok"], METRICS))) if any(r[7] == "ok" for r in v) else {} for p, v in kept.items()}
+            done = {
+                p: nested(stats.aggregate_trials(spark.createDataFrame([r for r in v if r[7] == "ok"], METRICS))) if any(r[7] == "ok" for r in v) else {} for p,
+                v in kept.items()
+            }
             files.write_aggregates(folder, done["statistical"], done["privacy"], done["ml"])
     return spark.createDataFrame(rows, METRICS)
 
@@ -247,9 +269,14 @@ def main(argv: list[str] | None = None) -> None:
 
     same = F.sha2(F.concat_ws("|", *(F.coalesce(F.col(c).cast("string"), F.lit("?")) for c in data.columns)), 256)
     data = data.withColumn("row_hash", same)
-    data = data.withColumn("row_key", F.concat_ws("-", "row_hash", F.row_number().over(Window.partitionBy("row_hash").orderBy("row_hash")))).drop("row_hash")
+    data = data.withColumn(
+        "row_key", F.concat_ws("-", "row_hash", F.row_number().over(Window.partitionBy("row_hash").orderBy("row_hash")))
+    ).drop("row_hash")
     target = "income" if args.dataset == "adult" else "Cover_Type"
-    found = run(spark, data, args.dataset, args.synthesizer, target, "row_key", args.epsilon, args.n_trials, args.train_size, args.test_size, args.out)
+    found = run(
+        spark, data, args.dataset, args.synthesizer, target, "row_key", args.epsilon, args.n_trials, args.train_size,
+        args.test_size, args.out
+    )
     files.write_metrics(found, str(Path(args.out) / "metrics"))
     found.show(200, truncate=False)
 

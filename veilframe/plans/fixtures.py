@@ -70,6 +70,10 @@ def items(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def holders(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    customers = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("key"), F.col("c_nationkey").cast("string").alias("nation"), F.col("c_acctbal").alias("balance"))
-    suppliers = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("key"), F.col("s_nationkey").cast("string").alias("nation"), F.col("s_acctbal").alias("balance"))
+    customers = table(spark, sf_dir, "customer").select(
+        F.col("c_custkey").alias("key"), F.col("c_nationkey").cast("string").alias("nation"), F.col("c_acctbal").alias("balance")
+    )
+    suppliers = table(spark, sf_dir, "supplier").select(
+        F.col("s_suppkey").alias("key"), F.col("s_nationkey").cast("string").alias("nation"), F.col("s_acctbal").alias("balance")
+    )
     return customers, suppliers

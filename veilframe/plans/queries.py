@@ -29,7 +29,10 @@ def r6(c: Column | str) -> Column:
 
 
 def rounded(df: DataFrame) -> DataFrame:
-    return df.select(*(r6(c).alias(c) if t == "double" else F.col(c).cast("long").alias(c) if t in ("int", "bigint") else F.col(c) for c, t in df.dtypes))
+    return df.select(*(
+        r6(c).alias(c) if t == "double" else F.col(c).cast("long").alias(c) if t in ("int", "bigint") else F.col(c) for c,
+        t in df.dtypes
+    ))
 
 
 # sources and cleaning
@@ -50,10 +53,16 @@ def scan_csv_files(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _csv_lines(spark: SparkSession, sf: str) -> DataFrame:
-    return fx.people(spark, sf).select(F.concat_ws(",", F.col("o_orderkey").cast("string"), F.concat(F.lit(" "), F.when(F.col("c_mktsegment") == "MACHINERY", "?").otherwise(F.col("c_mktsegment"))), F.concat(F.lit(" "), F.col("o_orderpriority"), F.lit(" "))).alias("line"))
+    return fx.people(spark, sf).select(F.concat_ws(
+        ",", F.col("o_orderkey").cast("string"),
+        F.concat(F.lit(" "), F.when(F.col("c_mktsegment") == "MACHINERY", "?").otherwise(F.col("c_mktsegment"))),
+        F.concat(F.lit(" "), F.col("o_orderpriority"), F.lit(" "))
+    ).alias("line"))
 
 
-_CSV_SCHEMA = T.StructType([T.StructField("o_orderkey", T.LongType()), T.StructField("segment", T.StringType()), T.StructField("priority", T.StringType())])
+_CSV_SCHEMA = T.StructType([
+    T.StructField("o_orderkey", T.LongType()), T.StructField("segment", T.StringType()), T.StructField("priority", T.StringType())
+])
 
 
 @query
@@ -78,12 +87,18 @@ def drop_column(spark, sf):
 
 @query
 def cast_string(spark, sf):
-    return clean.cast_columns(fx.people(spark, sf).select("o_orderkey", "c_nationkey", F.floor("o_totalprice").cast("long").alias("price")), {"c_nationkey": "string", "price": "string"})
+    return clean.cast_columns(
+        fx.people(spark, sf).select("o_orderkey", "c_nationkey", F.floor("o_totalprice").cast("long").alias("price")),
+        {"c_nationkey": "string", "price": "string"}
+    )
 
 
 @query
 def cast_numeric(spark, sf):
-    text = fx.people(spark, sf).select("o_orderkey", F.col("c_nationkey").cast("string").alias("nation"), F.col("c_nationkey").cast("string").alias("nation_number"))
+    text = fx.people(spark, sf).select(
+        "o_orderkey", F.col("c_nationkey").cast("string").alias("nation"),
+        F.col("c_nationkey").cast("string").alias("nation_number")
+    )
     return clean.cast_columns(text, {"nation": "bigint", "nation_number": "double"})
 
 
@@ -121,8 +136,13 @@ def drop_nulls(spark, sf):
 @query
 def infer_roles(spark, sf):
     df = fx.people(spark, sf).select(*fx.PEOPLE)
-    rules = {name: clean.infer_roles(df, limit) for name, limit in (("by_type", 0), ("at_10", clean.SYNTHESIS_LIMIT), ("at_20", clean.COMPARE_LIMIT))}
-    return spark.createDataFrame([(c, *(rules[r][c] for r in rules)) for c in fx.PEOPLE], "column_name string, by_type string, at_10 string, at_20 string")
+    rules = {
+        name: clean.infer_roles(df, limit) for name,
+        limit in (("by_type", 0), ("at_10", clean.SYNTHESIS_LIMIT), ("at_20", clean.COMPARE_LIMIT))
+    }
+    return spark.createDataFrame(
+        [(c, *(rules[r][c] for r in rules)) for c in fx.PEOPLE], "column_name string, by_type string, at_10 string, at_20 string"
+    )
 
 
 @query
@@ -134,7 +154,10 @@ def project(spark, sf):
 def harmonise(spark, sf):
     columns = ["balance", "segment", "c_nationkey"]
     real = fx.messy(spark, sf).select("o_orderkey", "balance", F.col("known_segment").alias("segment"), "c_nationkey")
-    synthetic = fx.mirrored(spark, sf).select("o_orderkey", F.when(F.col("c_acctbal") > 1000, F.col("c_acctbal")).alias("balance"), F.col("c_mktsegment").alias("segment"), "c_nationkey")
+    synthetic = fx.mirrored(spark, sf).select(
+        "o_orderkey", F.when(F.col("c_acctbal") > 1000, F.col("c_acctbal")).alias("balance"),
+        F.col("c_mktsegment").alias("segment"), "c_nationkey"
+    )
     left, right, _ = clean.harmonise(real, synthetic, columns)
     return rounded(sampling.union_tagged(left, right))
 
@@ -152,7 +175,9 @@ def qcut_bins(spark, sf):
 @query
 def qcut_labels(spark, sf):
     df = fx.people(spark, sf)
-    return binning.apply_bins(df.select("o_orderkey", "o_totalprice"), "o_totalprice", binning.fit_bins(df, "o_totalprice", 10), "label").select("o_orderkey", "label")
+    return binning.apply_bins(
+        df.select("o_orderkey", "o_totalprice"), "o_totalprice", binning.fit_bins(df, "o_totalprice", 10), "label"
+    ).select("o_orderkey", "label")
 
 
 @query
@@ -178,7 +203,13 @@ def topk_values(spark, sf):
 
 @query
 def category_codes(spark, sf):
-    return rounded(encode.category_codes([fx.table(spark, sf, "customer").select(F.col("c_nationkey").alias("n")), fx.table(spark, sf, "supplier").select(F.col("s_nationkey").alias("n"))], "n"))
+    return rounded(encode.category_codes(
+        [
+            fx.table(spark, sf, "customer").select(F.col("c_nationkey").alias("n")),
+            fx.table(spark, sf, "supplier").select(F.col("s_nationkey").alias("n"))
+        ],
+        "n"
+    ))
 
 
 @query
@@ -213,7 +244,9 @@ def standard_scale(spark, sf):
 
 
 def _balance(spark, sf) -> DataFrame:
-    return fx.table(spark, sf, "customer").select("c_custkey", F.col("c_acctbal").alias("x"), uniform("mode", F.col("c_custkey")).alias("u"))
+    return fx.table(spark, sf, "customer").select(
+        "c_custkey", F.col("c_acctbal").alias("x"), uniform("mode", F.col("c_custkey")).alias("u")
+    )
 
 
 @query
@@ -234,13 +267,18 @@ def mode_draw(spark, sf):
 
 @query
 def mode_normalise(spark, sf):
-    return _drawn(spark, sf).select("c_custkey", r6(encode.mode_normalise(F.col("x"), F.col("mode"), fx.MODES["means"], fx.MODES["deviations"])).alias("scalar"))
+    return _drawn(spark, sf).select(
+        "c_custkey", r6(encode.mode_normalise(F.col("x"), F.col("mode"), fx.MODES["means"], fx.MODES["deviations"])).alias("scalar")
+    )
 
 
 @query
 def mode_denormalise(spark, sf):
     df = _balance(spark, sf).withColumn("mode", F.pmod("c_custkey", F.lit(3)).cast("int"))
-    return df.select("c_custkey", r6(encode.mode_denormalise(F.col("u") * 2 - 1, F.col("mode"), fx.MODES["means"], fx.MODES["deviations"])).alias("x"))
+    return df.select(
+        "c_custkey",
+        r6(encode.mode_denormalise(F.col("u") * 2 - 1, F.col("mode"), fx.MODES["means"], fx.MODES["deviations"])).alias("x")
+    )
 
 
 @query
@@ -251,11 +289,16 @@ def argmax_slot(spark, sf):
 @query
 def filter_components(spark, sf):
     kept = F.filter("embedding", lambda x: x > 0.01)
-    return fx.table(spark, sf, "embeddings").select("vec_id", F.size(kept).cast("long").alias("n_kept"), r6(F.aggregate(kept, F.lit(0.0), lambda a, x: a + x)).alias("total"))
+    return fx.table(spark, sf, "embeddings").select(
+        "vec_id", F.size(kept).cast("long").alias("n_kept"), r6(F.aggregate(kept, F.lit(0.0), lambda a, x: a + x)).alias("total")
+    )
 
 
 def _transformer(df: DataFrame) -> mixture.ColumnTransformer:
-    return mixture.ColumnTransformer([mixture.Continuous("c_acctbal", *(tuple(fx.MODES[k]) for k in ("weights", "means", "deviations"))), mixture.Discrete("c_mktsegment", tuple(encode.categories(df, "c_mktsegment", by_frequency=True)))])
+    return mixture.ColumnTransformer([
+        mixture.Continuous("c_acctbal", *(tuple(fx.MODES[k]) for k in ("weights", "means", "deviations"))),
+        mixture.Discrete("c_mktsegment", tuple(encode.categories(df, "c_mktsegment", by_frequency=True)))
+    ])
 
 
 @query
@@ -279,7 +322,9 @@ def ctgan_inverse(spark, sf):
 
 @query
 def clip_range(spark, sf):
-    return fx.people(spark, sf).select("o_orderkey", clip(F.col("c_acctbal"), 0.0).alias("low"), clip(F.col("c_acctbal"), -1.0, 1.0).alias("unit"))
+    return fx.people(spark, sf).select(
+        "o_orderkey", clip(F.col("c_acctbal"), 0.0).alias("low"), clip(F.col("c_acctbal"), -1.0, 1.0).alias("unit")
+    )
 
 
 @query
@@ -308,12 +353,18 @@ def value_shares(spark, sf):
 
 @query
 def marginals_categorical(spark, sf):
-    return rounded(stats.marginals(fx.messy(spark, sf).withColumnRenamed("known_segment", "s"), fx.mirrored(spark, sf).withColumnRenamed("c_mktsegment", "s"), "s"))
+    return rounded(stats.marginals(
+        fx.messy(spark, sf).withColumnRenamed("known_segment", "s"), fx.mirrored(spark, sf).withColumnRenamed("c_mktsegment", "s"),
+        "s"
+    ))
 
 
 @query
 def distinct_counts(spark, sf):
-    return stats.distinct_count_table(fx.messy(spark, sf).select("known_segment", "price_text", "c_nationkey", "balance"), ["known_segment", "price_text", "c_nationkey", "balance"])
+    return stats.distinct_count_table(
+        fx.messy(spark, sf).select("known_segment", "price_text", "c_nationkey", "balance"),
+        ["known_segment", "price_text", "c_nationkey", "balance"]
+    )
 
 
 @query
@@ -336,7 +387,11 @@ def _coded(df: DataFrame) -> DataFrame:
     """Categories as codes over a fixed order, so that both frames agree; one of them is missing, and negative balances are."""
     rank = {"o_orderstatus": ["F", "O", "P"], "c_mktsegment": ["AUTOMOBILE", "BUILDING", "FURNITURE", "HOUSEHOLD"]}
     balance = F.when(F.col("c_acctbal") >= 0, F.col("c_acctbal")).alias("c_acctbal")
-    return df.select("o_totalprice", balance, "c_nationkey", *((F.nullif(F.array_position(F.array(*map(F.lit, v)), F.col(c)), F.lit(0)) - 1).alias(c) for c, v in rank.items()), F.lit(1.0).alias("always"))
+    return df.select(
+        "o_totalprice", balance, "c_nationkey",
+        *((F.nullif(F.array_position(F.array(*map(F.lit, v)), F.col(c)), F.lit(0)) - 1).alias(c) for c, v in rank.items()),
+        F.lit(1.0).alias("always")
+    )
 
 
 _NUMBERS = ["o_totalprice", "c_acctbal", "c_nationkey", "o_orderstatus", "c_mktsegment", "always"]
@@ -410,7 +465,9 @@ def log_frequency(spark, sf):
 
 @query
 def aggregate_trials(spark, sf):
-    return rounded(stats.aggregate_trials(fx.items(spark, sf).select(F.col("l_returnflag").alias("metric"), F.col("l_linestatus").alias("submetric"), F.col("l_tax").alias("value"))))
+    return rounded(stats.aggregate_trials(fx.items(spark, sf).select(
+        F.col("l_returnflag").alias("metric"), F.col("l_linestatus").alias("submetric"), F.col("l_tax").alias("value")
+    )))
 
 
 @query
@@ -435,7 +492,10 @@ def seeded_sample(spark, sf):
 @query
 def aligned_sample(spark, sf):
     keys = sampling.seeded_sample(fx.people(spark, sf).select("o_orderkey"), "o_orderkey", fx.SAMPLE_ROWS)
-    versions = [fx.people(spark, sf).select("o_orderkey", "c_mktsegment"), fx.mirrored(spark, sf).select("o_orderkey", F.col("c_mktsegment").alias("other_segment"))]
+    versions = [
+        fx.people(spark, sf).select("o_orderkey", "c_mktsegment"),
+        fx.mirrored(spark, sf).select("o_orderkey", F.col("c_mktsegment").alias("other_segment"))
+    ]
     return versions[0].join(keys, "o_orderkey", "left_semi").join(versions[1].join(keys, "o_orderkey", "left_semi"), "o_orderkey")
 
 
@@ -457,7 +517,9 @@ def categorical_draw(spark, sf):
 @query
 def gower_pairs(spark, sf):
     real, synthetic = fx.holders(spark, sf)
-    return rounded(privacy.gower_pairs(real, synthetic, ["nation", "balance"], "key", "key", {"nation": "categorical", "balance": "numeric"}))
+    return rounded(privacy.gower_pairs(
+        real, synthetic, ["nation", "balance"], "key", "key", {"nation": "categorical", "balance": "numeric"}
+    ))
 
 
 def _closest(spark, sf):
@@ -491,7 +553,9 @@ def exact_matches_positional(spark, sf):
 
 @query
 def exact_match_pct(spark, sf):
-    return rounded(privacy.exact_match_percentage(fx.people(spark, sf).select(*_MATCHED), fx.mirrored(spark, sf).select(*_MATCHED), _MATCHED))
+    return rounded(privacy.exact_match_percentage(
+        fx.people(spark, sf).select(*_MATCHED), fx.mirrored(spark, sf).select(*_MATCHED), _MATCHED
+    ))
 
 
 # the Bayesian network
@@ -529,7 +593,9 @@ def ancestral_sample(spark, sf):
         if parent is None:
             t = stats.value_shares(df, node).select(F.lit(None).cast("string").alias("parent_value"), "value", F.col("share").alias("prob"))
         else:
-            t = stats.contingency(df, parent, node).select(F.col("parent").alias("parent_value"), F.col("child").alias("value"), F.col("n").cast("double").alias("prob"))
+            t = stats.contingency(df, parent, node).select(
+                F.col("parent").alias("parent_value"), F.col("child").alias("value"), F.col("n").cast("double").alias("prob")
+            )
         t = sampling.cumulative(t, "value", "prob", "parent_value").withColumn("node", F.lit(node))
         tables = t if tables is None else tables.unionByName(t)
     rows = fx.table(spark, sf, "orders").select(F.col("o_orderkey").alias("row"))

@@ -41,8 +41,14 @@ ADULT = Roles(
     numeric=("age", "fnlwgt", "capital-gain", "capital-loss", "hours-per-week"),
     strip=(("income", "."),),
 )
-COVERTYPE = Roles(key="row_key", quantile=tuple((c, 5) for c in COVERTYPE_NUMERIC), numeric=tuple(COVERTYPE_NUMERIC), whole=(*COVERTYPE_BINARY, "Cover_Type"))
-PEOPLE = Roles(key="o_orderkey", unknown=("segment",), dropped=("known_segment",), quantile=(("price_text", 5),), zero_inflated=("balance",), rest=(("c_nationkey", 2, 5),), numeric=("price_text", "balance"), strip=(("priority", "."),))
+COVERTYPE = Roles(
+    key="row_key", quantile=tuple((c, 5) for c in COVERTYPE_NUMERIC), numeric=tuple(COVERTYPE_NUMERIC),
+    whole=(*COVERTYPE_BINARY, "Cover_Type")
+)
+PEOPLE = Roles(
+    key="o_orderkey", unknown=("segment",), dropped=("known_segment",), quantile=(("price_text", 5),), zero_inflated=("balance",),
+    rest=(("c_nationkey", 2, 5),), numeric=("price_text", "balance"), strip=(("priority", "."),)
+)
 RECIPES = {"adult": ADULT, "covertype": COVERTYPE, "people": PEOPLE}
 
 
@@ -110,7 +116,10 @@ def describe(dataset: str, synthesizer: str) -> dict:
     if dataset.lower() not in RECIPES or synthesizer.lower() not in _BY_SYNTHESIZER:
         raise ValueError(f"unknown dataset or synthesizer: {dataset}, {synthesizer}")
     roles = RECIPES[dataset.lower()]
-    info: dict = {"dataset": dataset.lower(), "synthesizer": synthesizer.lower(), "dropped": list(roles.dropped), "unknown": list(roles.unknown)}
+    info: dict = {
+        "dataset": dataset.lower(), "synthesizer": synthesizer.lower(), "dropped": list(roles.dropped),
+        "unknown": list(roles.unknown)
+    }
     if synthesizer.lower() == "privbayes":
         info |= {"bins": dict(roles.quantile), "levels": list(roles.zero_inflated), "kept_values": {c: k for c, k, _ in roles.rest}}
     elif synthesizer.lower() == "dpctgan":

@@ -25,7 +25,10 @@ def ensure_path(spark: SparkSession, path: str) -> str:
 
 
 # Where the two public tables are published.
-ADULT_URLS = ("https://archive.ics.uci.edu/ml/machine-learning-databases/adult/adult.data", "https://archive.ics.uci.edu/ml/machine-learning-databases/adult/adult.test")
+ADULT_URLS = (
+    "https://archive.ics.uci.edu/ml/machine-learning-databases/adult/adult.data",
+    "https://archive.ics.uci.edu/ml/machine-learning-databases/adult/adult.test"
+)
 COVERTYPE_URL = "https://archive.ics.uci.edu/ml/machine-learning-databases/covtype/covtype.data.gz"
 
 
@@ -60,7 +63,9 @@ def scan_csv(spark: SparkSession, path: str, schema: T.StructType, null_value: s
     Files that end in .gz are decompressed; as those cannot be split, their rows are dealt out again.
     """
     ensure_path(spark, path)
-    options = {"header": "false", "ignoreLeadingWhiteSpace": "true", "ignoreTrailingWhiteSpace": "true", "nullValue": null_value} | ({"comment": comment} if comment else {})
+    options = {
+        "header": "false", "ignoreLeadingWhiteSpace": "true", "ignoreTrailingWhiteSpace": "true", "nullValue": null_value
+    } | ({"comment": comment} if comment else {})
     df = spark.read.schema(schema).options(**options).csv(path)
     return df.repartition(spark.sparkContext.defaultParallelism) if path.endswith(".gz") else df
 
@@ -68,7 +73,9 @@ def scan_csv(spark: SparkSession, path: str, schema: T.StructType, null_value: s
 def parse_csv(lines: DataFrame, column: str, schema: T.StructType, null_value: str = "?") -> DataFrame:
     """Rows of a column of CSV lines, under the same rules as scan_csv."""
     options = {"ignoreLeadingWhiteSpace": "true", "ignoreTrailingWhiteSpace": "true", "nullValue": null_value}
-    return lines.select(F.from_csv(column, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in schema), options).alias("r")).select("r.*")
+    return lines.select(F.from_csv(
+        column, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in schema), options
+    ).alias("r")).select("r.*")
 
 
 def load_adult(spark: SparkSession, train: str, test: str) -> DataFrame:

@@ -48,7 +48,10 @@ def marginal_bars(marginals: DataFrame, path: str | Path) -> None:
             parts.append(_bar(155, top + 7, 300 * r["synthetic_share"], 6, _SYNTHETIC))
             top += 16
         top += 12
-    parts += [_bar(155, top, 10, 10, _REAL), _text(169, top + 9, "real"), _bar(215, top, 10, 10, _SYNTHETIC), _text(229, top + 9, "synthetic")]
+    parts += [
+        _bar(155, top, 10, 10, _REAL), _text(169, top + 9, "real"), _bar(215, top, 10, 10, _SYNTHETIC),
+        _text(229, top + 9, "synthetic")
+    ]
     _write(path, _document(480, top + 24, parts))
 
 
