@@ -24,4 +24,7 @@ def docs(spark, rows):
 def edge_rows():
     rng = random.Random(5)
     long = sentence(rng, 4000)
-    return [(1, None), (2, ""), (3, "   \n "), (4, "one"), (5, "one"), (None, "no id here at all for this text"), (6, long), (6, long), (7, "é" * 30 + " ß 中文 字 😀"), (8, "!!! ..."), (9, sentence(rng, 40))]
+    return [
+        (1, None), (2, ""), (3, "   \n "), (4, "one"), (5, "one"), (None, "no id here at all for this text"), (6, long), (6, long),
+        (7, "é" * 30 + " ß 中文 字 😀"), (8, "!!! ..."), (9, sentence(rng, 40))
+    ]

@@ -68,7 +68,9 @@ def near_rows():
     return rows + [(200 + k, "copy " * 3 + base[0]) for k in range(8)] + [(300 + k, sentence(rng, 60)) for k in range(30)]
 
 
-@pytest.mark.parametrize("block_bytes, rows", [(jaccard.BLOCK_BYTES, jaccard.ROWS), (jaccard.BLOCK_BYTES, 7), (9000, 7), (1000, jaccard.ROWS)])
+@pytest.mark.parametrize(
+    "block_bytes, rows", [(jaccard.BLOCK_BYTES, jaccard.ROWS), (jaccard.BLOCK_BYTES, 7), (9000, 7), (1000, jaccard.ROWS)]
+)
 def test_links_equal_all_pairs(spark, near_rows, block_bytes, rows, monkeypatch):
     monkeypatch.setattr(jaccard, "ROWS", rows)
     got = jaccard.jaccard_links(docs(spark, near_rows), block_bytes=block_bytes).collect()
@@ -79,7 +81,9 @@ def test_deduplication_keeps_one_of_each_group(spark, near_rows):
     kept = jaccard.deduplicated(docs(spark, near_rows))
     assert kept.columns == docs(spark, []).columns
     heads = {c for _, c, _ in brute_links(near_rows)}
-    assert sorted((r["doc_id"] for r in kept.collect()), key=lambda x: (x is not None, x)) == sorted(heads, key=lambda x: (x is not None, x))
+    assert sorted(
+        (r["doc_id"] for r in kept.collect()), key=lambda x: (x is not None, x)
+    ) == sorted(heads, key=lambda x: (x is not None, x))
 
 
 def test_no_documents(spark):
@@ -124,7 +128,9 @@ def test_nodes_of_the_tries_hold_all_that_share_a_prefix(spark):
     forest = jaccard.Forest(trees=3, depth=8)
     labels = rng.integers(0, 2, (90, 3, 8)).astype(">u2")
     needs = rng.choice([5, 5, 6, 8, 9], 90).tolist()
-    classes = spark.createDataFrame([(i, x.tobytes(), n) for i, (x, n) in enumerate(zip(labels, needs))], "rep long, labels binary, need int").repartition(4)
+    classes = spark.createDataFrame(
+        [(i, x.tobytes(), n) for i, (x, n) in enumerate(zip(labels, needs))], "rep long, labels binary, need int"
+    ).repartition(4)
     spark.conf.set("spark.sql.shuffle.partitions", "5")
     members = defaultdict(set)
     try:
@@ -181,7 +187,9 @@ def brute_contamination(text, items, window=13):
 @pytest.fixture(scope="module")
 def bench_case():
     rng = random.Random(3)
-    items = [(k, sentence(rng, rng.choice([1, 2, 5, 12, 13, 14, 40]))) for k in range(30)] + [(90, None), (91, ""), (92, "aa bb aa bb aa bb aa bb aa bb aa bb aa bb aa"), (93, "aa bb")]
+    items = [(k, sentence(rng, rng.choice([1, 2, 5, 12, 13, 14, 40]))) for k in range(30)] + [
+        (90, None), (91, ""), (92, "aa bb aa bb aa bb aa bb aa bb aa bb aa bb aa"), (93, "aa bb")
+    ]
     items += [items[6], items[6], (items[6][0], items[7][1]), (None, items[8][1]), (None, items[8][1]), (None, "kept apart zq")]
     rows = edge_rows()
     for k in range(40):
@@ -220,7 +228,10 @@ def test_decontaminated_documents(spark, bench_case):
 # personal data
 
 
-BASE = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
+BASE = {
+    "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)",
+    "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"
+}
 
 
 def luhn(digits):
@@ -250,7 +261,9 @@ PII_TEXTS = [
 
 def test_patterns_equal_plain_search(spark):
     rows = edge_rows() + [(100 + k, t) for k, t in enumerate(PII_TEXTS)]
-    got = pii.find_pii(docs(spark, rows)).select("doc_id", pii.listed(F.filter("spans", lambda s: s["kind"] != "term")).alias("s")).collect()
+    got = pii.find_pii(docs(spark, rows)).select(
+        "doc_id", pii.listed(F.filter("spans", lambda s: s["kind"] != "term")).alias("s")
+    ).collect()
     assert Counter((r["doc_id"], r["s"]) for r in got) == Counter((i, brute_pii(t)) for i, t in rows)
 
 
@@ -337,7 +350,10 @@ def test_terms_equal_a_count_row_by_row(spark):
     rows = edge_rows() + [(100 + k, sentence(rng, 40)) for k in range(150)]
     for k in range(160):
         mail, name = rng.choice(list(people.items()))
-        said = [sentence(rng, rng.randint(0, 25)), name if rng.random() < 0.8 else "", f"<{mail}>", sentence(rng, rng.randint(0, 25)), rng.choice(["", "+49 30 1234567", "10.2.0.7", rng.choice(list(people))])]
+        said = [
+            sentence(rng, rng.randint(0, 25)), name if rng.random() < 0.8 else "", f"<{mail}>", sentence(rng, rng.randint(0, 25)),
+            rng.choice(["", "+49 30 1234567", "10.2.0.7", rng.choice(list(people))])
+        ]
         rows.append((400 + k, " ".join(said)))
     rows += [(700 + k, f"seen {rng.choice(list(people.values()))} again") for k in range(20)]
     rows += [rows[-40]] * 30 + [rows[-25]] * 2  # repeated rows, one of them often
@@ -353,11 +369,15 @@ def test_terms_equal_a_count_row_by_row(spark):
 
 
 def test_token_round_trip(spark):
-    rows = edge_rows() + [(20, "a  b"), (21, " lead"), (22, "trail "), (23, "tab\tx \n y"), (24, "x<|endoftext|>y z"), (25, "don't stop. a, b.")] + [(30 + k, sentence(random.Random(k), 50)) for k in range(60)]
+    rows = edge_rows() + [
+        (20, "a  b"), (21, " lead"), (22, "trail "), (23, "tab\tx \n y"), (24, "x<|endoftext|>y z"), (25, "don't stop. a, b.")
+    ] + [(30 + k, sentence(random.Random(k), 50)) for k in range(60)]
     t = Tokenizer.from_file(TOKENIZER)
     got = tokens.read_tokens(tokens.write_tokens(docs(spark, rows), TOKENIZER, file_tokens=500)).collect()
     ids = [(i, t.encode(x or "", add_special_tokens=False).ids + [0]) for i, x in rows]
-    assert Counter((r["doc_id"], r["n_tokens"], r["ids_crc32"]) for r in got) == Counter((i, len(v), zlib.crc32(np.array(v, "<u4").tobytes())) for i, v in ids)
+    assert Counter((r["doc_id"], r["n_tokens"], r["ids_crc32"]) for r in got) == Counter(
+        (i, len(v), zlib.crc32(np.array(v, "<u4").tobytes())) for i, v in ids
+    )
     got = sorted(got, key=lambda r: r["start"])
     assert [r["start"] for r in got] == np.concatenate([[0], np.cumsum([r["n_tokens"] for r in got])[:-1]]).tolist()
     assert [r["doc_id"] or -1 for r in got] == sorted((i or -1 for i, _ in rows))
@@ -402,6 +422,14 @@ def test_words_give_the_ids_of_whole_texts(table, monkeypatch):
         assert [x for k in range(0, len(texts), 200) for x in coder.encode(texts[k : k + 200])] == expected
 
 
+def test_words_beside_any_white_space():
+    rng, t, coder = random.Random(41), Tokenizer.from_file(TOKENIZER), tokens.WordEncoder(TOKENIZER)
+    signs = [" ", " ", " ", "  ", "\n", "\t", "\r", "\x0b", "\x1c", "\x1f", "\x85", "\xa0", "\u2003", "\u2028", "\u3000", "\u200b", "a", "bc", "é", "中", "1", ".", ",", "'s", "!?", "<|endoftext|>", "\u0301", "Ġ", "\x00"]
+    texts = ["".join(rng.choice(signs) for _ in range(rng.randint(0, 12))) for _ in range(4000)]
+    got = [x for k in range(0, len(texts), 100) for x in coder.encode(texts[k : k + 100])]
+    assert got == [np.array(t.encode(x, add_special_tokens=False).ids, "<u4").tobytes() for x in texts]
+
+
 def test_any_token_is_found_without_its_neighbours(spark):
     rows = [(k, sentence(random.Random(k), 300)) for k in range(20)]
     files = tokens.write_tokens(docs(spark, rows), TOKENIZER).collect()
@@ -435,21 +463,35 @@ def brute_repeats(rows, span):
                 gone[p : p + span] = True
             seen.add(s)
         edges = np.diff(np.concatenate([[0], gone.astype(int), [0]]))
-        out.append((rows[i][0], len(data), int(gone.sum()), int((edges == 1).sum()), hashlib.sha256(np.frombuffer(data, np.uint8)[~gone].tobytes()).hexdigest()))
+        out.append((
+            rows[i][0], len(data), int(gone.sum()), int((edges == 1).sum()),
+            hashlib.sha256(np.frombuffer(data, np.uint8)[~gone].tobytes()).hexdigest()
+        ))
     return Counter(out)
 
 
-@pytest.mark.parametrize("pack_bytes, group, bucket_bytes", [(suffixes.PACK_BYTES, suffixes.GROUP, suffixes.BUCKET_BYTES), (3000, suffixes.GROUP, 5000), (3000, 5, 1000), (2000, 1, 300), (1000, 1, suffixes.BUCKET_BYTES)])
+@pytest.mark.parametrize(
+    "pack_bytes, group, bucket_bytes",
+    [
+        (suffixes.PACK_BYTES, suffixes.GROUP, suffixes.BUCKET_BYTES), (3000, suffixes.GROUP, 5000), (3000, 5, 1000), (2000, 1, 300),
+        (1000, 1, suffixes.BUCKET_BYTES)
+    ]
+)
 def test_repeats_equal_brute_force(spark, pack_bytes, group, bucket_bytes):
     rng = random.Random(11)
     passage, line = sentence(rng, 60), sentence(rng, 16)
     rows = edge_rows() + [(30, passage * 3), (31, "ab" * 400), (32, "z" * 600), (33, passage[:130])]
     for k in range(60):
         a, b = sorted((rng.randrange(len(passage)), rng.randrange(len(passage))))
-        rows.append((100 + k, f"{sentence(rng, rng.randint(0, 30))} {passage[a:b]} {line} {sentence(rng, rng.randint(0, 30))}" + passage[:b] * rng.randint(0, 1)))
+        rows.append((
+            100 + k,
+            f"{sentence(rng, rng.randint(0, 30))} {passage[a:b]} {line} {sentence(rng, rng.randint(0, 30))}" + passage[:b] * rng.randint(0, 1)
+        ))
     rng.shuffle(rows)
     got = suffixes.repeated_spans(docs(spark, rows).repartition(5), pack_bytes=pack_bytes, group=group, bucket_bytes=bucket_bytes).collect()
-    assert Counter((r["doc_id"], r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in got) == brute_repeats(rows, suffixes.SPAN)
+    assert Counter((
+        r["doc_id"], r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]
+    ) for r in got) == brute_repeats(rows, suffixes.SPAN)
     for r in got:
         assert sum(s["end"] - s["start"] for s in r["spans"]) == r["n_removed"] and len(r["kept"]) == r["n_bytes"] - r["n_removed"]
 
@@ -461,7 +503,9 @@ def test_a_very_frequent_phrase_between_different_words(spark):
     rows += [(1000 + k, (phrase * 4)[k : k + 130]) for k in range(20)]
     assert sum(t.count(phrase) for _, t in rows) > suffixes.GROUP
     got = suffixes.repeated_spans(docs(spark, rows).repartition(4), pack_bytes=200_000, bucket_bytes=100_000).collect()
-    assert Counter((r["doc_id"], r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in got) == brute_repeats(rows, suffixes.SPAN)
+    assert Counter((
+        r["doc_id"], r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]
+    ) for r in got) == brute_repeats(rows, suffixes.SPAN)
 
 
 def test_one_string_fills_several_buckets(spark):
@@ -478,7 +522,9 @@ def test_one_string_fills_several_buckets(spark):
         suffixes._split_at = plain
     bounds = [b[: suffixes.SPAN] for b in found[1].tolist()]
     assert len(bounds) > len(set(bounds))
-    assert Counter((r["doc_id"], r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in got) == brute_repeats(rows, suffixes.SPAN)
+    assert Counter((
+        r["doc_id"], r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]
+    ) for r in got) == brute_repeats(rows, suffixes.SPAN)
 
 
 def test_multikey_sort_orders_and_tells_apart():
@@ -501,8 +547,13 @@ def test_multikey_sort_orders_and_tells_apart():
 def test_languages_of_unseen_documents(spark):
     rng = random.Random(2)
     words = {"xx": ["strand", "wacht", "schiff", "zug"], "yy": ["perro", "casa", "llano", "ojo"], "zz": ["слово", "дом", "мир", "лес"]}
-    rows = [(k, " ".join(rng.choice(words[x]) + rng.choice(["", "en", "os"]) for _ in range(20)), x, "s") for k in range(150) for x in [rng.choice(list(words))]]
-    rows += [(1000, None, "xx", "s"), (1001, "123 !!", "yy", "s"), (1002, "", None, "s"), (1003, "wacht", None, "s"), (1004, "schiff " * 5000, "xx", "s")]
+    rows = [(
+        k, " ".join(rng.choice(words[x]) + rng.choice(["", "en", "os"]) for _ in range(20)), x, "s"
+    ) for k in range(150) for x in [rng.choice(list(words))]]
+    rows += [
+        (1000, None, "xx", "s"), (1001, "123 !!", "yy", "s"), (1002, "", None, "s"), (1003, "wacht", None, "s"),
+        (1004, "schiff " * 5000, "xx", "s")
+    ]
     df = docs(spark, rows)
     found = {r["doc_id"]: r for r in language.classify(df, language.fit(df, F.col("doc_id") % 2 == 0)).collect()}
     assert np.mean([found[i]["lang_pred"] == x for i, _, x, _ in rows[:150] if i % 2]) > 0.95
@@ -557,8 +608,15 @@ def brute_languages(rows, learn):
 def test_languages_equal_a_plain_count(spark):
     rng = random.Random(22)
     alphabet = {"aa": "abcdeéß", "bb": "abcdeñí", "cc": "абвгд", "dd": "漢字仮名交文", "ee": "àȏáņ"}
-    rows = [(k, " ".join("".join(rng.choice(alphabet[x]) for _ in range(rng.randint(1, 6))) for _ in range(rng.randint(1, 30))) + rng.choice(["", ".", " 12"]), x, "s") for k in range(120) for x in [rng.choice(list(alphabet))]]
-    rows += [(500, None, "aa", "s"), (501, "", "bb", "s"), (502, "12 !!", "aa", "s"), (503, "abc", None, "s"), (504, "ABC abc\x00abc", "bb", "s"), (505, "漢" * 3000, "dd", "s"), (505, "漢" * 3000, "dd", "s")]
+    rows = [(
+        k,
+        " ".join("".join(rng.choice(alphabet[x]) for _ in range(rng.randint(1, 6))) for _ in range(rng.randint(1, 30))) + rng.choice(["", ".", " 12"]),
+        x, "s"
+    ) for k in range(120) for x in [rng.choice(list(alphabet))]]
+    rows += [
+        (500, None, "aa", "s"), (501, "", "bb", "s"), (502, "12 !!", "aa", "s"), (503, "abc", None, "s"),
+        (504, "ABC abc\x00abc", "bb", "s"), (505, "漢" * 3000, "dd", "s"), (505, "漢" * 3000, "dd", "s")
+    ]
     df = docs(spark, rows).repartition(5)
     expected = brute_languages(rows, lambda i: i % 3 != 0)
     for parts in (5, 2):
@@ -575,7 +633,9 @@ def test_languages_that_tie_go_to_the_first_name(spark):
 
 
 def test_languages_beside_columns_of_the_same_names(spark):
-    df = docs(spark, [(1, "wacht schiff", "xx", "s"), (2, "perro casa", "yy", "s")]).withColumnsRenamed({"h": "lang_pred", "key": "own_score"})
+    df = docs(
+        spark, [(1, "wacht schiff", "xx", "s"), (2, "perro casa", "yy", "s")]
+    ).withColumnsRenamed({"h": "lang_pred", "key": "own_score"})
     found, lang, score = language.identified(df, language.fit(df, F.lit(True)))
     assert found.columns == [*df.columns, lang, score] and not {lang, score} & set(df.columns)
     for r in found.collect():
@@ -605,9 +665,14 @@ def brute_statistics(text):
 
 def test_quality_equals_one_fit_over_all_rows(spark):
     rng = random.Random(24)
-    rows = edge_rows()[:5] + [(100 + k, ". ".join(sentence(rng, rng.randint(1, 9)).capitalize() for _ in range(rng.randint(1, 9))) + "." + "\nline x" * rng.randint(0, 3)) for k in range(150)]
+    rows = edge_rows()[:5] + [(
+        100 + k,
+        ". ".join(sentence(rng, rng.randint(1, 9)).capitalize() for _ in range(rng.randint(1, 9))) + "." + "\nline x" * rng.randint(0, 3)
+    ) for k in range(150)]
     rows += [(300 + k, " | ".join([sentence(rng, 1)] * rng.randint(1, 40)) + " 12!!") for k in range(120)]
-    labels = [(i, int(i is not None and i < 300), "x") for i, _ in rows[5:]] + [(100, 0, "again"), (1, None, "x"), (None, 1, "x"), (99999, 1, "x")]
+    labels = [(i, int(i is not None and i < 300), "x") for i, _ in rows[5:]] + [
+        (100, 0, "again"), (1, None, "x"), (None, 1, "x"), (99999, 1, "x")
+    ]
     known = [(i, y) for i, y, _ in labels if i is not None and i % 3 != 1 and y is not None]
     stats = {i: brute_statistics(t) for i, t in rows}
     x = np.array([stats[i] for i, _ in known if i in stats])
@@ -616,7 +681,9 @@ def test_quality_equals_one_fit_over_all_rows(spark):
     scale[scale < 1e-9] = 1
     draw = np.random.default_rng(7)
     directions, phases = draw.normal(0, 1 / 5.0, (24, quality.FEATURES)), draw.uniform(0, 2 * np.pi, quality.FEATURES)
-    features = lambda v: np.append(np.sqrt(2 / quality.FEATURES) * np.cos(np.clip((v - mean) / scale, -8, 8) @ directions + phases), 1.0)
+    features = lambda v: np.append(
+        np.sqrt(2 / quality.FEATURES) * np.cos(np.clip((v - mean) / scale, -8, 8) @ directions + phases), 1.0
+    )
     z = np.array([features(v) for v in x])
     penalty = len(x) * 1e-4 * np.diag([*[1.0] * quality.FEATURES, 1e-9])
     weights = np.linalg.solve(z.T @ z + penalty, z.T @ y)
@@ -633,7 +700,9 @@ def test_quality_equals_one_fit_over_all_rows(spark):
     df = docs(spark, rows).repartition(3)
     frame = spark.createDataFrame(labels, "doc_id long, quality int, stats string")
     found = quality.scored(df, frame, "quality", F.coalesce(F.col("doc_id") % 3 != 1, F.lit(False))).collect()
-    differ = [(r["doc_id"], r["score"], score(np.array(stats[r["doc_id"]]))) for r in found if abs(r["score"] - score(np.array(stats[r["doc_id"]]))) > 1e-9]
+    differ = [(
+        r["doc_id"], r["score"], score(np.array(stats[r["doc_id"]]))
+    ) for r in found if abs(r["score"] - score(np.array(stats[r["doc_id"]]))) > 1e-9]
     assert len(found) == len(rows) and not differ
     for i, t in rows:
         assert np.allclose(quality.statistics(t), stats[i], atol=1e-12)
@@ -644,7 +713,10 @@ def test_quality_of_unseen_documents(spark):
     good = [(k, ". ".join(sentence(rng, 8).capitalize() for _ in range(rng.randint(2, 8))) + ".") for k in range(300)]
     bad = [(1000 + k, " | ".join([sentence(rng, 1)] * rng.randint(5, 60)) + " !!") for k in range(150)]
     df = docs(spark, good + bad + edge_rows()[:4])
-    labels = spark.createDataFrame([(i, 1, "x") for i, _ in good] + [(i, 0, "x") for i, _ in bad] + [(1, None, "x"), (None, 1, "x"), (99999, 1, "x")], "doc_id long, quality int, score string")
+    labels = spark.createDataFrame(
+        [(i, 1, "x") for i, _ in good] + [(i, 0, "x") for i, _ in bad] + [(1, None, "x"), (None, 1, "x"), (99999, 1, "x")],
+        "doc_id long, quality int, score string"
+    )
     found = quality.scored(df, labels, "quality", F.coalesce(F.col("doc_id") % 3 != 1, F.lit(False))).collect()
     score = {r["doc_id"]: r["score"] for r in found}
     assert len(found) == df.count() and all(0 <= s <= 1 for s in score.values())
@@ -680,7 +752,10 @@ def brute_targets(sizes):
 def test_mix_meets_its_targets(spark, bucket_rows, hot_rows):
     rng = random.Random(6)
     rows = [(k, sentence(rng, rng.randint(0, 60)), None, rng.choice(["a", "a", "a", "a", "b", "c", None])) for k in range(400)]
-    rows += [(1000, sentence(rng, 20000), None, "a"), (1001, None, None, "empty"), (1002, "", None, None), (None, "w w", None, "c"), (7, "again", None, "b"), (7, "again", None, "b"), (1003, "x\x0by\x1fz q", None, "c")]
+    rows += [
+        (1000, sentence(rng, 20000), None, "a"), (1001, None, None, "empty"), (1002, "", None, None), (None, "w w", None, "c"),
+        (7, "again", None, "b"), (7, "again", None, "b"), (1003, "x\x0by\x1fz q", None, "c")
+    ]
     out = mixing.mix(docs(spark, rows), bucket_rows=bucket_rows, hot_rows=hot_rows).collect()
     size = lambda t: len(re.findall(r"[^\x20\x09-\x0D]+", t or ""))
     sizes: dict = defaultdict(int)

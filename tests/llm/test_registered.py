@@ -37,8 +37,13 @@ LONG, TEXT, YES, REAL, WHOLE = "bigint", "string", "boolean", "double", "int"
 CONTRACT = {
     "op1_warc": ("pages", {"page_id": LONG, "payload_bytes": LONG, "payload_digest": TEXT, "record_type": TEXT, "refers_to": LONG}),
     "op2_jaccard": ("documents", {"doc_id": LONG, "class_id": LONG, "n_links": LONG}),
-    "op3_decontaminate": ("documents", {"doc_id": LONG, "n_words": LONG, "n_hit": LONG, "n_items": LONG, "items_sha256": TEXT, "contaminated": YES}),
-    "op4_pii": ("documents", {"doc_id": LONG, "n_email": LONG, "n_ip": LONG, "n_card": LONG, "n_phone": LONG, "base_sha256": TEXT, "spans": TEXT}),
+    "op3_decontaminate": (
+        "documents", {"doc_id": LONG, "n_words": LONG, "n_hit": LONG, "n_items": LONG, "items_sha256": TEXT, "contaminated": YES}
+    ),
+    "op4_pii": (
+        "documents",
+        {"doc_id": LONG, "n_email": LONG, "n_ip": LONG, "n_card": LONG, "n_phone": LONG, "base_sha256": TEXT, "spans": TEXT}
+    ),
     "op5_tokens": ("documents", {"doc_id": LONG, "start": LONG, "n_tokens": LONG, "ids_crc32": LONG}),
     "op6_suffixes": ("documents", {"doc_id": LONG, "n_bytes": LONG, "n_removed": LONG, "n_spans": LONG, "kept_sha256": TEXT}),
     "op7_quality": ("documents", {"doc_id": LONG, "held_out": YES, "score": REAL, "predicted": WHOLE}),
@@ -82,10 +87,16 @@ def test_contract(spark, name):
         plain = brute_languages([(r["doc_id"], r["text"], r["lang"], None) for r in source], lambda i: zlib.crc32(str(i).encode()) % 4 != 2)
         assert all(rows[i]["lang_pred"] == lang and abs(rows[i]["score"] - s) < 1e-6 for i, lang, s in plain)
     elif name == "op7_quality":
-        assert all(r["held_out"] == (zlib.crc32(str(i).encode()) % 3 == 1) and 0 <= r["score"] <= 1 and r["predicted"] == (r["score"] >= 0.5) for i, r in rows.items())
+        assert all(
+            r["held_out"] == (zlib.crc32(str(i).encode()) % 3 == 1) and 0 <= r["score"] <= 1 and r["predicted"] == (r["score"] >= 0.5) for i,
+            r in rows.items()
+        )
 
 
-NAMES = ["score", "lang_pred", "tie", "n", "t", "id", "least", "number", "times", "row", "mine", "cls", "root", "key", "taken", "h", "spans"]
+NAMES = [
+    "score", "lang_pred", "tie", "n", "t", "id", "least", "number", "times", "row", "mine", "cls", "root", "key", "taken", "h",
+    "spans"
+]
 
 
 def documents_with(spark, rows):
@@ -105,9 +116,14 @@ def test_stage_on_awkward_tables(spark, tmp_path, stage):
 
     rng = random.Random(31)
     item = sentence(rng, 20)
-    spark.createDataFrame([(1, item), (None, sentence(rng, 15)), (2, None), (1, item)], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    spark.createDataFrame(
+        [(1, item), (None, sentence(rng, 15)), (2, None), (1, item)], "item_id long, text string"
+    ).write.parquet(str(tmp_path / "benchmark.parquet"))
     rows = [(i, t, rng.choice(["en", "fr", None]), rng.choice(["a", "b", None])) for i, t in edge_rows()]
-    rows += [(100 + k, sentence(rng, 30), "en", "a") for k in range(12)] + [(100, rows[5][1], None, "b"), (None, None, None, None), (None, item, "en", None), (7, f"{sentence(rng, 300)} {item} {sentence(rng, 300)}", "en", "a")]
+    rows += [(100 + k, sentence(rng, 30), "en", "a") for k in range(12)] + [
+        (100, rows[5][1], None, "b"), (None, None, None, None), (None, item, "en", None),
+        (7, f"{sentence(rng, 300)} {item} {sentence(rng, 300)}", "en", "a")
+    ]
     name, run = cp.STAGES[stage]
     df = documents_with(spark, rows)
     out = run(spark, df, str(tmp_path))
@@ -125,7 +141,9 @@ def test_stage_on_awkward_tables(spark, tmp_path, stage):
     if stage != 2:
         assert all(r["text"] in texts for r in found)
     if stage == 0:
-        assert Counter(r["text"] for r in found) == Counter(t for _, t, _, _ in rows if any(c.isalpha() for c in t or "")) and {r["lang"] for r in found} <= {"en", "fr"}
+        assert Counter(r["text"] for r in found) == Counter(
+            t for _, t, _, _ in rows if any(c.isalpha() for c in t or "")
+        ) and {r["lang"] for r in found} <= {"en", "fr"}
     elif stage == 1:
         ids = [r["doc_id"] for r in found if r["doc_id"] is not None]
         assert len(ids) == len(set(ids)) and sum(r["doc_id"] is None for r in found) == sum(i is None for i, *_ in rows)
@@ -154,7 +172,10 @@ def test_pipeline(spark):
     read = spark.read.parquet
     start = read(f"{SF}/documents.parquet")
     stage = {name: f for name, f in cp.STAGES}
-    assert [*stage] == ["language ID", "n-gram Jaccard join", "benchmark decontamination", "mixing sources to target weights", "token-ID / binary output"]
+    assert [*stage] == [
+        "language ID", "n-gram Jaccard join", "benchmark decontamination", "mixing sources to target weights",
+        "token-ID / binary output"
+    ]
     known = cp.language_id(spark, start, SF)
     letters = Counter(r["doc_id"] for r in start.collect() if any(c.isalpha() for c in r["text"] or ""))
     assert Counter(r["doc_id"] for r in known.collect()) == letters and known.columns == start.columns

@@ -25,22 +25,34 @@ def brute_pages(rows, least):
     for i, _, html, *_ in rows:
         data = (html or "").encode()
         revisit = i is not None and len(data) >= least and first[html or ""] != i
-        out.append((i, len(data), base64.b32encode(hashlib.sha1(data).digest()).decode(), "revisit" if revisit else "response", first[html or ""] if revisit else None))
+        out.append((
+            i, len(data), base64.b32encode(hashlib.sha1(data).digest()).decode(), "revisit" if revisit else "response",
+            first[html or ""] if revisit else None
+        ))
     return Counter(out)
 
 
 FAKE = "WARC/1.1\r\nWARC-Type: response\r\nWARC-Record-ID: <urn:page:666>\r\nContent-Length: 3\r\n\r\nabc\r\n\r\n"
 
 
-@pytest.mark.parametrize("compress, split, least", [(True, 16 << 20, 0), (True, 700, 0), (False, 16 << 20, 5), (False, 500, 0), (False, 97, 0)])
+@pytest.mark.parametrize(
+    "compress, split, least", [(True, 16 << 20, 0), (True, 700, 0), (False, 16 << 20, 5), (False, 500, 0), (False, 97, 0)]
+)
 def test_archives_round_trip(spark, compress, split, least):
     rows = [(k, f"http://x/{k} y?é", "<p>" + "ab" * k + "</p>", "s", "t") for k in range(30)]
     rows += [(100 + k, "http://same", "<html>same</html>", "s", "t") for k in range(20)] + [(7, "http://x", "<html>same</html>", "s", "t")]
-    rows += [(200, None, None, "s", "t"), (201, "u", "", "s", "t"), (None, "n", "<html>same</html>", "s", "t"), (202, "a\r\nb", FAKE * 3, "s", "t"), (203, "f", "WARC/1.1\r\nContent-Length: 99999\r\n\r\n", "s", "t"), (204, "l", "é" * 30000, "s", "t"), (205, "m", "WARC/1.1\r\n" * 50, "s", "t"), (3, "http://x/3 y?é", "<p>ababab</p>", "s", "t")]
+    rows += [
+        (200, None, None, "s", "t"), (201, "u", "", "s", "t"), (None, "n", "<html>same</html>", "s", "t"),
+        (202, "a\r\nb", FAKE * 3, "s", "t"), (203, "f", "WARC/1.1\r\nContent-Length: 99999\r\n\r\n", "s", "t"),
+        (204, "l", "é" * 30000, "s", "t"), (205, "m", "WARC/1.1\r\n" * 50, "s", "t"),
+        (3, "http://x/3 y?é", "<p>ababab</p>", "s", "t")
+    ]
     archives = warc.write_archives(spark.createDataFrame(rows, PAGES), min_payload=least, compress=compress, file_bytes=4000)
     assert archives.agg(F.sum("records")).first()[0] == len(rows)
     found = warc.read_archives(archives, split).collect()
-    assert Counter((r["page_id"], r["payload_bytes"], r["payload_digest"], r["record_type"], r["refers_to"]) for r in found) == brute_pages(rows, least)
+    assert Counter((
+        r["page_id"], r["payload_bytes"], r["payload_digest"], r["record_type"], r["refers_to"]
+    ) for r in found) == brute_pages(rows, least)
     if not compress:
         seen = warc.candidates(archives, split).where("page_id = 666").count()
         assert seen >= 3  # records inside a payload are candidates, but no chain reaches them
@@ -52,7 +64,9 @@ def test_large_groups_of_copies_and_very_long_headers(spark):
     for hot in (100, warc.HOT_BYTES):
         archives = warc.write_archives(spark.createDataFrame(rows, PAGES).repartition(3), compress=False, file_bytes=2000, hot_bytes=hot)
         found = warc.read_archives(archives, 1 << 20).collect()
-        assert Counter((r["page_id"], r["payload_bytes"], r["payload_digest"], r["record_type"], r["refers_to"]) for r in found) == brute_pages(rows, 0)
+        assert Counter((
+            r["page_id"], r["payload_bytes"], r["payload_digest"], r["record_type"], r["refers_to"]
+        ) for r in found) == brute_pages(rows, 0)
 
 
 def test_no_pages(spark):
@@ -69,7 +83,10 @@ def test_broken_chain_ends_there(spark):
 
 
 def brute_top(rows, k):
-    valid = [(i, np.floor(256 * np.array(v, float)).astype(object)) for i, v in rows if i is not None and v is not None and all(x is not None and np.isfinite(x) for x in v)]
+    valid = [
+        (i, np.floor(256 * np.array(v, float)).astype(object)) for i,
+        v in rows if i is not None and v is not None and all(x is not None and np.isfinite(x) for x in v)
+    ]
     out = []
     for i, q in valid:
         if i % 50 == 0:
@@ -86,7 +103,10 @@ def test_search_equals_all_products(spark, spread, monkeypatch):
     data = (rng.normal(0, 1, (600, 8)) * lengths[:, None]).astype(np.float32)
     data[100:140] = data[50]
     rows = [(k, v.tolist()) for k, v in enumerate(data)]
-    rows += [(1000, None), (1050, [float("nan")] * 8), (1100, [1.0, None] * 4), (1150, [float("inf")] * 8), (None, [1.0] * 8), (1200, [0.0] * 8), (1250, [1.0] * 3), (1300, [])]
+    rows += [
+        (1000, None), (1050, [float("nan")] * 8), (1100, [1.0, None] * 4), (1150, [float("inf")] * 8), (None, [1.0] * 8),
+        (1200, [0.0] * 8), (1250, [1.0] * 3), (1300, [])
+    ]
     df = spark.createDataFrame([(i, v, 1, 2.0) for i, v in rows], "vec_id long, embedding array<float>, label int, norm double")
     got = topk.top_k(df, F.col("vec_id") % 50 == 0, 5)
     assert Counter(map(tuple, got.collect())) == brute_top(rows, 5)

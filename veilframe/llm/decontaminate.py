@@ -125,7 +125,10 @@ class SuffixAutomaton:
         ends.sort()
         at = np.searchsorted(np.array([s for s, _ in ends], np.int64), np.arange(len(length) + 1)).astype(np.int32)
         pairs = np.array(sorted(a * size + b for a, b in self.pairs), np.int64)
-        return Matcher(self.window, shortest, [i for i, _ in self.items], self.vocabulary, keys[order], to[order], link, length, at, np.array([n for _, n in ends], np.int32), short, output, pairs)
+        return Matcher(
+            self.window, shortest, [i for i, _ in self.items], self.vocabulary, keys[order], to[order], link, length, at,
+            np.array([n for _, n in ends], np.int32), short, output, pairs
+        )
 
 
 class Matcher:
@@ -198,13 +201,17 @@ def automata(benchmark: DataFrame, window: int = WINDOW, max_words: int = AUTOMA
     text are one.
     """
     spark = benchmark.sparkSession
-    items = benchmark.select(F.col("item_id").cast("string").alias("item_id"), F.col("text").cast("string").alias("text")).where("text is not null").distinct()
+    items = benchmark.select(
+        F.col("item_id").cast("string").alias("item_id"), F.col("text").cast("string").alias("text")
+    ).where("text is not null").distinct()
     words = items.agg(F.coalesce(F.sum(F.regexp_count("text", F.lit(WORD))), F.lit(0))).first()[0]
     out_dir, groups = shared_dir(spark, "automata"), -(-words // max_words)
 
     def build(table: pa.Table) -> pa.Table:
         builder = SuffixAutomaton(window)
-        for item_id, text in sorted(zip(table.column("item_id").to_pylist(), table.column("text").to_pylist()), key=lambda r: (r[0] or "", r[1])):
+        for item_id, text in sorted(
+            zip(table.column("item_id").to_pylist(), table.column("text").to_pylist()), key=lambda r: (r[0] or "", r[1])
+        ):
             builder.add(item_id, words_of(text))
         if not builder.items:
             return pa.table({"path": pa.array([], pa.string())})
@@ -280,7 +287,9 @@ def _without(text: str | None, spans: list) -> str | None:
     return b"".join([*keep, data[pos:]]).decode("utf-8", "surrogatepass")
 
 
-def contamination(documents: DataFrame, benchmark: DataFrame, window: int = WINDOW, min_coverage: float = 0.05, cut: bool = False) -> DataFrame:
+def contamination(
+    documents: DataFrame, benchmark: DataFrame, window: int = WINDOW, min_coverage: float = 0.05, cut: bool = False
+) -> DataFrame:
     """(doc_id, n_words, n_hit, n_items, items_sha256, contaminated, spans) of documents(doc_id, text, ...).
 
     spans: maximal runs [start, end) of hit words; contaminated: some are, and at least the share
@@ -293,7 +302,10 @@ def contamination(documents: DataFrame, benchmark: DataFrame, window: int = WIND
     paths = automata(benchmark, window)
     rows = documents.select(F.col("doc_id"), F.col("text").cast("string").alias("text"))
     schema = f"doc_id {dict(rows.dtypes)['doc_id']}, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean, spans array<struct<start:long,end:long>>" + (", text string" if cut else "")
-    types = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.bool_(), pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])), pa.string()]
+    types = [
+        pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.bool_(),
+        pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])), pa.string()
+    ]
     names = ["n_words", "n_hit", "n_items", "items_sha256", "contaminated", "spans", "text"][: 6 + cut]
 
     @tidy
@@ -303,7 +315,10 @@ def contamination(documents: DataFrame, benchmark: DataFrame, window: int = WIND
             texts = batch.column(1).to_pylist()
             for text, (n, hit, items, n_items) in zip(texts, _read(paths, texts)):
                 spans = _spans(hit).tolist()
-                row = [n, int(hit.sum()), n_items, hashlib.sha256(",".join(items).encode()).hexdigest(), _over(hit, min_coverage), [{"start": a, "end": b} for a, b in spans]]
+                row = [
+                    n, int(hit.sum()), n_items, hashlib.sha256(",".join(items).encode()).hexdigest(), _over(hit, min_coverage),
+                    [{"start": a, "end": b} for a, b in spans]
+                ]
                 for column, value in zip(columns, row + [_without(text, spans)] * cut):
                     column.append(value)
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, t) for c, t in zip(columns, types))], names=["doc_id", *names])

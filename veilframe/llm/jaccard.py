@@ -162,7 +162,10 @@ def signatures(documents: DataFrame, forest: Forest, shingle: int = SHINGLE) ->
                     row = (hashlib.md5(joined).digest(), forest.labels(found), forest.need(len(found)), len(joined))
                 for column, value in zip(columns, row):
                     column.append(value)
-            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, t) for c, t in zip(columns, (pa.binary(), pa.binary(), pa.int32(), pa.int64())))], names=["doc_id", "cls", "labels", "need", "size"])
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), *(pa.array(c, t) for c, t in zip(columns, (pa.binary(), pa.binary(), pa.int32(), pa.int64())))],
+                names=["doc_id", "cls", "labels", "need", "size"]
+            )
 
     return documents.mapInArrow(scan, "doc_id long, cls binary, labels binary, need int, size long")
 
@@ -180,7 +183,9 @@ def id_filter(ids: DataFrame, column: str, count: int) -> tuple[int, bytes]:
         place = table.column("place").to_numpy()
         bitmap = np.zeros(1 << 15, bool)
         bitmap[place & 0x7FFF] = True
-        return pa.table({"chunk": pa.array([int(place[0] >> 15)], pa.int64()), "data": pa.array([np.packbits(bitmap).tobytes()], pa.binary())})
+        return pa.table({
+            "chunk": pa.array([int(place[0] >> 15)], pa.int64()), "data": pa.array([np.packbits(bitmap).tobytes()], pa.binary())
+        })
 
     chunks = places.distinct().withColumn("chunk", F.shiftright("place", 15)).groupBy("chunk").applyInArrow(chunk, "chunk long, data binary")
     bitmap = bytearray(bits // 8)
@@ -204,7 +209,10 @@ def word_texts(documents: DataFrame, bits: int, bitmap: bytes) -> DataFrame:
             chosen = np.logical_and.reduce([(wanted[p >> 3] >> (7 - (p & 7)).astype(np.uint8)) & 1 == 1 for p in places])
             texts = batch.column(0).filter(pa.array(chosen)).to_pylist()
             rows = [b" ".join(w) for w in map(_words, texts) if w]
-            yield pa.RecordBatch.from_arrays([pa.array([hashlib.md5(r).digest() for r in rows], pa.binary()), pa.array(rows, pa.binary())], names=["cls", "words"])
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([hashlib.md5(r).digest() for r in rows], pa.binary()), pa.array(rows, pa.binary())],
+                names=["cls", "words"]
+            )
 
     rows = documents.where("doc_id is not null").select("text", *(p.alias(f"p{i}") for i, p in enumerate(_places(F.col("doc_id"), bits))))
     return rows.mapInArrow(scan, "cls binary, words binary")
@@ -219,7 +227,10 @@ def trie_groups(classes: DataFrame, forest: Forest) -> DataFrame:
     at the edge of a task, where the neighbour may have more: equal nodes have equal names, so they meet.
     """
     depth, trees, shortest = forest.depth, forest.trees, forest.shortest
-    strings = F.transform(F.sequence(F.lit(0), F.lit(trees - 1)), lambda t: F.struct(t.cast("int").alias("tree"), F.substring("labels", t * (2 * depth) + 1, F.lit(2 * depth)).alias("string")))
+    strings = F.transform(
+        F.sequence(F.lit(0), F.lit(trees - 1)),
+        lambda t: F.struct(t.cast("int").alias("tree"), F.substring("labels", t * (2 * depth) + 1, F.lit(2 * depth)).alias("string"))
+    )
     rows = classes.where(F.col("need") <= depth).select("rep", "need", F.explode(strings).alias("s")).select("s.tree", "s.string", "rep", "need")
     rows = rows.repartitionByRange("tree", "string", "rep").sortWithinPartitions("tree", "string", "rep")
 
@@ -384,7 +395,9 @@ def _verify(threshold: float, shingle: int, forest: Forest):
         strings = np.frombuffer(b"".join(labels), ">u2").reshape(-1, trees, depth)[:, :, :shortest].astype(np.uint64)
         number = np.zeros(strings.shape[:2], np.uint64)
         for d in range(shortest):
-            number = np.unique(number * np.uint64(1 << 16) + strings[:, :, d], return_inverse=True)[1].reshape(number.shape).astype(np.uint64)
+            number = np.unique(
+                number * np.uint64(1 << 16) + strings[:, :, d], return_inverse=True
+            )[1].reshape(number.shape).astype(np.uint64)
         return number
 
     def run(table: pa.Table) -> pa.Table:
@@ -419,7 +432,10 @@ def _verify(threshold: float, shingle: int, forest: Forest):
                         union.join(p + x, (np.flatnonzero(link[x]) + u).tolist())
             # the root names what the links of this block connect
             out += [(r[4], int(total[i]), group[union.find(i)][4]) for i, r in enumerate(group) if total[i]]
-        return pa.table({"cls": pa.array([r[0] for r in out], pa.binary()), "links": pa.array([r[1] for r in out], pa.int64()), "root": pa.array([r[2] for r in out], pa.binary())})
+        return pa.table({
+            "cls": pa.array([r[0] for r in out], pa.binary()), "links": pa.array([r[1] for r in out], pa.int64()),
+            "root": pa.array([r[2] for r in out], pa.binary())
+        })
 
     return run
 
@@ -430,18 +446,28 @@ def _tasks(active: DataFrame, nodes: DataFrame, block_bytes: int) -> DataFrame:
     Components up to block_bytes go to bundles. Of others, the classes below one node of the first tree share a
     block unless they exceed it, and each pair of blocks is a task if some of nodes(rep, node) has members in both.
     """
-    sizes = active.groupBy("comp").agg(F.sum("size").alias("bytes")).select("comp", "bytes", F.ceil(F.col("bytes") / block_bytes).cast("long").alias("blocks"))
+    sizes = active.groupBy("comp").agg(F.sum("size").alias("bytes")).select(
+        "comp", "bytes", F.ceil(F.col("bytes") / block_bytes).cast("long").alias("blocks")
+    )
     sizes = keep(sizes, "jaccard-sizes")
-    n_bundles, large = sizes.agg(F.coalesce(F.ceil(F.sum(F.when(F.col("blocks") == 1, F.col("bytes"))) / block_bytes), F.lit(1)).cast("long"), F.count_if(F.col("blocks") > 1)).first()
+    n_bundles, large = sizes.agg(
+        F.coalesce(F.ceil(F.sum(F.when(F.col("blocks") == 1, F.col("bytes"))) / block_bytes), F.lit(1)).cast("long"),
+        F.count_if(F.col("blocks") > 1)
+    ).first()
     joined = active.join(sizes.select("comp", "blocks"), "comp")
     zero = F.lit(0).cast("long")
-    whole = joined.where("blocks = 1").select("cls", "copies", "labels", "comp", zero.alias("block"), zero.alias("left"), zero.alias("right"), F.pmod(F.xxhash64("comp"), F.lit(max(1, n_bundles))).alias("task"))
+    whole = joined.where("blocks = 1").select(
+        "cls", "copies", "labels", "comp", zero.alias("block"), zero.alias("left"), zero.alias("right"),
+        F.pmod(F.xxhash64("comp"), F.lit(max(1, n_bundles))).alias("task")
+    )
     if not large:
         return whole
     home = F.xxhash64(F.substring("labels", 1, 2))
     cut = joined.where("blocks > 1").withColumn("home", F.pmod(home, F.col("blocks")))
     crowds = cut.groupBy("comp", "home").agg(F.ceil(F.sum("size") / block_bytes).cast("long").alias("parts"))
-    cut = cut.join(crowds, ["comp", "home"]).withColumn("block", F.col("home") + F.col("blocks") * F.pmod(F.xxhash64("cls"), F.col("parts")))
+    cut = cut.join(crowds, ["comp", "home"]).withColumn(
+        "block", F.col("home") + F.col("blocks") * F.pmod(F.xxhash64("cls"), F.col("parts"))
+    )
     cut = keep(cut.select("rep", "cls", "copies", "labels", "comp", "block"), "jaccard-blocks")
     # blocks by node are distinct before they meet: a node has as many rows here as blocks, whatever its members
     present = nodes.join(cut.select("rep", "comp", "block"), "rep").select("node", "comp", "block").distinct()
@@ -450,11 +476,16 @@ def _tasks(active: DataFrame, nodes: DataFrame, block_bytes: int) -> DataFrame:
     pairs = present.withColumnRenamed("block", "left").join(other, ["node", "comp"]).where(F.col("left") <= F.col("right")).select("comp", "left", "right").distinct()
     pairs = keep(pairs, "jaccard-block-pairs")
     ends = pairs.select("*", F.explode(F.array_distinct(F.array("left", "right"))).alias("block"))
-    spread = cut.join(ends, ["comp", "block"]).select("cls", "copies", "labels", "comp", "block", "left", "right", F.xxhash64("comp", "left", "right").alias("task"))
+    spread = cut.join(ends, ["comp", "block"]).select(
+        "cls", "copies", "labels", "comp", "block", "left", "right", F.xxhash64("comp", "left", "right").alias("task")
+    )
     return whole.unionByName(spread)
 
 
-def jaccard_links(documents: DataFrame, threshold: float = THRESHOLD, shingle: int = SHINGLE, trees: int = TREES, depth: int = DEPTH, recall: float = RECALL, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+def jaccard_links(
+    documents: DataFrame, threshold: float = THRESHOLD, shingle: int = SHINGLE, trees: int = TREES, depth: int = DEPTH,
+    recall: float = RECALL, block_bytes: int = BLOCK_BYTES
+) -> DataFrame:
     """(doc_id, class_id, n_links), one row per row of documents(doc_id, text, ...).
 
     n_links: other rows with at least the threshold's similarity, copies included. class_id: the smallest
@@ -468,7 +499,10 @@ def jaccard_links(documents: DataFrame, threshold: float = THRESHOLD, shingle: i
     texts = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     signed = keep(signatures(texts, forest, shingle), "jaccard-signatures")
     named = signed.where(F.col("cls").isNotNull() & F.col("doc_id").isNotNull())
-    classes = named.groupBy("cls").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"), F.min("labels").alias("labels"), F.min("need").alias("need"), F.min("size").alias("size"))
+    classes = named.groupBy("cls").agg(
+        F.min("doc_id").alias("rep"), F.count("*").alias("copies"), F.min("labels").alias("labels"), F.min("need").alias("need"),
+        F.min("size").alias("size")
+    )
     classes = keep(classes, "jaccard-classes")
     nodes = keep(trie_groups(classes, forest), "jaccard-nodes")
     comps = components(nodes, "rep", "node").select("rep", F.col("root").alias("comp"))
@@ -476,18 +510,27 @@ def jaccard_links(documents: DataFrame, threshold: float = THRESHOLD, shingle: i
     comps = keep(comps.join(crowded, "comp", "left_semi"), "jaccard-components")
     active = keep(comps.join(classes, "rep").select("rep", "cls", "copies", "labels", "size", "comp"), "jaccard-active")
     words = word_texts(texts, *id_filter(active, "rep", active.count()))
-    checked = _tasks(active, nodes, block_bytes).join(words, "cls").groupBy("task").applyInArrow(_verify(threshold, shingle, forest), "cls binary, links long, root binary")
+    checked = _tasks(active, nodes, block_bytes).join(words, "cls").groupBy("task").applyInArrow(
+        _verify(threshold, shingle, forest), "cls binary, links long, root binary"
+    )
     checked = keep(checked, "jaccard-checked")
     links = checked.groupBy("cls").agg(F.sum("links").alias("links"))
     roots = components(checked, "cls", "root")
     # classes by root, the smallest representative of each root names it
-    final = classes.join(links, "cls", "left").join(roots, "cls", "left").select("cls", "rep", "copies", F.coalesce("links", F.lit(0)).alias("links"), F.coalesce("root", "cls").alias("root"))
+    final = classes.join(links, "cls", "left").join(roots, "cls", "left").select(
+        "cls", "rep", "copies", F.coalesce("links", F.lit(0)).alias("links"), F.coalesce("root", "cls").alias("root")
+    )
     final = keep(final, "jaccard-final")
     heads = final.groupBy("root").agg(F.min("rep").alias("class_id"))
-    final = keep(final.join(heads, "root").select("cls", "class_id", (F.col("links") + F.col("copies") - 1).alias("n_links")), "jaccard-classes")
+    final = keep(
+        final.join(heads, "root").select("cls", "class_id", (F.col("links") + F.col("copies") - 1).alias("n_links")),
+        "jaccard-classes"
+    )
     whole = signed.select("doc_id", F.when(F.col("doc_id").isNotNull(), F.col("cls")).alias("cls"))
     out = whole.join(final, "cls", "left")
-    return out.select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
+    return out.select(
+        "doc_id", F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links")
+    )
 
 
 def deduplicated(documents: DataFrame, **how) -> DataFrame:

@@ -39,7 +39,9 @@ def _letters() -> np.ndarray:
 def trigrams(text: str) -> np.ndarray:
     """Codes of a text's trigrams, 21 bits a letter; every run of other characters counts as one boundary."""
     s = _letters()[np.frombuffer(text.lower().encode("utf-32-le", "surrogatepass"), "<u4")]
-    s = np.concatenate([[0], s[(s != 0) | np.concatenate([[False], s[:-1] != 0])], [0]]).astype(np.int64) if len(s) else np.zeros(2, np.int64)
+    s = np.concatenate([
+        [0], s[(s != 0) | np.concatenate([[False], s[:-1] != 0])], [0]
+    ]).astype(np.int64) if len(s) else np.zeros(2, np.int64)
     return ((s[:-2] << 42) | (s[1:-1] << 21) | s[2:])[s[1:-1] != 0]
 
 
@@ -137,11 +139,19 @@ def fit(documents: DataFrame, learn: Column, dimensions: int = DIMENSIONS) -> di
         flush()
         part = TaskContext.get().partitionId() % GROUPS
         if total:
-            yield pa.RecordBatch.from_arrays([pa.array(list(total)), pa.array([part] * len(total), pa.int64()), pa.array([v.astype("<i8").tobytes() for v in total.values()])], names=["lang", "part", "vector"])
+            yield pa.RecordBatch.from_arrays(
+                [
+                    pa.array(list(total)), pa.array([part] * len(total), pa.int64()),
+                    pa.array([v.astype("<i8").tobytes() for v in total.values()])
+                ],
+                names=["lang", "part", "vector"]
+            )
 
     def summed(table: pa.Table) -> pa.Table:
         vector = sum(np.frombuffer(v, "<i8") for v in table.column("vector").to_pylist())
-        return pa.table({"lang": table.column("lang")[:1], "part": table.column("part")[:1], "vector": pa.array([vector.tobytes()], pa.binary())})
+        return pa.table({
+            "lang": table.column("lang")[:1], "part": table.column("part")[:1], "vector": pa.array([vector.tobytes()], pa.binary())
+        })
 
     parts = rows.mapInArrow(bundle, "lang string, part long, vector binary").groupBy("lang", "part").applyInArrow(summed, "lang string, part long, vector binary")
     out: dict[str, np.ndarray] = {}
@@ -181,7 +191,10 @@ def classify(documents: DataFrame, prototypes: dict[str, np.ndarray], dimensions
                     lang, score = names[best], float(min(1.0, max(0.0, cosines[best])))
                 langs.append(lang)
                 scores.append(score)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(langs, pa.string()), pa.array(scores, pa.float64())], names=[*fields.names, "lang_pred", "score"])
+            yield pa.RecordBatch.from_arrays(
+                [*batch.columns, pa.array(langs, pa.string()), pa.array(scores, pa.float64())],
+                names=[*fields.names, "lang_pred", "score"]
+            )
 
     from pyspark.sql import types as T
 

@@ -36,15 +36,28 @@ def targets(sizes: DataFrame, max_epochs: int = MAX_EPOCHS) -> DataFrame:
     per = per.withColumn("cap", F.col("source_size") * max_epochs)
     level = Window.orderBy(F.col("cap") / F.col("weight"), F.col("source").isNull(), F.col("source"))
     before, everything = level.rowsBetween(Window.unboundedPreceding, -1), Window.orderBy(F.lit(0)).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    per = per.withColumns({"total": F.sum("source_size").over(everything), "weights": F.sum("weight").over(everything), "cap_before": F.coalesce(F.sum("cap").over(before), F.lit(0)), "weight_before": F.coalesce(F.sum("weight").over(before), F.lit(0))})
+    per = per.withColumns({
+        "total": F.sum("source_size").over(everything), "weights": F.sum("weight").over(everything),
+        "cap_before": F.coalesce(F.sum("cap").over(before), F.lit(0)),
+        "weight_before": F.coalesce(F.sum("weight").over(before), F.lit(0))
+    })
     # the level if all sources before this one are capped; below it this source is capped as well
-    per = per.withColumn("level", (F.col("total") - F.col("cap_before")).cast("double") / (F.col("weights") - F.col("weight_before")).cast("double"))
+    per = per.withColumn(
+        "level", (F.col("total") - F.col("cap_before")).cast("double") / (F.col("weights") - F.col("weight_before")).cast("double")
+    )
     per = per.withColumn("capped", F.col("cap").cast("double") <= F.col("level") * F.col("weight"))
-    per = per.withColumn("final_level", F.min(F.when(~F.col("capped"), F.struct("cap_before", "weight_before", "level"))).over(everything)["level"])
-    return per.select("source", "source_size", "docs", F.when(F.col("capped"), F.col("cap").cast("double")).otherwise(F.col("final_level") * F.col("weight")).alias("target"))
+    per = per.withColumn(
+        "final_level", F.min(F.when(~F.col("capped"), F.struct("cap_before", "weight_before", "level"))).over(everything)["level"]
+    )
+    return per.select(
+        "source", "source_size", "docs",
+        F.when(F.col("capped"), F.col("cap").cast("double")).otherwise(F.col("final_level") * F.col("weight")).alias("target")
+    )
 
 
-def mix(documents: DataFrame, seed: int = 42, bucket_rows: int = BUCKET_ROWS, max_epochs: int = MAX_EPOCHS, hot_rows: int = HOT_ROWS) -> DataFrame:
+def mix(
+    documents: DataFrame, seed: int = 42, bucket_rows: int = BUCKET_ROWS, max_epochs: int = MAX_EPOCHS, hot_rows: int = HOT_ROWS
+) -> DataFrame:
     """(doc_id, source, size, source_size, target, taken, tie) of documents(doc_id, text, source, ...).
 
     Size: words of the text, 0 if it is null or empty. Rows with equal ids are told apart by
@@ -57,12 +70,17 @@ def mix(documents: DataFrame, seed: int = 42, bucket_rows: int = BUCKET_ROWS, ma
         F.col("doc_id"),
         F.col("source").cast("string").alias("source"),
         F.regexp_count(text, F.lit(WORD)).cast("long").alias("size"),
-        F.conv(F.substring(F.md5(F.concat_ws("|", F.lit(str(seed)), F.col("doc_id").cast("string"))), 1, KEY_BITS // 4), 16, 10).cast("long").alias("key"),
+        F.conv(
+            F.substring(F.md5(F.concat_ws("|", F.lit(str(seed)), F.col("doc_id").cast("string"))), 1, KEY_BITS // 4), 16, 10
+        ).cast("long").alias("key"),
         F.xxhash64(text, F.col("source").cast("string")).alias("tie"),
     )
     sized = keep(sized, "mix-sizes")
     plan = targets(sized, max_epochs).withColumn("buckets", F.ceil(F.col("docs") / bucket_rows).cast("long"))
-    plan = keep(plan.withColumn("source_key", F.struct(F.col("source").isNull().alias("n"), F.coalesce("source", F.lit("")).alias("s"))), "mix-plan")
+    plan = keep(
+        plan.withColumn("source_key", F.struct(F.col("source").isNull().alias("n"), F.coalesce("source", F.lit("")).alias("s"))),
+        "mix-plan"
+    )
     place = F.shiftright(F.shiftright(F.col("key"), KEY_BITS - 31) * F.col("buckets"), 31)
     sized = sized.withColumn("source_key", F.struct(F.col("source").isNull().alias("n"), F.coalesce("source", F.lit("")).alias("s")))
     # rows of large sources stay where they are and have the source's row broadcast: there are no more such sources than
@@ -84,7 +102,9 @@ def mix(documents: DataFrame, seed: int = 42, bucket_rows: int = BUCKET_ROWS, ma
     local = placed.withColumn("local", F.coalesce(F.sum("size").over(inside), F.lit(0)))
     out = local.join(offsets, ["source_key", "bucket"]).withColumn("before", F.col("offset") + F.col("local"))
     last = F.greatest(F.lit(0).cast("long"), F.least(F.col("size"), rest - F.col("before")))
-    return out.select("doc_id", "source", "size", "source_size", "target", (epochs * F.col("size") + last).cast("long").alias("taken"), "tie")
+    return out.select(
+        "doc_id", "source", "size", "source_size", "target", (epochs * F.col("size") + last).cast("long").alias("taken"), "tie"
+    )
 
 
 def mixed(documents: DataFrame, **how) -> DataFrame:
@@ -95,7 +115,10 @@ def mixed(documents: DataFrame, **how) -> DataFrame:
     id_, tie, number, mine, row, times, time = unused(documents.columns, "id", "tie", "number", "mine", "row", "times", "time")
     nth = lambda *order, by: F.row_number().over(Window.partitionBy(*by).orderBy(*order))
     plan = mix(documents, **how).where("taken > 0")
-    plan = plan.select(F.col("doc_id").alias(id_), F.col("tie").alias(tie), nth(F.desc("taken"), by=("doc_id", "tie")).alias(number), F.ceil(F.col("taken") / F.col("size")).cast("int").alias(times))
+    plan = plan.select(
+        F.col("doc_id").alias(id_), F.col("tie").alias(tie), nth(F.desc("taken"), by=("doc_id", "tie")).alias(number),
+        F.ceil(F.col("taken") / F.col("size")).cast("int").alias(times)
+    )
     rows = documents.withColumn(mine, F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit("")), F.col("source").cast("string")))
     rows = rows.withColumn(row, nth(F.lit(0), by=("doc_id", mine)))
     taken = rows.join(plan, F.col("doc_id").eqNullSafe(F.col(id_)) & (F.col(mine) == F.col(tie)) & (F.col(row) == F.col(number)))

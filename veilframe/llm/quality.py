@@ -108,7 +108,10 @@ def _summed(rows: DataFrame, part, size: int) -> np.ndarray:
             if batch.num_rows:
                 total += part(batch)
         if total.any():
-            yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId()], pa.int64()), pa.array([total.tobytes()], pa.binary())], names=["g", "data"])
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([TaskContext.get().partitionId()], pa.int64()), pa.array([total.tobytes()], pa.binary())],
+                names=["g", "data"]
+            )
 
     def group(table: pa.Table) -> pa.Table:
         total = np.zeros(size)
@@ -184,7 +187,9 @@ def fit(rows: DataFrame, label: str, features: int = FEATURES, width: float = 5.
 
     def histogram(batch):
         at = model.bins(_matrix(batch.column(0)))
-        return np.concatenate([np.bincount(at, minlength=BINS), np.bincount(at, batch.column(1).to_numpy(zero_copy_only=False), minlength=BINS)])
+        return np.concatenate([
+            np.bincount(at, minlength=BINS), np.bincount(at, batch.column(1).to_numpy(zero_copy_only=False), minlength=BINS)
+        ])
 
     h = _summed(train, histogram, 2 * BINS) if m[0] else np.ones(2 * BINS) * 0.5
     model.steps = np.clip(pool_adjacent_violators(h[BINS:], h[:BINS]), 0, 1) if m[0] else np.full(BINS, 0.5)
@@ -204,6 +209,8 @@ def scored(documents: DataFrame, labels: DataFrame, label: str, learn: Column) -
 
     def score(batches):
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(model.score(_matrix(batch.column(1))), pa.float64())], names=["doc_id", "score"])
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), pa.array(model.score(_matrix(batch.column(1))), pa.float64())], names=["doc_id", "score"]
+            )
 
     return stats.mapInArrow(score, f"doc_id {dict(stats.dtypes)['doc_id']}, score double")

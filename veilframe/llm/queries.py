@@ -36,7 +36,10 @@ def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     base = F.filter("spans", lambda s: s["kind"] != "term")
     count = lambda kind: F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
     found = find_pii(_table(spark, sf_dir, "documents"))
-    return found.select("doc_id", *map(count, KINDS[:4]), F.sha2(listed(base), 256).alias("base_sha256"), listed(F.col("spans")).alias("spans"), count("term"))
+    return found.select(
+        "doc_id", *map(count, KINDS[:4]), F.sha2(listed(base), 256).alias("base_sha256"), listed(F.col("spans")).alias("spans"),
+        count("term")
+    )
 
 
 def op5_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -58,7 +61,9 @@ def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     remainder = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % 3
     found = scored(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"), "quality", remainder != 1)
-    return found.select("doc_id", (remainder == 1).alias("held_out"), "score", F.when(F.col("score") >= 0.5, 1).otherwise(0).alias("predicted"))
+    return found.select(
+        "doc_id", (remainder == 1).alias("held_out"), "score", F.when(F.col("score") >= 0.5, 1).otherwise(0).alias("predicted")
+    )
 
 
 def op8_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -82,7 +87,9 @@ def op10_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(_table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
-QUERIES = {f.__name__: f for f in (op1_warc, op2_jaccard, op3_decontaminate, op4_pii, op5_tokens, op6_suffixes, op7_quality, op8_top_k, op9_language, op10_mix)}
+QUERIES = {f.__name__: f for f in (
+    op1_warc, op2_jaccard, op3_decontaminate, op4_pii, op5_tokens, op6_suffixes, op7_quality, op8_top_k, op9_language, op10_mix
+)}
 
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _WORDS = rf"regexp_extract_all({_LOWER}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"

@@ -115,7 +115,9 @@ def word_levels(data: np.ndarray) -> np.ndarray:
     return x
 
 
-def multikey_sort(words: np.ndarray, starts: np.ndarray, lengths: np.ndarray, salt: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+def multikey_sort(
+    words: np.ndarray, starts: np.ndarray, lengths: np.ndarray, salt: np.ndarray | None = None
+) -> tuple[np.ndarray, np.ndarray]:
     """(order, classes): the strings data[start : start + length] sorted by length, salt and bytes, and each string's class in that order.
 
     Multikey quicksort with characters of eight bytes: each level sorts what is tied so far by the next one and splits the
@@ -160,7 +162,10 @@ class Pack:
         new = np.zeros(len(starts), bool)
         new[np.unique(classes, return_index=True)[1]] = True
         codec = pa.Codec("zstd", 1)
-        near = [np.diff(found.place, prepend=0).astype("<u4"), (found.place - found.first).astype("<u2"), (found.place - found.last).astype("<u2"), new]
+        near = [
+            np.diff(found.place, prepend=0).astype("<u4"), (found.place - found.first).astype("<u2"),
+            (found.place - found.last).astype("<u2"), new
+        ]
         text, anchors = codec.compress(body, asbytes=True), codec.compress(b"".join(x.tobytes() for x in near), asbytes=True)
         head = np.array([len(ids), len(body), len(starts), len(anchors), *ids, *map(len, texts)], "<i8").tobytes()
         write_file(uri, [head, found.key.astype("<u8").tobytes(), anchors, text])
@@ -271,7 +276,10 @@ def _shared(group: int):
             named = (ordinals | ((mine > group).astype("<u4") << np.uint32(31)))[mine > 1]
             if len(named):
                 out.append((uid, named.astype("<u4").tobytes(), bool((mine > group).any())))
-        return pa.table({"uid": pa.array([r[0] for r in out], pa.string()), "data": pa.array([r[1] for r in out], pa.binary()), "frequent": pa.array([r[2] for r in out], pa.bool_())})
+        return pa.table({
+            "uid": pa.array([r[0] for r in out], pa.string()), "data": pa.array([r[1] for r in out], pa.binary()),
+            "frequent": pa.array([r[2] for r in out], pa.bool_())
+        })
 
     return run
 
@@ -313,7 +321,9 @@ def _repeats_around(key, doc_id, doc, first, length, shift, source, names, bodie
         _, same = multikey_sort(words, starts[owner] + step, np.full(len(owner), span), kgrams[owner] * (span + 1) + shift[owner] - step)
         order = np.lexsort([turn[owner], same])
         repeat = order[1:][same[order][1:] == same[order][:-1]]
-        yield np.stack([source[owner[repeat]], doc[owner[repeat]], first[owner[repeat]] + step[repeat], first[owner[repeat]] + step[repeat]])
+        yield np.stack([
+            source[owner[repeat]], doc[owner[repeat]], first[owner[repeat]] + step[repeat], first[owner[repeat]] + step[repeat]
+        ])
         at = stop
 
 
@@ -329,7 +339,10 @@ def _merged(rows: list[np.ndarray]) -> np.ndarray:
     return np.concatenate([rows[:3, run], np.maximum.reduceat(rows[3], run)[None]])
 
 
-def repeated_spans(documents: DataFrame, span: int = SPAN, k: int = KGRAM, pack_bytes: int = PACK_BYTES, group: int = GROUP, bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
+def repeated_spans(
+    documents: DataFrame, span: int = SPAN, k: int = KGRAM, pack_bytes: int = PACK_BYTES, group: int = GROUP,
+    bucket_bytes: int = BUCKET_BYTES
+) -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept_sha256, spans, kept), one row per row of documents(doc_id, text, ...).
 
     A byte goes if a string of span bytes that covers it also starts earlier: in a document of smaller id, or
@@ -341,7 +354,10 @@ def repeated_spans(documents: DataFrame, span: int = SPAN, k: int = KGRAM, pack_
         raise ValueError("16 <= k < span < 65536 is needed")
     spark = documents.sparkSession
     out_dir = shared_dir(spark, "packs")
-    texts = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary").alias("text"))
+    texts = documents.select(
+        F.col("doc_id").cast("long").alias("doc_id"),
+        F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary").alias("text")
+    )
     least_tasks = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
     @tidy
@@ -355,7 +371,10 @@ def repeated_spans(documents: DataFrame, span: int = SPAN, k: int = KGRAM, pack_
             mark = hashlib.sha1(np.array([*doc_ids, *map(len, texts_)], np.int64).tobytes()).hexdigest()[:12]
             uid = f"{part}-{seq}-{mark}"  # the same for the same rows: a task that runs again rewrites the same pack
             anchors = Pack.write(f"{out_dir}/{uid}", doc_ids, texts_, span, k)
-            return pa.RecordBatch.from_arrays([pa.array([uid]), pa.array([sum(map(len, texts_))], pa.int64()), pa.array([anchors], pa.int64())], names=["uid", "bytes", "anchors"])
+            return pa.RecordBatch.from_arrays(
+                [pa.array([uid]), pa.array([sum(map(len, texts_))], pa.int64()), pa.array([anchors], pa.int64())],
+                names=["uid", "bytes", "anchors"]
+            )
 
         for batch in batches:
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1)):
@@ -370,7 +389,9 @@ def repeated_spans(documents: DataFrame, span: int = SPAN, k: int = KGRAM, pack_
 
     # a task that was lost and read its rows in another order leaves packs that no row names
     packs = keep(texts.mapInArrow(pack, "uid string, bytes long, anchors long"), "suffix-packs")
-    n_packs, n_bytes, n_anchors = packs.agg(F.count("*"), F.coalesce(F.sum("bytes"), F.lit(0)), F.coalesce(F.sum("anchors"), F.lit(0))).first()
+    n_packs, n_bytes, n_anchors = packs.agg(
+        F.count("*"), F.coalesce(F.sum("bytes"), F.lit(0)), F.coalesce(F.sum("anchors"), F.lit(0))
+    ).first()
     tasks = max(least_tasks, -(-n_bytes // TASK_BYTES))
     key_buckets = max(2 * least_tasks, -(-14 * n_anchors // bucket_bytes))
 
@@ -391,7 +412,9 @@ def repeated_spans(documents: DataFrame, span: int = SPAN, k: int = KGRAM, pack_
     def shared(keys: DataFrame, label: str) -> DataFrame:
         return keep(keys.groupBy("bucket").applyInArrow(_shared(group), "uid string, data binary, frequent boolean"), label)
 
-    kgrams = shared(packs.select("uid").repartition(tasks, "uid").mapInArrow(kgram_keys, "bucket int, uid string, data binary"), "suffix-kgrams")
+    kgrams = shared(
+        packs.select("uid").repartition(tasks, "uid").mapInArrow(kgram_keys, "bucket int, uid string, data binary"), "suffix-kgrams"
+    )
 
     def named(table: pa.Table, kind: int) -> np.ndarray:
         kinds = np.array(table.column("kind").to_pylist())
@@ -432,10 +455,15 @@ def repeated_spans(documents: DataFrame, span: int = SPAN, k: int = KGRAM, pack_
         size = int((pack.last[anchors] - pack.first[anchors] + span + 48).sum())
         singles = _occurrences(_bytes_at(pack.data, few, span), pack.ids[pack.document(few)])
         row = (size, (span + 24) * len(starts), _bytes_at(pack.data, pack.place[some], k).tobytes(), singles.tobytes())
-        return pa.table({n: pa.array([x], t) for n, x, t in zip(("around", "single", "kgrams", "strings"), row, (pa.int64(), pa.int64(), pa.binary(), pa.binary()))})
+        return pa.table({
+            n: pa.array([x], t) for n, x,
+            t in zip(("around", "single", "kgrams", "strings"), row, (pa.int64(), pa.int64(), pa.binary(), pa.binary()))
+        })
 
     some = packs.orderBy(F.xxhash64("uid"), "uid").limit(SAMPLE_PACKS).select("uid")
-    sample = about.join(F.broadcast(some), "uid", "left_semi").groupBy("uid").applyInArrow(sampled, "around long, single long, kgrams binary, strings binary").collect()
+    sample = about.join(F.broadcast(some), "uid", "left_semi").groupBy("uid").applyInArrow(
+        sampled, "around long, single long, kgrams binary, strings binary"
+    ).collect()
     scale = n_packs / max(1, len(sample))
 
     def bounds(column: str, sizes: str, width: int) -> np.ndarray:
@@ -455,8 +483,14 @@ def repeated_spans(documents: DataFrame, span: int = SPAN, k: int = KGRAM, pack_
             doc, raw = pack.document(first), pack.data.tobytes()
             buckets = np.searchsorted(around_at, _bytes_at(pack.data, pack.place[anchors], k), side="right")
             for b, at in _blocks(buckets, n_around):
-                head = np.stack([pack.key[anchors[at]].view(np.int64), pack.ids[doc[at]], doc[at], first[at] - pack.offsets[doc[at]], lengths[at], pack.place[anchors[at]] - first[at]])
-                rows.append((b, uid, AROUND, *_compressed(head, b"".join(raw[s : s + n] for s, n in zip(first[at].tolist(), lengths[at].tolist())))))
+                head = np.stack([
+                    pack.key[anchors[at]].view(np.int64), pack.ids[doc[at]], doc[at], first[at] - pack.offsets[doc[at]],
+                    lengths[at], pack.place[anchors[at]] - first[at]
+                ])
+                rows.append((
+                    b, uid, AROUND,
+                    *_compressed(head, b"".join(raw[s : s + n] for s, n in zip(first[at].tolist(), lengths[at].tolist())))
+                ))
         if len(starts):
             doc, strings = pack.document(starts), _bytes_at(pack.data, starts, span)
             buckets = np.searchsorted(single_at, _occurrences(strings, pack.ids[doc]), side="right")
@@ -485,25 +519,37 @@ def repeated_spans(documents: DataFrame, span: int = SPAN, k: int = KGRAM, pack_
         if parts[SINGLE]:
             doc_id, doc, first, source = np.concatenate(parts[SINGLE], 1)
             body = b"".join(bodies[SINGLE])
-            _, classes = multikey_sort(word_levels(np.frombuffer(body + bytes(7), np.uint8)), span * np.arange(len(first)), np.full(len(first), span))
+            _, classes = multikey_sort(
+                word_levels(np.frombuffer(body + bytes(7), np.uint8)), span * np.arange(len(first)), np.full(len(first), span)
+            )
             order = np.lexsort([first, doc, names[source], doc_id, classes])
             repeat = order[1:][classes[order][1:] == classes[order][:-1]]
             rows.append(np.stack([source[repeat], doc[repeat], first[repeat], first[repeat]]))
             # what this bucket starts and ends with, for the comparison with the others
             for at, opens in ((int(order[0]), True), (int(order[-1]), False)):
-                edges.append((uids[source[at]], np.array([doc[at], first[at], first[at]], "<i8").tobytes(), bucket, body[span * at : span * (at + 1)], opens))
+                edges.append((
+                    uids[source[at]], np.array([doc[at], first[at], first[at]], "<i8").tobytes(), bucket,
+                    body[span * at : span * (at + 1)], opens
+                ))
         if parts[AROUND]:
             key, doc_id, doc, first, length, shift, source = np.concatenate(parts[AROUND], 1)
             rows += _repeats_around(key, doc_id, doc, first, length, shift, source, names, bodies[AROUND], span)
         found = _merged(rows)
         cuts = np.searchsorted(found[0], np.arange(len(uids) + 1))
         out = [(u, found[1:, a:b].astype("<i8").tobytes(), None, None, None) for u, a, b in zip(uids, cuts[:-1], cuts[1:]) if a < b] + edges
-        return pa.table({n: pa.array([r[i] for r in out], t) for i, (n, t) in enumerate((("uid", pa.string()), ("data", pa.binary()), ("bucket", pa.int32()), ("string", pa.binary()), ("opens", pa.bool_())))})
+        return pa.table({
+            n: pa.array([r[i] for r in out], t) for i,
+            (n, t) in enumerate((
+                ("uid", pa.string()), ("data", pa.binary()), ("bucket", pa.int32()), ("string", pa.binary()), ("opens", pa.bool_())
+            ))
+        })
 
     def finish(table: pa.Table) -> pa.Table:
         uid = table.column("uid")[0].as_py()
         pack = Pack(f"{out_dir}/{uid}")
-        doc, first, last = np.concatenate([np.zeros((3, 0), np.int64), *(np.frombuffer(b, "<i8").reshape(3, -1) for b in table.column("data").to_pylist())], 1).astype(np.int64)
+        doc, first, last = np.concatenate(
+            [np.zeros((3, 0), np.int64), *(np.frombuffer(b, "<i8").reshape(3, -1) for b in table.column("data").to_pylist())], 1
+        ).astype(np.int64)
         first = np.concatenate([pack.offsets[doc] + first, pack.first[~pack.new]])
         last = np.concatenate([pack.offsets[doc] + last, pack.last[~pack.new]]) + span
         depth = np.bincount(first, minlength=len(pack.data) + 1) - np.bincount(last, minlength=len(pack.data) + 1)
@@ -513,18 +559,32 @@ def repeated_spans(documents: DataFrame, span: int = SPAN, k: int = KGRAM, pack_
             mine = gone[a:b]
             edges = np.flatnonzero(np.diff(np.concatenate([[False], mine, [False]]).view(np.int8))).reshape(-1, 2)
             kept = pack.data[a:b][~mine].tobytes()
-            row = (None if doc_id == _NULL else doc_id, b - a, int(mine.sum()), len(edges), hashlib.sha256(kept).hexdigest(), [{"start": int(x), "end": int(y)} for x, y in edges], kept)
+            row = (
+                None if doc_id == _NULL else doc_id, b - a, int(mine.sum()), len(edges), hashlib.sha256(kept).hexdigest(),
+                [{"start": int(x), "end": int(y)} for x, y in edges], kept
+            )
             for column, value in zip(columns, row):
                 column.append(value)
-        types = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])), pa.binary()]
-        return pa.table({n: pa.array(c, t) for n, c, t in zip(("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "spans", "kept"), columns, types)})
+        types = [
+            pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(),
+            pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])), pa.binary()
+        ]
+        return pa.table({
+            n: pa.array(c, t) for n, c,
+            t in zip(("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "spans", "kept"), columns, types)
+        })
 
     # a pack costs the same however few bytes name it, so the packs' tasks are not merged by their shuffled size
-    moved = about.repartition(tasks, "uid").groupBy("uid").applyInArrow(suffixes, "bucket int, uid string, kind int, data binary, size long")
+    moved = about.repartition(tasks, "uid").groupBy("uid").applyInArrow(
+        suffixes, "bucket int, uid string, kind int, data binary, size long"
+    )
     found = keep(moved.groupBy("bucket").applyInArrow(compare, _FOUND), "suffix-repeats")
     edges = found.where("string is not null")
     # a bucket that opens with a string that an earlier one holds as well opens with a repeat of it
     lowest = edges.groupBy("string").agg(F.min("bucket").alias("lowest"))
     opened = edges.where("opens").join(lowest, "string").where("bucket > lowest")
     starts = packs.select("uid", F.lit(b"").alias("data")).unionByName(found.where("string is null").select("uid", "data")).unionByName(opened.select("uid", "data"))
-    return starts.repartition(tasks, "uid").groupBy("uid").applyInArrow(finish, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans array<struct<start:long,end:long>>, kept binary")
+    return starts.repartition(tasks, "uid").groupBy("uid").applyInArrow(
+        finish,
+        "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans array<struct<start:long,end:long>>, kept binary"
+    )

@@ -70,7 +70,10 @@ class _Best:
             self.floor[j] = max(self.floor[j], float(scores[order[-1]]))
 
 
-def bucket_search(queries: np.ndarray, query_ids: np.ndarray, vectors: np.ndarray, ids: np.ndarray, norms: np.ndarray, best: _Best, stats: dict | None = None) -> None:
+def bucket_search(
+    queries: np.ndarray, query_ids: np.ndarray, vectors: np.ndarray, ids: np.ndarray, norms: np.ndarray, best: _Best,
+    stats: dict | None = None
+) -> None:
     """Add to best what a bucket, sorted by falling norm, has for the queries."""
     lengths = np.linalg.norm(queries, axis=1)
     top = norms[0]
@@ -121,8 +124,13 @@ def prepared(vectors: DataFrame, scale: int = SCALE) -> DataFrame:
     Null ids, null vectors and vectors that hold null, NaN or an infinite component are left out.
     """
     x = F.transform("embedding", lambda x: x.cast("double"))
-    rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), x.alias("x")).where(F.col("vec_id").isNotNull() & F.col("x").isNotNull() & F.forall("x", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))))
-    rows = rows.select("vec_id", F.transform("x", lambda x: F.rint(x * scale) + F.when(F.rint(x * scale) > x * scale, -1.0).otherwise(0.0)).alias("v"))
+    rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), x.alias("x")).where(F.col("vec_id").isNotNull() & F.col("x").isNotNull() & F.forall(
+        "x", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))
+    ))
+    rows = rows.select(
+        "vec_id",
+        F.transform("x", lambda x: F.rint(x * scale) + F.when(F.rint(x * scale) > x * scale, -1.0).otherwise(0.0)).alias("v")
+    )
     return rows.withColumn("norm", F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x)))
 
 
@@ -152,7 +160,9 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 5, scale: int = SCALE)
         del table, parts
         fs, where = _open(path)
         number = 0
-        for batch in pads.dataset(where, filesystem=fs, format="parquet").to_batches(columns=["vec_id", "v"], batch_size=QUERY_BLOCK, use_threads=False):
+        for batch in pads.dataset(where, filesystem=fs, format="parquet").to_batches(
+            columns=["vec_id", "v"], batch_size=QUERY_BLOCK, use_threads=False
+        ):
             if not batch.num_rows:
                 continue
             query_ids, queries = batch.column(0).to_numpy(), _rows(batch.column(1))
@@ -170,7 +180,11 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 5, scale: int = SCALE)
                 bucket_search(queries, query_ids, here[a : a + BUCKET], ids[a : a + BUCKET], norms[a : a + BUCKET], best)
             counts = [len(x) for x in best.ids]
             yield pa.RecordBatch.from_arrays(
-                [pa.array(np.repeat(np.arange(number, number + len(queries)), counts), pa.int64()), pa.array(np.repeat(query_ids, counts), pa.int64()), pa.array(np.concatenate(best.ids), pa.int64()), pa.array(np.concatenate(best.scores), pa.int64())],
+                [
+                    pa.array(np.repeat(np.arange(number, number + len(queries)), counts), pa.int64()),
+                    pa.array(np.repeat(query_ids, counts), pa.int64()), pa.array(np.concatenate(best.ids), pa.int64()),
+                    pa.array(np.concatenate(best.scores), pa.int64())
+                ],
                 names=["number", "query_id", "vec_id", "score"],
             )
             number += len(queries)

@@ -51,7 +51,10 @@ def _record(page_id, url, payload: bytes, sha_hex: str, refers_to) -> bytes:
         f"X-Target-URI-Null: {int(url is None)}",
     ]
     if refers_to is not None:
-        head += [f"WARC-Refers-To: <urn:page:{refers_to}>", "WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"]
+        head += [
+            f"WARC-Refers-To: <urn:page:{refers_to}>",
+            "WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
+        ]
         payload = b""
     head.append(f"Content-Length: {len(payload)}")
     return "\r\n".join(head).encode("utf-8", "replace") + b"\r\n\r\n" + payload + b"\r\n\r\n"
@@ -89,7 +92,10 @@ def _row(fields: dict, payload: bytes) -> tuple:
     return _id(fields.get("WARC-Record-ID")), url, size, digest, kind, _id(fields.get("WARC-Refers-To"))
 
 
-def write_archives(pages: DataFrame, out_dir: str | None = None, min_payload: int = 0, compress: bool = True, file_bytes: int = 16 << 20, hot_bytes: int = HOT_BYTES) -> DataFrame:
+def write_archives(
+    pages: DataFrame, out_dir: str | None = None, min_payload: int = 0, compress: bool = True, file_bytes: int = 16 << 20,
+    hot_bytes: int = HOT_BYTES
+) -> DataFrame:
     """Write a record per row of pages(page_id, url, html, ...); a row (path, size, records) per archive.
 
     Payload: html in UTF-8, null as empty. Among rows with equal payloads of at least
@@ -101,7 +107,10 @@ def write_archives(pages: DataFrame, out_dir: str | None = None, min_payload: in
     """
     spark = pages.sparkSession
     out_dir = out_dir or shared_dir(spark, "warc")
-    rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.coalesce(F.col("html").cast("string"), F.lit("")).cast("binary").alias("payload"))
+    rows = pages.select(
+        F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"),
+        F.coalesce(F.col("html").cast("string"), F.lit("")).cast("binary").alias("payload")
+    )
     rows = rows.withColumn("sha", F.sha1("payload"))
     firsts = (
         rows.where(F.col("page_id").isNotNull() & (F.length("payload") >= min_payload))
@@ -116,14 +125,20 @@ def write_archives(pages: DataFrame, out_dir: str | None = None, min_payload: in
         joined = rows.join(F.broadcast(hot), "sha").unionByName(rows.join(F.broadcast(hot), "sha", "left_anti").join(cold, "sha", "left"))
     else:
         joined = rows.join(cold, "sha", "left")
-    joined = joined.select("page_id", "url", "payload", "sha", F.when((F.length("payload") >= min_payload) & (F.col("first_id") != F.col("page_id")), F.col("first_id")).alias("refers_to"))
+    joined = joined.select(
+        "page_id", "url", "payload", "sha",
+        F.when((F.length("payload") >= min_payload) & (F.col("first_id") != F.col("page_id")), F.col("first_id")).alias("refers_to")
+    )
 
     def write(batches):
         blocks, size, n = [], 0, 0
 
         def flush():
             path = f"{out_dir}/{uuid.uuid4().hex}.warc{'.gz' if compress else ''}"
-            return pa.RecordBatch.from_arrays([pa.array([path]), pa.array([write_file(path, blocks)], pa.int64()), pa.array([n], pa.int64())], names=["path", "size", "records"])
+            return pa.RecordBatch.from_arrays(
+                [pa.array([path]), pa.array([write_file(path, blocks)], pa.int64()), pa.array([n], pa.int64())],
+                names=["path", "size", "records"]
+            )
 
         for batch in batches:
             columns = [batch.column(i) for i in range(5)]
@@ -238,7 +253,10 @@ def candidates(archives: DataFrame, split_bytes: int = 16 << 20) -> DataFrame:
     """Every candidate record of archives(path, size): where it starts, its successor, and the first
     offset outside its split that its chain leads to (``exit``)."""
     spark = archives.sparkSession
-    splits = archives.where("size > 0").select("path", "size", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("size") - 1) / split_bytes).cast("long"))).alias("split"))
+    splits = archives.where("size > 0").select(
+        "path", "size",
+        F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("size") - 1) / split_bytes).cast("long"))).alias("split")
+    )
     splits = splits.repartition(max(1, int(spark.conf.get("spark.sql.shuffle.partitions"))))
 
     def scan(batches):
@@ -282,7 +300,9 @@ def read_archives(archives: DataFrame, split_bytes: int = 16 << 20) -> DataFrame
     while span < splits:
         step = entries.join(pointers, ["path", "offset"]).select("path", F.col("exit").alias("offset"))
         entries = keep(entries.union(step).distinct(), "warc-entries")
-        twice = pointers.alias("a").join(pointers.alias("b"), (F.col("a.path") == F.col("b.path")) & (F.col("a.exit") == F.col("b.offset")), "left")
+        twice = pointers.alias("a").join(
+            pointers.alias("b"), (F.col("a.path") == F.col("b.path")) & (F.col("a.exit") == F.col("b.offset")), "left"
+        )
         pointers = keep(twice.select("a.path", "a.offset", F.coalesce("b.exit", "a.exit").alias("exit")), "warc-pointers")
         span *= 2
     # an entry that is no candidate here is the file's end or a broken chain: nothing follows it
@@ -294,6 +314,11 @@ def read_archives(archives: DataFrame, split_bytes: int = 16 << 20) -> DataFrame
         keep_rows = np.zeros(len(offsets), bool)
         for at in np.flatnonzero(np.array([x is not None for x in table.column("entry").to_pylist()])):
             keep_rows |= reached(after, offsets, offsets[at])
-        return table.filter(pa.array(keep_rows)).select(["page_id", "url", "payload_bytes", "payload_digest", "record_type", "refers_to", "path", "offset"])
+        return table.filter(pa.array(keep_rows)).select([
+            "page_id", "url", "payload_bytes", "payload_digest", "record_type", "refers_to", "path", "offset"
+        ])
 
-    return marked.groupBy("path", "split").applyInArrow(walk, "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long, path string, offset long")
+    return marked.groupBy("path", "split").applyInArrow(
+        walk,
+        "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long, path string, offset long"
+    )
