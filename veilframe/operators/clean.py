@@ -73,7 +73,12 @@ def infer_roles(df: DataFrame, limit: int = COMPARE_LIMIT, columns: list[str] |
     columns = columns or df.columns
     text = {c for c in text_columns(df) if c in columns}
     rest = [c for c in columns if c not in text]
-    counts = distinct_counts(df, rest) if limit and rest else {}
+    counts = {}
+    if limit and rest:
+        # one pass without spreading rows tells which columns are nowhere near the limit; the others are counted exactly
+        about = df.agg(*(F.approx_count_distinct(F.col(c), 0.02).alias(f"n{i}") for i, c in enumerate(rest))).first()
+        near = [c for i, c in enumerate(rest) if about[f"n{i}"] <= 2 * limit + 10]
+        counts = dict.fromkeys(rest, limit + 1) | (distinct_counts(df, near) if near else {})
     return {c: "categorical" if c in text or (limit and counts[c] <= limit) else "numeric" for c in columns}
 
 
