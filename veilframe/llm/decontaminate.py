@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .storage import open_file, shared_dir, small_batches, tidy, write_file
+from .storage import open_file, scratch_dir, small_batches, tidy, write_file
 
 WINDOW = 13
 #: Words of an automaton: about 800 bytes each while it is built, and some tens afterwards.
@@ -205,7 +205,7 @@ def automata(benchmark: DataFrame, window: int = WINDOW, max_words: int = AUTOMA
         F.col("item_id").cast("string").alias("item_id"), F.col("text").cast("string").alias("text")
     ).where("text is not null").distinct()
     words = items.agg(F.coalesce(F.sum(F.regexp_count("text", F.lit(WORD))), F.lit(0))).first()[0]
-    out_dir, groups = shared_dir(spark, "automata"), -(-words // max_words)
+    out_dir, groups = scratch_dir(spark, "automata"), -(-words // max_words)
 
     def build(table: pa.Table) -> pa.Table:
         builder = SuffixAutomaton(window)

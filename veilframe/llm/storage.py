@@ -66,17 +66,23 @@ def open_file(uri: str):
 _kept: list[str] = []
 
 
+def scratch_dir(spark: SparkSession, label: str) -> str:
+    """shared_dir() for what is no result: release() deletes it."""
+    _kept.append(shared_dir(spark, label))
+    return _kept[-1]
+
+
 def keep(df: DataFrame, label: str) -> DataFrame:
     """df, computed once into the shared folder and read again: short lineage, no recomputation."""
     spark = df.sparkSession
-    path = shared_dir(spark, label)
-    _kept.append(path)
+    path = scratch_dir(spark, label)
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
 def release() -> int:
-    """Delete what keep() wrote since the last call, once no frame that stems from it is needed; the number of folders.
+    """Delete what keep() and others wrote below scratch_dir() since the last call, once no frame that stems from it is needed; the number
+    of folders.
 
     Files that operators were asked to write (archives, token files) are results and stay.
     """

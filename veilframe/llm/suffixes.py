@@ -31,7 +31,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .storage import keep, open_file, shared_dir, tidy, write_file
+from .storage import keep, open_file, scratch_dir, tidy, write_file
 
 SPAN = 100
 KGRAM = 37
@@ -353,7 +353,7 @@ def repeated_spans(
     if not 16 <= k < span < 1 << 16:
         raise ValueError("16 <= k < span < 65536 is needed")
     spark = documents.sparkSession
-    out_dir = shared_dir(spark, "packs")
+    out_dir = scratch_dir(spark, "packs")
     texts = documents.select(
         F.col("doc_id").cast("long").alias("doc_id"),
         F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary").alias("text")

@@ -16,7 +16,7 @@ import pyarrow.dataset as pads
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .storage import _open, shared_dir
+from .storage import _open, scratch_dir
 
 BUCKET = 2048
 QUERY_BLOCK = 512
@@ -143,7 +143,7 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 5, scale: int = SCALE)
     """
     spark = vectors.sparkSession
     rows = prepared(vectors, scale)
-    path = shared_dir(spark, "queries")
+    path = scratch_dir(spark, "queries")
     rows.where(is_query).write.parquet(path)
     seeds = rows.orderBy(F.desc("norm"), "vec_id").limit(SEEDS).collect()
     banded = rows.repartitionByRange(F.desc("norm"), "vec_id").sortWithinPartitions(F.desc("norm"), "vec_id")
