@@ -48,7 +48,10 @@ def _pieces(text: Column, pattern: str, guard: Column) -> tuple[Column, Column]:
 
 def _guarded(text: Column) -> list[tuple[str, str, Column]]:
     """(kind, pattern, a cheap condition that every text with a match fulfils)."""
-    return [("email", EMAIL, F.contains(text, F.lit("@"))), ("ip", IP, text.rlike(IP)), ("card", CARD, text.rlike(CARD)), ("phone", PHONE, F.contains(text, F.lit("+")))]
+    return [
+        ("email", EMAIL, F.contains(text, F.lit("@"))), ("ip", IP, text.rlike(IP)), ("card", CARD, text.rlike(CARD)),
+        ("phone", PHONE, F.contains(text, F.lit("+")))
+    ]
 
 
 def _suspect(text: Column) -> Column:
@@ -75,9 +78,10 @@ def _texts(documents: DataFrame) -> DataFrame:
 
 
 def _placed(rows: DataFrame) -> DataFrame:
-    """rows(doc_id, h, kind, i, gap, length, ...) with start and end; repeated documents come out once."""
+    """rows(doc_id, h, kind, i, gap, length, ...) with start and end; repeated documents come out once, with their number as times."""
     partition = [*_ROW, "kind"]
-    rows = rows.repartition(*partition).dropDuplicates([*partition, "i"])
+    others = [F.first(c).alias(c) for c in rows.columns if c not in (*partition, "i")]
+    rows = rows.repartition(*partition).groupBy(*partition, "i").agg(*others, F.count("*").alias("times"))
     so_far = Window.partitionBy(*partition).orderBy("i").rowsBetween(Window.unboundedPreceding, 0)
     end = F.sum(F.col("gap") + F.col("length")).over(so_far)
     return rows.withColumn("end", end.cast("long")).withColumn("start", F.col("end") - F.col("length"))
@@ -92,7 +96,7 @@ def _after(gap: Column, context: int) -> Column:
 
 
 def base_spans(texts: DataFrame, context: int = CONTEXT) -> DataFrame:
-    """(doc_id, h, kind, start, end, value, left, right) of what the patterns find in texts(doc_id, h, text).
+    """(doc_id, h, kind, start, end, value, left, right, times) of what the patterns find in texts(doc_id, h, text).
 
     left and right: up to context characters beside it, not past another match of the kind; an outer word goes only
     where a longer gap was cut.
@@ -104,10 +108,18 @@ def base_spans(texts: DataFrame, context: int = CONTEXT) -> DataFrame:
         kinds.append(F.struct(F.lit(kind).alias("kind"), matches.alias("m"), gaps.alias("g")))
     rows = texts.select(*_ROW, F.explode(F.array(*kinds)).alias("k")).where(F.size("k.m") > 0)
     # gaps are one more than matches: the pair after the last match is dropped
-    pairs = F.transform("k.m", lambda m, i: F.struct(m.alias("value"), F.length(F.get("k.g", i)).alias("gap"), _before(F.get("k.g", i), context).alias("left"), _after(F.get("k.g", i + 1), context).alias("right")))
-    rows = rows.select(*_ROW, F.col("k.kind").alias("kind"), F.posexplode(pairs).alias("i", "x")).select(*_ROW, "kind", "i", "x.*", F.length("x.value").alias("length"))
+    pairs = F.transform(
+        "k.m", lambda m,
+        i: F.struct(
+            m.alias("value"), F.length(F.get("k.g", i)).alias("gap"), _before(F.get("k.g", i), context).alias("left"),
+            _after(F.get("k.g", i + 1), context).alias("right")
+        )
+    )
+    rows = rows.select(
+        *_ROW, F.col("k.kind").alias("kind"), F.posexplode(pairs).alias("i", "x")
+    ).select(*_ROW, "kind", "i", "x.*", F.length("x.value").alias("length"))
     placed = _placed(rows)
-    return placed.where(_valid(F.col("kind"), F.col("value"))).select(*_ROW, "kind", "start", "end", "value", "left", "right")
+    return placed.where(_valid(F.col("kind"), F.col("value"))).select(*_ROW, "kind", "start", "end", "value", "left", "right", "times")
 
 
 def _lower(text: Column) -> Column:
@@ -119,7 +131,9 @@ def _semi(words: DataFrame, terms: DataFrame, rows: int) -> DataFrame:
     return words.join(F.broadcast(terms) if rows <= BROADCAST_ROWS else terms, "term", "left_semi")
 
 
-def disclosing_terms(texts: DataFrame, spans: DataFrame, min_contexts: int = MIN_CONTEXTS, min_disclosure: float = MIN_DISCLOSURE) -> DataFrame:
+def disclosing_terms(
+    texts: DataFrame, spans: DataFrame, min_contexts: int = MIN_CONTEXTS, min_disclosure: float = MIN_DISCLOSURE
+) -> DataFrame:
     """(term, entity, contexts, disclosure) of the terms that reveal an entity, from counts over all texts.
 
     A context is the text beside a mention without its cut-off outer words; copies of a context count once.
@@ -128,14 +142,15 @@ def disclosing_terms(texts: DataFrame, spans: DataFrame, min_contexts: int = MIN
     """
     entity = F.concat(F.col("kind"), F.lit(":"), _lower(F.col("value")))
     side = F.concat(F.regexp_replace("left", EMAIL, " "), F.lit(" "), F.regexp_replace("right", EMAIL, " "))
-    mentions = spans.select(*_ROW, entity.alias("entity"), _lower(side).alias("context"))
-    near = mentions.select(*_ROW, "entity", F.xxhash64("context").alias("c"), F.explode(F.array_distinct(F.regexp_extract_all("context", F.lit(TERM), F.lit(0)))).alias("term"))
+    mentions = spans.select(*_ROW, "times", entity.alias("entity"), _lower(side).alias("context"))
+    near = mentions.select(
+        *_ROW, "times", "entity", F.xxhash64("context").alias("c"),
+        F.explode(F.array_distinct(F.regexp_extract_all("context", F.lit(TERM), F.lit(0)))).alias("term")
+    )
     contexts = near.select("entity", "term", "c").distinct().groupBy("entity", "term").agg(F.count("*").alias("contexts")).where(F.col("contexts") >= min_contexts)
-    # rows that are equal came out once: their number is that of the rows they stand for
-    times = keep(texts.where(_suspect(F.col("text"))).groupBy(F.col("doc_id").alias("id"), F.col("h").alias("hash")).agg(F.count("*").alias("times")), "pii-times")
-    rows_of = lambda df: df.distinct().join(times, F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("h") == F.col("hash")))
-    both = rows_of(near.select("entity", "term", *_ROW)).groupBy("entity", "term").agg(F.sum("times").alias("n_both"))
-    n_entity = rows_of(mentions.select("entity", *_ROW)).groupBy("entity").agg(F.sum("times").alias("n_entity"))
+    # rows that are equal came out once and stand for their number
+    both = near.select("entity", "term", *_ROW, "times").distinct().groupBy("entity", "term").agg(F.sum("times").alias("n_both"))
+    n_entity = mentions.select("entity", *_ROW, "times").distinct().groupBy("entity").agg(F.sum("times").alias("n_entity"))
     n = float(max(1, texts.count()))
     content = F.log(F.lit(n) / F.col("n_entity"))
 
@@ -167,20 +182,29 @@ def term_spans(texts: DataFrame, terms: DataFrame) -> DataFrame:
     """(doc_id, h, kind, start, end) of every occurrence of terms(term) in texts."""
     n = terms.count()
     if not n:
-        return texts.select(*_ROW, F.lit("term").alias("kind"), F.lit(0).cast("long").alias("start"), F.lit(0).cast("long").alias("end")).where(F.lit(False))
-    words = texts.select(*_ROW, F.explode(F.array_distinct(F.regexp_extract_all(_lower(F.col("text")), F.lit(TERM), F.lit(0)))).alias("term"))
+        return texts.select(
+            *_ROW, F.lit("term").alias("kind"), F.lit(0).cast("long").alias("start"), F.lit(0).cast("long").alias("end")
+        ).where(F.lit(False))
+    words = texts.select(
+        *_ROW, F.explode(F.array_distinct(F.regexp_extract_all(_lower(F.col("text")), F.lit(TERM), F.lit(0)))).alias("term")
+    )
     touched = keep(_semi(words, terms, n).groupBy(*_ROW).agg(F.collect_set("term").alias("terms")), "pii-touched")
     lower = _lower(F.col("text"))
     rows = texts.join(touched, (texts["doc_id"].eqNullSafe(touched["doc_id"])) & (texts["h"] == touched["h"]))
     # terms are letters only, so they stand for themselves in a pattern
     pattern = F.concat(F.lit(f"(?<!{LETTER})(?:"), F.array_join("terms", "|"), F.lit(f")(?!{LETTER})"))
-    rows = rows.select(texts["doc_id"], texts["h"], F.regexp_extract_all(lower, pattern, F.lit(0)).alias("m"), F.split(lower, pattern, -1).alias("g"))
+    rows = rows.select(
+        texts["doc_id"], texts["h"], F.regexp_extract_all(lower, pattern, F.lit(0)).alias("m"),
+        F.split(lower, pattern, -1).alias("g")
+    )
     pairs = F.transform("m", lambda m, i: F.struct(F.length(m).alias("length"), F.length(F.get("g", i)).alias("gap")))
     rows = rows.select(*_ROW, F.lit("term").alias("kind"), F.posexplode(pairs).alias("i", "x")).select(*_ROW, "kind", "i", "x.*")
     return _placed(rows).select(*_ROW, "kind", "start", "end")
 
 
-def find_pii(documents: DataFrame, min_contexts: int = MIN_CONTEXTS, min_disclosure: float = MIN_DISCLOSURE, context: int = CONTEXT) -> DataFrame:
+def find_pii(
+    documents: DataFrame, min_contexts: int = MIN_CONTEXTS, min_disclosure: float = MIN_DISCLOSURE, context: int = CONTEXT
+) -> DataFrame:
     """(doc_id, h, spans) of documents(doc_id, text, ...): spans as array<struct<start,rank,kind,end>> by start, then kind.
 
     One row per document, repeated rows included. Null texts are empty; an empty text has no spans and its
@@ -199,7 +223,9 @@ def find_pii(documents: DataFrame, min_contexts: int = MIN_CONTEXTS, min_disclos
     found = spans.groupBy(*_ROW).agg(F.array_sort(F.collect_list(F.struct("start", "rank", "kind", "end"))).alias("spans"))
     rows = texts.select(*_ROW)
     joined = rows.join(found, rows["doc_id"].eqNullSafe(found["doc_id"]) & (rows["h"] == found["h"]), "left")
-    return joined.select(rows["doc_id"], rows["h"], F.coalesce(found["spans"], F.array().cast(found.schema["spans"].dataType)).alias("spans"))
+    return joined.select(
+        rows["doc_id"], rows["h"], F.coalesce(found["spans"], F.array().cast(found.schema["spans"].dataType)).alias("spans")
+    )
 
 
 def listed(spans: Column) -> Column:
@@ -215,11 +241,19 @@ def sanitised(documents: DataFrame, **limits) -> DataFrame:
     found = find_pii(documents, **limits).where(F.size("spans") > 0).dropDuplicates(_ROW)
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     left = documents.withColumn("__h", F.xxhash64(text))
-    joined = left.join(found.select(F.col("doc_id").alias("__id"), F.col("h").alias("__fh"), F.col("spans").alias("__spans")), left["doc_id"].eqNullSafe(F.col("__id")) & (left["__h"] == F.col("__fh")), "left")
+    joined = left.join(
+        found.select(F.col("doc_id").alias("__id"), F.col("h").alias("__fh"), F.col("spans").alias("__spans")),
+        left["doc_id"].eqNullSafe(F.col("__id")) & (left["__h"] == F.col("__fh")), "left"
+    )
     start = F.struct(F.lit("").alias("done"), F.lit(0).cast("long").alias("pos"))
     mark = lambda s: F.when(s["kind"] == "term", "").otherwise(F.concat(F.lit("["), F.upper(s["kind"]), F.lit("]")))
     step = lambda a, s: F.when(s["start"] < a["pos"], F.struct(a["done"].alias("done"), F.greatest(a["pos"], s["end"]).alias("pos"))).otherwise(
-        F.struct(F.concat(a["done"], F.substr(text, (a["pos"] + 1).cast("int"), (s["start"] - a["pos"]).cast("int")), mark(s)).alias("done"), s["end"].alias("pos"))
+        F.struct(
+            F.concat(a["done"], F.substr(text, (a["pos"] + 1).cast("int"), (s["start"] - a["pos"]).cast("int")), mark(s)).alias("done"),
+            s["end"].alias("pos")
+        )
     )
     clean = F.aggregate("__spans", start, step, lambda a: F.concat(a["done"], F.substr(text, (a["pos"] + 1).cast("int"))))
-    return joined.withColumn("text", F.when(F.col("__spans").isNull(), F.col("text")).otherwise(clean)).drop("__h", "__id", "__fh", "__spans")
+    return joined.withColumn(
+        "text", F.when(F.col("__spans").isNull(), F.col("text")).otherwise(clean)
+    ).drop("__h", "__id", "__fh", "__spans")
