@@ -14,6 +14,7 @@ first, padded to a byte) and uint32 ranks.
 from __future__ import annotations
 
 import json
+import os
 import re
 import struct
 import uuid
@@ -117,7 +118,10 @@ class TokenFile:
 
     def ids(self) -> np.ndarray:
         """All tokens of the file."""
-        parts = [(np.frombuffer(self._read(c, n), np.uint8), np.frombuffer(self._read(b, (n + 7) // 8), np.uint8), None) for n, c, b, _ in self.levels]
+        parts = [
+            (np.frombuffer(self._read(c, n), np.uint8), np.frombuffer(self._read(b, (n + 7) // 8), np.uint8), None) for n, c, b,
+            _ in self.levels
+        ]
         return decode_levels(parts)
 
     def close(self) -> None:
@@ -142,14 +146,14 @@ def by_words(definition: dict) -> bool:
 class WordEncoder:
     """Whole-text encoding by the tokenizers library, with the ids of words kept.
 
-    The tokenizer's splitting never joins characters over a space that stands between two non-space
-    characters, so the ids of a text are those of its first word and of each further
-    word with its space. That holds for the tokenizers that by_words() admits and texts in which every run of white
-    space that holds a space is that single one; other tokenizers and texts go through the library whole.
+    The tokenizer's splitting always starts anew at a space that is followed by a character other than white space, whatever
+    stands before it. So the ids of a text are those of what precedes the first such space, and of each further piece with its
+    space. That holds for the tokenizers that by_words() admits; with others, texts go through the library whole.
     Words are kept in two generations, so that frequent ones outlive a full cache.
     """
 
     def __init__(self, path: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
@@ -157,21 +161,23 @@ class WordEncoder:
         self.first: dict[str, bytes] = {}
         self.rest: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
-        self.odd = re.compile(r"\s | \s")
-        self.other = re.compile(r"[^\S \n]")
+        self.odd = re.compile(r" \s")
+        self.cut = re.compile(r" (?=\S)")
         size = self.tokenizer.get_vocab_size()
         self.opens = np.array([(self.tokenizer.id_to_token(i) or "").startswith("Ġ") for i in range(size)])
         self.marks = {} if self.whole_only else {m: self._whole(m) for m in ".,"}
 
     def _whole(self, text: str) -> bytes:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+        return self._ids([text])[0].tobytes()
 
-    def _split(self, text: str) -> list[str] | None:
-        """The words of a text whose spaces all stand alone."""
-        parts = text.split(" ")
-        if "" in parts or "\n " in text or " \n" in text or (self.other.search(text) and self.odd.search(text)):
-            return None
-        return parts
+    def _ids(self, texts: list[str]) -> list[np.ndarray]:
+        return [np.array(e.ids, "<u4") for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _split(self, text: str) -> list[str]:
+        """The pieces of a text between the spaces before anything but white space."""
+        if text.endswith(" ") or self.odd.search(text):
+            return self.cut.split(text)
+        return text.split(" ")
 
     def _learn(self, words: set[str]) -> None:
         """Put words into self.rest: encoded together, cut where a token opens with the space."""
@@ -189,10 +195,12 @@ class WordEncoder:
                     rest[stem] = old[stem]
                 else:
                     plain.add(stem)
-        plain = [*plain]
+        spaced = [w for w in plain if " " in w]
+        rest.update(zip(spaced, (x.tobytes() for x in self._ids([" " + w for w in spaced]))))
+        plain = [*plain.difference(spaced)]
         for k in range(0, len(plain), 4096):
             part = plain[k : k + 4096]
-            ids = np.array(self.tokenizer.encode(" " + " ".join(part), add_special_tokens=False).ids, "<u4")
+            ids = self._ids([" " + " ".join(part)])[0]
             cuts = np.flatnonzero(self.opens[ids])
             if len(cuts) != len(part):
                 rest.update((w, self._whole(" " + w)) for w in part)
@@ -205,14 +213,11 @@ class WordEncoder:
     def encode(self, texts: list[str]) -> list[bytes]:
         """Little-endian uint32 ids of each text."""
         if self.whole_only:
-            return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
+            return [x.tobytes() for x in self._ids(texts)]
         out: list[bytes | None] = []
         waiting, missing = [], set()
         for j, text in enumerate(texts):
             parts = self._split(text)
-            if parts is None:
-                out.append(self._whole(text))
-                continue
             head = self.first.get(parts[0])
             if head is None:
                 if len(self.first) > CACHE_WORDS // 8:
@@ -248,7 +253,9 @@ def encoder(path: str) -> WordEncoder:
     return _encoders[path]
 
 
-def write_tokens(documents: DataFrame, tokenizer_path: str, out_dir: str | None = None, end_id: int = 0, file_tokens: int = FILE_TOKENS) -> DataFrame:
+def write_tokens(
+    documents: DataFrame, tokenizer_path: str, out_dir: str | None = None, end_id: int = 0, file_tokens: int = FILE_TOKENS
+) -> DataFrame:
     """Encode documents(doc_id, text, ...) into files; a row (part, seq, path, documents, tokens) per file.
 
     Null or empty texts have the end id only. Documents are in ascending order of id over
@@ -271,7 +278,13 @@ def write_tokens(documents: DataFrame, tokenizer_path: str, out_dir: str | None
             path = f"{out_dir}/{part:06d}-{seq:06d}-{uuid.uuid4().hex}.dac"
             ids = np.frombuffer(b"".join(blocks), "<u4")
             write_file(path, pack_file(doc_ids, [len(b) // 4 for b in blocks], ids))
-            return pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in ((part, pa.int64()), (seq, pa.int64()), (path, pa.string()), (len(doc_ids), pa.int64()), (len(ids), pa.int64()))], names=["part", "seq", "path", "documents", "tokens"])
+            return pa.RecordBatch.from_arrays(
+                [
+                    pa.array([x], t) for x,
+                    t in ((part, pa.int64()), (seq, pa.int64()), (path, pa.string()), (len(doc_ids), pa.int64()), (len(ids), pa.int64()))
+                ],
+                names=["part", "seq", "path", "documents", "tokens"]
+            )
 
         for batch in batches:
             for k in range(0, batch.num_rows, 256):
@@ -307,6 +320,12 @@ def read_tokens(files: DataFrame) -> DataFrame:
                 data, offsets = file.ids().astype("<u4").tobytes(), file.offsets
                 file.close()
                 crcs = [zlib.crc32(data[4 * a : 4 * b]) for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist())]
-                yield pa.RecordBatch.from_arrays([pa.array(file.doc_ids, pa.int64()), pa.array(offsets[:-1] + base, pa.int64()), pa.array(np.diff(offsets), pa.int64()), pa.array(crcs, pa.int64())], names=["doc_id", "start", "n_tokens", "ids_crc32"])
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        pa.array(file.doc_ids, pa.int64()), pa.array(offsets[:-1] + base, pa.int64()),
+                        pa.array(np.diff(offsets), pa.int64()), pa.array(crcs, pa.int64())
+                    ],
+                    names=["doc_id", "start", "n_tokens", "ids_crc32"]
+                )
 
     return files.mapInArrow(read, "doc_id long, start long, n_tokens long, ids_crc32 long")
