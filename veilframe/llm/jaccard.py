@@ -273,13 +273,15 @@ def components(members: DataFrame, node: str, group: str) -> DataFrame:
     they are shuffled, and the joins are between kept tables, whose large keys Spark can split.
     """
     members = members.select(F.col(node).alias("node"), F.col(group).alias("group"))
-    labels = keep(members.select("node", F.col("node").alias("root")).distinct(), "labels")
+    labels = None  # at first every node is its own
     while True:
-        by_group = keep(members.join(labels, "node").groupBy("group").agg(F.min("root").alias("low")), "labels-group")
+        named = members.withColumn("root", F.col("node")) if labels is None else members.join(labels, "node")
+        by_group = keep(named.groupBy("group").agg(F.min("root").alias("low")), "labels-group")
         lower = keep(members.join(by_group, "group").groupBy("node").agg(F.min("low").alias("low")), "labels-low")
         jumped = lower.join(lower.select(F.col("node").alias("at"), F.col("low").alias("far")), F.col("low") == F.col("at"), "left")
         new = keep(jumped.select("node", F.least("low", F.coalesce("far", "low")).alias("root")), "labels")
-        changed = new.join(labels.withColumnRenamed("root", "old"), "node").where(F.col("root") != F.col("old")).limit(1).count()
+        old = new.withColumn("old", F.col("node")) if labels is None else new.join(labels.withColumnRenamed("root", "old"), "node")
+        changed = old.where(F.col("root") != F.col("old")).limit(1).count()
         labels = new
         if not changed:
             return labels.withColumnRenamed("node", node)
