@@ -31,7 +31,8 @@ from .storage import keep, open_file, shared_dir, small_batches, tidy, write_fil
 CHUNK_BITS = 8
 RANK_BLOCK = 512
 FILE_TOKENS = 4_000_000
-CACHE_WORDS = 400_000
+#: Words in a generation of a worker's cache: some 150 bytes each.
+CACHE_WORDS = 600_000
 
 
 def encode_levels(ids: np.ndarray) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
@@ -163,7 +164,8 @@ class WordEncoder:
         self.old: dict[str, bytes] = {}
         self.odd = re.compile(r" \s")
         self.cut = re.compile(r" (?=\S)")
-        size = self.tokenizer.get_vocab_size()
+        size = 1 + max(self.tokenizer.get_vocab().values(), default=0)
+        self.kind = "<u2" if size <= 1 << 16 else "<u4"  # ids are kept as small as they are
         self.opens = np.array([(self.tokenizer.id_to_token(i) or "").startswith("Ġ") for i in range(size)])
         self.marks = {} if self.whole_only else {m: self._whole(m) for m in ".,"}
 
@@ -171,7 +173,7 @@ class WordEncoder:
         return self._ids([text])[0].tobytes()
 
     def _ids(self, texts: list[str]) -> list[np.ndarray]:
-        return [np.array(e.ids, "<u4") for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        return [np.array(e.ids, self.kind) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     def _split(self, text: str) -> list[str]:
         """The pieces of a text between the spaces before anything but white space."""
@@ -205,15 +207,15 @@ class WordEncoder:
             if len(cuts) != len(part):
                 rest.update((w, self._whole(" " + w)) for w in part)
                 continue
-            data, ends = ids.tobytes(), [*(4 * cuts[1:]).tolist(), 4 * len(ids)]
-            rest.update(zip(part, map(data.__getitem__, map(slice, (4 * cuts).tolist(), ends))))
+            data, cuts = ids.tobytes(), ids.itemsize * np.append(cuts, len(ids))
+            rest.update(zip(part, map(data.__getitem__, map(slice, cuts[:-1].tolist(), cuts[1:].tolist()))))
         for w in marked:
             rest[w] = rest[w[:-1]] + marks[w[-1]]
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Little-endian uint32 ids of each text."""
         if self.whole_only:
-            return [x.tobytes() for x in self._ids(texts)]
+            return [x.astype("<u4").tobytes() for x in self._ids(texts)]
         out: list[bytes | None] = []
         waiting, missing = [], set()
         for j, text in enumerate(texts):
@@ -233,7 +235,7 @@ class WordEncoder:
                     self._fill(out, waiting, missing)
                     waiting, missing = [], set()
             else:
-                out.append(b"".join(found))
+                out.append(self._wide(found))
         self._fill(out, waiting, missing)
         return out
 
@@ -241,7 +243,10 @@ class WordEncoder:
         if missing:
             self._learn(missing)
         for j, parts, found in waiting:
-            out[j] = b"".join([f if f is not None else self.rest[p] for p, f in zip(parts, found)])
+            out[j] = self._wide([f if f is not None else self.rest[p] for p, f in zip(parts, found)])
+
+    def _wide(self, found: list[bytes]) -> bytes:
+        return np.frombuffer(b"".join(found), self.kind).astype("<u4").tobytes()
 
 
 _encoders: dict[str, WordEncoder] = {}
