@@ -9,6 +9,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
+from veilframe.functions import numeric
 from veilframe.functions.quantiles import exact_quantiles
 from veilframe.functions.ranking import hashed_row_number
 from veilframe.operators import bayesnet, binning, clean, ctgan, encode, mixture, mlutil, privacy, sampling, stats
@@ -463,3 +464,22 @@ def test_recipes_are_fitted_on_the_whole_split(spark, monkeypatch):
         wanted = {r["o_orderkey"]: r for r in recipes.preprocess(frame, "people", recipe, fitted)[0].collect()}
         assert len(seen[name]) == n and all(r == wanted[r["o_orderkey"]] for r in seen[name])
     assert [r["o_orderkey"] for r in seen["train"]] == [r["o_orderkey"] for r in seen["plain"]]
+
+
+def test_the_full_matrix_is_dealt_out_to_tasks(spark, monkeypatch):
+    monkeypatch.setattr(privacy, "TASK_PAIRS", 500)
+    real = spark.range(100, numPartitions=1).select(F.col("id").alias("k"), (F.col("id") * 0.37).alias("x"))
+    for n in (30, 300):  # either side may be the longer one
+        synthetic = spark.range(n, numPartitions=1).select(F.col("id").alias("k"), (F.col("id") * 0.11).alias("x"))
+        pairs = privacy.gower_pairs(real, synthetic, ["x"], "k", "k", {"x": "numeric"})
+        assert pairs.rdd.getNumPartitions() >= 100 * n // 500
+        assert pairs.select("synthetic_key", "real_key").distinct().count() == 100 * n
+    assert privacy.gower_pairs(real.limit(0), real, ["x"], "k", "k", {"x": "numeric"}).count() == 0
+
+
+def test_quick_rounding_is_rounding(spark):
+    edges = [0.0, -0.0, 0.1234565, 0.1234575, -0.1234565, 2.5e-7, 5e-7, 1.0000005, 123456.7890125, 1e9 + 0.1234565, 1e300, -4e-7, float("nan"), float("inf"), None]
+    df = spark.createDataFrame([(x,) for x in edges], "x double").union(spark.range(20_000).select(F.rand(3) * F.when(F.col("id") % 2 == 0, 1).otherwise(-1)))
+    df = df.union(spark.range(20_000).select((F.col("id") * 2 + 1) / F.lit(2e6)))  # halves of the last digit
+    differ = df.where(~numeric.quick_round(F.col("x")).eqNullSafe(F.round("x", 6)))
+    assert differ.count() == 0
