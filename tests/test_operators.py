@@ -483,3 +483,23 @@ def test_quick_rounding_is_rounding(spark):
     df = df.union(spark.range(20_000).select((F.col("id") * 2 + 1) / F.lit(2e6)))  # halves of the last digit
     differ = df.where(~numeric.quick_round(F.col("x")).eqNullSafe(F.round("x", 6)))
     assert differ.count() == 0
+
+
+def test_learners_read_rows_in_a_part_for_each_core(spark, monkeypatch):
+    cores = spark.sparkContext.defaultParallelism
+    df = spark.range(240, numPartitions=1).select(
+        (F.col("id") % 10).cast("double").alias("x"), F.when(F.col("id") % 10 < 5, "lo").otherwise("hi").alias("y")
+    )
+    parts, plain = [], mlutil.classifier
+
+    def watched(*how, **more):
+        model = plain(*how, **more)
+        fit = model.fit
+        model.fit = lambda rows: parts.append((rows.rdd.getNumPartitions(), rows.count())) or fit(rows)
+        return model
+
+    monkeypatch.setattr(mlutil, "classifier", watched)
+    found = mlutil.evaluate(df, df, ["x"], "y", mlutil.MODELS[:2], trees=3, depth=3).collect()
+    assert parts == [(cores, 240)] * 2 and [r["model"] for r in found] == list(mlutil.MODELS[:2])
+    monkeypatch.setattr(mlutil, "PART_ROWS", 10)
+    assert mlutil.spread(df).rdd.getNumPartitions() == 24

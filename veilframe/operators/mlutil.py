@@ -14,6 +14,8 @@ from .encode import scale_parameters, standard_scale
 from .sampling import kfold
 
 MODELS = ("Logistic Regression", "Random Forest", "Neural Network")
+#: Rows that a task of a learner reads at most.
+PART_ROWS = 500_000
 
 
 def feature_stages(df: DataFrame, columns: list[str], roles: dict[str, str]) -> list:
@@ -38,7 +40,9 @@ def classifier(name: str, n: int, inputs: int = 0, classes: int = 2, trees: int
             featuresCol="__features"
         )
     if name == MODELS[1]:
-        return RandomForestClassifier(numTrees=trees, seed=42, maxDepth=depth, labelCol="__y", featuresCol="__features", maxBins=64)
+        return RandomForestClassifier(
+            numTrees=trees, seed=42, maxDepth=depth, labelCol="__y", featuresCol="__features", maxBins=64, cacheNodeIds=True
+        )
     return MultilayerPerceptronClassifier(
         layers=[inputs, 100, classes], maxIter=200, seed=42, labelCol="__y", featuresCol="__features", blockSize=512
     )
@@ -70,6 +74,16 @@ def prepare(train: DataFrame, test: DataFrame, columns: list[str], target: str)
     return left, right, roles
 
 
+def spread(rows: DataFrame) -> DataFrame:
+    """The rows, kept, in a part for each core, or more of PART_ROWS: learners read them many times, and a join may leave them in one part."""
+    once = rows.cache()
+    n, session = once.count(), rows.sparkSession
+    out = once.repartition(max(session.sparkContext.defaultParallelism, -(-n // PART_ROWS))).cache()
+    out.count()
+    once.unpersist()
+    return out
+
+
 def evaluate(train: DataFrame, test: DataFrame, columns: list[str], target: str, models: tuple[str, ...] = MODELS, **how) -> DataFrame:
     """(model, accuracy, f1), rounded to 4 digits: each model trained on one frame and tested on the other.
 
@@ -82,9 +96,8 @@ def evaluate(train: DataFrame, test: DataFrame, columns: list[str], target: str,
     label = StringIndexer(inputCol=target, outputCol="__y", stringOrderType="alphabetAsc", handleInvalid="keep")
     fitted = Pipeline(stages=[label, *feature_stages(left, columns, roles)]).fit(left)
     names = fitted.stages[0].labels
-    left, right = fitted.transform(left).select("__y", "__features").cache(), fitted.transform(right).select(
-        F.col(target).cast("string").alias("truth"), "__y", "__features"
-    )
+    left = spread(fitted.transform(left).select("__y", "__features"))
+    right = fitted.transform(right).select(F.col(target).cast("string").alias("truth"), "__y", "__features").cache()
     n, first = left.count(), left.first()
     rows = []
     for name in models:
@@ -94,6 +107,7 @@ def evaluate(train: DataFrame, test: DataFrame, columns: list[str], target: str,
         cells = guessed.groupBy("truth", "guess").agg(F.count("*").alias("n")).collect()
         rows.append((name, *_scores([(r["truth"], r["guess"], r["n"]) for r in cells])))
     left.unpersist()
+    right.unpersist()
     return train.sparkSession.createDataFrame(rows, "model string, accuracy double, f1 double")
 
 
