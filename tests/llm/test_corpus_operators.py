@@ -430,6 +430,48 @@ def test_words_beside_any_white_space():
     assert got == [np.array(t.encode(x, add_special_tokens=False).ids, "<u4").tobytes() for x in texts]
 
 
+def test_added_tokens_across_letters_and_marks(tmp_path):
+    """Pieces are put together from letters and marks only if no token goes across the two."""
+    definition = json.loads(Tokenizer.from_file(TOKENIZER).to_str())
+    added = {**definition["added_tokens"][0], "id": 50257, "content": "n."}
+    path = tmp_path / "other.json"
+    path.write_text(json.dumps(definition | {"added_tokens": [*definition["added_tokens"], added]}))
+    t, texts = Tokenizer.from_file(str(path)), ["seen on. then on. again", "n.", "so on.\nOn, on."]
+    assert 50257 in t.encode(texts[0]).ids
+    assert tokens.WordEncoder(str(path)).encode(texts) == [np.array(t.encode(x, add_special_tokens=False).ids, "<u4").tobytes() for x in texts]
+
+
+def test_letters_marks_and_line_breaks_are_told_apart_as_by_the_library():
+    rng, t, coder = random.Random(43), Tokenizer.from_file(TOKENIZER), tokens.WordEncoder(TOKENIZER)
+    letters = [chr(x) for x in range(0x250) if re.fullmatch(tokens.LETTERS, chr(x))]
+    marks = [chr(x) for x in range(128) if re.fullmatch(tokens.MARKS, chr(x))]
+    assert len(letters) > 400 and len(marks) == 31 and "'" not in marks
+    texts = [f"a x{c}{m} {c}{m}\n{c}x{m}{m} {c}\n{c}" for c in letters for m in [*rng.sample(marks, 3), ""]] + [f"a b{m}{n} c{n}" for m in marks for n in marks]
+    stems = ["the", "then", "Ever", "don't", "s", "é", "ºx", "x2", "_y", "ж", "中", "x\u0301", ""]
+    tails = ["", ".", "...", "!?", "'", "'s", ".'s", "&&&", "_", "\n", "\n\n", ".\n", "\r\n", "<|endoftext|>", "\u2019"]
+    texts += [" ".join(rng.choice(stems) + rng.choice(tails) + rng.choice(stems) + rng.choice(tails) for _ in range(6)) for _ in range(4000)]
+    got = [x for k in range(0, len(texts), 500) for x in coder.encode(texts[k : k + 500])]
+    assert got == [np.array(e.ids, "<u4").tobytes() for e in t.encode_batch(texts, add_special_tokens=False)]
+
+
+def test_library_sees_letters_once_whatever_marks_follow(monkeypatch):
+    """The cost of op5_tokens is that of the characters which the library encodes."""
+    rng, t, coder, seen = random.Random(47), Tokenizer.from_file(TOKENIZER), tokens.WordEncoder(TOKENIZER), []
+    stems = ["".join(rng.choice("abcdeilnorst") for _ in range(9)) for _ in range(300)]
+    texts = [" ".join(f"{s}{rng.choice(['***', '...', '.', ''])}\n{rng.choice(stems)}{rng.choice(['&&&', ','])}" for s in stems) for _ in range(10)]
+    ids = coder._ids
+    monkeypatch.setattr(coder, "_ids", lambda xs: seen.extend(xs) or ids(xs))
+    assert coder.encode(texts) == [np.array(t.encode(x, add_special_tokens=False).ids, "<u4").tobytes() for x in texts]
+    assert sum(map(len, seen)) < 3 * sum(map(len, stems)) < sum(map(len, texts)) / 5
+
+
+def test_long_pieces_are_not_kept():
+    t, coder = Tokenizer.from_file(TOKENIZER), tokens.WordEncoder(TOKENIZER)
+    texts = ["中文" * 500 + " " + "文" * 700 + f"{k} a  b " + "x" * 900 + ". a" + "-" * 900 for k in range(20)] + ["", " "]
+    assert coder.encode(texts) == [np.array(t.encode(x, add_special_tokens=False).ids, "<u4").tobytes() for x in texts]
+    assert max(len(w) for kept in (coder.first, coder.rest, coder.old, coder.marks) for w in kept) <= tokens.KEPT_CHARS
+
+
 def test_any_token_is_found_without_its_neighbours(spark):
     rows = [(k, sentence(random.Random(k), 300)) for k in range(20)]
     files = tokens.write_tokens(docs(spark, rows), TOKENIZER).collect()

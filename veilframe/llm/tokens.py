@@ -22,6 +22,7 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -33,6 +34,12 @@ RANK_BLOCK = 512
 FILE_TOKENS = 4_000_000
 #: Words in a generation of a worker's cache: some 150 bytes each.
 CACHE_WORDS = 600_000
+#: Longer pieces (texts without spaces) are not kept.
+KEPT_CHARS = 64
+#: Bytes of texts that are encoded together, or one text.
+BLOCK_BYTES = 4_000_000
+#: Letters up to Latin Extended-B, which every version of Unicode takes for letters, and ASCII marks but the apostrophe.
+LETTERS, MARKS = "[A-Za-zÀ-ÖØ-öø-ɏ]+", r"[!-&(-/:-@\[-`{-~]*"
 
 
 def encode_levels(ids: np.ndarray) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
@@ -133,7 +140,8 @@ def by_words(definition: dict) -> bool:
     """Whether a tokenizer, given its JSON definition, encodes a text's words one by one.
 
     That is so for byte-level pair encoding that splits by the usual expression, changes nothing before, adds no space in
-    front, drops and cuts nothing, and has no added token that takes white space in or looks at its neighbours.
+    front, drops and cuts nothing, and has no added token that takes white space in, looks at its neighbours or goes from
+    letters on to marks.
     """
     split, model = definition.get("pre_tokenizer") or {}, definition.get("model") or {}
     plain = all(definition.get(x) is None for x in ("normalizer", "truncation", "padding"))
@@ -141,7 +149,8 @@ def by_words(definition: dict) -> bool:
     pairs = model.get("type") == "BPE" and not any(model.get(x) for x in ("dropout", "continuing_subword_prefix", "end_of_word_suffix"))
     tokens = definition.get("added_tokens") or []
     apart = all(not (t.get("lstrip") or t.get("rstrip") or t.get("single_word")) and not re.search(r"\s", t["content"]) for t in tokens)
-    return bool(plain and level and pairs and apart)
+    inside = all(t["content"].isalpha() or not re.fullmatch(LETTERS + MARKS, t["content"]) for t in tokens)
+    return bool(plain and level and pairs and apart and inside)
 
 
 class WordEncoder:
@@ -150,7 +159,10 @@ class WordEncoder:
     The tokenizer's splitting always starts anew at a space that is followed by a character other than white space, whatever
     stands before it. So the ids of a text are those of what precedes the first such space, and of each further piece with its
     space. That holds for the tokenizers that by_words() admits; with others, texts go through the library whole.
-    Words are kept in two generations, so that frequent ones outlive a full cache.
+    Splitting starts anew, too, between letters and marks and on both sides of a line break that stands alone, so pieces like
+    these are put together from their parts, of which there are fewer.
+    Texts are cut, pieces told apart and ids put in a row by Arrow; a piece is looked up once for all texts of a block.
+    Words are kept in two generations, so that frequent ones outlive a full cache; pieces of over KEPT_CHARS are not kept.
     """
 
     def __init__(self, path: str):
@@ -162,12 +174,14 @@ class WordEncoder:
         self.first: dict[str, bytes] = {}
         self.rest: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
-        self.odd = re.compile(r" \s")
+        self.marks: dict[str, bytes] = {"": b""}
         self.cut = re.compile(r" (?=\S)")
+        self.form = re.compile(rf"({LETTERS})({MARKS})(?:\n({LETTERS})({MARKS}))?")
         size = 1 + max(self.tokenizer.get_vocab().values(), default=0)
         self.kind = "<u2" if size <= 1 << 16 else "<u4"  # ids are kept as small as they are
-        self.opens = np.array([(self.tokenizer.id_to_token(i) or "").startswith("Ġ") for i in range(size)])
-        self.marks = {} if self.whole_only else {m: self._whole(m) for m in ".,"}
+        tokens = [self.tokenizer.id_to_token(i) or "" for i in range(size)]
+        self.opens = {sign: np.array([x.startswith(as_byte) for x in tokens]) for sign, as_byte in ((" ", "Ġ"), ("\n", "Ċ"))}
+        self.line = b"" if self.whole_only else self._whole("\n")
 
     def _whole(self, text: str) -> bytes:
         return self._ids([text])[0].tobytes()
@@ -175,78 +189,132 @@ class WordEncoder:
     def _ids(self, texts: list[str]) -> list[np.ndarray]:
         return [np.array(e.ids, self.kind) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _split(self, text: str) -> list[str]:
-        """The pieces of a text between the spaces before anything but white space."""
-        if text.endswith(" ") or self.odd.search(text):
-            return self.cut.split(text)
-        return text.split(" ")
+    def _together(self, words: list[str], sign: str) -> dict[str, bytes]:
+        """The ids of words behind a space (with its token) or a line break (without), encoded together and cut where a token opens with it."""
+        out: dict[str, bytes] = {}
+        for k in range(0, len(words), 1024):
+            part = words[k : k + 1024]
+            ids = self._ids([sign + sign.join(part)])[0]
+            cuts = np.flatnonzero(self.opens[sign][ids])
+            if len(cuts) != len(part):
+                out.update((w, self._whole(w if sign == "\n" else sign + w)) for w in part)
+                continue
+            data, begin, end = ids.tobytes(), cuts + (sign == "\n"), np.append(cuts[1:], len(ids))
+            out.update(zip(part, map(data.__getitem__, map(slice, (begin * ids.itemsize).tolist(), (end * ids.itemsize).tolist()))))
+        return out
 
-    def _learn(self, words: set[str]) -> None:
-        """Put words into self.rest: encoded together, cut where a token opens with the space."""
+    def _heads(self, words: set[str]) -> dict[str, bytes]:
+        """The ids of what nothing stands before."""
+        found = {w: self.first.get(w) for w in words}
+        new = [w for w, ids in found.items() if ids is None]
+        plain = [w for w in new if w.isalpha()]
+        found |= self._together(plain, "\n")
+        other = [w for w in new if not w.isalpha()]
+        found.update(zip(other, (x.tobytes() for x in self._ids(other))))
+        if len(self.first) + len(new) > CACHE_WORDS // 8:
+            self.first = {}
+        self.first.update((w, found[w]) for w in new if len(w) <= KEPT_CHARS)
+        return found
+
+    def _learn(self, words: list[str]) -> list[bytes]:
+        """The ids of further pieces, each with its space, that self.rest does not hold."""
         if len(self.rest) + len(words) > CACHE_WORDS:
             self.rest, self.old = {}, self.rest
         rest, old, marks = self.rest, self.old, self.marks
-        known = words & old.keys()
-        rest.update((w, old[w]) for w in known)
-        words = words - known
-        marked = {w for w in words if w[-1] in marks and w[:-1].isalpha()}
-        plain = words - marked
-        for stem in {w[:-1] for w in marked}:
-            if stem not in rest:
-                if stem in old:
-                    rest[stem] = old[stem]
-                else:
-                    plain.add(stem)
-        spaced = [w for w in plain if " " in w]
-        rest.update(zip(spaced, (x.tobytes() for x in self._ids([" " + w for w in spaced]))))
-        plain = [*plain.difference(spaced)]
-        for k in range(0, len(plain), 4096):
-            part = plain[k : k + 4096]
-            ids = self._ids([" " + " ".join(part)])[0]
-            cuts = np.flatnonzero(self.opens[ids])
-            if len(cuts) != len(part):
-                rest.update((w, self._whole(" " + w)) for w in part)
+        if len(marks) > CACHE_WORDS // 8:
+            marks = self.marks = {"": b""}
+        out: dict[str, bytes] = {}
+        plain, heads, made = set(), set(), []
+        for w in words:
+            if w in old:
+                out[w] = rest[w] = old[w]
+                continue
+            form = None if w.isalpha() or len(w) > KEPT_CHARS else self.form.fullmatch(w)
+            if not form:
+                plain.add(w)
                 continue
-            data, cuts = ids.tobytes(), ids.itemsize * np.append(cuts, len(ids))
-            rest.update(zip(part, map(data.__getitem__, map(slice, cuts[:-1].tolist(), cuts[1:].tolist()))))
-        for w in marked:
-            rest[w] = rest[w[:-1]] + marks[w[-1]]
+            stem, tail, head, head_tail = form.groups()
+            made.append((w, stem, tail, head, head_tail))
+            if stem in rest or stem in old:
+                out[stem] = rest[stem] = rest.get(stem) or old[stem]
+            else:
+                plain.add(stem)
+            if head:
+                heads.add(head)
+            for x in (tail, head_tail or ""):
+                if x not in marks:
+                    marks[x] = self._whole(x)
+        spaced = [w for w in plain if " " in w]
+        out.update(zip(spaced, (x.tobytes() for x in self._ids([" " + w for w in spaced]))))
+        out.update(self._together([*plain.difference(spaced)], " "))
+        rest.update((w, out[w]) for w in plain if len(w) <= KEPT_CHARS)
+        firsts = self._heads(heads)
+        for w, stem, tail, head, head_tail in made:
+            out[w] = out[stem] + marks[tail]
+            if head:
+                out[w] += self.line + firsts[head] + marks[head_tail]
+            else:
+                rest[w] = out[w]
+        return [out[w] for w in words]
 
-    def encode(self, texts: list[str]) -> list[bytes]:
+    def encode(self, texts: list[str] | pa.Array) -> list[bytes]:
         """Little-endian uint32 ids of each text."""
+        if not isinstance(texts, pa.Array):
+            texts = pa.array(texts, pa.string())
         if self.whole_only:
-            return [x.astype("<u4").tobytes() for x in self._ids(texts)]
-        out: list[bytes | None] = []
-        waiting, missing = [], set()
-        for j, text in enumerate(texts):
-            parts = self._split(text)
-            head = self.first.get(parts[0])
-            if head is None:
-                if len(self.first) > CACHE_WORDS // 8:
-                    self.first.clear()
-                head = self.first[parts[0]] = self._whole(parts[0])
-            parts[0] = ""
-            found = [head, *map(self.rest.get, parts[1:])]
-            if None in found:
-                out.append(None)
-                waiting.append((j, parts, found))
-                missing.update(p for p, f in zip(parts, found) if f is None)
-                if len(missing) > CACHE_WORDS // 4:
-                    self._fill(out, waiting, missing)
-                    waiting, missing = [], set()
-            else:
-                out.append(self._wide(found))
-        self._fill(out, waiting, missing)
+            return [x.astype("<u4").tobytes() for x in self._ids(texts.to_pylist())]
+        ends = np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False), dtype=np.int64)
+        out, at = [], 0
+        while at < len(texts):
+            to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + BLOCK_BYTES, "right")))
+            out += self._block(texts.slice(at, to - at))
+            at = to
         return out
 
-    def _fill(self, out: list, waiting: list, missing: set[str]) -> None:
-        if missing:
-            self._learn(missing)
-        for j, parts, found in waiting:
-            out[j] = self._wide([f if f is not None else self.rest[p] for p, f in zip(parts, found)])
-
-    def _wide(self, found: list[bytes]) -> bytes:
-        return np.frombuffer(b"".join(found), self.kind).astype("<u4").tobytes()
+    def _block(self, texts: pa.Array) -> list[bytes]:
+        pieces = pc.split_pattern(texts, " ")
+        starts, coded = pieces.offsets.to_numpy().astype(np.int64), pieces.values.dictionary_encode()
+        words, codes = coded.dictionary.to_numpy(zero_copy_only=False).tolist(), coded.indices.to_numpy()
+        order = np.arange(len(texts))
+        white = [j for j, w in enumerate(words) if not w or w[0].isspace()]
+        inner = np.ones(len(codes), bool)
+        inner[starts[:-1]] = False
+        uncut = np.flatnonzero(np.isin(codes, white) & inner) if white else ()
+        if len(uncut):  # texts with a space before white space or the end are cut again, and come last
+            odd = np.unique(np.searchsorted(starts, uncut, "right") - 1)
+            even = np.setdiff1d(order, odd)
+            index = {w: j for j, w in enumerate(words)}
+            cut = [self.cut.split(text) for text in texts.take(pa.array(odd)).to_pylist()]
+            again = [index.setdefault(w, len(index)) for piece in cut for w in piece]
+            words, lengths = [*index], np.diff(starts)
+            codes = np.concatenate([codes[~np.repeat(np.isin(order, odd), lengths)], np.array(again, codes.dtype)])
+            starts = np.concatenate([[0], np.cumsum(np.concatenate([lengths[even], [len(x) for x in cut]]))]).astype(np.int64)
+            order = np.concatenate([even, odd])
+            inner = np.ones(len(codes), bool)
+            inner[starts[:-1]] = False
+        used = np.zeros(len(words), bool)
+        used[codes[inner]] = True
+        found = [*map(self.rest.get, words)]
+        missing = [j for j, (ids, use) in enumerate(zip(found, used.tolist())) if use and ids is None]
+        step = max(1, CACHE_WORDS // 4)
+        for k in range(0, len(missing), step):
+            part = missing[k : k + step]
+            for j, ids in zip(part, self._learn([words[j] for j in part])):
+                found[j] = ids
+        heads = [words[j] for j in codes[starts[:-1]].tolist()]
+        firsts = self._heads(set(heads))
+        codes = codes.astype(np.int64)
+        codes[starts[:-1]] = len(words) + np.arange(len(heads))
+        # what is no further piece of any text has no ids and is not asked for
+        rows = pa.array(found + [firsts[w] for w in heads], pa.large_binary()).take(pa.array(codes))
+        _, bounds, data = rows.buffers()
+        bounds = np.frombuffer(bounds, np.int64, len(codes) + 1)
+        ids = np.frombuffer(data or b"", np.uint8, bounds[-1]).view(self.kind).astype("<u4")
+        bounds = (bounds[starts] // np.dtype(self.kind).itemsize).tolist()
+        out: list[bytes] = [b""] * len(texts)
+        for j, a, b in zip(order.tolist(), bounds, bounds[1:]):
+            out[j] = ids[a:b].tobytes()
+        return out
 
 
 _encoders: dict[str, WordEncoder] = {}
@@ -292,16 +360,13 @@ def write_tokens(
             )
 
         for batch in batches:
-            for k in range(0, batch.num_rows, 256):
-                view = batch.slice(k, 256)
-                ids = coder.encode(view.column(1).to_pylist())
-                for doc_id, data in zip(view.column(0).to_pylist(), ids):
-                    doc_ids.append(doc_id)
-                    blocks.append(data + end)
-                    tokens += len(data) // 4 + 1
-                    if tokens >= file_tokens:
-                        yield flush()
-                        doc_ids, blocks, tokens, seq = [], [], 0, seq + 1
+            for doc_id, data in zip(batch.column(0).to_pylist(), coder.encode(batch.column(1))):
+                doc_ids.append(doc_id)
+                blocks.append(data + end)
+                tokens += len(data) // 4 + 1
+                if tokens >= file_tokens:
+                    yield flush()
+                    doc_ids, blocks, tokens, seq = [], [], 0, seq + 1
         if doc_ids:
             yield flush()
 
