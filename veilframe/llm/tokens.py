@@ -223,39 +223,40 @@ class WordEncoder:
         rest, old, marks = self.rest, self.old, self.marks
         if len(marks) > CACHE_WORDS // 8:
             marks = self.marks = {"": b""}
-        out: dict[str, bytes] = {}
-        plain, heads, made = set(), set(), []
-        for w in words:
-            if w in old:
-                out[w] = rest[w] = old[w]
-                continue
-            form = None if w.isalpha() or len(w) > KEPT_CHARS else self.form.fullmatch(w)
-            if not form:
-                plain.add(w)
-                continue
-            stem, tail, head, head_tail = form.groups()
-            made.append((w, stem, tail, head, head_tail))
-            if stem in rest or stem in old:
-                out[stem] = rest[stem] = rest.get(stem) or old[stem]
+        out, plain, alone, made, match = {}, [], [], [], self.form.fullmatch
+        for w, ids in zip(words, map(old.get, words)):
+            if ids is not None:
+                out[w] = ids
+            elif w.isalpha() and len(w) <= KEPT_CHARS:
+                plain.append(w)
+            elif len(w) > KEPT_CHARS or " " in w:
+                alone.append(w)
+            elif form := match(w):
+                made.append((w, *form.groups()))
             else:
-                plain.add(stem)
-            if head:
-                heads.add(head)
-            for x in (tail, head_tail or ""):
-                if x not in marks:
-                    marks[x] = self._whole(x)
-        spaced = [w for w in plain if " " in w]
-        out.update(zip(spaced, (x.tobytes() for x in self._ids([" " + w for w in spaced]))))
-        out.update(self._together([*plain.difference(spaced)], " "))
-        rest.update((w, out[w]) for w in plain if len(w) <= KEPT_CHARS)
-        firsts = self._heads(heads)
+                plain.append(w)
+        stems = [*{x[1] for x in made}.difference(plain)]
+        for stem, ids in zip(stems, map(rest.get, stems)):
+            ids = ids or old.get(stem)
+            if ids is None:
+                plain.append(stem)
+            else:
+                out[stem] = ids
+        out.update(self._together(plain, " "))
+        for x in {y for x in made for y in x[2::2]} - marks.keys() - {None}:
+            marks[x] = self._whole(x)
+        firsts = self._heads({x[3] for x in made} - {None})
+        whole = {}
         for w, stem, tail, head, head_tail in made:
-            out[w] = out[stem] + marks[tail]
             if head:
-                out[w] += self.line + firsts[head] + marks[head_tail]
+                whole[w] = out[stem] + marks[tail] + self.line + firsts[head] + marks[head_tail]
             else:
-                rest[w] = out[w]
-        return [out[w] for w in words]
+                out[w] = out[stem] + marks[tail]
+        rest.update(out)
+        whole.update(zip(alone, (x.tobytes() for x in self._ids([" " + w for w in alone]))))
+        rest.update((w, whole[w]) for w in alone if len(w) <= KEPT_CHARS)
+        out.update(whole)
+        return [*map(out.get, words)]
 
     def encode(self, texts: list[str] | pa.Array) -> list[bytes]:
         """Little-endian uint32 ids of each text."""
@@ -295,7 +296,8 @@ class WordEncoder:
         used = np.zeros(len(words), bool)
         used[codes[inner]] = True
         found = [*map(self.rest.get, words)]
-        missing = [j for j, (ids, use) in enumerate(zip(found, used.tolist())) if use and ids is None]
+        used = used.tobytes()
+        missing = [j for j, ids in enumerate(found) if ids is None and used[j]]
         step = max(1, CACHE_WORDS // 4)
         for k in range(0, len(missing), step):
             part = missing[k : k + step]
