@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from pyspark.ml import Pipeline
-from pyspark.ml.classification import LogisticRegression, MultilayerPerceptronClassifier, RandomForestClassifier
+from pyspark.ml.classification import LogisticRegression, RandomForestClassifier
 from pyspark.ml.feature import OneHotEncoder, StringIndexer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from .clean import harmonise, infer_roles
 from .encode import scale_parameters, standard_scale
+from .learners import Forest, Network
 from .sampling import kfold
 
 MODELS = ("Logistic Regression", "Random Forest", "Neural Network")
@@ -40,12 +41,11 @@ def classifier(name: str, n: int, inputs: int = 0, classes: int = 2, trees: int
             featuresCol="__features"
         )
     if name == MODELS[1]:
-        return RandomForestClassifier(
+        plain = RandomForestClassifier(
             numTrees=trees, seed=42, maxDepth=depth, labelCol="__y", featuresCol="__features", maxBins=64, cacheNodeIds=True
         )
-    return MultilayerPerceptronClassifier(
-        layers=[inputs, 100, classes], maxIter=200, seed=42, labelCol="__y", featuresCol="__features", blockSize=512
-    )
+        return Forest(plain, classes, trees, depth, 64, 42)
+    return Network([inputs, 100, classes], 200, 42)
 
 
 def accuracy(rows: DataFrame, truth: str, guess: str) -> DataFrame:
